@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding
 from .common import read
 
 
+def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = sharding.two_pass_shuffle(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality.weak_supervision(docs)
     return q.select("doc_id", *[f"quality.{f}" for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")])
 
 
+def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixing.mix(docs)
+    return rows.select("doc_id", "source", *[f"mix.{f}" for f in ("size", "source_size", "target", "taken", "shards")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_two_pass_shuffle": op4_two_pass_shuffle,
+        "op8_hypergeometric_mix": op8_hypergeometric_mix,
         "op6_weak_supervision": op6_weak_supervision,
     }
 
