@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, tokens
 from .common import read
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, freq = tokens.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.read_tokens(spark, path, freq)
+
+
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = sharding.two_pass_shuffle(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -30,6 +41,7 @@ def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_rans_tokens": op2_rans_tokens,
         "op4_two_pass_shuffle": op4_two_pass_shuffle,
         "op8_hypergeometric_mix": op8_hypergeometric_mix,
         "op6_weak_supervision": op6_weak_supervision,
