@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, tokens
+from . import mixing, neardup, quality, sharding, tokens
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path, freq)
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = sharding.two_pass_shuffle(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -42,6 +46,7 @@ def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rans_tokens": op2_rans_tokens,
+        "op3_order_minhash": op3_order_minhash,
         "op4_two_pass_shuffle": op4_two_pass_shuffle,
         "op8_hypergeometric_mix": op8_hypergeometric_mix,
         "op6_weak_supervision": op6_weak_supervision,
