@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, sharding, tokens
+from . import decontam, licenses, mixing, neardup, quality, sharding, tokens
 from .common import read
 
 
@@ -43,12 +43,24 @@ def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", *[f"mix.{f}" for f in ("size", "source_size", "target", "taken", "shards")])
 
 
+def op9_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decontam.with_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.share", 6).alias("share"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rans_tokens": op2_rans_tokens,
         "op3_order_minhash": op3_order_minhash,
         "op4_two_pass_shuffle": op4_two_pass_shuffle,
         "op8_hypergeometric_mix": op8_hypergeometric_mix,
+        "op9_wand_decontamination": op9_wand_decontamination,
+        "op10_license_scan": op10_license_scan,
         "op6_weak_supervision": op6_weak_supervision,
     }
 
