@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, neardup, quality, sharding, tokens
-from .common import read
+from . import decontam, licenses, mixing, neardup, quality, sharding, tokens, toxicity
+from .common import crc_mod, read
 
 
 def tokenizer_path() -> str:
@@ -53,6 +53,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
 
 
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, *toxicity.learn(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic")), "score")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rans_tokens": op2_rans_tokens,
@@ -61,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hypergeometric_mix": op8_hypergeometric_mix,
         "op9_wand_decontamination": op9_wand_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op7_toxicity_grammar": op7_toxicity_grammar,
         "op6_weak_supervision": op6_weak_supervision,
     }
 
