@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, neardup, quality, sharding, tokens, toxicity
+from . import decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists
 from .common import crc_mod, read
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -31,6 +36,53 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def list_history(pages: DataFrame) -> DataFrame:
+    """Dated entries drawn from the pages' own hosts, domains and first path steps, so that lists grow with the pages."""
+    keys = pages.select("page_id", F.explode(url_lists.keys_of(F.col("url"))).alias("key"))
+    first = keys.groupBy("key").agg(F.min("page_id").alias("k"), F.max(F.instr("key", "/") > 0).alias("path"))
+    add = F.pmod(F.col("k") * 13, F.lit(300)).cast("int")
+    entry = lambda name, day, action: F.struct(F.lit(name).alias("list"), day.cast("int").alias("day"), F.lit(action).alias("action"))
+    none = F.lit(None).cast("array<struct<list:string,day:int,action:string>>")
+    domain = F.when(~F.col("path") & (F.col("k") % 3 == 0), F.array(entry("domains", add, "add"), entry("domains", add + 60, "remove"), entry("domains", add + 90 + F.col("k") % 7, "add")))
+    paths = F.when(F.col("path") & (F.col("k") % 5 == 0), F.array(entry("paths", add, "add"), entry("paths", add + 45, "remove")))
+    both = F.concat(F.coalesce(domain, F.array().cast("array<struct<list:string,day:int,action:string>>")), F.coalesce(paths, none, F.array().cast("array<struct<list:string,day:int,action:string>>")))
+    return first.select("key", F.explode(both).alias("e")).select("key", "e.*")
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.select(F.col("page_id").alias("id"), "url", F.pmod(F.col("page_id") * 37, F.lit(360)).cast("int").alias("day"))
+    return url_lists.evaluate(captures, list_history(pages)).withColumnRenamed("id", "page_id")
+
+
+OP5_SQL = """
+WITH cap AS (
+  SELECT page_id, url, CAST((page_id * 37) % 360 AS INTEGER) AS day,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps
+  FROM pages),
+lab AS (SELECT *, string_split(host, '.') AS labels FROM cap WHERE host <> ''),
+keys AS (
+  SELECT DISTINCT page_id, day, key FROM (
+    SELECT page_id, day, array_to_string(labels[i:], '.') AS key FROM lab, range(1, 64) r(i) WHERE i <= greatest(1, len(labels) - 1)
+    UNION ALL
+    SELECT page_id, day, host || '/' || array_to_string(steps[1:i], '/') AS key FROM lab, range(1, 64) r(i) WHERE i <= len(steps))),
+first AS (SELECT key, min(page_id) AS k, contains(key, '/') AS is_path FROM keys GROUP BY key),
+entries AS (
+  SELECT 'domains' AS list, key, (k * 13) % 300 AS day, 'add' AS action FROM first WHERE NOT is_path AND k % 3 = 0
+  UNION ALL SELECT 'domains', key, (k * 13) % 300 + 60, 'remove' FROM first WHERE NOT is_path AND k % 3 = 0
+  UNION ALL SELECT 'domains', key, (k * 13) % 300 + 90 + k % 7, 'add' FROM first WHERE NOT is_path AND k % 3 = 0
+  UNION ALL SELECT 'paths', key, (k * 13) % 300, 'add' FROM first WHERE is_path AND k % 5 = 0
+  UNION ALL SELECT 'paths', key, (k * 13) % 300 + 45, 'remove' FROM first WHERE is_path AND k % 5 = 0),
+latest AS (
+  SELECT keys.page_id, e.list, e.key, arg_max(e.action, e.day) AS action
+  FROM keys JOIN entries e ON e.key = keys.key AND e.day <= keys.day GROUP BY ALL),
+hit AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM latest WHERE action = 'add' GROUP BY page_id)
+SELECT cap.page_id, url, day, hit.n IS NOT NULL AS blocked, coalesce(hit.n, 0) AS n_active, coalesce(lists, '') AS lists
+FROM cap LEFT JOIN hit USING (page_id)
+"""
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality.weak_supervision(docs)
@@ -62,6 +114,8 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_site_style_tree": op1_site_style_tree,
+        "op5_url_lists": op5_url_lists,
         "op2_rans_tokens": op2_rans_tokens,
         "op3_order_minhash": op3_order_minhash,
         "op4_two_pass_shuffle": op4_two_pass_shuffle,
@@ -74,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_lists": OP5_SQL}
