@@ -26,9 +26,10 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,10 +163,9 @@ class Page:
 
 NODE = T.StructType([T.StructField("path", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("text", T.LongType())])
 BLOCKS = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("chain", T.ArrayType(T.LongType()))])
-PARSED = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCKS))])
+PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCKS))])
 _A_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())])
 _A_BLOCK = pa.struct([("role", pa.int32()), ("text", pa.string()), ("chain", pa.list_(pa.int64()))])
-_A_PARSED = pa.struct([("nodes", pa.list_(_A_NODE)), ("blocks", pa.list_(_A_BLOCK))])
 
 
 def parse(html: str | None, known: dict[str, int]) -> dict:
@@ -187,14 +187,19 @@ def parse(html: str | None, known: dict[str, int]) -> dict:
     return {"nodes": nodes, "blocks": blocks}
 
 
-def parse_batch(pages: pa.Array) -> pa.Array:
+def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    return pa.array([parse(h, known) for h in pages.to_pylist()], _A_PARSED)
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            pages = [parse(h, known) for h in part.column("html").to_pylist()]
+            columns = [pa.array([p[k] for p in pages], t) for k, t in (("nodes", pa.list_(_A_NODE)), ("blocks", pa.list_(_A_BLOCK)))]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *columns], ["page_id", "url", "host", "nodes", "blocks"])
 
 
-def importance(nodes: pd.DataFrame) -> pd.DataFrame:
+def importance(nodes: pa.Table) -> pa.Table:
     """Nodes of low composite importance of one host's tree (a row for each distinct node)."""
-    rows = {r.path: r for r in nodes.itertuples(index=False)}
+    rows = {r["path"]: SimpleNamespace(**r) for r in nodes.to_pylist()}
     children: dict[int, list[int]] = {}
     for r in rows.values():
         if r.parent in rows and r.parent != r.path:
@@ -217,20 +222,21 @@ def importance(nodes: pd.DataFrame) -> pd.DataFrame:
             composite[p] = r.text_entropy if r.has_text else 0.0
     most = max(composite.values(), default=0.0)
     low = [p for p in order if rows[p].pages >= MIN_PAGES and composite[p] < LOW and most >= 0.5]
-    return pd.DataFrame({"host": [nodes["host"].iloc[0]] * len(low), "path": low})
+    return pa.table({"host": pa.array([next(iter(rows.values())).host] * len(low), pa.string()), "path": pa.array(low, pa.int64())})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of pages(page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = stored(pages.select("page_id", "url", host.alias("host"), F.arrow_udf(parse_batch, PARSED)(F.col("html")).alias("p")).select("page_id", "url", "host", "p.nodes", "p.blocks"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    parsed = stored(own.mapInArrow(parse_batches, PARSED))
     nodes = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
     spread = lambda c: F.sum(F.col("c") * F.log(F.col("c").cast("double")))
     shapes = nodes.groupBy("host", "path", "parent", "shape").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.min("parent").alias("parent"), F.sum("c").alias("pages"), F.count("*").alias("shapes"), spread("c").alias("s"))
     texts = nodes.groupBy("host", "path", "text").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("m"), F.max(F.col("text") != 0).alias("has_text"), spread("c").alias("t"))
     entropy = lambda s, m: F.when(F.col(m) > 1, (F.log(F.col(m).cast("double")) - F.col(s) / F.col(m)) / F.log(F.col(m).cast("double"))).otherwise(1.0)
     tree = shapes.join(texts, ["host", "path"]).select("host", "path", "parent", "pages", "shapes", entropy("s", "pages").alias("shape_entropy"), entropy("t", "m").alias("text_entropy"), "has_text")
-    low = tree.groupBy("host").applyInPandas(importance, "host string, path long")
+    low = tree.groupBy("host").applyInArrow(importance, "host string, path long")
     low = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # distinct nodes of one host's templates
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = parsed.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
