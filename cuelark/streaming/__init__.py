@@ -1,0 +1 @@
+"""Incremental processing: none of the operators needs a stream; see resume.py for work that is carried on."""
