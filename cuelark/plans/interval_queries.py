@@ -184,11 +184,11 @@ shifted AS (SELECT media_id, speaker, start_ms + {offset} AS start_ms, end_ms +
         "united AS (SELECT media_id, speaker, run, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM sr GROUP BY ALL)",
         """hit AS (SELECT c.media_id, c.idx, u.speaker, greatest(c.start_ms, u.start_ms) AS start_ms, least(c.end_ms, u.end_ms) AS end_ms FROM spoken c JOIN united u ON u.media_id = c.media_id AND c.start_ms < u.end_ms AND u.start_ms < c.end_ms),
 per AS (SELECT media_id, idx, speaker, sum(end_ms - start_ms) AS ms FROM hit GROUP BY ALL),
-best AS (SELECT media_id, idx, string_agg(speaker || '=' || ms, ',' ORDER BY speaker) AS overlaps, CASE WHEN count(*) FILTER (WHERE ms = most) = 1 THEN max(speaker) FILTER (WHERE ms = most) ELSE '?' END AS candidate
+best AS (SELECT media_id, idx, string_agg(speaker || '=' || ms, ',' ORDER BY speaker) AS "overlaps", CASE WHEN count(*) FILTER (WHERE ms = most) = 1 THEN max(speaker) FILTER (WHERE ms = most) ELSE '?' END AS candidate
          FROM (SELECT *, max(ms) OVER (PARTITION BY media_id, idx) AS most FROM per) GROUP BY media_id, idx)""",
         _runs("cr", "(SELECT media_id, idx AS speaker, start_ms, end_ms FROM hit)", _BY, "start_ms, end_ms", "start_ms > reach"),
         f"""cov AS (SELECT media_id, speaker AS idx, sum(e - s) AS ms FROM (SELECT media_id, speaker, run, min(start_ms) AS s, max(end_ms) AS e FROM cr GROUP BY ALL) GROUP BY media_id, speaker)
-SELECT c.media_id, c.idx, coalesce(candidate, '?') AS candidate, CASE WHEN c.speaker = 'NONSPEECH' THEN 'NONSPEECH' ELSE coalesce(candidate, '?') END AS chosen, coalesce(overlaps, '') AS overlaps,
+SELECT c.media_id, c.idx, coalesce(candidate, '?') AS candidate, CASE WHEN c.speaker = 'NONSPEECH' THEN 'NONSPEECH' ELSE coalesce(candidate, '?') END AS chosen, coalesce("overlaps", '') AS "overlaps",
        coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) AS coverage, coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) < 0.5 AS coverage_low,
        least(c.end_ms, duration_ms + {offset}) - greatest(c.start_ms, {offset}) > 0 AS emitted,
        least(c.end_ms, duration_ms + {offset}) - greatest(c.start_ms, {offset}) > 0 AND (c.start_ms < {offset} OR c.end_ms > duration_ms + {offset}) AS boundary_crossing
