@@ -20,7 +20,7 @@ def judged(spark, d):
     return A.judged(matches(spark, d)[0], CAST)
 
 
-_KEY = r"regexp_replace(replace(text, '\N', ''), '[\s\u00A0\u3000]+', '', 'g')"
+_KEY = r"regexp_replace(replace(text, '\N', ''), '[\s\x{00A0}\x{3000}]+', '', 'g')"
 MATCH = rf"""g AS (SELECT *, {_KEY} AS key FROM lines),
 p AS (SELECT *, {_KEY} AS key FROM preds),
 sole AS (SELECT media_id, start_ms, end_ms, key, max(pid) AS pid FROM p GROUP BY ALL HAVING count(*) = 1),
