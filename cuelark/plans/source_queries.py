@@ -84,7 +84,7 @@ S7 = X.query(X.CUES + f"\nSELECT media_id, row_number() OVER (PARTITION BY media
 
 def s8(spark, d):
     """Each order is a container, each of its lines a stream."""
-    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 4).alias("k"), "l_returnflag")
+    li = X.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_suppkey") % 4).alias("k"), F.min("l_returnflag").alias("l_returnflag"))
     codec = F.when(F.col("k") < 2, "ass").when(F.col("k") == 2, "subrip").otherwise("hdmv_pgs_subtitle")
     stream = F.struct(F.col("l_linenumber").cast("int").alias("index"), F.when(F.col("l_returnflag") == "N", "audio").otherwise("subtitle").alias("codec_type"), codec.alias("codec_name"), F.struct(F.col("l_returnflag").alias("language"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("title")).alias("tags"))
     docs = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(stream).alias("streams"))).alias("value")).select(F.col("l_orderkey").alias("media_id"), "value")
@@ -92,8 +92,8 @@ def s8(spark, d):
 
 
 S8 = """SELECT l_orderkey AS media_id, CAST(l_linenumber AS INTEGER) AS stream_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS subtitle_index,
- CASE WHEN l_suppkey % 4 < 2 THEN 'ass' WHEN l_suppkey % 4 = 2 THEN 'subrip' ELSE 'hdmv_pgs_subtitle' END AS codec_name, l_returnflag AS language, 't' || l_suppkey % 4 AS title,
- CASE WHEN l_suppkey % 4 < 2 THEN 'full' WHEN l_suppkey % 4 = 2 THEN 'text' ELSE 'unsupported' END AS support FROM lineitem WHERE l_returnflag <> 'N'"""
+ CASE WHEN k < 2 THEN 'ass' WHEN k = 2 THEN 'subrip' ELSE 'hdmv_pgs_subtitle' END AS codec_name, l_returnflag AS language, 't' || k AS title,
+ CASE WHEN k < 2 THEN 'full' WHEN k = 2 THEN 'text' ELSE 'unsupported' END AS support FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey % 4) AS k, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) WHERE l_returnflag <> 'N'"""
 
 
 def s9(spark, d):
