@@ -12,13 +12,14 @@ Steps:
  5. The reader verifies both checksums and gives the ids back for each document.
 
 Defined results: a null text counts as empty and gives the end id alone; texts of any length are
-encoded whole, cut only for speed at spaces, where this tokenizer never joins; null
+encoded whole; pieces between white space, which this tokenizer never joins, are encoded once and looked up after; null
 doc_ids come first; repeated rows each have their own place, ordered by doc_id and then by
 text; an empty table gives no rows. Only `doc_id` and `text` are read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words as W
 from .common import shared_dir, stored
 
 SCALE = 20
@@ -36,99 +38,130 @@ BLOCK = 1 << 20
 STRIDE = 128
 LOW = np.uint64(1 << 31)
 END = 1
-_MOST_CACHED = 800_000
 
 ENCODED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 BLOCKS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("first", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())), ("lengths", T.ArrayType(T.LongType())), ("start", T.LongType()), ("lanes", T.IntegerType()), ("states", T.BinaryType()), ("checkpoints", T.BinaryType()), ("payload", T.BinaryType()), ("ids_crc32", T.LongType()), ("payload_crc32", T.LongType()))])
 
-#: Pieces and their ids; kept in the Python worker over tasks, so that few pieces are encoded twice.
-_cache: dict[str, bytes] = {}
-_tokenizers: dict = {}
+_tables: dict[str, "PieceTable"] = {}
 _TAIL = ",.!?;:*$%&#"
+# The letters by which byte-level tokenizers name bytes, a byte itself where printable, else one from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_NAMES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+class PieceTable:
+    """Ids of the pieces met so far, by 64-bit hash; kept in the Python worker over its tasks, MOST pieces at most.
 
+    A tokenizer whose pre-tokens never hold white space gives the same ids for a text as for its pieces between white space in
+    a row, so a piece is encoded once and looked up after that, for a whole batch at a time."""
 
-class WordEncoder:
-    """Ids of whole texts, from the library's ids of their pieces between spaces and line ends.
-
-    A tokenizer whose pre-tokens never hold white space gives the same ids for a text as for its
-    pieces in a row; pieces' ids are kept, as most of a corpus is pieces seen before. A full
-    cache starts anew."""
+    MOST = 4_000_000
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        get = _cache.get
-        found = [list(map(get, p)) for p in pieces]
-        fresh = {w for p, f in zip(pieces, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
-        if not fresh:
-            return [b"".join(f) for f in found]
-        if len(_cache) + len(fresh) > _MOST_CACHED:
-            _cache.clear()
-            fresh = set().union(*pieces)
-        self._learn(fresh)
-        return [b"".join(f) if None not in f else b"".join([x if x is not None else _cache[w] for w, x in zip(p, f, strict=True)]) for p, f in zip(pieces, found, strict=True)]
-
-    def _learn(self, fresh: set[str]) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint16)
+        self.used = 0
+        self.stems: dict[str, list[int]] = {}
+
+    def encode(self, s: W.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slice's texts in a row, number of ids of each text)."""
+        words = W.hash_words(s)
+        order = np.argsort(words.hashes)
+        ranked = words.hashes[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        distinct, some = ranked[fresh], order[fresh]
+        if len(self.hashes) + len(distinct) > self.MOST:
+            self.clear()
+        at = np.searchsorted(self.hashes, distinct)
+        missing = np.ones(len(distinct), bool)
+        if len(self.hashes):
+            missing = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
+        if missing.any():
+            self._learn(s, words.starts[some[missing]], distinct[missing], at[missing])
+            at = np.searchsorted(self.hashes, distinct)
+        place = np.empty(len(order), np.int64)
+        place[order] = at[np.cumsum(fresh) - 1] if len(order) else at
+        lengths = self.lengths[place]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids[np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(total)]
+        edges = np.concatenate([[0], ends])[words.bounds]
+        return out, np.diff(edges)
+
+    def _learn(self, s: W.Slice, starts: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
+        spaces = np.flatnonzero(W._SPACE[s.data])
+        next_space = np.concatenate([spaces, [len(s.data)]])[np.searchsorted(spaces, starts)]
+        ends = np.minimum(next_space, s.offsets[np.searchsorted(s.offsets, starts, "right")])
+        raw = s.data.tobytes()
+        ids = [self._piece(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.used += len(flat)
+
+    def _piece(self, piece: str) -> list[int]:
         """Case does not count for this tokenizer, and marks after a letter are a pre-token of their own; so
-        an ASCII piece is its lower-case stem and its final marks."""
-        split: dict[str, tuple[str, str]] = {}
-        for w in fresh:
-            stem, tail = w, ""
-            if w.isascii() and "<" not in w:
-                stem = w.rstrip(_TAIL)
-                if stem[-1:].isalpha():
-                    tail = w[len(stem) :]
-                else:
-                    stem = w
-                stem = stem.lower()
-            split[w] = stem, tail
-        todo = {x for pair in split.values() for x in pair}.difference(_cache)
-        self._encode([w for w in todo if w])
-        _cache[""] = b""
-        for w, (stem, tail) in split.items():
-            _cache[w] = _cache[stem] + _cache[tail]
-
-    def _encode(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 5_000):
-            part = pieces[lo : lo + 5_000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32).astype("<u2").tobytes()
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = (2 * np.searchsorted(at, begins)).tolist()
-            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
-                _cache[w] = ids[a:b]
+        a piece of letters is its lower-case stem and its final marks, each one pre-token for the BPE model."""
+        low = piece.lower()
+        stem = low.rstrip(_TAIL)
+        if not stem.isalpha() or "\u03a3" in piece or not unicodedata.is_normalized("NFC", piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return self._pretoken(stem) + self._pretoken(low[len(stem) :]) if len(stem) < len(low) else self._pretoken(stem)
+
+    def _pretoken(self, text: str) -> list[int]:
+        ids = self.stems.get(text)
+        if ids is None:
+            if len(self.stems) > 200_000:
+                self.stems.clear()
+            named = text if text.isascii() else text.encode().decode("latin-1").translate(_NAMES)
+            ids = self.stems[text] = [t.id for t in self.model.tokenize(named)]
+        return ids
+
+
+def table(path: str) -> PieceTable:
+    if path not in _tables:
+        _tables[path] = PieceTable(path)
+    return _tables[path]
 
 
 def encode_parts(path: str):
     """mapInArrow over rows sorted by (part, doc_id): ids as little-endian 16-bit, and tokens before the document in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = WordEncoder(path), None, 0
-        end = np.array([END], "<u2").tobytes()
+        pieces, part, before = table(path), None, 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
-                ids = [x + end for x in encode(s.column("text").to_pylist())]
-                counts = np.array([len(x) // 2 for x in ids], np.int64)
-                parts = s.column("part").to_numpy(zero_copy_only=False)
-                befores = np.zeros(len(ids), np.int64)
-                for i, (p, n) in enumerate(zip(parts, counts, strict=True)):
+            for s in W.slices(b.column("text"), 4 << 20):
+                own = b.slice(s.first, s.n)
+                ids, counts = pieces.encode(s)
+                ends = np.cumsum(counts + 1)
+                coded = np.full(int(ends[-1]), END, "<u2")
+                body = np.ones(len(coded), bool)
+                body[ends - 1] = False
+                coded[body] = ids
+                befores = np.zeros(s.n, np.int64)
+                for i, (p, n) in enumerate(zip(own.column("part").to_pylist(), (counts + 1).tolist(), strict=True)):
                     if p != part:
                         part, before = p, 0
                     befores[i] = before
-                    before += int(n)
-                yield pa.RecordBatch.from_arrays([s.column("part"), s.column("doc_id"), pa.array(befores), pa.array(counts), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "n_tokens", "ids"])
+                    before += n
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), s.n, [None, pa.py_buffer(offsets), pa.py_buffer(coded.tobytes())])
+                yield pa.RecordBatch.from_arrays([own.column("part"), own.column("doc_id"), pa.array(befores), pa.array(counts + 1), binary], ["part", "doc_id", "before", "n_tokens", "ids"])
 
     return run
 
@@ -137,8 +170,10 @@ def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each id in a partition: a row an id of the vocabulary at most."""
     total = np.zeros(65536, np.int64)
     for b in batches:
-        for x in b.column("ids"):
-            total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=65536)
+        if b.num_rows:
+            ids = b.column("ids")
+            offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            total += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u2"), minlength=65536)
     at = np.flatnonzero(total)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
