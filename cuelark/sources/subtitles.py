@@ -13,7 +13,7 @@ STRICT = r"^(\d{2,3}:[0-5]\d:[0-5]\d,\d{3})\s*-->\s*(\d{2,3}:[0-5]\d:[0-5]\d,\d{
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(media_id: file name without its ending, content) of whole files."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("media_id"), F.col("value").alias("content"))
 
 
@@ -74,7 +74,7 @@ def render_srt(cues: DataFrame, labelled: bool = True) -> DataFrame:
 
 
 def write_srt(cues: DataFrame, path: str, labelled: bool = True) -> None:
-    render_srt(cues, labelled).select(F.col("media_id").cast("string").alias("media"), F.col("content").alias("value")).write.partitionBy("media").option("lineSep", "").text(path)
+    render_srt(cues, labelled).select(F.col("media_id").cast("string").alias("media"), F.regexp_replace("content", r"\n$", "").alias("value")).write.partitionBy("media").text(path)
 
 
 CUE_JSON = "idx int, start double, end double, speaker string, tags array<string>, text string, source_entries array<int>"
