@@ -76,16 +76,16 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[flo
     targets = source_targets(sources.withColumn("source", F.when(~F.col("__null"), F.col("__src"))), share, epochs, weights)
     total = F.sum("source_size").over(Window.partitionBy())
     number = F.least(F.lit(CELLS), F.greatest(F.lit(1), F.ceil(F.col("source_size") * blocks / F.greatest(total, F.lit(1)))))
-    targets = targets.select(F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__src"), "source_size", "target", number.cast("int").alias("__number"))
+    targets = targets.select(F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), number.cast("int").alias("__number"))
     # whole epochs, and what the last epoch still has to draw
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
-    targets = targets.withColumn("__full", full).withColumn("__rest", F.greatest(F.lit(0.0), F.col("target") - F.col("__full") * F.col("source_size")))
+    full = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size") + 1e-12)).otherwise(0).cast("int")
+    targets = targets.withColumn("__full", full).withColumn("__rest", F.greatest(F.lit(0.0), F.col("__target") - F.col("__full") * F.col("__source_size")))
     cells = cells.join(targets, ["__null", "__src"]).withColumn("__block", F.floor(F.col("__cell") * F.col("__number") / CELLS).cast("int"))
     drawn = Window.partitionBy("__null", "__src").orderBy(F.xxhash64("__src", "__block", F.lit(seed + 1)), "__block", F.xxhash64("__src", "__cell", F.lit(seed + 2)), "__cell")
     before = F.coalesce(F.sum("__cell_size").over(drawn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("__left", F.col("__rest") - before)
     leaves = deal_blocks(cells, shards, seed)
-    cells = cells.join(leaves, ["__null", "__src", "__block"], "left").select("__null", "__src", "__cell", "source_size", "target", "__full", "__left", "__shards")
+    cells = cells.join(leaves, ["__null", "__src", "__block"], "left").select("__null", "__src", "__cell", "__source_size", "__target", "__full", "__left", "__shards")
     both = sized.join(cells, ["__null", "__src", "__cell"])
     inside = Window.partitionBy("__null", "__src", "__cell").orderBy(F.xxhash64("doc_id", F.lit(seed + 3)), "doc_id")
     so_far = F.coalesce(F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[flo
     once_more = (F.col("__left") > 0) & (so_far + F.col("__size") / 2 < F.col("__left"))
     copies = F.col("__full") + once_more.cast("int")
     both = both.withColumn("__copies", copies)
-    result = F.struct(F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"), F.slice(F.coalesce("__shards", F.array().cast("array<int>")), F.lit(1), F.col("__copies")).alias("shards"))
+    result = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"), F.slice(F.coalesce("__shards", F.array().cast("array<int>")), F.lit(1), F.col("__copies")).alias("shards"))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name))
 
 
