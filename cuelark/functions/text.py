@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Bidirectional controls with the byte order mark, lyric marks.
 BIDI = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\ufeff"
 LYRIC = "♪♫♬"
 
@@ -100,6 +101,7 @@ def short_text(key: Column, n: int = 5) -> Column:
 
 def interjection(key: Column) -> Column:
     """Only kana, marks and the like, or a short text without ideographs, Latin letters and digits."""
+    # Kana and marks that make an interjection.
     sounds = r"^[ぁ-んァ-ンーっッ~～…\.・!！?？、, ]{1,12}$"
     return key.rlike(sounds) | (short_text(key) & ~key.rlike(r"[一-龯A-Za-z0-9]"))
 
@@ -149,6 +151,7 @@ def gold_target(c: Column, cast: Sequence[str], groups: Sequence[str] = ()) -> t
 
 # classes of raw cues --------------------------------------------------------------------------------------
 
+# Brackets and dashes of both widths.
 _OPEN, _CLOSE, _DASH = "(（", ")）", "-－─―‐"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .intervals import binned_join
 
+# Names of alignment methods in scored output.
 METHODS = ("exact_timestamp_text", "unique_text_time_overlap", "structural_text_containment_overlap", "unmatched")
 
 
@@ -84,6 +85,7 @@ def per_speaker(j: DataFrame, cast: Sequence[str]) -> DataFrame:
     return out.withColumns({"precision": F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))), "recall": F.when(F.col("support") > 0, F.col("tp") / F.col("support"))})
 
 
+# Nominal accuracy of a stated confidence.
 NOMINAL = {"high": 0.9, "mid": 0.6, "low": 0.3}
 
 

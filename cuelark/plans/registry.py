@@ -1,8 +1,8 @@
 """All queries and oracles of the library."""
 
-from . import interval_queries, score_queries, sequence_queries, source_queries
+from . import interval_queries, more_queries, score_queries, sequence_queries, source_queries
 
-_MODULES = (interval_queries, score_queries, sequence_queries, source_queries)
+_MODULES = (interval_queries, score_queries, sequence_queries, source_queries, more_queries)
 
 
 def queries() -> dict:

@@ -104,6 +104,7 @@ def parse_results(rows: DataFrame, cast: list[str]) -> DataFrame:
     return e.select("media_id", F.col("e.idx").alias("idx"), F.round(F.col("e.start") * 1000).cast("long").alias("start_ms"), F.round(F.col("e.end") * 1000).cast("long").alias("end_ms"), F.coalesce("e.text", F.lit("")).alias("text"), prediction_label(raw, cast).alias("speaker"), F.coalesce(last["speaker_raw"], raw).alias("speaker_raw"), F.lower(F.coalesce(last["confidence"], F.lit("unknown"))).alias("confidence"), F.coalesce("e.speaker_in_srt", F.lit("?")).alias("input_speaker"))
 
 
+# The actions of a style policy.
 ACTIONS = ("keep_dialogue", "drop_sign", "drop_comment", "drop_karaoke", "drop_credit", "drop_title", "drop_drawing", "drop_other", "review")
 
 
