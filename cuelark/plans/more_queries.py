@@ -113,5 +113,12 @@ def s5_training(spark, d):
 
 S5T = X.query(X.CUES + "\nSELECT media_id, CASE WHEN starts_with(speaker, 'NONSPEECH') THEN 'NONSPEECH' ELSE speaker END AS speaker, count(*) AS n, 3 AS fields FROM cues WHERE speaker <> '?' AND text <> '' GROUP BY ALL")
 
-QUERIES = {"w15_reindex": w15, "x1_p3_explode_speakers": x1, "e1_normalise": e1, "t7_head_scenes": t7, "t8_candidate_pick": t8, "s17_srt_predictions": s17, "i1_refine_loop": i1, "s19_manifest_counts": s5_training}
-ORACLES = {"w15_reindex": W15, "x1_p3_explode_speakers": X1, "e1_normalise": E1, "t7_head_scenes": T7, "t8_candidate_pick": T8, "s17_srt_predictions": S17, "i1_refine_loop": I1, "s19_manifest_counts": S5T}
+def a1(spark, d):
+    r = raw_cues(spark, d).select(T.classified(F.col("raw")).alias("c"))
+    return r.groupBy(F.col("c.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+A1 = X.query(X.CUES + "\nSELECT CASE WHEN is_multi THEN 'multi' WHEN is_lyric THEN 'nonspeech' WHEN speaker = '?' THEN 'unlabeled' ELSE 'single' END AS kind, count(*) AS n FROM cues GROUP BY 1")
+
+QUERIES = {"a1_kind_counts": a1, "w15_reindex": w15, "x1_p3_explode_speakers": x1, "e1_normalise": e1, "t7_head_scenes": t7, "t8_candidate_pick": t8, "s17_srt_predictions": s17, "i1_refine_loop": i1, "s19_manifest_counts": s5_training}
+ORACLES = {"a1_kind_counts": A1, "w15_reindex": W15, "x1_p3_explode_speakers": X1, "e1_normalise": E1, "t7_head_scenes": T7, "t8_candidate_pick": T8, "s17_srt_predictions": S17, "i1_refine_loop": I1, "s19_manifest_counts": S5T}

@@ -1 +1 @@
-"""Incremental processing: none of the operators needs a stream; see resume.py for work that is carried on."""
+"""No operator needs a stream; work that is carried on later is `operators.sequence.pending`, an anti-join with stored replies."""
