@@ -43,7 +43,7 @@ K1, B = 1.2, 0.75
 
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for s in W.slices(W.normalised(pa.array(texts, pa.string()))):
+    for s in W.normal_slices(pa.array(texts, pa.string())):
         words = W.hash_words(s)
         out += [words.hashes[a:b] for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
     return out
@@ -163,7 +163,7 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), (
 def find(index: Index):
     def run(texts: pa.Array) -> pa.Array:
         out: list[list[dict]] = []
-        for s in W.slices(W.normalised(texts)):
+        for s in W.normal_slices(texts):
             words = W.hash_words(s)
             terms = index.term_of(words.hashes)
             hit = index.entry[terms]

@@ -150,6 +150,6 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, name:
     held = Templates(templates)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([row for s in W.slices(W.normalised(texts)) for row in held.scan(s)], _ARROW)
+        return pa.array([row for s in W.normal_slices(texts) for row in held.scan(s)], _ARROW)
 
     return docs.select("*", F.arrow_udf(run, FOUND)(F.col("text")).alias(name))

@@ -55,7 +55,7 @@ class PieceTable:
     A tokenizer whose pre-tokens never hold white space gives the same ids for a text as for its pieces between white space in
     a row, so a piece is encoded once and looked up after that, for a whole batch at a time."""
 
-    MOST = 4_000_000
+    MOST = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,8 +66,8 @@ class PieceTable:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint16)
         self.used = 0
         self.stems: dict[str, list[int]] = {}
@@ -91,7 +91,7 @@ class PieceTable:
             at = np.searchsorted(self.hashes, distinct)
         place = np.empty(len(order), np.int64)
         place[order] = at[np.cumsum(fresh) - 1] if len(order) else at
-        lengths = self.lengths[place]
+        lengths = self.lengths[place].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         out = self.ids[np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(total)]
@@ -126,7 +126,7 @@ class PieceTable:
     def _pretoken(self, text: str) -> list[int]:
         ids = self.stems.get(text)
         if ids is None:
-            if len(self.stems) > 200_000:
+            if len(self.stems) > 50_000:
                 self.stems.clear()
             named = text if text.isascii() else text.encode().decode("latin-1").translate(_NAMES)
             ids = self.stems[text] = [t.id for t in self.model.tokenize(named)]
@@ -145,7 +145,7 @@ def encode_parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, before = table(path), None, 0
         for b in batches:
-            for s in W.slices(b.column("text"), 4 << 20):
+            for s in W.slices(b.column("text"), 1 << 21):
                 own = b.slice(s.first, s.n)
                 ids, counts = pieces.encode(s)
                 ends = np.cumsum(counts + 1)

@@ -27,7 +27,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, r in enumerate((_R, _R_INV)):
             step = np.full(size, r, np.uint64)
             step[0] = 1
@@ -57,7 +57,7 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[Slice]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[Slice]:
     """The column in slices of about `most` bytes, one text at least; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -140,12 +140,12 @@ def per_text(values: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(texts, weights=values, minlength=n).astype(np.int64) if len(texts) else np.zeros(n, np.int64)
 
 
-def normalised(texts: pa.Array) -> pa.Array:
-    """Lower case, ASCII punctuation turned to spaces' neighbours away: words compare without case and punctuation."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return strip_punctuation(low)
+def normal_slices(texts: pa.Array) -> Iterator[Slice]:
+    """Slices in lower case without ASCII punctuation: words compare without either. A slice at a time, so that copies stay small."""
+    for s in slices(texts):
+        plain = pa.LargeStringArray.from_buffers(s.n, pa.py_buffer(s.offsets.astype(np.int64)), pa.py_buffer(s.data.tobytes()))
+        for low in slices(strip_punctuation(pc.utf8_lower(plain)), 1 << 60):
+            yield Slice(s.first, low.data, low.offsets)
 
 
 _PUNCT = np.zeros(256, bool)

@@ -260,7 +260,7 @@ def test_long_templates_in_running_text():
     for name, text in licenses.TEMPLATES.items():
         words = text.split()
         texts = [" ".join([*noise(77), *words, *noise(40)]), " ".join(noise(200))]
-        found = [x for s in W.slices(W.normalised(pa.array(texts))) for x in held.scan(s)]
+        found = [x for s in W.normal_slices(pa.array(texts)) for x in held.scan(s)]
         assert name in {x["license"] for x in found[0]} and not found[1]
 
 
