@@ -37,16 +37,21 @@ def crc_mod(col, n: int):
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def maybe_in(rows: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """rows whose `column` may be among keys(`column`): none that is gets lost, few that is not stays.
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows whose `column` may be among keys(`column`): none that is gets lost, few that are not stay. An exact join must follow."""
+    return with_maybe(rows, column, keys, "__maybe").where("__maybe").drop("__maybe")
+
+
+def with_maybe(rows: DataFrame, column: str, keys: DataFrame, name: str, most_bits: int = 1 << 26) -> DataFrame:
+    """rows with a boolean `name`: false where `column` is certainly not among keys(`column`).
 
     A Bloom filter of one hash, as a table of 64-bit words that is joined by broadcast. It has `most_bits`
     bits at most (8 MB of words), whatever the number of keys, so the broadcast is bounded; with more
-    keys than that it only prunes less. An exact join must follow."""
+    keys than that it only prunes less."""
     n = keys.count()
     bits = min(most_bits, max(1 << 12, 1 << (16 * n).bit_length()))
     h = F.pmod(F.xxhash64(column, F.lit(99)), F.lit(bits))
     word, bit = F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`, 99), {bits}) % 64 as int))")
     words = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    out = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(words), "__word")
-    return out.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).drop("__word", "__bit", "__bits")
+    out = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(words), "__word", "left")
+    return out.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, with_maybe
 
 GAMMA = 0.9
 LOW = 0.2
@@ -161,10 +161,10 @@ class Page:
         node[2] += texts
 
 
-NODE = T.StructType([T.StructField("path", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("text", T.LongType())])
+NODE = T.StructType([T.StructField("path", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("text", T.LongType()), T.StructField("live", T.BooleanType())])
 BLOCKS = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("chain", T.ArrayType(T.LongType()))])
 PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCKS))])
-_A_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())])
+_A_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("shape", pa.int64()), ("text", pa.int64()), ("live", pa.bool_())])
 _A_BLOCK = pa.struct([("role", pa.int32()), ("text", pa.string()), ("chain", pa.list_(pa.int64()))])
 
 
@@ -177,13 +177,15 @@ def parse(html: str | None, known: dict[str, int]) -> dict:
         return known[path]
 
     page = Page(html or "")
-    nodes = [{"path": number(p), "parent": number(v[0]), "shape": _hash("|".join(dict.fromkeys(v[1]))), "text": _hash("\n".join(v[2])) if v[2] else 0} for p, v in page.nodes.items()]
     marked = any(role == MAIN for role, _, _ in page.blocks)
     blocks = []
     for role, text, path in page.blocks:
         if role == (MAIN if marked else UNKNOWN):
             steps = path.split("/")
             blocks.append({"role": role, "text": text, "chain": [number("/".join(steps[: i + 1])) for i in range(1, len(steps))]})
+    # only a branch that holds a block can be removed
+    live = {n for b in blocks for n in b["chain"]}
+    nodes = [{"path": number(p), "parent": number(v[0]), "shape": _hash("|".join(dict.fromkeys(v[1]))), "text": _hash("\n".join(v[2])) if v[2] else 0, "live": number(p) in live} for p, v in page.nodes.items()]
     return {"nodes": nodes, "blocks": blocks}
 
 
@@ -221,7 +223,7 @@ def importance(nodes: pa.Table) -> pa.Table:
         else:
             composite[p] = r.text_entropy if r.has_text else 0.0
     most = max(composite.values(), default=0.0)
-    low = [p for p in order if rows[p].pages >= MIN_PAGES and composite[p] < LOW and most >= 0.5]
+    low = [p for p in order if rows[p].pages >= MIN_PAGES and composite[p] < LOW and most >= 0.5 and rows[p].live]
     return pa.table({"host": pa.array([next(iter(rows.values())).host] * len(low), pa.string()), "path": pa.array(low, pa.int64())})
 
 
@@ -233,14 +235,16 @@ def extract(pages: DataFrame) -> DataFrame:
     nodes = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
     spread = lambda c: F.sum(F.col("c") * F.log(F.col("c").cast("double")))
     shapes = nodes.groupBy("host", "path", "parent", "shape").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.min("parent").alias("parent"), F.sum("c").alias("pages"), F.count("*").alias("shapes"), spread("c").alias("s"))
-    texts = nodes.groupBy("host", "path", "text").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("m"), F.max(F.col("text") != 0).alias("has_text"), spread("c").alias("t"))
+    texts = nodes.groupBy("host", "path", "text").agg(F.count("*").alias("c"), F.max("live").alias("live")).groupBy("host", "path").agg(F.sum("c").alias("m"), F.max(F.col("text") != 0).alias("has_text"), F.max("live").alias("live"), spread("c").alias("t"))
     entropy = lambda s, m: F.when(F.col(m) > 1, (F.log(F.col(m).cast("double")) - F.col(s) / F.col(m)) / F.log(F.col(m).cast("double"))).otherwise(1.0)
-    tree = shapes.join(texts, ["host", "path"]).select("host", "path", "parent", "pages", "shapes", entropy("s", "pages").alias("shape_entropy"), entropy("t", "m").alias("text_entropy"), "has_text")
+    tree = shapes.join(texts, ["host", "path"]).select("host", "path", "parent", "pages", "shapes", entropy("s", "pages").alias("shape_entropy"), entropy("t", "m").alias("text_entropy"), "has_text", "live")
     low = tree.groupBy("host").applyInArrow(importance, "host string, path long")
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # distinct nodes of one host's templates
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = parsed.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    both = salted.join(low, ["host", "salt"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
+    low = stored(low.groupBy("host").agg(F.collect_set("path").alias("low")))  # distinct nodes of one host's templates
+    # only pages of hosts that have such branches are shuffled
+    flagged = with_maybe(parsed, "host", low.select("host"), "touched")
+    salted = flagged.where("touched").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    both = salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.col("low")))
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
-    return both.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    out = lambda df, blocks: df.select("page_id", "url", F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("text"))
+    return out(flagged.where("NOT touched"), F.col("blocks")).unionByName(out(both, kept))
