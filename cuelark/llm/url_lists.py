@@ -24,14 +24,25 @@ FOREVER = 2**31 - 1
 def intervals(entries: DataFrame) -> DataFrame:
     """entries(list, key, day, action) as (list, key, since, until): active from since to until, the latter excluded."""
     entries = entries.where(F.col("list").isNotNull() & F.col("key").isNotNull() & F.col("day").isNotNull() & F.col("action").isin("add", "remove"))
-    daily = entries.groupBy("list", F.lower("key").alias("key"), "day").agg(F.max(F.col("action") == "add").alias("adds"))
+    daily = entries.groupBy("list", entry_key(F.col("key")).alias("key"), "day").agg(F.max(F.col("action") == "add").alias("adds"))
     order = Window.partitionBy("list", "key").orderBy("day")
     closed = daily.withColumn("until", F.coalesce(F.lead("day").over(order), F.lit(FOREVER)))
     return closed.where("adds").select("list", "key", F.col("day").alias("since"), "until")
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
+_SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*://"
+_HOST = r"(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"  # after user info, before a port
+
+
+def host_of(url: Column, scheme: str = _SCHEME) -> Column:
+    return F.lower(F.regexp_extract(url, f"^{scheme}{_HOST}", 1))
+
+
+def entry_key(key: Column) -> Column:
+    """An entry's key as keys_of states it: host in lower case without user info, path as written, empty steps left out."""
+    scheme = f"(?:{_SCHEME})?"
+    rest = F.regexp_extract(key, f"(?s)^{scheme}{_HOST}(.*)$", 2)
+    return F.concat(host_of(key, scheme), F.regexp_replace(F.regexp_replace(rest, "/+", "/"), "/$", ""))
 
 
 def keys_of(url: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from cuelark.llm import neardup
+from cuelark.llm import neardup, url_lists
 
 
 def test_near_duplicates_that_share_a_passage_with_all(spark):
@@ -34,3 +34,9 @@ def test_bits_bound_the_distance_from_below():
             k = int(0.2 * max(len(a), len(texts[j])) + 1e-9)
             if neardup.banded_distance([w.encode() for w in a], [w.encode() for w in texts[j]], k) is not None:
                 assert (i, j) in allowed
+
+
+def test_url_lists_meet_capitals_in_paths_and_user_info(spark):
+    cap = spark.createDataFrame([(1, "http://Example.com/Docs/a", 5), (2, "http://example.com/docs/a", 5), (3, "http://user:pw@bad.com/", 5), (4, "http://a@b@x.bad.com:80/?q", 5), (5, "http://good.com/u@bad.com", 5)], "id long, url string, day int")
+    ent = spark.createDataFrame([("l", "EXAMPLE.com/Docs/", 1, "add"), ("m", "Bad.com", 1, "add")], "list string, key string, day int, action string")
+    assert {r.id: r.lists for r in url_lists.evaluate(cap, ent).collect()} == {1: "l", 2: "", 3: "m", 4: "m", 5: ""}
