@@ -457,7 +457,7 @@ T9 = X.query(X.CUES + "\nSELECT media_id, idx, array_to_string(list_sort(list_di
 
 def u1(spark, d):
     """Documents as raw cues: sources become bracketed speakers by doc_id."""
-    x = X.table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 30), r"[\n()（）-]", " ").alias("t"))
+    x = X.table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n()（）-]", " ").alias("t"))
     k = F.col("doc_id") % 5
     raw = F.when(k == 0, F.concat(F.lit("("), "source", F.lit(")"), "t")).when(k == 1, F.concat(F.lit("- ("), "source", F.lit(")a "), "t", F.lit("\\N- (z)b"))).when(k == 2, F.concat(F.lit("("), "t", F.lit(")"))).when(k == 3, F.concat(F.lit("♪"), "t")).otherwise(F.concat(F.lit("x"), "t"))
     c = x.select("doc_id", T.classified(raw).alias("c"))

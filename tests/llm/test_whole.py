@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 
 from cuelark.llm import neardup, url_lists
+from cuelark.plans import registry
 
 
 def test_near_duplicates_that_share_a_passage_with_all(spark):
@@ -40,3 +41,10 @@ def test_url_lists_meet_capitals_in_paths_and_user_info(spark):
     cap = spark.createDataFrame([(1, "http://Example.com/Docs/a", 5), (2, "http://example.com/docs/a", 5), (3, "http://user:pw@bad.com/", 5), (4, "http://a@b@x.bad.com:80/?q", 5), (5, "http://good.com/u@bad.com", 5)], "id long, url string, day int")
     ent = spark.createDataFrame([("l", "EXAMPLE.com/Docs/", 1, "add"), ("m", "Bad.com", 1, "add")], "list string, key string, day int, action string")
     assert {r.id: r.lists for r in url_lists.evaluate(cap, ent).collect()} == {1: "l", 2: "", 3: "m", 4: "m", 5: ""}
+
+
+def test_classifier_reads_whole_documents(spark, tmp_path):
+    rows = [(5, " " * 40 + "words", "wiki"), (10, " " * 40, "wiki")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["u1_p4_p5_classify"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.kind, r.speakers) for r in got} == {5: ("single", "wiki"), 10: ("nonspeech", "")}
