@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import drop_at_exit, shared_dir, stored
+
+__all__ = ["WORD", "crc_mod", "drop_at_exit", "maybe_in", "read", "row_hash", "shared_dir", "stored", "with_maybe"]
+
 #: White space of the word definition: [^\x20\x09-\x0D]+ is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,31 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session (tests) may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="cuelark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cuelark-{uuid.uuid4().hex}"
-
-
-def drop_at_exit(spark: SparkSession, path: str) -> None:
-    """The folder goes when the driver's JVM ends."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: its lineage ends there, and an executor that is lost loses nothing of it."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    drop_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_hash(df: DataFrame) -> list:
     """Columns h1 and h2: 128 bits that name a row's content. Map columns, which have no hash, count by their sorted entries."""
     of = lambda f: F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")

@@ -13,7 +13,9 @@ term weights, skips blocks that cannot reach their least threshold, and scores t
 Retrieved items are verified by shingles: a share of SIMILARITY of the item's shingles in the passage, and
 shingles of both its question (the first half) and its answer (the last half).
 
-The items are held in memory in slices of `most_items`; more items take more passes over the texts, none is left out.
+The items are held in memory a slice at a time: most_items items or most_bytes of their text, whichever comes first (one item at least). A
+slice is indexed, broadcast, used in one narrow pass whose result is stored, and given back before the next one is read; so
+more items take more passes over the texts, and neither the driver nor a worker holds more than a slice.
 
 Defined results: null or empty texts and items match nothing; items of fewer than five words are one
 shingle of all their words; equal items each give a row; a document that repeats as a row
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import stored
 
 K = 5
 SIMILARITY = 0.8
@@ -101,7 +104,6 @@ class Index:
             top = self.block_max[item // BLOCK_ITEMS]
             for t, x in weight.items():
                 top[t] = max(top.get(t, 0.0), x)
-        self.opens = [frozenset(i // BLOCK_ITEMS for i in e) for e in essential]
         self.entry = np.array([bool(e) for e in essential] + [False])
         self.essential = [frozenset(e) for e in essential]
         # words that are no term at all are told by 20 bits of their hash
@@ -180,21 +182,27 @@ def find(index: Index):
     return run
 
 
-def index_slices(items: DataFrame, most_items: int = 50_000) -> Iterator[Index]:
-    rows: list = []
+def index_slices(items: DataFrame, most_items: int = 50_000, most_bytes: int = 64 << 20) -> Iterator[Index]:
+    rows, size = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
+        own = len((r[1] or "").encode())
+        if rows and (len(rows) == most_items or size + own > most_bytes):
+            yield Index([x[0] for x in rows], [x[1] for x in rows])
+            rows, size = [], 0
         rows.append(r)
-        if len(rows) == most_items:
-            yield Index([r[0] for r in rows], [r[1] for r in rows])
-            rows = []
+        size += own
     if rows:
-        yield Index([r[0] for r in rows], [r[1] for r in rows])
+        yield Index([x[0] for x in rows], [x[1] for x in rows])
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks", most_items: int = 50_000) -> DataFrame:
-    """docs with an array of the leaked items added; one narrow pass for each slice of items."""
-    found = F.array().cast(LEAKS)
-    for index in index_slices(items, most_items):
+def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks", most_items: int = 50_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """docs with an array of the leaked items added; a pass for each slice of items, each but the last stored."""
+    out, held = docs.select("*", F.array().cast(LEAKS).alias(name)), None
+    for index in index_slices(items, most_items, most_bytes):
+        if held is not None:
+            out = stored(out)
+            held.destroy()
         held = docs.sparkSession.sparkContext.broadcast(index)
-        found = F.concat(found, F.arrow_udf(lambda texts, held=held: find(held.value)(texts), LEAKS)(F.col("text")))
-    return docs.select("*", found.alias(name))
+        found = F.arrow_udf(lambda texts, held=held: find(held.value)(texts), LEAKS)(F.col("text"))
+        out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat(name, found).alias(name))
+    return out

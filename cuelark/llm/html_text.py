@@ -1,84 +1,101 @@
 """Main text of web pages by a site style tree.
 
-Every page is parsed to a DOM. The pages of a host are merged to one style tree: a node is a chain of tags and
-classes from the root, with the number of pages that have it, the variants of its child sequence (presentation)
-and the variants of its text (content). A node's own importance is the entropy of its variants over its pages, relative to all
-pages differing; its composite importance mixes in its children's, as (1 - g^l) own + g^l mean(children), g = 0.9, l
-variants. Branches of low importance (the same on most pages of a host) are removed from each page.
-
-Entropy says nothing for a host with few pages, and calls an article dull that its host serves
-many times. So the tree is read together with what markup states: navigation, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles and reader comments (by tag, role, class or id) have
-no importance; `article` and `main` have it unless the tree, on a host of MIN_PAGES pages whose articles do
-differ, finds a branch inside that does not. Where a page marks no article, the tree alone decides.
-
-The trees are aggregates with one row for each (host, node); only a host's distinct nodes, cut at MAX_DEPTH levels
-and with digits folded, come together in one task. Pages meet their host's low branches in a
-salted join.
+Every page is parsed to a DOM. The pages of a host are merged to one style tree: a node is a chain of block tags and
+classes from the root (digits folded, a tag directly inside its like is the same node), with the
+variants of its child sequence (presentation) and of all the text below it (content) over the host's different pages.
+With p and c the entropies of the two, relative to all m pages differing, and l presentation variants, a node's
+importance is (1 - g^l) p + g^l c, g = 0.9. It is drawn to 1 by PRIOR pages of which nothing is known, (m x + PRIOR) / (m + PRIOR),
+so a host of one page has important nodes only and no size of host has rules of its own. A branch whose importance is below LOW
+times the host's highest is removed from each page. Equal pages of a host count once: copies say nothing of its template.
+
+Entropy cannot tell an advert, which changes like an article does. So what markup states weighs the importance of
+a branch: navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments
+(by tag, role, or a class or id that names nothing else) weigh 0; where `article`, `main` or a container named so holds a quarter
+of the page's other text or more, branches outside weigh 0 too. A form that holds more than half of that text is a wrapper and weighs 1,
+and an article inside any form weighs 1. The tree decides on what is left, inside articles as well.
+
+The trees are aggregates by (host, node) that combine before the shuffle; no task holds a host. Blocks of pages whose
+host has low branches meet them in a join on (host, node) that carries no text.
 
 Defined results: null and empty html give an empty text; broken markup is read as far as it goes; a page with
-nothing left keeps the blocks that only the tree would remove; equal pages each give a row; a null url belongs to
-a host of its own; an empty table gives no rows. Only `page_id`, `url`, `html` are read.
+nothing left keeps the blocks that only the tree would remove; equal pages each give a row; a page whose url is null or names no host
+is a host of its own; an empty table gives no rows. Only `page_id`, `url`, `html` are read.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-import zlib
 from collections.abc import Iterator
-from types import SimpleNamespace
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_maybe
+from .common import maybe_in, stored, with_maybe
 
 GAMMA = 0.9
 LOW = 0.2
-MIN_PAGES = 8
-MAX_DEPTH = 12
-SALTS = 64
+PRIOR = 2.0
+MARKED = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-z!?][^>]*>|(?P<text>[^<]+|<)""", re.I | re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-# Tags and names by what they hold.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMED = re.compile(r"class|id|role|itemprop|hidden", re.I)
+# Tags by what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-NOISE_TAGS = frozenset("nav footer aside form button head title menu dialog label input object embed canvas".split())
-NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu sidebar sidebars aside footer comment comments commentlist disqus respond replies reply share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login toolbar topbar masthead skip widget widgets copyright search contentinfo complementary alert alertdialog".split())
-HEADER_NAMES = frozenset("header banner masthead topbar".split())
-MAIN_NAMES = frozenset("article main articlebody post entry story".split())
+NOISE_TAGS = frozenset("nav footer aside button head title menu dialog label object canvas".split())
+CONTAINERS = frozenset("article main div section td".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div main body html aside nav footer header td th".split())
-UNKNOWN, NOISE, MAIN = 0, -1, 1
+# Words of class names, ids and roles. A name is noise if all its words are noise or neutral and one is noise.
+ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments commentlist disqus respond replies reply related recommended".split())
+NOISE_NAMES = ASIDE_NAMES | frozenset("cookie cookies consent gdpr notice popup modal nav navbar navigation menu sidebar sidebars aside footer sharing share social breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login toolbar copyright contentinfo complementary alert alertdialog".split())
+HEADER_NAMES = frozenset("header banner masthead topbar".split())
+MAIN_NAMES = frozenset("article main post entry story".split())
+NEUTRAL = frozenset("area bar block body bottom box buttons container content form group inner item items left line links list main outer panel right section site slot text top unit wrap wrapper".split())
+STATES = ("has", "no", "with", "without", "is", "not")
+UNKNOWN, NOISE, MAIN, FORM = 0, -1, 1, 2
 
 
 def _hash(text: str) -> int:
-    data = text.encode()
-    return (zlib.crc32(data) << 31) ^ zlib.crc32(b"\x01" + data[::-1])
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+@lru_cache(50_000)
+def meaning(name: str) -> tuple[bool, bool, bool, bool]:
+    """(noise, noise even on an article, header, article) of one class name, id or role."""
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+    if not words or words[0] in STATES:
+        return False, False, False, False
+    known = set(words)
+    only = lambda names: bool(known & names) and known <= names | NEUTRAL
+    return only(NOISE_NAMES), only(ASIDE_NAMES), only(HEADER_NAMES), only(MAIN_NAMES) and words[0] in MAIN_NAMES
 
 
 class Page:
     """Nodes and text blocks of one page."""
 
-    def __init__(self, html: str):
-        self.stack: list[list] = []  # tag, path, role, children's labels, texts, inside main
-        self.nodes: dict[str, list] = {}  # path -> [parent, child sequences, texts]
-        self.blocks: list[tuple[int, str, list[str]]] = []
+    def __init__(self, html: str, known: dict[tuple[int, str], int]):
+        self.known = known
+        self.stack: list[list] = []  # tag, label, node, role, children's labels, texts below, inside an article
+        self.nodes: dict[int, tuple[list, list]] = {}  # node -> child sequences, texts below
+        self.blocks: list[tuple[int, str, list[int]]] = []
         self.buffer: list[str] = []
         for m in _TOKEN.finditer(html):
             if (text := m["text"]) is not None:
-                self.buffer.append(text)
+                if not self.stack or self.stack[-1][3] != NOISE:
+                    self.buffer.append(text)
             elif m["tag"]:
                 tag = m["tag"].lower()
                 if m["end"]:
                     self.close(tag)
                 else:
-                    self.open(tag, m["attrs"] or "")
+                    self.open(tag, m["attrs"])
         self.flush()
         while self.stack:
             self.pop()
@@ -87,50 +104,60 @@ class Page:
         text = " ".join(html_lib.unescape("".join(self.buffer)).split())
         self.buffer.clear()
         if text:
-            role = self.stack[-1][2] if self.stack else UNKNOWN
-            path = self.stack[-1][1] if self.stack else ""
-            self.blocks.append((role, text, path))
+            # an inline tag that is noise is no block; what came before it is its block's
+            top = next((f for f in reversed(self.stack) if f[0] in BLOCK or f[3] != NOISE), None)
+            self.blocks.append((top[3] if top else UNKNOWN, text, list(dict.fromkeys(f[2] for f in self.stack if f[0] in BLOCK and f[0] not in ("html", "body")))))
             if self.stack:
-                self.stack[-1][4].append(text)
+                self.stack[-1][5].append(text)
 
     def open(self, tag: str, attrs: str) -> None:
         if tag == "br":
             self.buffer.append(" ")
             return
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if block:
             self.flush()
-            if tag == "p" or tag in BLOCK - {"li", "dd", "dt", "td", "th", "tr"}:
+            if tag == "p" or tag not in CLOSES:
                 self.close_open({"p"})
             if tag in CLOSES:
                 self.close_open(CLOSES[tag])
         if tag in VOID:
             return
-        names, hidden = [], False
-        if attrs:
-            for a in _ATTR.finditer(attrs):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if key == "hidden" or key == "aria-hidden":
-                    hidden = hidden or key == "hidden" or value == "true"
-                else:
-                    names.append(re.sub(r"\d+", "0", value))
-        label = tag + "".join("." + n for n in sorted(names) if n)
         parent = self.stack[-1] if self.stack else None
-        role = parent[2] if parent else UNKNOWN
-        inside = parent[5] if parent else False
+        role, inside = (parent[3], parent[6]) if parent else (UNKNOWN, False)
+        label = tag
         if role != NOISE:
-            parts = {x for n in names for x in re.split(r"[^a-z]+", re.sub(r"0", "", n)) if x}
-            noisy = parts & NOISE_NAMES if not inside else parts & (NOISE_NAMES - HEADER_NAMES)
-            if tag in NOISE_TAGS or hidden or (tag == "header" or parts & {"header"}) and not inside and not parts & MAIN_NAMES:
+            names, hidden = [], False
+            if attrs and _NAMED.search(attrs):
+                for a in _ATTR.finditer(attrs):
+                    key = a[1].lower()
+                    if key in ("class", "id", "role", "itemprop"):
+                        names += (a[2] or a[3] or a[4] or "").split()
+                    elif key == "hidden" or key == "aria-hidden" and (a[2] or a[3] or a[4] or "").lower() == "true":
+                        hidden = True
+            said = [meaning(n) for n in names]
+            noise, beside, header, main = (any(x[i] for x in said) for i in range(4))
+            if tag in ("html", "body"):
+                noise = beside = header = main = False
+            article = tag in ("article", "main")
+            if tag in NOISE_TAGS or hidden or (beside if article else noise) or (tag == "header" or header) and not inside and not article:
                 role = NOISE
-            elif tag in ("article", "main") or parts & MAIN_NAMES and not noisy:
+            elif article or main and tag in CONTAINERS:
                 role, inside = MAIN, True
-            elif noisy and tag not in ("html", "body"):
-                role = NOISE
-        depth = len(self.stack)
-        path = (parent[1] + "/" + label if parent else label) if depth < MAX_DEPTH else parent[1]
-        if parent and depth < MAX_DEPTH:
-            parent[3].append(label)
-        self.stack.append([tag, path, role, [], [], inside])
+            elif tag == "form":
+                role = NOISE if inside else FORM
+            if names:
+                label += "." + ".".join(sorted(re.sub(r"\d+", "0", n) for n in names))
+        node = parent[2] if parent else 0
+        if block and not (parent and parent[1] == label):
+            if (node, label) not in self.known:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[node, label] = _hash(f"{node}/{label}")
+            node = self.known[node, label]
+            if parent and role != NOISE:
+                parent[4].append(label)
+        self.stack.append([tag, label if block else parent[1] if parent else "", node, role, [], [], inside])
 
     def close_open(self, tags: set[str]) -> None:
         """An implied end: the nearest of `tags` that is open in this scope ends, with what is in it."""
@@ -151,100 +178,84 @@ class Page:
             self.pop()
 
     def pop(self) -> None:
-        if self.stack[-1][0] in BLOCK:
+        tag, _, node, role, children, texts, _ = self.stack[-1]
+        if tag in BLOCK:
             self.flush()
-        _, path, _, children, texts, _ = self.stack.pop()
-        parent = self.stack[-1][1] if self.stack else ""
-        node = self.nodes.setdefault(path, [parent if parent != path else path.rpartition("/")[0], [], []])
-        runs = [c for i, c in enumerate(children) if not i or c != children[i - 1]]
-        node[1].append(",".join(runs))
-        node[2] += texts
-
-
-NODE = T.StructType([T.StructField("path", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("text", T.LongType()), T.StructField("live", T.BooleanType())])
-BLOCKS = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("chain", T.ArrayType(T.LongType()))])
-PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCKS))])
-_A_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("shape", pa.int64()), ("text", pa.int64()), ("live", pa.bool_())])
-_A_BLOCK = pa.struct([("role", pa.int32()), ("text", pa.string()), ("chain", pa.list_(pa.int64()))])
-
-
-def parse(html: str | None, known: dict[str, int]) -> dict:
-    def number(path: str) -> int:
-        if path not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[path] = _hash(path)
-        return known[path]
-
-    page = Page(html or "")
-    marked = any(role == MAIN for role, _, _ in page.blocks)
-    blocks = []
-    for role, text, path in page.blocks:
-        if role == (MAIN if marked else UNKNOWN):
-            steps = path.split("/")
-            blocks.append({"role": role, "text": text, "chain": [number("/".join(steps[: i + 1])) for i in range(1, len(steps))]})
-    # only a branch that holds a block can be removed
-    live = {n for b in blocks for n in b["chain"]}
-    nodes = [{"path": number(p), "parent": number(v[0]), "shape": _hash("|".join(dict.fromkeys(v[1]))), "text": _hash("\n".join(v[2])) if v[2] else 0, "live": number(p) in live} for p, v in page.nodes.items()]
+        self.stack.pop()
+        parent = self.stack[-1] if self.stack else None
+        if parent and texts:
+            parent[5].append("\n".join(texts))
+        if parent and parent[2] == node:
+            parent[4].extend(children)
+        elif role != NOISE:
+            shapes, below = self.nodes.setdefault(node, ([], []))
+            shapes.append(",".join(c for i, c in enumerate(children) if not i or c != children[i - 1]))
+            below += texts
+
+
+def parse(html: str | None, known: dict[tuple[int, str], int]) -> dict:
+    """Blocks that markup leaves, each with its chain of nodes, and those nodes' presentation and content on this page."""
+    page = Page(html or "", known)
+    size = {k: sum(len(t) for r, t, _ in page.blocks if r == k) for k in (UNKNOWN, MAIN, FORM)}
+    roles = {UNKNOWN, MAIN} if size[FORM] <= size[UNKNOWN] + size[MAIN] else {UNKNOWN, MAIN, FORM}
+    if size[MAIN] >= MARKED * sum(size[r] for r in roles):
+        roles = {MAIN} if size[MAIN] else roles
+    blocks = [{"text": text, "chain": chain} for role, text, chain in page.blocks if role in roles]
+    live = dict.fromkeys(n for b in blocks for n in b["chain"])
+    nodes = []
+    for n in live:
+        shapes, below = page.nodes.get(n, ((), ()))
+        nodes.append({"node": n, "shape": _hash("|".join(dict.fromkeys(shapes))), "content": _hash("\n".join(below))})
     return {"nodes": nodes, "blocks": blocks}
 
 
+NODE = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "shape", "content")])
+BLOCKS = T.StructType([T.StructField("text", T.StringType()), T.StructField("chain", T.ArrayType(T.LongType()))])
+PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("copy", T.LongType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCKS))])
+_A_NODES = pa.list_(pa.struct([(n, pa.int64()) for n in ("node", "shape", "content")]))
+_A_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+
+
 def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
+    known: dict[tuple[int, str], int] = {}
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             part = b.slice(lo, 500)
             pages = [parse(h, known) for h in part.column("html").to_pylist()]
-            columns = [pa.array([p[k] for p in pages], t) for k, t in (("nodes", pa.list_(_A_NODE)), ("blocks", pa.list_(_A_BLOCK)))]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *columns], ["page_id", "url", "host", "nodes", "blocks"])
-
-
-def importance(nodes: pa.Table) -> pa.Table:
-    """Nodes of low composite importance of one host's tree (a row for each distinct node)."""
-    rows = {r["path"]: SimpleNamespace(**r) for r in nodes.to_pylist()}
-    children: dict[int, list[int]] = {}
-    for r in rows.values():
-        if r.parent in rows and r.parent != r.path:
-            children.setdefault(r.parent, []).append(r.path)
-    composite: dict[int, float] = {}
-    roots = [p for p, r in rows.items() if r.parent not in rows or r.parent == p]
-    order, todo = [], list(roots)
-    while todo:
-        p = todo.pop()
-        order.append(p)
-        todo += children.get(p, [])
-    for p in reversed(order):
-        r, below = rows[p], children.get(p, [])
-        own = max(r.shape_entropy, r.text_entropy) if r.has_text else r.shape_entropy
-        if below:
-            mean = float(np.mean([composite[c] for c in below]))
-            g = GAMMA ** max(1, r.shapes)
-            composite[p] = max(r.text_entropy if r.has_text else 0.0, (1 - g) * own + g * mean)
-        else:
-            composite[p] = r.text_entropy if r.has_text else 0.0
-    most = max(composite.values(), default=0.0)
-    low = [p for p in order if rows[p].pages >= MIN_PAGES and composite[p] < LOW and most >= 0.5 and rows[p].live]
-    return pa.table({"host": pa.array([next(iter(rows.values())).host] * len(low), pa.string()), "path": pa.array(low, pa.int64())})
+            columns = [pa.array([p[k] for p in pages], t) for k, t in (("nodes", _A_NODES), ("blocks", _A_BLOCKS))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "copy")), *columns], PARSED.names)
+
+
+def low_branches(parsed: DataFrame) -> DataFrame:
+    """(host, node) of the branches of low importance of parsed(host, copy, nodes)."""
+    pages = parsed.groupBy("host", "copy").agg(F.first("nodes").alias("nodes"))
+    each = pages.select("host", F.explode("nodes").alias("n")).select("host", "n.node", F.explode(F.array(F.struct(F.lit(True).alias("shown"), F.col("n.shape").alias("v")), F.struct(F.lit(False).alias("shown"), F.col("n.content").alias("v")))).alias("x"))
+    variants = each.groupBy("host", "node", "x.shown", "x.v").agg(F.count("*").cast("double").alias("c"))
+    kinds = variants.groupBy("host", "node", "shown").agg(F.sum("c").alias("m"), F.count("*").alias("l"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
+    own = kinds.groupBy("host", "node").agg(F.max("m").alias("m"), F.max(F.when(F.col("shown"), F.col("l"))).alias("l"), F.max(F.when(F.col("shown"), entropy)).alias("p"), F.max(F.when(~F.col("shown"), entropy)).alias("c"))
+    keep = F.pow(F.lit(GAMMA), F.col("l"))
+    mixed = (1 - keep) * F.col("p") + keep * F.col("c")
+    tree = own.select("host", "node", ((F.col("m") * mixed + PRIOR) / (F.col("m") + PRIOR)).alias("importance"))
+    # a node that is below LOW times 1 at least, and its host's best
+    best = tree.groupBy("host").agg(F.max("importance").alias("best"))
+    return tree.where(F.col("importance") < LOW).join(best, "host").where(F.col("importance") < LOW * F.col("best")).select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of pages(page_id, url, html)."""
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    parsed = stored(own.mapInArrow(parse_batches, PARSED))
-    nodes = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-    spread = lambda c: F.sum(F.col("c") * F.log(F.col("c").cast("double")))
-    shapes = nodes.groupBy("host", "path", "parent", "shape").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.min("parent").alias("parent"), F.sum("c").alias("pages"), F.count("*").alias("shapes"), spread("c").alias("s"))
-    texts = nodes.groupBy("host", "path", "text").agg(F.count("*").alias("c"), F.max("live").alias("live")).groupBy("host", "path").agg(F.sum("c").alias("m"), F.max(F.col("text") != 0).alias("has_text"), F.max("live").alias("live"), spread("c").alias("t"))
-    entropy = lambda s, m: F.when(F.col(m) > 1, (F.log(F.col(m).cast("double")) - F.col(s) / F.col(m)) / F.log(F.col(m).cast("double"))).otherwise(1.0)
-    tree = shapes.join(texts, ["host", "path"]).select("host", "path", "parent", "pages", "shapes", entropy("s", "pages").alias("shape_entropy"), entropy("t", "m").alias("text_entropy"), "has_text", "live")
-    low = tree.groupBy("host").applyInArrow(importance, "host string, path long")
-    low = stored(low.groupBy("host").agg(F.collect_set("path").alias("low")))  # distinct nodes of one host's templates
-    # only pages of hosts that have such branches are shuffled
-    flagged = with_maybe(parsed, "host", low.select("host"), "touched")
-    salted = flagged.where("touched").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.col("low")))
+    copy = F.xxhash64(F.coalesce("html", F.lit("")))
+    named = F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)", 1)), F.lit(""))
+    alone = F.concat(F.lit("?"), copy.cast("string"), F.lit("/"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(named, alone).alias("host"), copy.alias("copy"), "html")
+    parsed = stored(own.mapInArrow(parse_batches, PARSED).withColumn("row", F.monotonically_increasing_id()))
+    low = stored(low_branches(parsed))
+    # only blocks of hosts that have such branches are shuffled, without their texts
+    flagged = with_maybe(parsed, "host", low.select("host").distinct(), "touched")
+    steps = flagged.where("touched").select("row", "host", F.posexplode(F.transform("blocks", lambda b: b["chain"])).alias("at", "chain")).select("row", "host", "at", F.explode("chain").alias("node"))
+    gone = maybe_in(steps, "node", low.select("node").distinct()).join(low, ["host", "node"]).groupBy("row").agg(F.collect_set("at").alias("gone"))  # blocks of one page
+    both = flagged.where("touched").join(gone, "row", "left")
+    kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     out = lambda df, blocks: df.select("page_id", "url", F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("text"))
     return out(flagged.where("NOT touched"), F.col("blocks")).unionByName(out(both, kept))

@@ -1,12 +1,16 @@
 """License scans by MinHash bands over overlapping text windows, verified by exact shingle containment.
 
-A template of n five-word shingles belongs to the window class of the least width w >= n out of
-WIDTHS. Windows of class w hold w + w/4 shingles and start every w/4 (at least 1), so every stretch of w
+A template of n five-word shingles, of any length, belongs to the window class of the least width w >= n out of
+1, 2, 3, 4, 6, 8, 12, .. (two and three times the powers of two, without end). Windows of class w hold w + w/4 shingles and start every w/4 (at least 1), so every stretch of w
 shingles lies whole in one of them. A window that holds a share CONTAINMENT of a template
 of more than w' shingles (w' the next smaller width) has at least the resemblance `floor_of(w)`; the number
 of bands of ROWS rows is then the least for which the chance of a shared band is at least CERTAIN.
 Retrieved windows are verified exactly: at least CONTAINMENT of the template's distinct shingles lie in
-the window. Words compare without case and ASCII punctuation.
+the window. Words compare without case and ASCII punctuation. Versions of one license resemble each other, so every finding says
+whether it is the `best`: no template found in an overlapping window is held to a larger share.
+
+TEMPLATES holds short notices and headers, and the full texts of the short licenses. `read_templates` adds any folder of license
+texts, such as a system's own; the scan has no limit on their length or number.
 
 Defined results: null and empty texts hold no license; texts of any length are scanned whole; a text that holds
 a template several times gives it once, with its best containment and the first window that has it;
@@ -16,6 +20,9 @@ repeated rows each give their rows; an empty table gives no rows. Only `doc_id`
 from __future__ import annotations
 
 import math
+import os
+from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,6 @@ K = 5
 CONTAINMENT = 0.8
 CERTAIN = 0.9999
 ROWS = 1
-WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 
 #: Names of licenses and the notices that grant them, as their stewards publish them.
 TEMPLATES = {
@@ -51,9 +57,56 @@ TEMPLATES = {
 }
 
 
+_MIT_TERMS = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+TEMPLATES |= {
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "MIT": TEMPLATES["MIT-grant"] + " " + _MIT_TERMS,
+    "BSD-2-Clause": " ".join([TEMPLATES["BSD-grant"], _BSD_TWO, _BSD_END]),
+    "BSD-3-Clause": " ".join([TEMPLATES["BSD-grant"], _BSD_TWO, _BSD_THIRD, _BSD_END]),
+    "ISC": TEMPLATES["ISC-grant"] + " " + _ISC_END,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+}
+
+
+def read_templates(folder: str) -> dict[str, str]:
+    """TEMPLATES and every text file of a folder on the driver, named by its file name: full texts of any length."""
+    out = dict(TEMPLATES)
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out[name] = f.read()
+    return out
+
+
+def widths() -> Iterator[int]:
+    yield 1
+    w = 2
+    while True:
+        yield w
+        yield w * 3 // 2
+        w *= 2
+
+
+def width_of(n: int) -> int:
+    """The class of a template of n shingles."""
+    return next(w for w in widths() if w >= n)
+
+
 def floor_of(width: int) -> float:
     """The least resemblance of a class-w window to a template it holds to CONTAINMENT."""
-    smaller = WIDTHS[WIDTHS.index(width) - 1] + 1 if width != WIDTHS[0] else 1
+    smaller = max((w for w in takewhile(lambda x: x < width, widths())), default=0) + 1
     window = width + max(1, width // 4) if width > 1 else 1
     inside = math.ceil(CONTAINMENT * smaller - 1e-9)
     return inside / (window + smaller - inside)
@@ -65,7 +118,7 @@ def bands_for(resemblance: float, rows: int = ROWS, certain: float = CERTAIN) ->
     return math.ceil(math.log(1 - certain) / math.log1p(-(resemblance**rows)))
 
 
-_BANDS = max(bands_for(floor_of(w)) for w in WIDTHS)
+_BANDS = max(bands_for(floor_of(w)) for w in takewhile(lambda x: x < 1 << 20, widths()))
 _ODD = np.random.Generator(np.random.PCG64(10)).integers(1, 2**62, _BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,10 +129,8 @@ class Templates:
         self.sets = [np.unique(shingles(w)) for w in self.words]
         self.classes: dict[tuple[int, int], list[int]] = {}  # (words of a shingle, width) -> templates
         for t, (w, s) in enumerate(zip(self.words, self.sets, strict=True)):
-            if len(w) and len(s) > WIDTHS[-1]:
-                raise ValueError(f"{self.names[t]}: {len(s)} shingles are more than the widest class; add it to WIDTHS")
             if len(w):
-                self.classes.setdefault((min(K, len(w)), next(x for x in WIDTHS if x >= len(s))), []).append(t)
+                self.classes.setdefault((min(K, len(w)), width_of(len(s))), []).append(t)
         self.tables = {}
         for key, own in self.classes.items():
             bands = bands_for(floor_of(key[1]))
@@ -113,7 +164,7 @@ class Templates:
             for key, own in self.classes.items():
                 if key[0] == k:
                     self._windows(key, gram, at - words.bounds[:-1][text], text, known, first, last, out)
-        return [[v for _, v in sorted(o.items())] for o in out]
+        return [[v | {"best": not any(x["containment"] > v["containment"] and x["first_word"] < v["end_word"] and v["first_word"] < x["end_word"] for x in o.values())} for _, v in sorted(o.items())] for o in out]
 
     def _windows(self, key, gram, at, text, known, first, last, out) -> None:
         width = key[1]
@@ -138,11 +189,11 @@ class Templates:
                 if share >= CONTAINMENT - 1e-12:
                     place, name = out[text[a]], self.names[t]
                     if name not in place or share > place[name]["containment"]:
-                        place[name] = {"license": name, "containment": share, "first_word": int(at[a])}
+                        place[name] = {"license": name, "containment": share, "first_word": int(at[a]), "end_word": int(at[b - 1]) + key[0]}
 
 
-FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType())]))
-_ARROW = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("best", T.BooleanType())]))
+_ARROW = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("best", pa.bool_())]))
 
 
 def with_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, name: str = "licenses") -> DataFrame:

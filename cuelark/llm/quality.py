@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -149,15 +150,15 @@ def posterior(vote: tuple[int, ...], share: float, tables) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def weak_supervision(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with `quality` = struct(counts.., votes, base_failed, probability, kept) added.
+def weak_supervision(docs: DataFrame, text: str = "text", threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """docs with `quality` = struct(counts.., votes, base_failed, probability, kept) added; of docs only `columns` if they are named.
 
-    There are 3^rules vote patterns at most, whatever the corpus holds, so their counts and
+    Texts are read and counted once: the counts are stored beside the columns that are kept, and both the vote patterns and
+    the verdicts come from that table. There are 3^rules patterns at most, whatever the corpus holds, so their counts and
     the table of posteriors are bounded; the counts are over all rows."""
     name = "quality"
-    own = docs.select("*", text_counts(F.col(text)).alias("__counts"))
-    pattern = F.concat_ws(",", *[v.cast("string") for v in votes("__counts")])
-    own = own.withColumn("__pattern", pattern)
+    own = stored(docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)], text_counts(F.col(text)).alias("__counts")))
+    own = own.withColumn("__pattern", F.concat_ws(",", *[v.cast("string") for v in votes("__counts")]))
     seen = own.groupBy("__pattern").agg(F.count("*").alias("n")).collect()
     patterns = sorted((tuple(map(int, r["__pattern"].split(","))), r["n"]) for r in seen)
     share, tables = fit(patterns)

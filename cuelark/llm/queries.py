@@ -58,16 +58,16 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH cap AS (
   SELECT page_id, url, CAST((page_id * 37) % 360 AS INTEGER) AS day,
-         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*@)?(\\[[^]/?#]*\\]|[^/?#:@]*)', 2)) AS host,
          list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps
   FROM pages),
-lab AS (SELECT *, string_split(host, '.') AS labels FROM cap WHERE host <> ''),
-keys AS (
-  SELECT DISTINCT page_id, day, key FROM (
-    SELECT page_id, day, array_to_string(labels[i:], '.') AS key FROM lab, range(1, 64) r(i) WHERE i <= greatest(1, len(labels) - 1)
+ask AS (SELECT DISTINCT url, day, host, steps, string_split(host, '.') AS labels FROM cap WHERE host <> '' AND day IS NOT NULL),
+asked AS (
+  SELECT DISTINCT url, day, key FROM (
+    SELECT url, day, unnest(list_transform(range(1, greatest(1, len(labels) - 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS key FROM ask
     UNION ALL
-    SELECT page_id, day, host || '/' || array_to_string(steps[1:i], '/') AS key FROM lab, range(1, 64) r(i) WHERE i <= len(steps))),
-first AS (SELECT key, min(page_id) AS k, contains(key, '/') AS is_path FROM keys GROUP BY key),
+    SELECT url, day, unnest(list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/'))) AS key FROM ask)),
+first AS (SELECT key, min(page_id) AS k, contains(key, '/') AS is_path FROM asked JOIN cap USING (url, day) GROUP BY key),
 entries AS (
   SELECT 'domains' AS list, key, (k * 13) % 300 AS day, 'add' AS action FROM first WHERE NOT is_path AND k % 3 = 0
   UNION ALL SELECT 'domains', key, (k * 13) % 300 + 60, 'remove' FROM first WHERE NOT is_path AND k % 3 = 0
@@ -75,29 +75,29 @@ entries AS (
   UNION ALL SELECT 'paths', key, (k * 13) % 300, 'add' FROM first WHERE is_path AND k % 5 = 0
   UNION ALL SELECT 'paths', key, (k * 13) % 300 + 45, 'remove' FROM first WHERE is_path AND k % 5 = 0),
 latest AS (
-  SELECT keys.page_id, e.list, e.key, arg_max(e.action, e.day) AS action
-  FROM keys JOIN entries e ON e.key = keys.key AND e.day <= keys.day GROUP BY ALL),
-hit AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM latest WHERE action = 'add' GROUP BY page_id)
+  SELECT a.url, a.day, e.list, e.key, arg_max(e.action, e.day) AS action
+  FROM asked a JOIN entries e ON e.key = a.key AND e.day <= a.day GROUP BY ALL),
+hit AS (SELECT url, day, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM latest WHERE action = 'add' GROUP BY url, day)
 SELECT cap.page_id, url, day, hit.n IS NOT NULL AS blocked, coalesce(hit.n, 0) AS n_active, coalesce(lists, '') AS lists
-FROM cap LEFT JOIN hit USING (page_id)
+FROM cap LEFT JOIN hit USING (url, day)
 """
 
 
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    q = quality.weak_supervision(docs)
+    q = quality.weak_supervision(docs, columns=["doc_id"])
     return q.select("doc_id", *[f"quality.{f}" for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")])
 
 
 def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.mix(docs)
-    return rows.select("doc_id", "source", *[f"mix.{f}" for f in ("size", "source_size", "target", "taken", "shards")])
+    rows = mixing.mix(docs, columns=["doc_id", "source"])
+    return rows.select("doc_id", "source", *[f"mix.{f}" for f in ("size", "source_size", "target", "taken", "shards", "slots")])
 
 
 def op9_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontam.with_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.share", 6).alias("share"))
+    return docs.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.share", 6).alias("share"), F.round("leak.bm25", 6).alias("bm25"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records by seeded hashes: first over shards, then over buckets
-of about `bucket_bytes` within a shard. Pass two reads one bucket at a time,
-Fisher-Yates shuffles it with a generator seeded by (seed, shard, bucket), and
-writes it into its shard's folder. The order within a shard is then uniform over
-its records, and no task ever holds more than one bucket.
+Pass one scatters records by seeded hashes: first over shards, then over buckets of about `bucket_bytes`
+within a shard, as many as the shard's size asks for. A bucket is one task of the shuffle. Pass two reads its bucket,
+Fisher-Yates shuffles it with a generator seeded by (seed, shard, bucket), and writes it into its
+shard's folder. The order within a shard is then uniform over its records, and no task holds more than one bucket.
 
 The shard of a record depends only on its doc_id and the number of shards (law
 `key`): every shard draws a hash for the record, the highest wins. A further shard can
@@ -13,19 +12,22 @@ only win records for itself, so growing by one moves nothing between old shards.
 Defined results: a null text has size 1 and the crc of no bytes; an empty text the
 same; a null doc_id is a key like any other; repeated rows get a slot each (equal
 doc_ids share a shard); an empty table gives no rows. Only `doc_id` and `text` are read.
-A doc_id that repeats with other texts is spread over its shard's buckets, since the bucket hash
-takes the text too.
+A doc_id that repeats is spread over its shard's buckets, and so is one row that repeats: the bucket hash takes the row's
+place in its input partition too, which tells equal rows apart and only them, as they may change places.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import drop_at_exit, shared_dir
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -34,14 +36,21 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(draws)["s"]
 
 
-def _fisher_yates(seed: int):
-    def run(key, table: pa.Table) -> pa.Table:
-        shard, bucket = (k.as_py() for k in key)
-        order = table.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
-        at = np.arange(order.num_rows)
-        # Generator.shuffle is the Fisher-Yates exchange over the sorted rows, so reruns agree
-        np.random.Generator(np.random.PCG64([seed, shard, bucket])).shuffle(at)
-        return order.take(pa.array(at)).append_column("at", pa.array(np.arange(order.num_rows, dtype=np.int64)))
+def shuffle_bucket(seed: int, names: list[str]):
+    """mapInArrow over one bucket: its rows in the order of a seeded Fisher-Yates exchange, with their place `at`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not any(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held)
+        for cell in sorted(set(table.column("cell").to_pylist())):  # one, unless there are fewer partitions than buckets
+            own = table.filter(pc.equal(table.column("cell"), cell))
+            own = own.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")]).select(names)
+            at = np.arange(own.num_rows)
+            # Generator.shuffle is the Fisher-Yates exchange over the sorted rows, so reruns agree
+            np.random.Generator(np.random.PCG64([seed, own.column("shard")[0].as_py(), own.column("bucket")[0].as_py()])).shuffle(at)
+            yield from own.take(pa.array(at)).append_column("at", pa.array(np.arange(own.num_rows, dtype=np.int64))).combine_chunks().to_batches()
 
     return run
 
@@ -49,28 +58,22 @@ def _fisher_yates(seed: int):
 def two_pass_shuffle(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
     """Writes docs(doc_id, text) as shard=.../ folders; returns (path, rows read back with their slot)."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-    own = own.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    total = own.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-int(total) // (shards * bucket_bytes)))
-    own = own.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1, seed))
-    own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed + 1)), F.lit(buckets)).cast("int"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    placed = docs.select("doc_id", size.alias("size"), shard_of(F.col("doc_id"), shards, seed).alias("shard"))
+    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row a shard
+    number = [max(1, -(-int(sizes.get(s, 0)) // bucket_bytes)) for s in range(shards)]
+    first = [sum(number[:s]) for s in range(shards)]
+    own = docs.select("doc_id", "text", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    own = own.withColumns({"shard": shard_of(F.col("doc_id"), shards, seed), "grown_shard": shard_of(F.col("doc_id"), shards + 1, seed)})
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id(), F.lit(seed + 1)), of(number)).cast("int"))
     schema = T.StructType([*own.schema.fields, T.StructField("at", T.LongType())])
     path = shared_dir(spark)
-    order = [c for c in own.columns]
-    shuffled = own.groupBy("shard", "bucket").applyInArrow(_wrapped(seed, order), schema)
-    shuffled.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    cells = own.withColumn("cell", (of(first) + F.col("bucket")).cast("int")).repartitionById(sum(number), F.col("cell"))
+    cells.mapInArrow(shuffle_bucket(seed, own.columns), schema).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    drop_at_exit(spark, path)
     back = spark.read.schema(schema).parquet(path)
-    sizes = back.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = back.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     # buckets of a shard: as many rows as the corpus has buckets, not records
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     return path, back.join(before, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("at")).drop("before", "at")
-
-
-def _wrapped(seed: int, columns: list[str]):
-    inner = _fisher_yates(seed)
-
-    def run(key, table):
-        return inner(key, table.select(columns))
-
-    return run

@@ -8,8 +8,9 @@ A list and key has at most one entry a day after the first aggregate, so the win
 intervals sees no more rows than days. The join is salted: a host or domain may own a third of all captures.
 
 Defined results: on a day with both, add wins; an interval runs from its day to the day before the next
-entry; a null or empty url, or a null time, matches nothing; null keys, days and actions are no entries; repeated
-captures each give a row; repeated entries count once; empty tables block nothing. Other columns are not read.
+entry; a null or empty url, or a null time, matches nothing; a null or repeated id is answered by its own row's url and day;
+null keys, days and actions are no entries; repeated captures each give a row; repeated entries count once; empty tables
+block nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -58,10 +59,13 @@ def keys_of(url: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures(id, url, day) with blocked, n_active (entries active for it) and lists (their names, sorted, joined by a comma)."""
+    """captures(id, url, day) with blocked, n_active (entries active for it) and lists (their names, sorted, joined by a comma).
+
+    The answer hangs on url and day alone, so each (url, day) asks once, whatever ids it bears and however often it repeats."""
     active = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = captures.select("id", "day", F.explode(keys_of(F.col("url"))).alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    once = captures.where(F.col("url").isNotNull() & F.col("day").isNotNull()).select("url", "day").distinct()
+    asked = once.select("url", "day", F.explode(keys_of(F.col("url"))).alias("key"), F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"))
     hits = asked.join(active, (asked["key"] == active["key"]) & (asked["salt"] == active["salt"]) & (asked["day"] >= active["since"]) & (asked["day"] < active["until"]))
-    found = hits.groupBy("id").agg(F.countDistinct("list", active["key"]).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    out = captures.select("id", "url", "day").join(found, "id", "left")
+    found = hits.groupBy("url", "day").agg(F.countDistinct("list", active["key"]).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    out = captures.select("id", "url", "day").join(found, ["url", "day"], "left")
     return out.select("id", "url", "day", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"))

@@ -48,11 +48,26 @@ def test_neardup(docs, nothing):
     by = {r.doc_id: r.class_id for r in rows}
     assert by[1] == by[2] == by[7] == 1 and by[3] == by[4] == 3 and by[5] == 5
     assert neardup.near_duplicates(nothing).count() == 0
+    assert [r.class_id < 0 for r in rows if r.doc_id is None] == [True]
+    assert len({r.class_key for r in rows}) == 5
     kept = neardup.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 5, 6] and kept.columns == docs.columns
     assert neardup.one_of_each(nothing).count() == 0
 
 
+def test_neardup_tells_texts_of_one_id_apart(spark):
+    other = WORDS.replace("word", "term").replace("other", "else")
+    rows = [(7, WORDS, "a", {"k": 1}), (7, other, "b", {"k": 2}), (9, other.replace("term5 ", "x "), "c", None), (None, "one two three four five six", "d", None), (None, "six five four three two one", "e", None), (7, other, "b", {"k": 2})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, h1 string, m map<string, int>")
+    got = neardup.near_duplicates(d).collect()
+    keys = [sorted({r.class_key for r in got if r.doc_id == i}) for i in (7, 9, None)]
+    assert [len(k) for k in keys] == [2, 1, 2] and keys[1][0] in keys[0] and len({*keys[0], *keys[2]}) == 4
+    assert len({r.class_id for r in got}) == 4 and {r.class_id for r in got if r.class_id >= 0} == {7}
+    want = [(None, "d"), (None, "e"), (7, "a"), (7, "b")]
+    for order in (d, d.orderBy(F.desc("text"))):
+        assert sorted(((r.doc_id, r.h1) for r in neardup.one_of_each(order).collect()), key=str) == sorted(want, key=str)
+
+
 def test_tokens(spark, docs, nothing):
     path, freq = tokens.write_tokens(docs, queries.tokenizer_path(), part_bytes=4000)
     rows = tokens.read_tokens(spark, path, freq).orderBy("start").collect()
@@ -115,10 +130,10 @@ def test_pages(spark):
 
 
 def test_url_lists(spark):
-    cap = spark.createDataFrame([(1, "http://x.a.com/p/q?z#f", 5), (1, "http://x.a.com/p/q?z#f", 5), (2, None, 5), (3, "", 5), (4, "http://a.com", None), (None, "http://a.com/", 9)], "id long, url string, day int").withColumn("key", F.lit("clash"))
+    cap = spark.createDataFrame([(1, "http://x.a.com/p/q?z#f", 5), (1, "http://x.a.com/p/q?z#f", 5), (2, None, 5), (3, "", 5), (4, "http://a.com", None), (None, "http://a.com/", 9), (None, "http://a.com/", 3), (7, "http://a.com/", 3), (7, "http://b.com/", 3)], "id long, url string, day int").withColumn("key", F.lit("clash"))
     ent = spark.createDataFrame([("l", "a.com", 1, "add"), ("l", "a.com", 1, "add"), ("l", "A.com", 9, "remove"), ("m", "x.a.com/p", 5, "remove"), ("m", "x.a.com/p", 5, "add"), (None, "a.com", 1, "add"), ("n", "com", 1, "add"), ("o", "a.com", None, "add"), ("o", "a.com", 1, "odd")], "list string, key string, day int, action string")
     rows = url_lists.evaluate(cap, ent).collect()
-    assert sorted((str(r.id), r.blocked, r.n_active, r.lists) for r in rows) == [("1", True, 2, "l,m")] * 2 + [("2", False, 0, ""), ("3", False, 0, ""), ("4", False, 0, ""), ("None", False, 0, "")]
+    assert sorted((str(r.id), r.blocked, r.n_active, r.lists) for r in rows) == [("1", True, 2, "l,m")] * 2 + [("2", False, 0, ""), ("3", False, 0, ""), ("4", False, 0, ""), ("7", False, 0, ""), ("7", True, 1, "l"), ("None", False, 0, ""), ("None", True, 1, "l")]
     assert url_lists.evaluate(cap.limit(0), ent).count() == 0
     assert url_lists.evaluate(cap, ent.limit(0)).where("blocked").count() == 0
 

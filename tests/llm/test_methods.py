@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import takewhile
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, tokens, toxicity
+from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity
 from cuelark.llm import words as W
 
 DIR = "/root/testdata/sf0.001"
@@ -155,6 +157,32 @@ def test_a_damaged_block_is_noticed(spark, docs):
         list(tokens.decode_blocks(freq)(iter([batch])))
 
 
+def test_shards_and_permutations_equal_brute_force(spark):
+    """The shard by its law, and each bucket's order by a plain Fisher-Yates over the same generator's draws."""
+    d = spark.createDataFrame([(i % 50 if i % 9 else None, f"text {i // 3}") for i in range(300)], "doc_id long, text string")
+    _, out = sharding.two_pass_shuffle(d, bucket_bytes=300)
+    rows = out.collect()
+    assert len(rows) == 300
+    # equal doc_ids share a shard, the null one too, and are spread over buckets
+    assert all(len({r.shard for r in rows if r.doc_id == k}) == 1 for k in {r.doc_id for r in rows})
+    assert len({r.bucket for r in rows if r.doc_id is None}) > 1
+    draws = spark.sql("SELECT id, s, xxhash64(coalesce(cast(id AS string), ''), 7, s) w FROM (SELECT explode(array(null, 0, 1, 2, 3, 49)) id), (SELECT explode(sequence(0, 8)) s)").collect()
+    for r in rows:
+        own = sorted((x.w, x.s) for x in draws if x.id == r.doc_id)
+        if own:
+            assert r.shard == max(x for x in own if x[1] < 8)[1] and r.grown_shard == own[-1][1]
+    for s in {r.shard for r in rows}:
+        at = 0
+        for b in sorted({r.bucket for r in rows if r.shard == s}):
+            cell = [r for r in rows if (r.shard, r.bucket) == (s, b)]
+            order = sorted(((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size) for r in cell), key=lambda x: (x[0] == -1, x))
+            place = np.arange(len(cell))
+            np.random.Generator(np.random.PCG64([7, s, b])).shuffle(place)
+            got = [(-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size) for r in sorted(cell, key=lambda r: r.slot)]
+            assert got == [order[i] for i in place] and min(r.slot for r in cell) == at
+            at += len(cell)
+
+
 def test_shards(spark, rows):
     got = queries.op4_two_pass_shuffle(spark, DIR).collect()
     again = queries.op4_two_pass_shuffle(spark, DIR).collect()
@@ -196,11 +224,33 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, queries.op8_hypergeometric_mix(spark, BIG).collect()))
 
 
+def test_mix_draws_as_brute_force_does(spark):
+    """Every copy has a slot, gapless in its shard, no two copies of a document fall together, and the drawn epoch is a plain prefix of the permuted blocks."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = mixing.mix(docs, blocks=24, columns=["doc_id", "source"]).select("doc_id", "source", "mix.*").collect()
+    by_shard: dict[int, list[int]] = {}
+    for r in rows:
+        assert len(r.shards) == len(r.slots) == r.copies
+        for shard, slot in zip(r.shards, r.slots, strict=True):
+            by_shard.setdefault(shard, []).append(slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        full = int(own[0].target // own[0].source_size)
+        assert {r.copies for r in own} <= {full, full + 1}
+        drawn = sum(r.size for r in own if r.copies == full + 1)
+        assert abs(drawn - (own[0].target - full * own[0].source_size)) <= max(r.size for r in own) / 2 + 1
+    # a shard's order is no order of doc_ids
+    first = sorted((slot, r.doc_id) for r in rows for shard, slot in zip(r.shards, r.slots, strict=True) if shard == 0)
+    ids = [d for _, d in first]
+    assert ids != sorted(ids) and sum(a < b for a, b in zip(ids, ids[1:], strict=False)) < 0.7 * len(ids)
+
+
 def test_splitting_tree_deals_equal_numbers_of_blocks(spark):
-    cells = spark.range(1000).selectExpr("false __null", "cast(id % 7 as string) __src", "cast(id as int) __block", "1 __full", "cast(0 as double) __left")
-    leaves = mixing.deal_blocks(cells, 8, 3).select(F.explode("__shards").alias("s")).groupBy("s").count().collect()
+    blocks = spark.range(1000).selectExpr("false __null", "cast(id % 7 as string) __src", "cast(id as int) __block", "1 __full", "cast(0 as double) __left")
+    leaves = mixing.deal_blocks(blocks, 8, 3).groupBy("__shard").count().collect()
     assert len(leaves) == 8 and all(r["count"] == 125 for r in leaves)
-    odd = mixing.deal_blocks(cells, 5, 3).select(F.explode("__shards").alias("s")).groupBy("s").count().collect()
+    odd = mixing.deal_blocks(blocks, 5, 3).groupBy("__shard").count().collect()
     assert len(odd) == 5 and all(199 <= r["count"] <= 201 for r in odd)
 
 
@@ -264,8 +314,30 @@ def test_long_templates_in_running_text():
         assert name in {x["license"] for x in found[0]} and not found[1]
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no system license texts")
+def test_full_texts_of_any_length():
+    """The system's own license texts as templates: each is found in running text, and with a tenth of its words changed it is not lost to a cap."""
+    rng = random.Random(8)
+    noise = lambda n: " ".join(f"n{rng.randint(0, 999)}" for _ in range(n))
+    folder = Path("/usr/share/common-licenses")
+    names = ["GPL-2", "GPL-3", "LGPL-2.1", "Apache-2.0", "MPL-2.0"]
+    held = licenses.Templates({n: t for n, t in licenses.read_templates(str(folder)).items() if n in names})
+    assert max(len(s) for s in held.sets) > 4000
+    for name in names:
+        text = f"{noise(300)} {(folder / name).read_text(errors='replace')} {noise(200)}"
+        (found,) = [x for s in W.normal_slices(pa.array([text])) for x in held.scan(s)]
+        assert name in {f["license"] for f in found if f["best"]}
+
+
+def test_versions_of_a_license_are_told_apart():
+    held = licenses.Templates()
+    for name in ("GPL-2.0-notice", "GPL-3.0-notice", "GPL-2.0-header", "AGPL-3.0-header"):
+        (found,) = [x for s in W.normal_slices(pa.array([f"so much. {licenses.TEMPLATES[name]} and more"])) for x in held.scan(s)]
+        assert [f["license"] for f in found if f["best"]] == [name]
+
+
 def test_band_settings():
-    for w in licenses.WIDTHS:
+    for w in takewhile(lambda x: x <= 1 << 14, licenses.widths()):
         r = licenses.floor_of(w)
         assert 1 - (1 - r**licenses.ROWS) ** licenses.bands_for(r) >= licenses.CERTAIN or r == 1
 
@@ -283,6 +355,40 @@ def test_clauses(text, kind):
     assert [i for i, n in enumerate(counts) if n] == ([kind] if kind else [])
 
 
+def test_one_document_from_a_checkpoint(spark, docs, rows):
+    path, freq = tokens.write_tokens(docs, queries.tokenizer_path())
+    wanted = [r.doc_id for r in rows][::7]
+    got = {r.doc_id: r for r in tokens.read_documents(spark, path, freq, spark.createDataFrame([(d,) for d in wanted], "doc_id long")).collect()}
+    library = tokens.table(queries.tokenizer_path()).tokenizer
+    text = {r.doc_id: r.text or "" for r in rows}
+    assert sorted(got) == sorted(wanted)
+    assert all(got[d].ids == [*library.encode(text[d], add_special_tokens=False).ids, 1] for d in wanted)
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """A tokenizer whose words hold white space, and one of more than 65,536 ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {"<unk>": 0, "<end>": 1} | {f"w{i}": i for i in range(2, 70_000)}
+    library = Tokenizer(models.WordLevel(vocabulary, unk_token="<unk>"))
+    library.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("|")
+    path = str(tmp_path / "own.json")
+    library.save(path)
+    assert not tokens.table(path).alone and tokens.table(path).width == 4
+    folder, freq = tokens.write_tokens(spark.createDataFrame([(1, "w7|w69999|w 5"), (2, None)], "doc_id long, text string"), path)
+    got = [tuple(r) for r in tokens.read_tokens(spark, folder, freq).orderBy("start").collect()]
+    assert got == [(1, 0, 4, zlib.crc32(np.array([7, 69_999, 0, 1], "<u4").tobytes())), (2, 4, 1, zlib.crc32(np.array([1], "<u4").tobytes()))]
+
+
+def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch):
+    t = tokens.PieceTable(queries.tokenizer_path())
+    monkeypatch.setattr(W, "mix", lambda h: h & np.uint64(3))
+    texts = ["one two three four five six", "seven one eight", "two nine ten one"]
+    for text in texts:
+        got = [i for s in W.slices(pa.array([text])) for i in t.encode(s)[0].tolist()]
+        assert got == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
@@ -298,14 +404,44 @@ def test_markup_parts():
     text = lambda h: [b["text"] for b in html_text.parse(h, {})["blocks"]]
     assert text('<header><h1>Site</h1></header><div class="menu">x</div><article><header><h1>T &eacute; &#8212;</h1></header><p>a<br>b <b>c</b></p><div class="comments"><p>nice</p></div><ul><li>1<li>2</ul><form>q</form><p>z</article><aside>n</aside>') == ["T é —", "a b c", "1", "2", "z"]
     assert text("<p>one <b>bold <p title='a>b'>two &lt;tag&gt; 3 < 4") == ["one bold", "two <tag> 3 < 4"]
+    # names inside other attributes' names and values say nothing
+    assert text('<article style="overflow:hidden"><p title="a hidden gem">one</p><p data-id="nav">two</p></article>') == ["one", "two"]
+    # body is no article, whatever it is called
+    assert text('<body class="single single-post"><header>h</header><div class="menu">m</div><div><p>story</p></div></body>') == ["story"]
+    # a comment is one, even as an article; words of a name are noise only if nothing else is named
+    assert text('<article><p>x</p><article class="comment"><p>c</p></article><div class="social-history network widget skip">y</div></article>') == ["x", "y"]
+    # an article wins over the form or layout round it
+    assert text('<form><div class="layout has-sidebar"><article><p>long text</p></article></div><div class="sidebar">s</div></form>') == ["long text"]
+    assert text("<form><p>a page in a form</p></form>") == ["a page in a form"] and text("<div>some text</div><form>q</form>") == ["some text"]
+    # parts of names mark no article, and an article that holds little of the page is not believed
+    assert text('<h1 class="post-title">T</h1><div class="post-meta">by</div><div class="content"><p>body</p></div>') == ["T", "by", "body"]
+    assert text(f"<article>tiny</article><div>{'long ' * 30}</div>") == ["tiny", ("long " * 30).strip()]
+    assert text('<p>a <span class="ad">buy</span> b</p>') == ["a b"] and text('<div class="entry-content"><p>x</p></div><p>y</p>') == ["x"]
 
 
 def test_tree_removes_what_a_host_repeats(spark):
     rows = [(i, f"http://h.com/{i}", f"<div class=x><p>about us and so on</p></div><div class=y><p>{' '.join(str(i * 7 + j) for j in range(20))}</p></div>") for i in range(20)]
     rows.append((99, "http://alone.com/", "<div class=x><p>about us and so on</p></div><div class=y><p>story</p></div>"))
+    # inside an article too; copies of a page count once, so an article that is served often stays
+    rows += [(200 + i, f"http://in.com/{i}", f"<article><p>{' '.join(str(i * 7 + j) for j in range(20))}</p><div class=z>read on, dear reader</div></article>") for i in range(20)]
+    rows += [(300 + i, f"http://often.com/{i}", "<article><p>the same words</p></article>") for i in range(30)] + [(330, "http://often.com/x", "<article><p>others</p></article>")]
+    # pages without a host have nothing to do with each other
+    rows += [(400 + i, None if i % 2 else "no url", f"<div class=x><p>about us and so on</p></div><div class=y>{i}</div>") for i in range(20)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("about" not in got[i] and str(i * 7) in got[i] for i in range(20))
     assert got[99] == "about us and so on\nstory"
+    assert all("reader" not in got[200 + i] and str(i * 7) in got[200 + i] for i in range(20))
+    assert got[300] == "the same words" and got[330] == "others"
+    assert all(got[400 + i] == f"about us and so on\n{i}" for i in range(20))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 7, 8, 9, 30])
+def test_tree_has_one_law_for_hosts_of_any_size(spark, n):
+    """A branch that repeats on every page goes as soon as PRIOR pages of which nothing is known weigh less than LOW."""
+    rows = [(i, f"http://h.com/{i}", f"<div class=x>about us</div><div class=y>{i} and {i * 31}</div>") for i in range(n)]
+    got = [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    gone = html_text.PRIOR / (n + html_text.PRIOR) < html_text.LOW
+    assert all(("about" not in t) == gone for t in got)
 
 
 def test_url_lists_equal_their_sql(spark):
