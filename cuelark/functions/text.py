@@ -30,7 +30,7 @@ def srt_time(ms: Column) -> Column:
 
 def srt_ms(c: Column) -> Column:
     """HH:MM:SS,mmm as milliseconds; null if it is not one."""
-    g = [F.regexp_extract(F.trim(c), r"^(\d{1,3}):(\d{2}):(\d{2}),(\d{3})$", i) for i in range(1, 5)]
+    g = [F.regexp_extract(F.trim(c), r"^(\d+):(\d{2}):(\d{2}),(\d{3})$", i) for i in range(1, 5)]
     return F.when(g[0] != "", g[0].try_cast("long") * 3600000 + g[1].try_cast("long") * 60000 + g[2].try_cast("long") * 1000 + g[3].try_cast("long"))
 
 
@@ -72,8 +72,10 @@ def clean_text(c: Column) -> Column:
 def norm_speaker(c: Column, depth: int = 4) -> Column:
     """Speaker token without bidi characters and bracketed readings; brackets nested deeper than `depth` keep their rest."""
     x = F.translate(c, BIDI, "")
+    # an innermost pair: an opening bracket, no bracket of either kind, a closing one
+    inner = f"[{_OPEN}][^{_OPEN}{_CLOSE}]*[{_CLOSE}]"
     for _ in range(depth):
-        x = F.regexp_replace(x, r"[（(][^（()）]*[)）]", "")
+        x = F.regexp_replace(x, inner, "")
     return strip(x)
 
 
@@ -111,13 +113,13 @@ def safe_idx(c: Column) -> Column:
 
 
 def file_name(start_ms: Column, speaker: Column, text: Column, ordinal: Column) -> Column:
-    """0001_h-mm-ss.cc_speaker_first-sentence, safe for file systems."""
-    bad = r"[\\/:*?\"<>|\x00-\x1f]"
+    """0001_speaker_h-mm-ss.cc_first-sentence, safe for file systems; the ordinal has four digits at least."""
+    bad = r"[\\/:*?\"<>|\r\n\t]+"
+    blank = lambda c: F.when(c == "", "_").otherwise(c)
     who = F.substring(strip(F.regexp_replace(speaker, bad, "_")), 1, 30)
     first = F.split(text, " / ", 2)[0]
     what = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(first), r"(?U)\s+", "_"), bad, "_"), r"^_+|_+$", ""), 1, 20)
-    blank = lambda c: F.when(c == "", "_").otherwise(c)
-    return F.concat_ws("_", F.lpad(ordinal.cast("string"), 4, "0"), F.replace(ass_time(start_ms), F.lit(":"), F.lit("-")), blank(who), blank(what))
+    return F.concat_ws("_", F.format_string("%04d", ordinal.cast("long")), blank(who), F.replace(ass_time(start_ms), F.lit(":"), F.lit("-")), blank(what))
 
 
 def prompt_line(idx: Column, start_ms: Column, end_ms: Column, speaker: Column, text: Column, target: Column) -> Column:
@@ -126,8 +128,8 @@ def prompt_line(idx: Column, start_ms: Column, end_ms: Column, speaker: Column,
 
 
 def ass_flags(text: Column) -> dict[str, Column]:
-    """Drawing, positioned, karaoke and top-aligned, by override tags."""
-    return {"drawing": text.rlike(r"\{[^}]*\\p[1-9]"), "positioned": text.rlike(r"\\(?:pos|move)\("), "karaoke": text.rlike(r"\\[kK][fot]?\d"), "top": text.rlike(r"\\an[789]")}
+    """Drawing, positioned, karaoke and top-aligned, by override tags in either case."""
+    return {"drawing": text.rlike(r"(?i)\\p(?:bo)?[1-9]"), "positioned": text.rlike(r"(?i)\\(?:pos|move)\("), "karaoke": text.rlike(r"(?i)\\k[fo]?\d"), "top": text.rlike(r"(?i)\\an[789](?:\D|$)")}
 
 
 # labels ---------------------------------------------------------------------------------------------------

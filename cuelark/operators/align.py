@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import stored
 from .intervals import binned_join
 
 # Names of alignment methods in scored output.
@@ -22,12 +23,15 @@ def align(gold: DataFrame, preds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     1. exact times and text, if one prediction has the key: the first gold cue with the key gets it;
     2. text that is unique on both sides among what is left, and time overlap;
-    3. overlap and containment of one text in the other, against all predictions, best first."""
-    g = gold.withColumn("key", X.match_key(F.col("text")))
-    p = preds.withColumn("key", X.match_key(F.col("text")))
+    3. overlap and containment of one text in the other, against all predictions, best first.
+
+    Keys are made once and stored with the cues; steps 1 and 2 are aggregates that combine before they shuffle. The matches keep the gold
+    cue's `key`."""
+    g = stored(gold.withColumn("key", X.match_key(F.col("text"))))
+    p = stored(preds.withColumn("key", X.match_key(F.col("text"))))
     at = ["media_id", "start_ms", "end_ms", "key"]
-    sole = p.withColumn("__n", F.count("*").over(Window.partitionBy(*at))).where("__n = 1").select(*at, "pid")
-    first = g.withColumn("__rn", F.row_number().over(Window.partitionBy(*at).orderBy("idx"))).where("__rn = 1").select(*at, "idx")
+    sole = p.groupBy(*at).agg(F.count("*").alias("__n"), F.min("pid").alias("pid")).where("__n = 1").select(*at, "pid")
+    first = g.groupBy(*at).agg(F.min("idx").alias("idx"))
     exact = first.join(sole, at).select("media_id", "idx", "pid", F.lit(METHODS[0]).alias("method"))
     # what is left, by text
     g2 = g.join(exact, ["media_id", "idx"], "left_anti")
@@ -49,7 +53,7 @@ def align(gold: DataFrame, preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     structural = best.select(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.col("b_pid").alias("pid"), F.lit(METHODS[2]).alias("method"))
     found = exact.unionByName(unique).unionByName(structural)
     said = preds.select("media_id", "pid", F.col("speaker").alias("pred_speaker"), F.col("speaker_raw").alias("pred_raw"), "confidence")
-    matches = gold.select("media_id", "idx", "start_ms", "end_ms", "speaker", "text").join(found, ["media_id", "idx"], "left").join(said, ["media_id", "pid"], "left")
+    matches = g.select("media_id", "idx", "start_ms", "end_ms", "speaker", "text", "key").join(found, ["media_id", "idx"], "left").join(said, ["media_id", "pid"], "left")
     matches = matches.withColumn("method", F.coalesce("method", F.lit(METHODS[3])))
     return matches, preds.join(found, ["media_id", "pid"], "left_anti")
 
@@ -63,7 +67,7 @@ def judged(matches: DataFrame, cast: Sequence[str]) -> DataFrame:
 
 def slices(j: DataFrame, main: Sequence[str]) -> DataFrame:
     """Accuracy by (overlapping) slices, in one pass."""
-    key = X.match_key(F.col("text"))
+    key = F.col("key") if "key" in j.columns else X.match_key(F.col("text"))
     j = j.withColumns({"__short": X.short_text(key), "__cry": X.interjection(key)})
     parts: dict[str, Column] = {"overall": F.lit(True), "canonical": F.col("kind") == "canonical", "main": F.col("target").isin(*main), "other": F.col("kind") == "other", "nonspeech": F.col("kind") == "nonspeech", "combination": F.col("kind") == "combination", "short": F.col("__short"), "interjection": F.col("__cry")}
     counts = [c for k, on in parts.items() for c in (F.count_if(on).alias(f"{k}_n"), F.count_if(on & F.col("right")).alias(f"{k}_r"))]
@@ -111,6 +115,19 @@ def confusion(j: DataFrame) -> DataFrame:
     return j.where(~F.col("right")).groupBy("target", "predicted").agg(F.count("*").alias("n"))
 
 
+def combination_detail(j: DataFrame) -> DataFrame:
+    """How often each combination of gold speakers was given each label."""
+    return j.where(F.col("kind") == "combination").groupBy("speaker", "predicted").agg(F.count("*").alias("n"))
+
+
+def predicted_on(j: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """For each (gold speaker, label): how many of the speaker's cues were given the label, and how many there are."""
+    pair = j.sparkSession.createDataFrame([tuple(p) for p in pairs], "gold string, label string")
+    small = j.groupBy(F.col("speaker").alias("gold"), "predicted").agg(F.count("*").alias("n"))
+    x = F.broadcast(pair).join(small, "gold", "left")
+    return x.groupBy("gold", "label").agg(F.coalesce(F.sum(F.when(F.col("predicted") == F.col("label"), F.col("n"))), F.lit(0)).alias("given"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
 def swaps(j: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """For each named pair: first taken for second, second for first, right on either."""
     pair = j.sparkSession.createDataFrame([tuple(p) for p in pairs], "a string, b string")
@@ -137,27 +154,39 @@ def compare_policies(raw: DataFrame, final: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("total"), F.count_if(F.col("p") != F.col("q")).alias("changed"), F.count_if(~F.col("r") & F.col("s")).alias("fixed"), F.count_if(F.col("r") & ~F.col("s")).alias("broken"))
 
 
-def diff_cues(a: DataFrame, b: DataFrame, tol_ms: float = 0.5) -> DataFrame:
-    """Rows in which two cue tables differ, and how."""
+def diff_cues(a: DataFrame, b: DataFrame, tol_ms: float = 0.5, source: bool = False) -> DataFrame:
+    """Rows in which two cue tables differ, and how: times by more than tol_ms, speaker, tags in their order, text, and with `source` the source entries."""
     x, y = a.alias("x"), b.alias("y")
     on = (F.col("x.media_id") == F.col("y.media_id")) & (F.col("x.idx") == F.col("y.idx"))
     j = x.join(y, on, "full_outer")
     far = lambda c: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) > tol_ms
-    what = F.when(F.col("y.idx").isNull(), "only in first").when(F.col("x.idx").isNull(), "only in second").when(far("start_ms") | far("end_ms"), "time").when(~F.col("x.speaker").eqNullSafe(F.col("y.speaker")), "speaker").when(~F.col("x.text").eqNullSafe(F.col("y.text")), "text")
+    what = F.when(F.col("y.idx").isNull(), "only in first").when(F.col("x.idx").isNull(), "only in second").when(far("start_ms") | far("end_ms"), "time")
+    for c, name in (("speaker", "speaker"), ("tags", "tags"), ("text", "text"), *([("source_entries", "source")] if source else [])):
+        what = what.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), name)
     return j.select(F.coalesce("x.media_id", "y.media_id").alias("media_id"), F.coalesce("x.idx", "y.idx").alias("idx"), what.alias("difference")).where("difference IS NOT NULL")
 
 
-def score_clusters(samples: DataFrame) -> DataFrame:
-    """Per method: cluster purity on long samples, accuracy and unknown rate on short ones under the long samples' mapping.
+def score_clusters(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters, metrics) per method: purity of each cluster and of the long samples; accuracy and unknown rate of short ones under the long samples' mapping.
 
     samples(method, stage, gold, predicted); UNKNOWN counts as wrong. Ties of a mapping go to the lesser label."""
     long = samples.where((F.col("stage") == "long") & (F.col("predicted") != "UNKNOWN"))
     votes = long.groupBy("method", "predicted", "gold").agg(F.count("*").alias("n"))
-    best = votes.groupBy("method", "predicted").agg(F.min_by("gold", F.struct(-F.col("n"), F.col("gold"))).alias("mapped"), F.max("n").alias("top"))
+    best = votes.groupBy("method", "predicted").agg(F.min_by("gold", F.struct(-F.col("n"), F.col("gold"))).alias("mapped"), F.max("n").alias("top"), F.sum("n").alias("samples"))
+    clusters = best.select("method", F.col("predicted").alias("cluster"), F.col("mapped").alias("gold_speaker"), "samples", (F.col("top") / F.col("samples")).alias("purity"))
     x = samples.join(best, ["method", "predicted"], "left")
     right = F.coalesce(F.col("mapped") == F.col("gold"), F.lit(False))
     is_long, is_short = F.col("stage") == "long", F.col("stage") == "short"
     out = x.groupBy("method").agg(F.count_if(is_long & right).alias("long_right"), F.count_if(is_long).alias("n_long"), F.count_if(is_short & right).alias("short_right"), F.count_if(is_short).alias("n_short"), F.count_if(is_short & (F.col("predicted") == "UNKNOWN")).alias("short_unknown"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    out = out.withColumns({"purity": ratio("long_right", "n_long"), "accuracy": ratio("short_right", "n_short"), "unknown_rate": ratio("short_unknown", "n_short")})
-    return out.withColumns({"accuracy_ok": F.col("accuracy") >= 0.85, "unknown_ok": F.col("unknown_rate") <= 0.30})
+    return clusters, out.withColumns({"purity": ratio("long_right", "n_long"), "accuracy": ratio("short_right", "n_short"), "unknown_rate": ratio("short_unknown", "n_short")})
+
+
+def gates(metrics: DataFrame, base: str, candidate: str, purity: float = 0.95, accuracy: float = 0.85, unknown: float = 0.30, least_gain: float = 0.0) -> DataFrame:
+    """The candidate method's four gates against the base method, and whether all hold; a share that does not exist fails its gate."""
+    of = lambda m, p: metrics.where(F.col("method") == m).select(F.lit(candidate).alias("method"), *[F.col(c).alias(p + c) for c in ("purity", "accuracy", "unknown_rate")])
+    x = of(candidate, "").join(of(base, "base_"), "method", "left")
+    gain = F.col("accuracy") - F.col("base_accuracy")
+    rules = {"long_purity": F.col("purity") >= purity, "short_accuracy": F.col("accuracy") >= accuracy, "short_unknown": F.col("unknown_rate") <= unknown, "improvement": gain > least_gain}
+    out = x.select("method", gain.alias("short_accuracy_gain"), *[F.coalesce(on, F.lit(False)).alias(k) for k, on in rules.items()])
+    return out.withColumn("passed", F.expr(" AND ".join(rules)))

@@ -186,6 +186,25 @@ def compact_clock(batch_cues: DataFrame, windows: DataFrame) -> DataFrame:
     return found.select("media_id", "batch_id", "idx", (F.col("start_ms") + F.col("shift")).alias("clock_start_ms"), (F.col("end_ms") + F.col("shift")).alias("clock_end_ms"))
 
 
+def continuous_clock(batch_cues: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scenes, cues) on the clock of a request whose scenes play whole, one after the other.
+
+    scenes(media_id, batch_id, scene_id, start_ms, end_ms), batch_cues(media_id, batch_id, scene_id, idx, ..)."""
+    w = Window.partitionBy("media_id", "batch_id").orderBy("scene_id")
+    long = F.col("end_ms") - F.col("start_ms")
+    before = F.coalesce(F.sum(long).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    clock = scenes.select("media_id", "batch_id", "scene_id", "start_ms", "end_ms", before.alias("batch_start_ms"), (before + long).alias("batch_end_ms"))
+    shift = F.col("batch_start_ms") - F.col("__from")
+    on = batch_cues.join(clock.select("media_id", "batch_id", "scene_id", "batch_start_ms", F.col("start_ms").alias("__from")), ["media_id", "batch_id", "scene_id"])
+    return clock, on.select("media_id", "batch_id", "scene_id", "idx", (F.col("start_ms") + shift).alias("clock_start_ms"), (F.col("end_ms") + shift).alias("clock_end_ms"))
+
+
+def scenes_on_clock(batch_cues: DataFrame, clock: DataFrame) -> DataFrame:
+    """First and last moment of each scene of batch_cues(media_id, batch_id, scene_id, idx) on a compact clock; 0 where no cue of it is on the clock."""
+    on = batch_cues.select("media_id", "batch_id", "scene_id", "idx").join(clock, ["media_id", "batch_id", "idx"], "left")
+    return on.groupBy("media_id", "batch_id", "scene_id").agg(F.coalesce(F.min("clock_start_ms"), F.lit(0)).alias("batch_start_ms"), F.coalesce(F.max("clock_end_ms"), F.lit(0)).alias("batch_end_ms"))
+
+
 # range joins --------------------------------------------------------------------------------------------
 
 
@@ -203,8 +222,22 @@ def binned_join(a: DataFrame, b: DataFrame, how: str = "overlap", bin_ms: int =
     return both.where(F.col("__x") == F.greatest(first("a_start_ms"), first("b_start_ms"))).drop("__x", "__y")
 
 
+def idx_join(points: DataFrame, ranges: DataFrame, lo: str = "start_idx", hi: str = "end_idx", idx: str = "idx", how: str = "inner", width: int = 256) -> DataFrame:
+    """Rows of points(media_id, idx, ..) with the ranges of their media that hold their idx, both ends included.
+
+    Ranges are dealt to the stretches of `width` idx they reach into, points lie in one, so no media is joined with itself. A column
+    of ranges that points have too is named by its alias r."""
+    place = lambda c: F.floor(F.col(c) / width)
+    p = points.withColumn("__stretch", place(idx)).alias("p")
+    r = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__stretch", F.explode(F.sequence(place(lo), place(hi)))).alias("r")
+    on = (F.col("p.media_id") == F.col("r.media_id")) & (F.col("p.__stretch") == F.col("r.__stretch")) & F.col(f"p.{idx}").between(F.col(f"r.{lo}"), F.col(f"r.{hi}"))
+    return p.join(r, on, how)
+
+
 def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, label_map: DataFrame | None = None, offset_ms: int = 0, low: float = 0.5) -> DataFrame:
-    """Acoustic speaker of each cue: most overlap, `?` on ties; coverage is over the union of all speakers."""
+    """Acoustic speaker of each cue: most overlap, `?` on ties; coverage is over the union of all speakers.
+
+    A cue without length (end = start) overlaps nothing: coverage 0, low, not emitted."""
     shifted = segments.select("media_id", "speaker", (F.col("start_ms") + offset_ms).alias("start_ms"), (F.col("end_ms") + offset_ms).alias("end_ms"))
     # each speaker's own segments are united first
     shifted = union_intervals(shifted, ["media_id", "speaker"])
@@ -221,7 +254,8 @@ def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, labe
     if label_map is not None:
         out = out.join(F.broadcast(label_map.select(F.col("label").alias("__label"), F.col("speaker").alias("candidate"))), "candidate", "left")
         candidate = F.coalesce("__label", "candidate", F.lit("?"))
-    coverage = F.coalesce("covered_ms", F.lit(0)) / (F.col("end_ms") - F.col("start_ms"))
+    long = F.col("end_ms") - F.col("start_ms")
+    coverage = F.when(long > 0, F.coalesce("covered_ms", F.lit(0)) / F.when(long > 0, long)).otherwise(0.0)
     inside = F.greatest(F.lit(0), F.least(F.col("end_ms"), F.col("duration_ms") + offset_ms) - F.greatest(F.col("start_ms"), F.lit(offset_ms)))
     emitted = inside > 0
     return out.select(
@@ -237,10 +271,10 @@ def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, labe
     )
 
 
-def map_scenes(scenes: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
+def map_scenes(scenes: DataFrame, cues: DataFrame, allow_partial: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scenes with first and last covered idx, errors): a cue belongs where its midpoint lies, both ends included.
 
-    Errors: cues in several scenes or in none, and scenes without a cue."""
+    Errors: cues in several scenes or, unless allow_partial, in none, and scenes without a cue."""
     middle = cues.select("media_id", "idx", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("start_ms"), ((F.col("start_ms") + F.col("end_ms")) / 2).alias("end_ms"))
     pairs = binned_join(middle, scenes.select("media_id", "scene_id", "start_ms", "end_ms"), "touch")
     hits = pairs.select(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.col("b_scene_id").alias("scene_id"))
@@ -248,7 +282,9 @@ def map_scenes(scenes: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame
     covered = hits.groupBy("media_id", "scene_id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_cues"))
     out = scenes.select("media_id", "scene_id").join(covered, ["media_id", "scene_id"], "left")
     errors = per_cue.where("n > 1").select("media_id", F.lit("cue in several scenes").alias("error"), F.col("idx").alias("id"))
-    errors = errors.union(per_cue.where("n = 0").select("media_id", F.lit("cue in no scene"), "idx")).union(out.where("n_cues IS NULL").select("media_id", F.lit("empty scene"), "scene_id"))
+    if not allow_partial:
+        errors = errors.union(per_cue.where("n = 0").select("media_id", F.lit("cue in no scene"), "idx"))
+    errors = errors.union(out.where("n_cues IS NULL").select("media_id", F.lit("empty scene"), "scene_id"))
     return out.where("n_cues IS NOT NULL"), errors
 
 
@@ -267,16 +303,31 @@ def drop_cross_speaker(cues: DataFrame, threshold_ms: int = 0) -> DataFrame:
     """Greedy removal of pairs of different speakers that overlap by more than the threshold.
 
     In order of (start, end), a cue still there and the first later one it conflicts with go together. Cues in different
-    islands never meet, so the sweep runs per island, as a fold in the JVM."""
+    islands never meet, so the sweep runs per island, as a fold in the JVM. The fold carries only cues that are still there and still heard:
+    a step costs the number of voices at that moment, not the island's length. The first of the carried cues that the next one conflicts with
+    goes with it; that is the pair the order asks for, since every carried cue has met all cues before."""
     real = cues.where(~F.col("speaker").isin("?", "NONSPEECH")).select("media_id", "idx", "start_ms", "end_ms", "speaker")
     runs = islands(real, ["media_id"], ["start_ms", "end_ms", "idx"])
     items = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "idx", "speaker")))
     g = runs.groupBy("media_id", "island").agg(items.alias("i")).where((F.size("i") > 1) & F.exists("i", lambda x: x["speaker"] != F.col("i")[0]["speaker"]))
+    live = "array<struct<start_ms:bigint,end_ms:bigint,idx:int,speaker:string>>"
+    start = F.struct(F.array().cast(live).alias("live"), F.array().cast("array<int>").alias("gone"))
+
+    def step(acc: Column, b: Column) -> Column:
+        heard = F.filter(acc["live"], lambda a: a["end_ms"] > b["start_ms"])
+        rival = F.filter(heard, lambda a: (a["speaker"] != b["speaker"]) & (F.least(a["end_ms"], b["end_ms"]) - F.greatest(a["start_ms"], b["start_ms"]) > threshold_ms))
+        pair = F.size(rival) > 0
+        left = F.when(pair, F.filter(heard, lambda a: a["idx"] != rival[0]["idx"])).otherwise(F.concat(heard, F.array(b)))
+        return F.struct(left.alias("live"), F.when(pair, F.concat(acc["gone"], F.array(rival[0]["idx"], b["idx"]))).otherwise(acc["gone"]).alias("gone"))
+
+    cast = F.transform("i", lambda x: F.struct(x["start_ms"].cast("long").alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), x["idx"].cast("int").alias("idx"), x["speaker"].alias("speaker")))
+    dropped = g.select("media_id", F.explode(F.aggregate(cast, start, step, lambda acc: acc["gone"])).alias("idx"))
+    return cues.join(dropped, ["media_id", "idx"], "left_anti")
 
-    def step(gone: Column, a: Column) -> Column:
-        # a lambda sees one element; its later rivals are those that sort after it
-        rival = F.filter("i", lambda b: (F.struct(b["start_ms"], b["end_ms"], b["idx"]) > F.struct(a["start_ms"], a["end_ms"], a["idx"])) & (b["start_ms"] < a["end_ms"]) & (b["speaker"] != a["speaker"]) & ~F.array_contains(gone, b["idx"]) & (F.least(a["end_ms"], b["end_ms"]) - F.greatest(a["start_ms"], b["start_ms"]) > threshold_ms))
-        return F.when(F.array_contains(gone, a["idx"]) | (F.size(rival) == 0), gone).otherwise(F.concat(gone, F.array(a["idx"], rival[0]["idx"])))
 
-    dropped = g.select("media_id", F.explode(F.aggregate("i", F.array().cast("array<int>"), step)).alias("idx"))
-    return cues.join(dropped, ["media_id", "idx"], "left_anti")
+def rebase(cues: DataFrame, offset_ms: int, first: int | None = None, last: int | None = None, label: str | None = r"^\S+ ") -> DataFrame:
+    """Cues first..last with their times moved by offset_ms and what `label` matches cut from their texts."""
+    out = cues if first is None else cues.where(F.col("idx") >= first)
+    out = out if last is None else out.where(F.col("idx") <= last)
+    out = out.withColumns({c: F.col(c) + offset_ms for c in ("start_ms", "end_ms")})
+    return out if label is None else out.withColumn("text", F.regexp_replace("text", label, ""))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_idx
+from ..functions.text import safe_idx, strip
+from .intervals import idx_join
 
-REPLY = "array<struct<idx:string,speaker:string,speaker_raw:string,confidence:string,corrected_spk:string,reason:string,scene_id:string>>"
+REPLY = "array<struct<idx:string,speaker:string,speaker_raw:string,confidence:string,original_spk:string,corrected_spk:string,reason:string,scene_id:string>>"
 
 
 def reply_body(reply: Column) -> Column:
@@ -17,14 +18,41 @@ def reply_body(reply: Column) -> Column:
     return F.regexp_extract(reply, r"(?s)([\[{].*[\]}])", 1)
 
 
-def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, errors) of replies(media_id, batch_id, reply): a row per item with defaults, and the batches that do not parse."""
-    body = reply_body(F.col("reply"))
+def _text(c: Column, default: str) -> Column:
+    return F.coalesce(c, F.lit(default))
+
+
+def parse_replies(replies: DataFrame, kind: str = "labels") -> tuple[DataFrame, DataFrame]:
+    """(results, errors) of replies(media_id, batch_id, reply): a row per item with defaults, and the batches that do not parse.
+
+    labels: an array of {idx, speaker, ..}; an idx that is none is null. corrections: an array of {idx, corrected_spk, ..}; items without an
+    idx are left out. cuts: an object {"cuts": [{after_idx, title, reason}]}, the first of each after_idx; one without makes its batch an error."""
+    if kind == "cuts":
+        return _parse_cuts(replies)
+    body = F.regexp_extract("reply", r"(?s)(\[.*\])", 1) if kind == "corrections" else reply_body(F.col("reply"))
     parsed = replies.withColumn("__v", F.try_parse_json(body)).withColumn("__a", F.when(F.col("__v").isNotNull() & body.startswith("["), F.from_json(body, REPLY)))
     errors = parsed.where("__a IS NULL").select("media_id", "batch_id", F.when(body == "", "no json").otherwise("bad json").alias("error"))
     items = parsed.select("media_id", "batch_id", F.posexplode("__a").alias("pos", "r"))
-    results = items.select("media_id", "batch_id", "pos", safe_idx(F.col("r.idx")).alias("idx"), F.coalesce("r.speaker", F.lit("?")).alias("speaker"), F.coalesce("r.speaker_raw", "r.speaker", F.lit("?")).alias("speaker_raw"), F.lower(F.coalesce("r.confidence", F.lit("unknown"))).alias("confidence"), F.coalesce("r.reason", F.lit("")).alias("reason"))
-    return results, errors
+    who = ["media_id", "batch_id", "pos", safe_idx(F.col("r.idx")).alias("idx")]
+    if kind == "corrections":
+        rows = items.select(*who, _text(F.col("r.original_spk"), "?").alias("original_spk"), _text(F.col("r.corrected_spk"), "?").alias("corrected_spk"), _text(F.col("r.confidence"), "low").alias("confidence"), _text(F.col("r.reason"), "").alias("reason"))
+        return rows.where("idx IS NOT NULL"), errors
+    return items.select(*who, _text(F.col("r.speaker"), "?").alias("speaker"), F.coalesce("r.speaker_raw", "r.speaker", F.lit("?")).alias("speaker_raw"), F.lower(_text(F.col("r.confidence"), "unknown")).alias("confidence"), _text(F.col("r.reason"), "").alias("reason")), errors
+
+
+def _parse_cuts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    body = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
+    parsed = replies.select("media_id", "batch_id", body.alias("__b"), F.try_parse_json(body).alias("__v"))
+    listed = F.schema_of_variant(F.try_variant_get("__v", "$.cuts", "variant")).startswith("ARRAY")
+    parsed = parsed.withColumn("__a", F.when(listed, F.from_json("__b", "cuts array<struct<after_idx:string,title:string,reason:string>>")["cuts"]))
+    lost = F.exists("__a", lambda x: x.isNull() | safe_idx(x["after_idx"]).isNull())
+    error = F.when(F.col("__b") == "", "no json").when(F.col("__v").isNull(), "bad json").when(F.col("__a").isNull(), "no cuts").when(lost, "bad after_idx")
+    parsed = parsed.withColumn("error", error)
+    items = parsed.where("error IS NULL").select("media_id", "batch_id", F.posexplode("__a").alias("pos", "r"))
+    plain = lambda c: strip(F.regexp_replace(_text(F.col(c), ""), r"(?U)\s+", " "))
+    cuts = items.select("media_id", "batch_id", "pos", safe_idx(F.col("r.after_idx")).alias("after_idx"), plain("r.title").alias("title"), plain("r.reason").alias("reason"))
+    first = cuts.groupBy("media_id", "batch_id", "after_idx").agg(F.min_by(F.struct("pos", "title", "reason"), "pos").alias("x")).select("media_id", "batch_id", "after_idx", "x.*")
+    return first, parsed.where("error IS NOT NULL").select("media_id", "batch_id", "error")
 
 
 def restrict(results: DataFrame, allowed: Sequence[str]) -> DataFrame:
@@ -89,10 +117,15 @@ def apply_reviews(cues: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def update_cuts(cuts: DataFrame, regions: DataFrame, new: DataFrame) -> DataFrame:
-    """cuts(media_id, after_idx): those inside a region (first_idx <= cut < last_idx) give way to the new ones."""
-    c, r = cuts.alias("c"), regions.alias("r")
-    inside = (F.col("c.media_id") == F.col("r.media_id")) & (F.col("c.after_idx") >= F.col("r.first_idx")) & (F.col("c.after_idx") < F.col("r.last_idx"))
-    return c.join(r, inside, "left_anti").select("media_id", "after_idx").union(new.select("media_id", "after_idx")).distinct()
+    """cuts(media_id, after_idx, title): those inside a region (first_idx <= cut < last_idx) give way to the new ones.
+
+    A cut's title follows it: a new title that is not empty wins, a cut that stays or comes back keeps its own, one that goes takes its title along."""
+    own = cuts.groupBy("media_id", "after_idx").agg(F.max("title").alias("__old"))
+    inside = regions.select("media_id", "first_idx", (F.col("last_idx") - 1).alias("__to"))
+    kept = idx_join(own, inside, "first_idx", "__to", "after_idx", "left_anti").select("media_id", "after_idx", F.lit(None).cast("string").alias("__new"))
+    fresh = new.groupBy("media_id", "after_idx").agg(F.max(F.nullif("title", F.lit(""))).alias("__new"))
+    every = kept.unionByName(fresh).groupBy("media_id", "after_idx").agg(F.max("__new").alias("__new"))
+    return every.join(own, ["media_id", "after_idx"], "left").select("media_id", "after_idx", F.coalesce("__new", "__old", F.lit("")).alias("title"))
 
 
 def filter_boundaries(reply: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_overrides, strip
+
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -25,16 +27,26 @@ def output_speakers(cues: DataFrame) -> DataFrame:
     return cues.groupBy("media_id", "speaker").agg(F.count("*").alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
 
 
-def style_profile(events: DataFrame) -> DataFrame:
-    """Per style: count, counts by event type and layer as maps, flag sums, and the first, middle and last text."""
-    pairs = lambda c: events.groupBy("style", F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n")).groupBy("style").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c))
+def style_profile(events: DataFrame, stretch: int = 4096) -> DataFrame:
+    """Per style: count, counts by event type, layer and name (empty ones aside) as maps, flag sums, and the first, middle and last visible text, cut at 240.
+
+    The middle event is found by counts of stretches of event_index and then by a window over one stretch, so a style that most events have is
+    never in one task."""
+    pairs = lambda c: events.where(F.col(c).cast("string") != "").groupBy("style", F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n")).groupBy("style").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c))
     flags = [c for c in ("drawing", "positioned", "karaoke", "top") if c in events.columns]
     n = events.groupBy("style").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in flags])
-    w = Window.partitionBy("style").orderBy("event_index")
-    at = events.select("style", "event_index", "text").withColumn("rn", F.row_number().over(w) - 1).join(n.select("style", "n"), "style")
-    kept = at.where((F.col("rn") == 0) | (F.col("rn") == F.floor(F.col("n") / 2)) | (F.col("rn") == F.col("n") - 1))
-    samples = kept.groupBy("style").agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("i")).select("style", F.transform("i", lambda x: x["text"]).alias("samples"))
-    return n.join(pairs("event_type"), "style").join(pairs("layer"), "style").join(samples, "style")
+    at = events.select("style", "event_index", F.substring(visible_text(F.col("text")), 1, 240).alias("text"), F.floor(F.col("event_index") / stretch).alias("s"))
+    ends = at.groupBy("style").agg(F.min_by(F.struct("event_index", "text"), "event_index").alias("a"), F.max_by(F.struct("event_index", "text"), "event_index").alias("z"))
+    w = Window.partitionBy("style").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy("style", "s").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0))).join(n.select("style", F.floor(F.col("n") / 2).alias("want")), "style")
+    place = parts.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("m"))).select("style", "s", (F.col("want") - F.col("before")).alias("want"))
+    inside = at.join(place, ["style", "s"]).withColumn("rn", F.row_number().over(Window.partitionBy("style").orderBy("event_index")) - 1)
+    middle = inside.where(F.col("rn") == F.col("want")).select("style", F.struct("event_index", "text").alias("m"))
+    samples = ends.join(middle, "style").select("style", F.transform(F.array_sort(F.array_distinct(F.array("a", "m", "z"))), lambda x: x["text"]).alias("samples"))
+    out = n.join(pairs("event_type"), "style").join(pairs("layer"), "style").join(samples, "style")
+    if "name" in events.columns:
+        out = out.join(pairs("name"), "style", "left")
+    return out
 
 
 def clip_report(clips: DataFrame) -> DataFrame:
@@ -42,16 +54,81 @@ def clip_report(clips: DataFrame) -> DataFrame:
     return clips.groupBy("speaker", "kind").agg(F.count("*").alias("clips"), F.sum("n_merged").alias("cues"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"))
 
 
-def apply_policy(events: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events with action, violations): comments are dropped, styles act by policy, an unknown style is an error;
-    kept events must have text, a valid time and no drawing."""
+def clip_stages(overlap: DataFrame, used: DataFrame, merged: DataFrame, long: DataFrame) -> DataFrame:
+    """Per media and speaker: clips after the overlap merge (of single and of shared cues, and cues joined), after the cap, after the adjacent merge and
+    after the minimum duration, the duration after the cap, and how many clips have each raw speaker."""
+    by = ["media_id", "speaker"]
+    total = overlap.groupBy(*by).agg(F.count("*").alias("clips_total"), F.count_if(F.col("kind") == "single").alias("from_single"), F.count_if(F.col("kind") == "multi").alias("from_multi"), F.sum(F.col("n_merged") - 1).alias("overlap_merged"))
+    capped = used.groupBy(*by).agg(F.count("*").alias("after_cap"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("used_ms"))
+    n = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    raw = used.groupBy(*by, "raw_speaker").agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("raw_speaker", "n")))).alias("variants"))
+    out = total.join(capped, by, "left").join(n(merged, "after_merge"), by, "left").join(n(long, "after_min_dur"), by, "left").join(raw, by, "left")
+    return out.na.fill(0, ["after_cap", "used_ms", "after_merge", "after_min_dur"])
+
+
+def alias_coverage(resolved: DataFrame) -> DataFrame:
+    """Cues by speaker, and whether an alias gave it."""
+    return counts_by(resolved, "speaker", "alias_hit")
+
+
+def alias_misses(resolved: DataFrame, top: int = 15) -> DataFrame:
+    """The variants without an alias that most cues have; ties by first cue."""
+    missed = resolved.where(~F.col("alias_hit") & (F.col("token") != ""))
+    return missed.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("media_id", "idx")).alias("first")).orderBy(F.desc("n"), "first").limit(top).drop("first")
+
+
+def normalise_stats(resolved: DataFrame) -> DataFrame:
+    """Alias hits and misses of single cues and of parts of shared ones, and empties, of resolved(is_multi, alias_hit, text)."""
+    multi, hit, empty = F.col("is_multi"), F.col("alias_hit"), F.col("text") == ""
+    n = F.count_if
+    return resolved.agg(F.count("*").alias("total"), n(~multi & hit & ~empty).alias("alias_hit_singles"), n(~multi & ~hit & ~empty).alias("alias_miss_singles"), n(multi & hit & ~empty).alias("alias_hit_parts"), n(multi & ~hit & ~empty).alias("alias_miss_parts"), n(empty).alias("empty_dropped"))
+
+
+def kept_by_kind(rows: DataFrame) -> DataFrame:
+    """Rows kept and dropped of each kind of rows(kind, text): single and multi ones without a text go, nonspeech and unlabeled ones stay."""
+    drop = F.col("kind").isin("single", "multi") & (F.col("text") == "")
+    return rows.groupBy("kind").agg(F.count_if(~drop).alias("kept"), F.count_if(drop).alias("dropped"))
+
+
+def drop_reasons(bucketed: DataFrame) -> DataFrame:
+    """Cues by the reason they were dropped for."""
+    return counts_by(bucketed.withColumn("reason", F.coalesce("dropped_for", F.lit("kept"))), "reason")
+
+
+def token_means(usage: DataFrame, *keys: str) -> DataFrame:
+    """Rows, rows with a token count, and the mean count, of usage(.., total_tokens)."""
+    return usage.groupBy(*keys).agg(F.count("*").alias("n"), F.count("total_tokens").alias("n_with_tokens"), F.avg("total_tokens").alias("mean_tokens"))
+
+
+def visible_text(text: Column) -> Column:
+    """What an event shows: overrides out, line breaks and hard spaces as such, lines trimmed, empty ones out."""
+    plain = F.replace(F.regexp_replace(drop_overrides(text), r"\\[Nn]", "\n"), F.lit("\\h"), F.lit(" "))
+    return F.array_join(F.filter(F.transform(F.split(plain, r"\r\n|[\n\r]"), strip), lambda x: x != ""), "\n")
+
+
+def apply_policy(events: DataFrame, policy: DataFrame, event_types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events with action, violations). Dialogue acts by its style, and a style that policy(style, action) lacks is an error; other events act
+    by event_types(event_type, action), or are for review. Kept events must have visible text, 0 <= start <= end and no drawing."""
     x = events.join(F.broadcast(policy.select("style", F.col("action").alias("__a"))), "style", "left")
-    x = x.withColumn("action", F.when(F.col("event_type") == "Comment", "drop_comment").otherwise(F.coalesce("__a", F.lit("error")))).drop("__a")
+    other = F.lit("review")
+    if event_types is not None:
+        x = x.join(F.broadcast(event_types.select("event_type", F.col("action").alias("__t"))), "event_type", "left")
+        other = F.coalesce("__t", other)
+    x = x.withColumn("action", F.when(F.col("event_type") != "Dialogue", other).otherwise(F.coalesce("__a", F.lit("error")))).drop("__a", "__t")
     kept = F.col("action") == "keep_dialogue"
-    rule = F.when(F.col("action") == "error", "unknown style").when(kept & F.col("drawing"), "drawing").when(kept & (F.trim("text") == ""), "empty text")
+    time = (F.col("start_ms") < 0) | (F.col("end_ms") < F.col("start_ms")) | F.col("start_ms").isNull() | F.col("end_ms").isNull()
+    rule = F.when(F.col("action") == "error", "unknown style").when(kept & F.col("drawing"), "drawing").when(kept & (visible_text(F.col("text")) == ""), "empty text").when(kept & time, "bad time")
     return x, x.select("event_index", "style", rule.alias("violation")).where("violation IS NOT NULL")
 
 
+def check_expected(actions: DataFrame, kept_events: int | None = None, review_events: int | None = None) -> DataFrame:
+    """(problem, expected, found): counts of actions(action, n) that are not those the policy expects; events left for review are one too."""
+    n = lambda a: F.coalesce(F.sum(F.when(F.col("action") == a, F.col("n"))), F.lit(0))
+    rows = [F.struct(F.lit(p).alias("problem"), F.lit(e).cast("long").alias("expected"), n(a).alias("found")) for p, e, a in (("kept events", kept_events, "keep_dialogue"), ("review events", review_events, "review")) if e is not None]
+    rows.append(F.struct(F.lit("review to resolve").alias("problem"), F.lit(0).cast("long").alias("expected"), n("review").alias("found")))
+    return actions.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("expected <> found")
+
+
 def check_policy(events: DataFrame, policy: DataFrame) -> DataFrame:
     """Styles that only one of events and policy has."""
     seen, known = events.select("style").distinct(), policy.select("style").distinct()

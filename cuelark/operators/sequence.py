@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import islands
+from ..scratch import stored
+from .intervals import idx_join, islands
 
 
 def review_target(c: str = "") -> Column:
@@ -74,24 +75,48 @@ def chunk(df: DataFrame, n: int = 80, order: str = "idx", name: str = "batch_id"
     return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / n).cast("int"))
 
 
-def budget_groups(scenes: DataFrame, max_ms: int = 90_000, max_cues: int = 30, max_scenes: int = 2) -> DataFrame:
+def budget_groups(scenes: DataFrame, max_ms: int = 90_000, max_cues: int = 30, max_scenes: int = 2, windows: DataFrame | None = None, gap_ms: int = 1000) -> DataFrame:
     """scenes(media_id, scene_id, start_ms, end_ms, n_cues) with `group_id`: greedy, in order; a scene over budget stays whole.
 
-    A media's scenes are one task's state; the fold looks at one group at a time."""
+    A group's time is the sum of its scenes' lengths, or, where windows(media_id, scene_id, start_ms, end_ms) has the padded windows of their
+    cues, the length of the union of the group's windows (those up to gap_ms apart join). A media's scenes are one task's state; the fold holds
+    the windows of one group at a time."""
+    own = scenes.select("media_id", "scene_id", "start_ms", "end_ms", "n_cues")
+    if windows is not None:
+        listed = windows.groupBy("media_id", "scene_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("windows"))
+        own = own.join(listed, ["media_id", "scene_id"], "left")
+    own = own if windows is not None else own.withColumn("windows", F.lit(None).cast("array<struct<start_ms:bigint,end_ms:bigint>>"))
+    compact = windows is not None
+
+    def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if out and a - out[-1][1] <= gap_ms:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("scene_id")
-        ids, group, size, cues, ms = [], 0, 0, 0, 0
-        for s, e, n in zip(*(table.column(c).to_pylist() for c in ("start_ms", "end_ms", "n_cues")), strict=True):
-            over = (max_scenes and size + 1 > max_scenes) or (max_cues and cues + n > max_cues) or (max_ms and ms + e - s > max_ms)
+        ids, group, size, cues, spans = [], 0, 0, 0, []
+        for s, e, n, own in zip(*(table.column(c).to_pylist() for c in ("start_ms", "end_ms", "n_cues", "windows")), strict=True):
+            mine = [(w["start_ms"], w["end_ms"]) for w in own or []] if compact else [(s, e)]
+            with_it = union(spans + mine) if compact else spans + mine
+            over = (max_scenes and size + 1 > max_scenes) or (max_cues and cues + n > max_cues) or (max_ms and sum(b - a for a, b in with_it) > max_ms)
             if size and over:
-                group, size, cues, ms = group + 1, 0, 0, 0
-            size, cues, ms = size + 1, cues + n, ms + e - s
+                group, size, cues, with_it = group + 1, 0, 0, union(mine) if compact else mine
+            size, cues, spans = size + 1, cues + n, with_it
             ids.append(group)
-        return table.append_column("group_id", pa.array(ids, pa.int32()))
+        return table.append_column("group_id", pa.array(ids, pa.int32())).drop_columns("windows")
+
+    return own.groupBy("media_id").applyInArrow(run, own.drop("windows").limit(0).withColumn("group_id", F.lit(0)).schema)
 
-    own = scenes.select("media_id", "scene_id", "start_ms", "end_ms", "n_cues")
-    return own.groupBy("media_id").applyInArrow(run, own.limit(0).withColumn("group_id", F.lit(0)).schema)
+
+def plan_summary(groups: DataFrame) -> DataFrame:
+    """Requests and their mean and largest scenes, cues and time, of budget_groups' rows."""
+    g = groups.groupBy("media_id", "group_id").agg(F.count("*").alias("s"), F.sum("n_cues").alias("c"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    return g.agg(F.count("*").alias("requests"), F.avg("s").alias("avg_scenes"), F.max("s").alias("max_scenes"), F.avg("c").alias("avg_cues"), F.max("c").alias("max_cues"), F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"))
 
 
 def split_sparse(targets: DataFrame, w: int = 5, max_ctx: int = 200) -> DataFrame:
@@ -114,20 +139,22 @@ def batch_context(context_rows: DataFrame, batch_targets: DataFrame) -> DataFram
     return context_rows.select("media_id", "batch_id", "idx").distinct().join(batch_targets, ["media_id", "batch_id", "idx"], "left_anti")
 
 
-def bisect_batches(rows: DataFrame, max_chars: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """rows(media_id, batch_id, idx, n_chars): batches halved until they fit; (rows with `piece`, rows too large alone).
+def bisect_batches(rows: DataFrame, max_chars: int = 50_000, overhead: int = 0, between: int = 1) -> tuple[DataFrame, DataFrame]:
+    """rows(media_id, batch_id, idx, n_chars): batches halved until their prompts fit; (rows with `piece`, rows too large alone).
 
-    Each pass halves every piece over the limit at once, so log2 of the largest batch bounds the passes, and a
-    piece's size is a window sum within it."""
+    A prompt has `overhead` characters (head, foot and context), its lines, and `between` characters between two lines. Of an odd number of
+    rows the first half has one less. Each pass halves every piece over the limit at once, so log2 of the largest batch bounds the passes,
+    and a piece's size is a window sum within it."""
     out = rows.withColumn("piece", F.lit(0).cast("long"))
     by = ["media_id", "batch_id", "piece"]
     passes = max(1, (rows.groupBy("media_id", "batch_id").count().agg(F.max("count")).first()[0] or 1) - 1).bit_length()
     for _ in range(passes):
         w = Window.partitionBy(*by)
-        half = F.row_number().over(w.orderBy("idx")) > F.ceil(F.count("*").over(w) / 2)
-        over = (F.sum("n_chars").over(w) > max_chars) & (F.count("*").over(w) > 1)
+        n = F.count("*").over(w)
+        half = F.row_number().over(w.orderBy("idx")) > F.floor(n / 2)
+        over = (F.sum("n_chars").over(w) + (n - 1) * between + overhead > max_chars) & (n > 1)
         out = out.withColumns({"__over": over, "__half": half}).withColumn("piece", F.col("piece") * 2 + F.when(F.col("__over") & F.col("__half"), 1).otherwise(0)).drop("__over", "__half")
-    return out, out.where(F.col("n_chars") > max_chars)
+    return out, out.where(F.col("n_chars") + overhead > max_chars)
 
 
 def prompts(batch_rows: DataFrame, head: str, foot: str, line: Column) -> DataFrame:
@@ -155,25 +182,70 @@ def pending(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def refine(cuts: DataFrame, step: Callable[[DataFrame], DataFrame], passes: int = 2) -> DataFrame:
-    """Cut sets refined up to `passes` times, until they stop changing."""
+    """Cut sets refined up to `passes` times, until they stop changing. Each pass is stored, so that the next does not run it again."""
+    cuts = stored(cuts)
     for _ in range(passes):
-        fresh = step(cuts)
+        fresh = stored(step(cuts))
         if fresh.exceptAll(cuts).isEmpty() and cuts.exceptAll(fresh).isEmpty():
             break
         cuts = fresh
     return cuts
 
 
+def by_hash(seed: int) -> list[Column]:
+    """A seeded order of cues that does not hang on their places: md5 of seed, media and idx."""
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("media_id").cast("string"), F.col("idx").cast("string")).cast("binary")), F.col("media_id"), F.col("idx")]
+
+
 def sample(df: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
-    """n rows by seeded hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "media_id", "idx"), "media_id", "idx").limit(n)
+    """n rows by seeded hash, in order of media and idx."""
+    return df.orderBy(*by_hash(seed)).limit(n).orderBy("media_id", "idx")
+
+
+STRATA = ("conflict", "rejected", "accepted")
+
+
+def stratified(df: DataFrame, stratum: str, mode: str = "mixed", n: int = 20, seed: int = 42) -> DataFrame:
+    """Up to n rows by seeded hash, in order of media and idx: of one stratum (conflict, rejected, accepted), of all rows (all), or mixed: a third of n,
+    one at least, of conflict and of rejected, and accepted rows for the rest.
+
+    A stratum gives n rows at most before anything is counted, so a common one is cut down in every task before it is shuffled."""
+    if mode == "all":
+        return sample(df, n, seed)
+    kept = df.where(F.col(stratum).isin(*STRATA if mode == "mixed" else [mode]))
+    w = Window.partitionBy(stratum).orderBy(*by_hash(seed))
+    few = kept.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    if mode == "mixed":
+        third = max(1, n // 3)
+        every = Window.partitionBy()  # 3 n rows at most
+        taken = sum((F.least(F.count_if(F.col(stratum) == s).over(every), F.lit(third)) for s in STRATA[:2]), F.lit(0))
+        few = few.withColumn("__quota", F.when(F.col(stratum) == "accepted", n - taken).otherwise(third)).where(F.col("__rn") <= F.col("__quota")).drop("__quota")
+    return few.drop("__rn").orderBy("media_id", "idx")
+
+
+def head_scenes(scenes: DataFrame, n: int) -> DataFrame:
+    """The first n enabled scenes of each media, numbered from 1."""
+    w = Window.partitionBy("media_id").orderBy("scene_id")
+    return scenes.where("enabled").withColumn("number", F.row_number().over(w).cast("long")).where(F.col("number") <= n)
+
+
+def scene_cues(scenes: DataFrame, cues: DataFrame, start_idx: int | None = None, end_idx: int | None = None, max_scenes: int = 1) -> DataFrame:
+    """(scene, cue) rows: spoken cues of enabled scenes within start_idx..end_idx; scenes left empty go, the others are numbered from 1 per media,
+    and the first max_scenes stay (0: all)."""
+    own = cues.where(speech())
+    own = own if start_idx is None else own.where(F.col("idx") >= start_idx)
+    own = own if end_idx is None else own.where(F.col("idx") <= end_idx)
+    j = idx_join(own.select("media_id", "idx"), scenes.where("enabled").select("media_id", "scene_id", "start_idx", "end_idx"))
+    w = Window.partitionBy("media_id").orderBy("scene_id")
+    out = j.select("p.media_id", "r.scene_id", "p.idx").withColumn("number", F.dense_rank().over(w).cast("long"))
+    return out.where(F.col("number") <= max_scenes) if max_scenes else out
 
 
-def stratified(df: DataFrame, stratum: str, quotas: dict[str, int], seed: int = 42) -> DataFrame:
-    """Up to a quota of rows of each stratum, by seeded hash."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), "media_id", "idx"), "media_id", "idx")
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(stratum)]
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= quota).drop("__rn")
+def candidate_pick(audit: DataFrame, cues: DataFrame, target: str, confidences: Sequence[str] = ("high", "mid")) -> DataFrame:
+    """(media, idx, source): cues audited for the target at one of the confidences; in a media without any, cues labelled with it; each once."""
+    sure = audit.where((F.col("speaker") == target) & F.col("confidence").isin(*confidences)).select("media_id", "idx").distinct().withColumn("source", F.lit("audit"))
+    said = cues.where(F.col("speaker") == target).select("media_id", "idx").distinct().withColumn("source", F.lit("srt"))
+    return sure.unionByName(said.join(sure.select("media_id").distinct(), "media_id", "left_anti"))
 
 
 def candidate_speakers(cues: DataFrame, core: list[str], k: int) -> DataFrame:
@@ -204,7 +276,6 @@ def long_scenes(scenes: DataFrame, max_ms: int = 120_000) -> DataFrame:
 
 def scene_preview(scenes: DataFrame, cues: DataFrame) -> DataFrame:
     """First / ... / last text of each scene; one text if it has one cue; empty titles fall back to it."""
-    c, s = cues.alias("c"), scenes.alias("s")
-    j = s.join(c, (F.col("s.media_id") == F.col("c.media_id")) & (F.col("c.idx") >= F.col("s.start_idx")) & (F.col("c.idx") <= F.col("s.end_idx")))
-    g = j.groupBy("s.media_id", "s.scene_id").agg(F.min_by("c.text", "c.idx").alias("a"), F.max_by("c.text", "c.idx").alias("b"), F.count("*").alias("n"))
+    j = idx_join(cues.select("media_id", "idx", "text"), scenes.select("media_id", "scene_id", "start_idx", "end_idx"))
+    g = j.groupBy("r.media_id", "r.scene_id").agg(F.min_by("p.text", "p.idx").alias("a"), F.max_by("p.text", "p.idx").alias("b"), F.count("*").alias("n"))
     return g.select("media_id", "scene_id", F.when(F.col("n") == 1, F.col("a")).otherwise(F.concat_ws(" / ... / ", "a", "b")).alias("preview"))

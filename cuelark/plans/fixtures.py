@@ -21,7 +21,7 @@ def cues(spark: SparkSession, d: str) -> DataFrame:
         F.expr("user_id div 10").alias("media_id"),
         i.alias("src"),
         start.alias("start_ms"),
-        (start + F.round(F.col("value") * 1000).cast("long")).alias("end_ms"),
+        F.when(i % 101 == 0, start).otherwise(start + F.round(F.col("value") * 1000).cast("long")).alias("end_ms"),
         speaker.alias("speaker"),
         (i % 7 == 0).alias("is_multi"),
         (i % 11 == 0).alias("is_lyric"),
@@ -37,7 +37,7 @@ CUES = f"""cues AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, src) AS INTEGER) AS idx,
          CASE WHEN is_multi THEN ['MULTI'] ELSE [] END AS tags
   FROM (SELECT user_id // 10 AS media_id, event_id AS src, (epoch_us(ts) - {EPOCH}) // 60000 AS start_ms,
-               (epoch_us(ts) - {EPOCH}) // 60000 + CAST(round(value * 1000) AS BIGINT) AS end_ms,
+               (epoch_us(ts) - {EPOCH}) // 60000 + CASE WHEN event_id % 101 = 0 THEN 0 ELSE CAST(round(value * 1000) AS BIGINT) END AS end_ms,
                CASE WHEN event_id % 13 = 0 THEN '?' WHEN event_id % 17 = 0 THEN 'NONSPEECH'
                     WHEN event_id % 19 = 0 THEN 'NONSPEECH:sfx' ELSE event_type END AS speaker,
                event_id % 7 = 0 AS is_multi, event_id % 11 = 0 AS is_lyric,
@@ -126,16 +126,33 @@ def replies(spark: SparkSession, d: str, size: int = 4) -> DataFrame:
     return b.select("media_id", "batch_id", reply.alias("reply"))
 
 
+#: Overrides before the texts: some are flags, some only look like one.
+OVERRIDES = (r"{\pos(1,1)}", r"{\p1}", r"{\k10}", r"{\an8}", "", r"{\PBO2}", r"{\p0}", r"{\an77}", r"{\KF5}", r"\kt5\h")
+
+
 def styled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, whole, as events of one file: every 97th starts before 0, every 89th ends before it starts."""
     x = table(spark, d, "documents")
-    tag = F.element_at(F.array(*map(F.lit, (r"{\pos(1,1)}", r"{\p1}", r"{\k10}", r"{\an8}", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return x.select(F.col("doc_id").alias("event_index"), F.col("source").alias("style"), F.when(F.col("doc_id") % 12 == 0, "Comment").otherwise("Dialogue").alias("event_type"), (F.col("doc_id") % 3).cast("int").alias("layer"), F.concat(tag, F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("text"))
+    i = F.col("doc_id")
+    tag = F.element_at(F.array(*map(F.lit, OVERRIDES)), (i % 10 + 1).cast("int"))
+    start = F.when(i % 97 == 0, F.lit(-1)).otherwise(i * 1000).cast("long")
+    kind = F.when(i % 12 == 0, "Comment").when(i % 30 == 1, "Picture").otherwise("Dialogue")
+    name = F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("n"), (i % 3).cast("string")))
+    return x.select(i.alias("event_index"), F.col("source").alias("style"), kind.alias("event_type"), (i % 3).cast("int").alias("layer"), name.alias("name"), start.alias("start_ms"), (start + F.when(i % 89 == 0, -500).otherwise(500)).alias("end_ms"), F.concat(tag, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+STYLED = f"""styled AS (
+  SELECT doc_id AS event_index, source AS style, CASE WHEN doc_id % 12 = 0 THEN 'Comment' WHEN doc_id % 30 = 1 THEN 'Picture' ELSE 'Dialogue' END AS event_type, CAST(doc_id % 3 AS INTEGER) AS layer,
+         CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'n' || doc_id % 3 END AS name, CASE WHEN doc_id % 97 = 0 THEN -1 ELSE doc_id * 1000 END AS start_ms,
+         CASE WHEN doc_id % 97 = 0 THEN -1 ELSE doc_id * 1000 END + CASE WHEN doc_id % 89 = 0 THEN -500 ELSE 500 END AS end_ms,
+         ([{', '.join("'" + o + "'" for o in OVERRIDES)}])[doc_id % 10 + 1] || coalesce(text, '') AS text
+  FROM documents)"""
+#: White space as Unicode has it, for the SQL's patterns.
+SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-STYLED = r"""styled AS (
-  SELECT doc_id AS event_index, source AS style, CASE WHEN doc_id % 12 = 0 THEN 'Comment' ELSE 'Dialogue' END AS event_type, CAST(doc_id % 3 AS INTEGER) AS layer,
-         (['{\pos(1,1)}', '{\p1}', '{\k10}', '{\an8}', ''])[doc_id % 5 + 1] || substring(coalesce(text, ''), 1, 40) AS text
-  FROM documents)"""
+def sql_strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{SPACES}+', ''), '{SPACES}+$', '')"
 
 
 def query(*parts: str) -> str:

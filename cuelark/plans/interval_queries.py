@@ -189,7 +189,7 @@ best AS (SELECT media_id, idx, string_agg(speaker || '=' || ms, ',' ORDER BY spe
         _runs("cr", "(SELECT media_id, idx AS speaker, start_ms, end_ms FROM hit)", _BY, "start_ms, end_ms", "start_ms > reach"),
         f"""cov AS (SELECT media_id, speaker AS idx, sum(e - s) AS ms FROM (SELECT media_id, speaker, run, min(start_ms) AS s, max(end_ms) AS e FROM cr GROUP BY ALL) GROUP BY media_id, speaker)
 SELECT c.media_id, c.idx, coalesce(candidate, '?') AS candidate, CASE WHEN c.speaker = 'NONSPEECH' THEN 'NONSPEECH' ELSE coalesce(candidate, '?') END AS chosen, coalesce("overlaps", '') AS "overlaps",
-       coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) AS coverage, coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) < 0.5 AS coverage_low,
+       CASE WHEN c.end_ms > c.start_ms THEN coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) ELSE 0 END AS coverage, CASE WHEN c.end_ms > c.start_ms THEN coalesce(cov.ms, 0) / (c.end_ms - c.start_ms) < 0.5 ELSE TRUE END AS coverage_low,
        least(c.end_ms, duration_ms + {offset}) - greatest(c.start_ms, {offset}) > 0 AS emitted,
        least(c.end_ms, duration_ms + {offset}) - greatest(c.start_ms, {offset}) > 0 AND (c.start_ms < {offset} OR c.end_ms > duration_ms + {offset}) AS boundary_crossing
 FROM spoken c JOIN audio USING (media_id) LEFT JOIN best USING (media_id, idx) LEFT JOIN cov USING (media_id, idx)""",
@@ -206,6 +206,32 @@ def j4_errors(spark, d):
     return e
 
 
+def j4_partial(spark, d):
+    return I.map_scenes(X.scenes(spark, d).withColumn("end_ms", F.col("end_ms") - F.when(F.col("scene_id") % 2 == 0, 3000).otherwise(0)), X.lines(spark, d), allow_partial=True)[1]
+
+
+def in_scenes(spark, d):
+    """Lines in requests of two scenes of three lines."""
+    return X.lines(spark, d).where("idx % 3 <> 0").withColumn("scene_id", F.expr("(idx - 1) div 3 + 1")).withColumn("batch_id", F.expr("(scene_id - 1) div 2"))
+
+
+def w6_continuous(spark, d):
+    s = X.scenes(spark, d).withColumn("batch_id", F.expr("(scene_id - 1) div 2"))
+    return I.continuous_clock(in_scenes(spark, d), s)[1]
+
+
+def w6_continuous_scenes(spark, d):
+    s = X.scenes(spark, d).withColumn("batch_id", F.expr("(scene_id - 1) div 2"))
+    return I.continuous_clock(in_scenes(spark, d), s)[0].select("media_id", "batch_id", "scene_id", "batch_start_ms", "batch_end_ms")
+
+
+def w6_scenes(spark, d):
+    c = in_scenes(spark, d)
+    return I.scenes_on_clock(c, I.compact_clock(c, I.compact_windows(c)))
+
+
+_ON = """bc AS (SELECT *, (idx - 1) // 3 + 1 AS scene_id, (idx - 1) // 6 AS batch_id FROM lines WHERE idx % 3 <> 0)"""
+_CLOCK = """ck AS (SELECT media_id, scene_id, start_ms, end_ms, (scene_id - 1) // 2 AS batch_id, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY media_id, (scene_id - 1) // 2 ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM scenes)"""
 _J4 = """sc AS (SELECT media_id, scene_id, start_ms, end_ms - CASE WHEN scene_id % 2 = 0 THEN 3000 ELSE 0 END AS end_ms FROM scenes),
 h AS (SELECT l.media_id, l.idx, s.scene_id FROM lines l JOIN sc s ON s.media_id = l.media_id AND (l.start_ms + l.end_ms) / 2.0 BETWEEN s.start_ms AND s.end_ms)"""
 
@@ -226,6 +252,10 @@ QUERIES = {
     "j3_preceding_context": j3,
     "j4_map_scenes": j4,
     "j4_scene_errors": j4_errors,
+    "j4_partial_errors": j4_partial,
+    "w6_continuous_clock": w6_continuous,
+    "w6_continuous_scenes": w6_continuous_scenes,
+    "w6_scenes_on_clock": w6_scenes,
     "j5_a16_attach_segments": j5,
     "j5_a16_attach_shifted": lambda s, d: j5(s, d, 10_000),
     "j17_drop_cross_speaker": j17,
@@ -255,6 +285,14 @@ FROM bc b JOIN win ON win.media_id = b.media_id AND win.batch_id = b.batch_id AN
 SELECT media_id, 'cue in several scenes' AS error, idx AS id FROM h GROUP BY media_id, idx HAVING count(*) > 1
 UNION ALL SELECT media_id, 'cue in no scene', idx FROM lines l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.media_id = l.media_id AND h.idx = l.idx)
 UNION ALL SELECT media_id, 'empty scene', scene_id FROM sc s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.media_id = s.media_id AND h.scene_id = s.scene_id)"""),
+    "j4_partial_errors": X.query(X.LINES, X.SCENES, _J4 + """
+SELECT media_id, 'cue in several scenes' AS error, idx AS id FROM h GROUP BY media_id, idx HAVING count(*) > 1
+UNION ALL SELECT media_id, 'empty scene', scene_id FROM sc s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.media_id = s.media_id AND h.scene_id = s.scene_id)"""),
+    "w6_continuous_clock": X.query(X.LINES, X.SCENES, _ON, _CLOCK + "\nSELECT c.media_id, c.batch_id, c.scene_id, c.idx, c.start_ms - k.start_ms + o AS clock_start_ms, c.end_ms - k.start_ms + o AS clock_end_ms FROM bc c JOIN ck k USING (media_id, batch_id, scene_id)"),
+    "w6_continuous_scenes": X.query(X.LINES, X.SCENES, _CLOCK + "\nSELECT media_id, batch_id, scene_id, o AS batch_start_ms, o + end_ms - start_ms AS batch_end_ms FROM ck"),
+    "w6_scenes_on_clock": X.query(X.LINES, _ON, WINDOWS, """cl AS (SELECT b.media_id, b.batch_id, b.scene_id, b.start_ms + arg_min(offset_ms - win.start_ms, window_id) AS a, b.end_ms + arg_min(offset_ms - win.start_ms, window_id) AS z
+  FROM bc b JOIN win ON win.media_id = b.media_id AND win.batch_id = b.batch_id AND b.start_ms >= win.start_ms AND b.end_ms <= win.end_ms GROUP BY b.media_id, b.batch_id, b.scene_id, b.idx, b.start_ms, b.end_ms)
+SELECT media_id, batch_id, scene_id, min(a) AS batch_start_ms, max(z) AS batch_end_ms FROM cl GROUP BY ALL"""),
     "j5_a16_attach_segments": _j5_sql(0),
     "j5_a16_attach_shifted": _j5_sql(10000),
     "j17_drop_cross_speaker": X.query(X.CUES, _CONFLICT.format(t=200) + "\nSELECT media_id, idx, speaker, start_ms, end_ms FROM calm"),

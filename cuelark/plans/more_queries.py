@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,18 +58,14 @@ SELECT media_id, src, part, speaker, text, row_number() OVER (PARTITION BY media
 
 
 def t7(spark, d):
-    w = Window.partitionBy("media_id").orderBy("scene_id")
-    return X.scenes(spark, d).where("enabled").withColumn("number", F.row_number().over(w).cast("long")).where("number <= 2").select("media_id", "scene_id", "number")
+    return S.head_scenes(X.scenes(spark, d), 2).select("media_id", "scene_id", "number")
 
 
 T7 = X.query(X.LINES, X.SCENES + "\nSELECT media_id, scene_id, row_number() OVER (PARTITION BY media_id ORDER BY scene_id) AS number FROM scenes WHERE enabled QUALIFY number <= 2")
 
 
 def t8(spark, d):
-    """Cues audited for a target with confidence, else cues labelled with it, each once."""
-    audit = X.preds(spark, d).where("speaker = 'user' AND confidence IN ('high', 'mid')").select("media_id", F.col("pid").alias("idx"), F.lit("audit").alias("source"))
-    srt = X.lines(spark, d).where("speaker = 'user'").select("media_id", "idx", F.lit("srt").alias("source"))
-    return audit.dropDuplicates(["media_id", "idx"]).unionByName(srt.join(audit.select("media_id").distinct(), "media_id", "left_anti"))
+    return S.candidate_pick(X.preds(spark, d).withColumnRenamed("pid", "idx"), X.lines(spark, d), "user")
 
 
 T8 = X.query(X.LINES, X.PREDS, "a AS (SELECT DISTINCT media_id, pid AS idx, 'audit' AS source FROM preds WHERE speaker = 'user' AND confidence IN ('high', 'mid'))\nSELECT * FROM a UNION ALL SELECT media_id, idx, 'srt' FROM lines WHERE speaker = 'user' AND media_id NOT IN (SELECT media_id FROM a)")
@@ -78,7 +73,7 @@ T8 = X.query(X.LINES, X.PREDS, "a AS (SELECT DISTINCT media_id, pid AS idx, 'aud
 
 def s17(spark, d):
     c = subtitles.parse_srt(subtitles.render_srt(X.cues(spark, d)))
-    return c.select("media_id", "idx", T.prediction_label(F.col("speaker"), ("click", "view")).alias("speaker"), F.col("speaker").alias("speaker_raw"), F.lit("unknown").alias("confidence"))
+    return subtitles.srt_predictions(c, ["click", "view"]).select("media_id", F.col("pid").alias("idx"), "speaker", "speaker_raw", "confidence")
 
 
 S17 = X.query(X.CUES + "\nSELECT media_id, idx, CASE WHEN starts_with(speaker, 'NONSPEECH') THEN 'NONSPEECH' WHEN speaker IN ('click', 'view', '?') THEN speaker ELSE 'OTHER' END AS speaker, speaker AS speaker_raw, 'unknown' AS confidence FROM cues")

@@ -127,16 +127,18 @@ FROM (SELECT *, CASE WHEN idx % 3 = 0 THEN speaker ELSE predicted END AS q FROM
 
 
 def j16(spark, d):
-    a = X.lines(spark, d)
+    tagged = lambda df, on: df.withColumn("tags", F.when(on, F.array(F.lit("MULTI"))).otherwise(F.array().cast("array<string>")))
+    a = tagged(X.lines(spark, d), F.col("idx") % 4 == 0).withColumn("source_entries", F.array("idx"))
     b = X.preds(spark, d).withColumnRenamed("pid", "idx")
-    return A.diff_cues(a, b)
+    b = tagged(b, (F.col("idx") % 4 == 0) & (F.col("idx") % 12 != 0)).withColumn("source_entries", F.array(F.when(F.col("idx") % 11 == 0, 0).otherwise(F.col("idx"))))
+    return A.diff_cues(a, b, source=True)
 
 
 J16 = X.query(X.LINES, X.PREDS + """
-SELECT coalesce(x.media_id, y.media_id) AS media_id, coalesce(x.idx, y.pid) AS idx,
-       CASE WHEN y.pid IS NULL THEN 'only in first' WHEN x.idx IS NULL THEN 'only in second' WHEN x.start_ms <> y.start_ms OR x.end_ms <> y.end_ms THEN 'time' WHEN x.speaker <> y.speaker THEN 'speaker' ELSE 'text' END AS difference
-FROM lines x FULL OUTER JOIN preds y ON x.media_id = y.media_id AND x.idx = y.pid
-WHERE y.pid IS NULL OR x.idx IS NULL OR x.start_ms <> y.start_ms OR x.end_ms <> y.end_ms OR x.speaker IS DISTINCT FROM y.speaker OR x.text <> y.text""")
+SELECT * FROM (SELECT coalesce(x.media_id, y.media_id) AS media_id, coalesce(x.idx, y.pid) AS idx,
+       CASE WHEN y.pid IS NULL THEN 'only in first' WHEN x.idx IS NULL THEN 'only in second' WHEN x.start_ms <> y.start_ms OR x.end_ms <> y.end_ms THEN 'time' WHEN x.speaker IS DISTINCT FROM y.speaker THEN 'speaker'
+            WHEN x.idx % 12 = 0 THEN 'tags' WHEN x.text <> y.text THEN 'text' WHEN x.idx % 11 = 0 THEN 'source' END AS difference
+FROM lines x FULL OUTER JOIN preds y ON x.media_id = y.media_id AND x.idx = y.pid) WHERE difference IS NOT NULL""")
 
 
 def samples(spark, d):
@@ -147,7 +149,16 @@ def samples(spark, d):
 
 
 def a17(spark, d):
-    return A.score_clusters(samples(spark, d))
+    return A.score_clusters(samples(spark, d))[1]
+
+
+def a17_clusters(spark, d):
+    return A.score_clusters(samples(spark, d))[0]
+
+
+def a17_gates(spark, d):
+    metrics = A.score_clusters(samples(spark, d))[1]
+    return A.gates(metrics, "one", "two", purity=0.2).unionByName(A.gates(metrics, "two", "one", accuracy=0.1))
 
 
 A17 = """WITH s AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'one' ELSE 'two' END AS method, CASE WHEN vec_id % 5 = 0 THEN 'long' ELSE 'short' END AS stage, CAST(label AS VARCHAR) AS gold,
@@ -156,8 +167,27 @@ b AS (SELECT method, predicted, gold AS mapped FROM (SELECT method, predicted, g
 x AS (SELECT s.*, coalesce(b.mapped = s.gold, FALSE) AS ok FROM s LEFT JOIN b USING (method, predicted)),
 c AS (SELECT method, count(*) FILTER (WHERE stage = 'long' AND ok) AS long_right, count(*) FILTER (WHERE stage = 'long') AS n_long, count(*) FILTER (WHERE stage = 'short' AND ok) AS short_right, count(*) FILTER (WHERE stage = 'short') AS n_short,
   count(*) FILTER (WHERE stage = 'short' AND predicted = 'UNKNOWN') AS short_unknown FROM x GROUP BY method)
-SELECT *, CASE WHEN n_long > 0 THEN long_right / n_long END AS purity, CASE WHEN n_short > 0 THEN short_right / n_short END AS accuracy, CASE WHEN n_short > 0 THEN short_unknown / n_short END AS unknown_rate,
-  CASE WHEN n_short > 0 THEN short_right / n_short END >= 0.85 AS accuracy_ok, CASE WHEN n_short > 0 THEN short_unknown / n_short END <= 0.30 AS unknown_ok FROM c"""
+SELECT *, CASE WHEN n_long > 0 THEN long_right / n_long END AS purity, CASE WHEN n_short > 0 THEN short_right / n_short END AS accuracy, CASE WHEN n_short > 0 THEN short_unknown / n_short END AS unknown_rate FROM c"""
+A17C = A17.split(",\nb AS")[0] + """,
+v AS (SELECT method, predicted AS cluster, gold, count(*) AS n FROM s WHERE stage = 'long' AND predicted <> 'UNKNOWN' GROUP BY ALL)
+SELECT method, cluster, arg_min(gold, (-n, gold)) AS gold_speaker, sum(n) AS samples, max(n) / sum(n) AS purity FROM v GROUP BY method, cluster"""
+A17G = f"""WITH m AS ({A17}), p AS (SELECT a.*, b.accuracy AS base, CASE a.method WHEN 'two' THEN 0.2 ELSE 0.95 END AS lp, CASE a.method WHEN 'two' THEN 0.85 ELSE 0.1 END AS la FROM m a JOIN m b ON a.method <> b.method)
+SELECT *, long_purity AND short_accuracy AND short_unknown AND improvement AS passed FROM
+ (SELECT method, accuracy - base AS short_accuracy_gain, purity >= lp AS long_purity, accuracy >= la AS short_accuracy, unknown_rate <= 0.30 AS short_unknown, accuracy > base AS improvement FROM p)"""
+
+
+def combined(spark, d):
+    """Every seventh gold cue is said by two."""
+    m = matches(spark, d)[0]
+    return A.judged(m.withColumn("speaker", F.when(F.col("idx") % 7 == 0, "user&assistant").otherwise(F.col("speaker"))), CAST)
+
+
+def a13_combinations(spark, d):
+    return A.combination_detail(combined(spark, d))
+
+
+def a13_predicted_on(spark, d):
+    return A.predicted_on(judged(spark, d), [("user", "assistant"), ("system", "user"), ("nobody", "user")])
 
 
 def p1(spark, d):
@@ -176,9 +206,9 @@ def p2(spark, d):
     return s.select("event_index", T.clean_text(F.col("text")).alias("clean"), *[v.alias(k) for k, v in T.ass_flags(F.col("text")).items()])
 
 
-P2 = X.query(X.STYLED + r"""
-SELECT event_index, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(text, '\{[^}]*\}', '', 'g'), '\h', ' '), '\\N|\n'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), '\N') AS clean,
-       regexp_matches(text, '\{[^}]*\\p[1-9]') AS drawing, regexp_matches(text, '\\(?:pos|move)\(') AS positioned, regexp_matches(text, '\\[kK][fot]?\d') AS karaoke, regexp_matches(text, '\\an[789]') AS top
+P2 = X.query(X.STYLED + rf"""
+SELECT event_index, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(translate(regexp_replace(text, '\{{[^}}]*\}}', '', 'g'), chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(65279), ''), '\h', ' '), '\\N|\n'), lambda x: {X.sql_strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^[~ \x{{3000}}]*[♪♫♬]')), '\N') AS clean,
+       regexp_matches(text, '(?i)\\p(bo)?[1-9]') AS drawing, regexp_matches(text, '(?i)\\(pos|move)\(') AS positioned, regexp_matches(text, '(?i)\\k[fo]?[0-9]') AS karaoke, regexp_matches(text, '(?i)\\an[789]([^0-9]|$)') AS top
 FROM styled""")
 
 
@@ -208,16 +238,19 @@ def p9(spark, d):
     return c.select("media_id", "idx", T.file_name(F.col("start_ms"), F.col("speaker"), F.col("text"), F.col("idx")).alias("name"))
 
 
-P9 = X.query(X.CUES, """t AS (SELECT *, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) AS cs FROM cues)
-SELECT media_id, idx, CASE WHEN idx < 10000 THEN lpad(CAST(idx AS VARCHAR), 4, '0') ELSE substring(CAST(idx AS VARCHAR), 1, 4) END || '_' || printf('%d-%02d-%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) || '_' || regexp_replace(speaker, '[:?]', '_', 'g') || '_' ||
+# the speaker, at 30 characters, with runs of characters no file system takes as one _; the first sentence likewise, at 20
+P9 = X.query(X.CUES, r"""t AS (SELECT *, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) AS cs, regexp_replace(speaker, '[\\/:*?"<>|]+', '_', 'g') AS who FROM cues)
+SELECT media_id, idx, CASE WHEN idx < 10000 THEN lpad(CAST(idx AS VARCHAR), 4, '0') ELSE CAST(idx AS VARCHAR) END || '_' || who || '_' || printf('%d-%02d-%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) || '_' ||
        CASE WHEN text = '' THEN '_' ELSE substring(replace(text, ' ', '_'), 1, 20) END AS name FROM t""")
 
-QUERIES = {"j6_j7_j8_align": j6, "j12_unmatched": j12, "a9_accuracy_slices": a9, "a10_per_speaker": a10, "a11_calibration": a11, "a12_alignment_summary": a12, "a13_confusion": a13, "a13_swaps": a13_swaps, "t4_error_sample": t4, "j15_compare_policies": j15, "j16_diff_cues": j16, "a17_score_clusters": a17, "p1_time_codecs": p1, "p2_p13_clean_and_flags": p2, "p6_p8_match_key": p6, "p7_labels": p7, "p9_file_name": p9}
+QUERIES = {"j6_j7_j8_align": j6, "j12_unmatched": j12, "a9_accuracy_slices": a9, "a10_per_speaker": a10, "a11_calibration": a11, "a12_alignment_summary": a12, "a13_confusion": a13, "a13_swaps": a13_swaps, "t4_error_sample": t4, "j15_compare_policies": j15, "j16_diff_cues": j16, "a17_score_clusters": a17, "a17_clusters": a17_clusters, "a17_gates": a17_gates, "a13_combination_detail": a13_combinations, "a13_predicted_on": a13_predicted_on, "p1_time_codecs": p1, "p2_p13_clean_and_flags": p2, "p6_p8_match_key": p6, "p7_labels": p7, "p9_file_name": p9}
 ORACLES = {
     "j6_j7_j8_align": _score("SELECT media_id, idx, pid, method, pred_speaker, confidence FROM m"),
     "j12_unmatched": _score("SELECT media_id, pid, speaker FROM preds WHERE (media_id, pid) NOT IN (SELECT (media_id, pid) FROM fnd)"),
     "a9_accuracy_slices": A9, "a10_per_speaker": A10, "a11_calibration": A11, "a12_alignment_summary": A12,
     "a13_confusion": _score("SELECT target, predicted, count(*) AS n FROM jj WHERE NOT ok GROUP BY ALL"),
     "a13_swaps": _score("SELECT a, b, count(*) FILTER (WHERE target = a AND predicted = b) AS a_as_b, count(*) FILTER (WHERE target = b AND predicted = a) AS b_as_a, count(*) FILTER (WHERE ok) AS correct, count(*) AS total FROM jj JOIN (VALUES ('user', 'assistant'), ('assistant', 'OTHER')) v(a, b) ON target IN (a, b) GROUP BY a, b"),
-    "t4_error_sample": T4, "j15_compare_policies": J15, "j16_diff_cues": J16, "a17_score_clusters": A17, "p1_time_codecs": P1, "p2_p13_clean_and_flags": P2, "p6_p8_match_key": P6, "p7_labels": P7, "p9_file_name": P9,
+    "t4_error_sample": T4, "j15_compare_policies": J15, "j16_diff_cues": J16, "a17_score_clusters": A17, "a17_clusters": A17C, "a17_gates": A17G,
+    "a13_combination_detail": _score("SELECT 'user&assistant' AS speaker, predicted, count(*) AS n FROM jj WHERE idx % 7 = 0 GROUP BY ALL"),
+    "a13_predicted_on": _score("SELECT gold, label, count(*) FILTER (WHERE predicted = label) AS given, count(jj.idx) AS total FROM (VALUES ('user', 'assistant'), ('system', 'user'), ('nobody', 'user')) v(gold, label) LEFT JOIN jj ON jj.speaker = gold GROUP BY ALL"), "p1_time_codecs": P1, "p2_p13_clean_and_flags": P2, "p6_p8_match_key": P6, "p7_labels": P7, "p9_file_name": P9,
 }

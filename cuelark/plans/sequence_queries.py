@@ -96,12 +96,14 @@ W13 = X.query(X.LINES + "\nSELECT t.media_id, t.idx AS target_idx, c.idx, c.idx
 
 def w14(spark, d):
     rows = S.chunk(X.lines(spark, d), 64).select("media_id", "batch_id", "idx", F.char_length("text").alias("n_chars"))
-    out, large = S.bisect_batches(rows, 600)
-    return out.groupBy("media_id", "batch_id", "piece").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).select("media_id", "batch_id", "n", "n_chars")
+    out, _ = S.bisect_batches(rows, 600, overhead=50)
+    return out.groupBy("media_id", "batch_id", "piece").agg(F.min("idx").alias("first"), F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).select("media_id", "batch_id", "first", "n", "n_chars")
 
 
-def w15(spark, d):
-    return S.chunk(X.cues(spark, d), 10).select("media_id", "idx", "batch_id").where("batch_id < 3")
+_FITS = "(len(l) = 1 OR list_sum(list_transform(l, lambda x: x.n)) + len(l) - 1 + 50 <= 600)"
+W14 = X.query(X.LINES, f"""h AS (SELECT media_id, (idx - 1) // 64 AS batch_id, list({{'i': idx, 'n': length(text)}} ORDER BY idx) AS l FROM lines GROUP BY ALL
+  UNION ALL SELECT media_id, batch_id, unnest([l[1:len(l) // 2], l[len(l) // 2 + 1:]]) AS l FROM h WHERE NOT {_FITS})
+SELECT media_id, CAST(batch_id AS INTEGER) AS batch_id, l[1].i AS first, len(l) AS n, list_sum(list_transform(l, lambda x: x.n)) AS n_chars FROM h WHERE {_FITS}""")
 
 
 def w16(spark, d):
@@ -155,18 +157,55 @@ def f3(spark, d):
 
 
 def j2(spark, d):
-    s = X.scenes(spark, d).where("enabled").alias("s")
-    c = X.lines(spark, d).where(S.speech()).alias("c")
-    j = s.join(c, (F.col("s.media_id") == F.col("c.media_id")) & F.col("c.idx").between(F.col("s.start_idx"), F.col("s.end_idx")))
-    from pyspark.sql import Window
+    return S.scene_cues(X.scenes(spark, d), X.lines(spark, d), max_scenes=0)
 
-    w = Window.partitionBy("media_id").orderBy("scene_id")
-    return j.select("s.media_id", "s.scene_id", "c.idx").withColumn("number", F.dense_rank().over(w).cast("long"))
+
+def j2_some(spark, d):
+    return S.scene_cues(X.scenes(spark, d), X.lines(spark, d), 5, 14, 2)
 
 
 J2 = X.query(X.LINES, X.SCENES + "\nSELECT s.media_id, s.scene_id, c.idx, dense_rank() OVER (PARTITION BY s.media_id ORDER BY s.scene_id) AS number FROM scenes s JOIN lines c ON c.media_id = s.media_id AND c.idx BETWEEN s.start_idx AND s.end_idx WHERE s.enabled AND NOT starts_with(c.speaker, 'NONSPEECH')")
 
 
+J2S = X.query(X.LINES, X.SCENES + "\nSELECT s.media_id, s.scene_id, c.idx, dense_rank() OVER (PARTITION BY s.media_id ORDER BY s.scene_id) AS number FROM scenes s JOIN lines c ON c.media_id = s.media_id AND c.idx BETWEEN s.start_idx AND s.end_idx WHERE s.enabled AND NOT starts_with(c.speaker, 'NONSPEECH') AND c.idx BETWEEN 5 AND 14 QUALIFY number <= 2")
+
+
+def cut_replies(spark, d):
+    """A cut for every third prediction of a media, each given twice; every tenth media has no cuts array, every eleventh a cut without an idx."""
+    x = X.preds(spark, d).where("pid % 3 = 0").groupBy("media_id").agg(F.array_sort(F.collect_list("pid")).alias("p"))
+    item = lambda i: F.concat(F.lit('{"after_idx":'), i.cast("string"), F.lit(',"title":" a\\n title ","reason":"r"},{"after_idx":"'), i.cast("string"), F.lit('","title":"second"}'))
+    cuts = F.concat(F.lit('{"cuts":['), F.array_join(F.transform("p", item), ","), F.lit("]}"))
+    m = F.col("media_id")
+    body = F.when(m % 10 == 0, '{"cuts":"none"}').when(m % 11 == 0, F.replace(cuts, F.lit('"reason":"r"},'), F.lit('"reason":"r"},{"title":"lost"},'))).when(m % 13 == 0, "no answer").otherwise(cuts)
+    return x.select("media_id", F.lit(0).alias("batch_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("reply"))
+
+
+def p10_cuts(spark, d):
+    return L.parse_replies(cut_replies(spark, d), "cuts")[0].select("media_id", "batch_id", "after_idx", "title", "reason")
+
+
+def p10_cut_errors(spark, d):
+    return L.parse_replies(cut_replies(spark, d), "cuts")[1]
+
+
+_CUT = "SELECT DISTINCT media_id, 0 AS batch_id"
+P10C = X.query(X.LINES, X.PREDS + "\nSELECT media_id, 0 AS batch_id, pid AS after_idx, 'a title' AS title, 'r' AS reason FROM preds WHERE pid % 3 = 0 AND media_id % 10 <> 0 AND media_id % 11 <> 0 AND media_id % 13 <> 0")
+P10CE = X.query(X.LINES, X.PREDS + "\nSELECT DISTINCT media_id, 0 AS batch_id, CASE WHEN media_id % 10 = 0 THEN 'no cuts' WHEN media_id % 11 = 0 THEN 'bad after_idx' ELSE 'no json' END AS error FROM preds WHERE pid % 3 = 0 AND (media_id % 10 = 0 OR media_id % 11 = 0 OR media_id % 13 = 0)")
+
+
+def p10_corrections(spark, d):
+    """Corrections of a media's predictions: some without a confidence, some without an idx."""
+    x = X.preds(spark, d)
+    n = F.col("pid")
+    item = F.concat(F.lit("{"), F.when(n % 6 != 0, F.concat(F.lit('"idx":'), n.cast("string"), F.lit(","))).otherwise(F.lit("")), F.lit('"original_spk":"x","corrected_spk":"'), F.col("speaker"), F.lit('"'), F.when(n % 4 != 0, F.concat(F.lit(',"confidence":"'), F.col("confidence"), F.lit('"'))).otherwise(F.lit("")), F.lit("}"))
+    r = x.withColumn("item", item).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pid", "item"))).alias("i"))
+    replies = r.select("media_id", F.lit(1).alias("batch_id"), F.concat(F.lit("Here {it} is: ["), F.array_join(F.transform("i", lambda i: i["item"]), ","), F.lit("] done")).alias("reply"))
+    return L.parse_replies(replies, "corrections")[0].select("media_id", "batch_id", "idx", "original_spk", "corrected_spk", "confidence")
+
+
+P10K = X.query(X.LINES, X.PREDS + "\nSELECT media_id, 1 AS batch_id, pid AS idx, 'x' AS original_spk, speaker AS corrected_spk, CASE WHEN pid % 4 = 0 THEN 'low' ELSE confidence END AS confidence FROM preds WHERE pid % 6 <> 0")
+
+
 def p10(spark, d):
     return L.parse_replies(X.replies(spark, d))[0].drop("reason")
 
@@ -237,13 +276,14 @@ FROM lines l LEFT JOIN preds p ON p.media_id = l.media_id AND p.pid = l.idx""")
 
 
 def x2(spark, d):
-    c = cuts(spark, d)
+    c = cuts(spark, d).withColumn("title", F.concat(F.lit("old "), F.col("after_idx").cast("string")))
     regions = X.scenes(spark, d).where("scene_id % 2 = 0").select("media_id", F.col("start_idx").alias("first_idx"), F.col("end_idx").alias("last_idx"))
-    new = X.lines(spark, d).where("idx % 5 = 0").select("media_id", F.col("idx").alias("after_idx"))
+    new = X.lines(spark, d).where("idx % 5 = 0").select("media_id", F.col("idx").alias("after_idx"), F.when(F.col("idx") % 2 == 0, "").otherwise(F.concat(F.lit("new "), F.col("idx").cast("string"))).alias("title"))
     return L.update_cuts(c, regions, new)
 
 
-X2 = X.query(X.LINES, X.SCENES + "\nSELECT media_id, idx AS after_idx FROM lines c WHERE idx % 3 = 0 AND NOT EXISTS (SELECT 1 FROM scenes r WHERE r.media_id = c.media_id AND r.scene_id % 2 = 0 AND c.idx >= r.start_idx AND c.idx < r.end_idx) UNION SELECT media_id, idx FROM lines WHERE idx % 5 = 0")
+X2 = X.query(X.LINES, X.SCENES, """k AS (SELECT media_id, idx FROM lines c WHERE idx % 3 = 0 AND NOT EXISTS (SELECT 1 FROM scenes r WHERE r.media_id = c.media_id AND r.scene_id % 2 = 0 AND c.idx >= r.start_idx AND c.idx < r.end_idx) UNION SELECT media_id, idx FROM lines WHERE idx % 5 = 0)
+SELECT media_id, idx AS after_idx, CASE WHEN idx % 5 = 0 AND idx % 2 <> 0 THEN 'new ' || idx WHEN idx % 3 = 0 THEN 'old ' || idx ELSE '' END AS title FROM k""")
 
 
 def x3(spark, d):
@@ -290,11 +330,30 @@ A19 = X.query(X.LINES, X.SCENES + "\nSELECT s.media_id, s.scene_id, CASE WHEN co
 
 
 def a14(spark, d):
-    g = S.budget_groups(_scenes(spark, d), 60_000, 20, 3).groupBy("media_id", "group_id").agg(F.count("*").alias("s"), F.sum("n_cues").alias("c"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
-    return g.agg(F.count("*").alias("requests"), F.avg("s").alias("avg_scenes"), F.avg("c").alias("avg_cues"), F.max("c").alias("max_cues"), F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"))
+    return S.plan_summary(S.budget_groups(_scenes(spark, d), 60_000, 20, 3))
+
+
+A14 = W11.split("\nSELECT media_id, group_id")[0] + ",\ngr AS (SELECT w.media_id, group_id, count(*) AS s, sum(w.n_cues) AS c, sum(cs.end_ms - cs.start_ms) AS ms FROM walk w JOIN cs USING (media_id, scene_id) GROUP BY ALL)\nSELECT count(*) AS requests, avg(s) AS avg_scenes, max(s) AS max_scenes, avg(c) AS avg_cues, max(c) AS max_cues, avg(ms) AS avg_ms, max(ms) AS max_ms FROM gr"
+
+
+def w11_compact(spark, d):
+    """Requests by the union of their cues' padded windows; tests compare it with the fold written out."""
+    s = _scenes(spark, d)
+    from ..operators.intervals import idx_join
+
+    j = idx_join(X.cues(spark, d).select("media_id", "idx", "start_ms", "end_ms"), s.select("media_id", "scene_id", "start_idx", "end_idx"))
+    w = j.select("p.media_id", "r.scene_id", F.greatest(F.lit(0), F.col("p.start_ms") - 1000).alias("start_ms"), (F.col("p.end_ms") + 1000).alias("end_ms"))
+    return S.budget_groups(s, 20_000, 30, 0, w).groupBy("media_id", "group_id").agg(F.min("scene_id").alias("first_scene"), F.count("*").alias("n_scenes"), F.sum("n_cues").alias("n_cues"))
 
 
-A14 = W11.split("\nSELECT media_id, group_id")[0] + ",\ngr AS (SELECT w.media_id, group_id, count(*) AS s, sum(w.n_cues) AS c, sum(cs.end_ms - cs.start_ms) AS ms FROM walk w JOIN cs USING (media_id, scene_id) GROUP BY ALL)\nSELECT count(*) AS requests, avg(s) AS avg_scenes, avg(c) AS avg_cues, max(c) AS max_cues, avg(ms) AS avg_ms, max(ms) AS max_ms FROM gr"
+def a15_tokens(spark, d):
+    x = X.preds(spark, d).withColumn("total_tokens", F.when(F.col("pid") % 5 != 0, F.col("pid") * 7))
+    return P.token_means(x, "confidence")
+
+
+def a15_decisions(spark, d):
+    x = X.preds(spark, d).withColumn("decision", F.when(F.col("pid") % 4 == 0, None).when(F.col("speaker") == "user", "yes_target").otherwise("no_target"))
+    return P.counts_by(x.withColumn("decision", F.coalesce("decision", F.lit("pending"))), "decision")
 
 
 def a15(spark, d):
@@ -326,17 +385,23 @@ J1 = X.query(X.CUES + "\nSELECT media_id, idx, CASE WHEN speaker IN (SELECT even
 
 
 def a3(spark, d):
-    return _aliased(spark, d).groupBy("speaker", "alias_hit").agg(F.count("*").alias("n"))
+    return P.alias_coverage(_aliased(spark, d))
+
+
+def a3_misses(spark, d):
+    return P.alias_misses(_aliased(spark, d), 3)
 
 
 A3 = "SELECT speaker, alias_hit, count(*) AS n FROM (" + J1 + ") GROUP BY ALL"
 
 
 def a4(spark, d):
-    x = _aliased(spark, d)
-    on = lambda c: F.count_if(c)
-    multi, hit, empty = F.col("is_multi"), F.col("alias_hit"), F.col("text") == ""
-    return x.agg(F.count("*").alias("total"), on(~multi & hit & ~empty).alias("alias_hit_singles"), on(~multi & ~hit & ~empty).alias("alias_miss_singles"), on(multi & hit & ~empty).alias("alias_hit_parts"), on(multi & ~hit & ~empty).alias("alias_miss_parts"), on(empty).alias("empty_dropped"))
+    return P.normalise_stats(_aliased(spark, d))
+
+
+def a4_kinds(spark, d):
+    kind = F.when(F.col("is_multi"), "multi").when(F.col("is_lyric"), "nonspeech").when(F.col("speaker") == "?", "unlabeled").otherwise("single")
+    return P.kept_by_kind(X.cues(spark, d).withColumn("kind", kind))
 
 
 A4 = X.query(X.CUES, "h AS (SELECT *, speaker IN (SELECT event_type FROM events WHERE event_type <> 'error') AS hit FROM cues)\nSELECT count(*) AS total, count(*) FILTER (WHERE NOT is_multi AND hit AND text <> '') AS alias_hit_singles, count(*) FILTER (WHERE NOT is_multi AND NOT hit AND text <> '') AS alias_miss_singles, count(*) FILTER (WHERE is_multi AND hit AND text <> '') AS alias_hit_parts, count(*) FILTER (WHERE is_multi AND NOT hit AND text <> '') AS alias_miss_parts, count(*) FILTER (WHERE text = '') AS empty_dropped FROM h")
@@ -345,7 +410,7 @@ A4 = X.query(X.CUES, "h AS (SELECT *, speaker IN (SELECT event_type FROM events
 def a18(spark, d):
     from ..operators.intervals import bucket
 
-    return bucket(X.cues(spark, d), ["click", "view", "NONSPEECH"]).groupBy(F.coalesce("dropped_for", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return P.drop_reasons(bucket(X.cues(spark, d), ["click", "view", "NONSPEECH"]))
 
 
 A18 = X.query(X.CUES + "\nSELECT CASE WHEN speaker = '?' THEN 'unknown' WHEN speaker IN ('click', 'view') OR starts_with(speaker, 'NONSPEECH') THEN 'kept' ELSE 'not in targets' END AS reason, count(*) AS n FROM cues GROUP BY 1")
@@ -358,43 +423,79 @@ def a8(spark, d):
     return P.clip_report(merge_overlap(clips(spark, d)))
 
 
+def a8_stages(spark, d):
+    from ..operators import intervals as I
+    from .interval_queries import clips
+
+    overlap = I.merge_overlap(clips(spark, d))
+    used = I.first_per_speaker(overlap, 5)
+    merged = I.merge_adjacent(used.drop("n_merged"), 300, 30_000)
+    r = P.clip_stages(overlap, used, merged, I.min_duration(merged, 2000))
+    entries = F.transform(F.map_entries("variants"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return r.withColumn("variants", F.array_join(entries, ","))
+
+
+A8S = X.query(X.CUES, interval_queries.CLIPS, interval_queries._OVER, f"ov AS ({interval_queries._FOLD.format(run='run', runs='runs')})", "top AS (SELECT * FROM ov QUALIFY row_number() OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms, entry_idx) <= 5)",
+    "bare AS (SELECT * EXCLUDE (n_merged) FROM top)", interval_queries._adjacent("bare", 300, 30000), f"mg AS ({interval_queries._FOLD.format(run='run', runs='adj')})", """va AS (SELECT media_id, speaker, string_agg(raw_speaker || '=' || n, ',' ORDER BY raw_speaker) AS variants FROM (SELECT media_id, speaker, raw_speaker, count(*) AS n FROM top GROUP BY ALL) GROUP BY ALL)
+SELECT o.*, t.after_cap, t.used_ms, coalesce(m.n, 0) AS after_merge, coalesce(l.n, 0) AS after_min_dur, va.variants
+FROM (SELECT media_id, speaker, count(*) AS clips_total, count(*) FILTER (WHERE kind = 'single') AS from_single, count(*) FILTER (WHERE kind = 'multi') AS from_multi, sum(n_merged - 1) AS overlap_merged FROM ov GROUP BY ALL) o
+JOIN (SELECT media_id, speaker, count(*) AS after_cap, sum(end_ms - start_ms) AS used_ms FROM top GROUP BY ALL) t USING (media_id, speaker) JOIN va USING (media_id, speaker)
+LEFT JOIN (SELECT media_id, speaker, count(*) AS n FROM mg GROUP BY ALL) m USING (media_id, speaker)
+LEFT JOIN (SELECT media_id, speaker, count(*) AS n FROM mg WHERE end_ms - start_ms >= 2000 GROUP BY ALL) l USING (media_id, speaker)""")
+
+
 def styled(spark, d):
     s = X.styled(spark, d)
     return s.withColumns(T.ass_flags(F.col("text")))
 
 
-_FL = r"fl AS (SELECT *, regexp_matches(text, '\{[^}]*\\p[1-9]') AS drawing, regexp_matches(text, '\\(?:pos|move)\(') AS positioned, regexp_matches(text, '\\[kK][fot]?\d') AS karaoke, regexp_matches(text, '\\an[789]') AS top FROM styled)"
+_FL = rf"""fl AS (SELECT *, regexp_matches(text, '(?i)\\p(bo)?[1-9]') AS drawing, regexp_matches(text, '(?i)\\(pos|move)\(') AS positioned, regexp_matches(text, '(?i)\\k[fo]?[0-9]') AS karaoke, regexp_matches(text, '(?i)\\an[789]([^0-9]|$)') AS top,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(regexp_replace(text, '\{{[^}}]*\}}', '', 'g'), '\\[Nn]', chr(10), 'g'), '\h', ' '), '\r\n|[\n\r]'), lambda x: {X.sql_strip('x')}), lambda x: x <> ''), chr(10)) AS visible FROM styled)"""
 
 
 def a6(spark, d):
-    p = P.style_profile(styled(spark, d))
+    p = P.style_profile(styled(spark, d), 64)
     flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return p.select("style", "n", "drawing", "positioned", "karaoke", "top", flat("event_type").alias("event_types"), flat("layer").alias("layers"), F.array_join("samples", "|").alias("samples"))
+    return p.select("style", "n", "drawing", "positioned", "karaoke", "top", flat("event_type").alias("event_types"), flat("layer").alias("layers"), flat("name").alias("names"), F.array_join("samples", "|").alias("samples"))
 
 
-A6 = X.query(X.STYLED, _FL, """r AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY event_index) - 1 AS rn, count(*) OVER (PARTITION BY style) AS n FROM fl),
-et AS (SELECT style, string_agg(event_type || '=' || c, ',' ORDER BY event_type) AS event_types FROM (SELECT style, event_type, count(*) AS c FROM styled GROUP BY ALL) GROUP BY style),
-ly AS (SELECT style, string_agg(layer || '=' || c, ',' ORDER BY layer) AS layers FROM (SELECT style, CAST(layer AS VARCHAR) AS layer, count(*) AS c FROM styled GROUP BY ALL) GROUP BY style)
-SELECT style, count(*) AS n, count(*) FILTER (WHERE drawing) AS drawing, count(*) FILTER (WHERE positioned) AS positioned, count(*) FILTER (WHERE karaoke) AS karaoke, count(*) FILTER (WHERE top) AS top, max(event_types) AS event_types, max(layers) AS layers,
-       string_agg(text, '|' ORDER BY rn) FILTER (WHERE rn = 0 OR rn = n // 2 OR rn = n - 1) AS samples FROM r JOIN et USING (style) JOIN ly USING (style) GROUP BY style""")
+def _histogram(name, column):
+    return f"{name} AS (SELECT style, string_agg(k || '=' || c, ',' ORDER BY k) AS {name}_ FROM (SELECT style, CAST({column} AS VARCHAR) AS k, count(*) AS c FROM styled WHERE CAST({column} AS VARCHAR) <> '' GROUP BY ALL) GROUP BY style)"
+
+
+A6 = X.query(X.STYLED, _FL, "r AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY event_index) - 1 AS rn, count(*) OVER (PARTITION BY style) AS n FROM fl)", _histogram("et", "event_type"), _histogram("ly", "layer"), _histogram("nm", "name") + """
+SELECT style, count(*) AS n, count(*) FILTER (WHERE drawing) AS drawing, count(*) FILTER (WHERE positioned) AS positioned, count(*) FILTER (WHERE karaoke) AS karaoke, count(*) FILTER (WHERE top) AS top, max(et_) AS event_types, max(ly_) AS layers, max(nm_) AS names,
+       string_agg(substring(visible, 1, 240), '|' ORDER BY rn) FILTER (WHERE rn = 0 OR rn = n // 2 OR rn = n - 1) AS samples FROM r JOIN et USING (style) JOIN ly USING (style) LEFT JOIN nm USING (style) GROUP BY style""")
 
 
 def policy(spark, d):
     n = F.regexp_extract("style", r"(\d+)$", 1).cast("int")
-    return X.styled(spark, d).select("style").distinct().where(n % 5 != 4).select("style", F.when(n % 5 == 0, "drop_sign").when(n % 5 == 1, "review").otherwise("keep_dialogue").alias("action"))
+    return X.styled(spark, d).select("style").distinct().where(n % 5 != 4).select("style", F.when(n % 5 == 0, "drop_staff").when(n % 5 == 1, "review").otherwise("keep_dialogue").alias("action"))
+
+
+def _acted(spark, d):
+    types = spark.createDataFrame([("Comment", "drop_comment")], "event_type string, action string")
+    return P.apply_policy(styled(spark, d), policy(spark, d), types)
 
 
 def f6(spark, d):
-    return P.apply_policy(styled(spark, d), policy(spark, d))[1]
+    return _acted(spark, d)[1]
 
 
 def a7(spark, d):
-    return P.apply_policy(styled(spark, d), policy(spark, d))[0].groupBy("action").agg(F.count("*").alias("n"))
+    return P.counts_by(_acted(spark, d)[0], "action")
+
+
+def a7_expected(spark, d):
+    return P.check_expected(a7(spark, d), 7, 0)
 
 
-_PO = r"po AS (SELECT *, CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) % 5 AS k FROM fl), ac AS (SELECT *, CASE WHEN event_type = 'Comment' THEN 'drop_comment' WHEN k = 0 THEN 'drop_sign' WHEN k = 1 THEN 'review' WHEN k = 4 THEN 'error' ELSE 'keep_dialogue' END AS action FROM po)"
-F6 = X.query(X.STYLED, _FL, _PO + "\nSELECT event_index, style, CASE WHEN action = 'error' THEN 'unknown style' WHEN drawing THEN 'drawing' ELSE 'empty text' END AS violation FROM ac WHERE action = 'error' OR (action = 'keep_dialogue' AND (drawing OR trim(text) = ''))")
+_PO = r"po AS (SELECT *, CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) % 5 AS k FROM fl), ac AS (SELECT *, CASE WHEN event_type = 'Comment' THEN 'drop_comment' WHEN event_type <> 'Dialogue' THEN 'review' WHEN k = 0 THEN 'drop_staff' WHEN k = 1 THEN 'review' WHEN k = 4 THEN 'error' ELSE 'keep_dialogue' END AS action FROM po)"
+F6 = X.query(X.STYLED, _FL, _PO + "\nSELECT event_index, style, CASE WHEN action = 'error' THEN 'unknown style' WHEN drawing THEN 'drawing' WHEN visible = '' THEN 'empty text' ELSE 'bad time' END AS violation FROM ac WHERE action = 'error' OR (action = 'keep_dialogue' AND (drawing OR visible = '' OR start_ms < 0 OR end_ms < start_ms))")
 A7 = X.query(X.STYLED, _FL, _PO + "\nSELECT action, count(*) AS n FROM ac GROUP BY action")
+A7E = X.query(X.STYLED, _FL, _PO + """
+SELECT * FROM (SELECT 'kept events' AS problem, 7 AS expected, count(*) FILTER (WHERE action = 'keep_dialogue') AS found FROM ac UNION ALL SELECT 'review events', 0, count(*) FILTER (WHERE action = 'review') FROM ac
+  UNION ALL SELECT 'review to resolve', 0, count(*) FILTER (WHERE action = 'review') FROM ac) WHERE expected <> found""")
 
 
 def j13(spark, d):
@@ -443,9 +544,27 @@ def t5(spark, d):
     return S.sample(X.cues(spark, d), 20).select("media_id", "idx")
 
 
+_HASH = "md5('42|' || media_id || '|' || idx), media_id, idx"
+T5 = X.query(X.CUES + f"\nSELECT media_id, idx FROM cues ORDER BY {_HASH} LIMIT 20")
+
+
+def _strata(spark, d):
+    return X.preds(spark, d).withColumnRenamed("pid", "idx").withColumn("stratum", F.when(F.col("confidence") == "low", "conflict").when((F.col("confidence") == "mid") & (F.col("idx") < 3) & (F.col("media_id") < 4), "rejected").otherwise("accepted"))
+
+
 def t6(spark, d):
-    x = X.preds(spark, d).withColumnRenamed("pid", "idx").withColumn("stratum", F.when(F.col("confidence") == "low", "conflict").when(F.col("confidence") == "mid", "rejected").otherwise("accepted"))
-    return S.stratified(x, "stratum", {"conflict": 6, "rejected": 6, "accepted": 8}).select("media_id", "idx", "stratum")
+    return S.stratified(_strata(spark, d), "stratum", "mixed", 20).select("media_id", "idx", "stratum")
+
+
+def t6_one(spark, d):
+    return S.stratified(_strata(spark, d), "stratum", "conflict", 15).select("media_id", "idx", "stratum")
+
+
+_ST = "st AS (SELECT media_id, pid AS idx, CASE WHEN confidence = 'low' THEN 'conflict' WHEN confidence = 'mid' AND pid < 3 AND media_id < 4 THEN 'rejected' ELSE 'accepted' END AS stratum FROM preds)"
+T6 = X.query(X.LINES, X.PREDS, _ST, f"""rk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_HASH}) AS rn FROM st),
+q AS (SELECT least(6, count(*) FILTER (WHERE stratum = 'conflict')) + least(6, count(*) FILTER (WHERE stratum = 'rejected')) AS taken FROM st)
+SELECT media_id, idx, stratum FROM rk, q WHERE rn <= CASE WHEN stratum = 'accepted' THEN 20 - taken ELSE 6 END""")
+T6O = X.query(X.LINES, X.PREDS, _ST + f"\nSELECT media_id, idx, stratum FROM st WHERE stratum = 'conflict' ORDER BY {_HASH} LIMIT 15")
 
 
 def t9(spark, d):
@@ -461,18 +580,29 @@ def u1(spark, d):
     k = F.col("doc_id") % 5
     raw = F.when(k == 0, F.concat(F.lit("("), "source", F.lit(")"), "t")).when(k == 1, F.concat(F.lit("- ("), "source", F.lit(")a "), "t", F.lit("\\N- (z)b"))).when(k == 2, F.concat(F.lit("("), "t", F.lit(")"))).when(k == 3, F.concat(F.lit("♪"), "t")).otherwise(F.concat(F.lit("x"), "t"))
     c = x.select("doc_id", T.classified(raw).alias("c"))
-    return c.select("doc_id", F.col("c.kind").alias("kind"), F.array_join(F.transform("c.parts", lambda p: p["raw"]), ",").alias("speakers"))
+    said = F.array_join(F.transform("c.parts", lambda p: p["text"]), "|")
+    return c.select("doc_id", F.col("c.kind").alias("kind"), F.array_join(F.transform("c.parts", lambda p: p["raw"]), ",").alias("speakers"), F.char_length(said).cast("long").alias("n_said"), F.md5(said.cast("binary")).alias("said"))
 
 
-U1 = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'multi' WHEN 4 THEN 'unlabeled' ELSE 'nonspeech' END AS kind, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN source || ',z' ELSE '' END AS speakers FROM documents"""
+# a cue whose bracket is followed by nothing is a noise; what is said is the document, whole and stripped
+_SAID = X.sql_strip("t")
+U1 = f"""SELECT doc_id, kind, speakers, length(said) AS n_said, md5(said) AS said FROM (
+  SELECT doc_id, CASE WHEN k = 0 AND {_SAID} <> '' THEN 'single' WHEN k = 1 THEN 'multi' WHEN k = 4 THEN 'unlabeled' ELSE 'nonspeech' END AS kind,
+    CASE WHEN k = 0 AND {_SAID} <> '' THEN source WHEN k = 1 THEN source || ',z' ELSE '' END AS speakers, CASE WHEN k = 0 THEN {_SAID} WHEN k = 1 THEN {X.sql_strip("'a ' || t")} || '|b' ELSE '' END AS said
+  FROM (SELECT doc_id, source, doc_id % 5 AS k, regexp_replace(coalesce(text, ''), '[\n()（）-]', ' ', 'g') AS t FROM documents))"""
 
 QUERIES = {
-    "w8_scenes_from_cuts": _scenes, "f8_refine_target": f8, "w9_refine_regions": w9, "w10_chunk": w10, "w11_budget_groups": w11, "w12_split_sparse": w12, "w13_context": w13, "w14_bisect_batches": w14, "w16_batch_context": w16, "w17_p15_prompts": w17, "i2_pending": i2, "u3_label_hook": u3,
+    "w8_scenes_from_cuts": _scenes, "f8_refine_target": f8, "w9_refine_regions": w9, "w10_chunk": w10, "w11_budget_groups": w11, "w12_split_sparse": w12, "w13_context": w13, "w14_bisect_batches": w14, "w11_compact_groups": w11_compact, "j2_scene_cues_limited": j2_some, "p10_cuts": p10_cuts, "p10_cut_errors": p10_cut_errors, "p10_corrections": p10_corrections, "a15_token_means": a15_tokens, "a15_decisions": a15_decisions, "a3_alias_misses": a3_misses, "a4_kept_by_kind": a4_kinds, "a8_clip_stages": a8_stages, "a7_expected": a7_expected, "t6_one_stratum": t6_one, "w16_batch_context": w16, "w17_p15_prompts": w17, "i2_pending": i2, "u3_label_hook": u3,
     "f1_f2_review_targets": f1, "f3_select_cues": f3, "j2_scene_cues": j2, "p10_p11_parse_replies": p10, "p10_reply_errors": p10_errors, "x6_restrict": x6, "x7_retry_set": x7, "j9_f7_apply_results": j9, "j10_audit": j10, "j10_apply_corrections": j10_cues, "j11_apply_reviews": j11,
     "x2_update_cuts": x2, "x3_filter_boundaries": x3, "x4_upsert_audit": x4, "x5_conflict": x5, "x8_cuts_from_scenes": x8, "a19_scene_preview": a19, "a14_plan_summary": a14, "a15_histograms": a15, "a5_output_speakers": a5, "a2_t1_speaker_profile": a2, "j1_alias": j1, "a3_alias_coverage": a3, "a4_normalise_stats": a4, "a18_drop_reasons": a18, "a8_clip_report": a8,
     "a6_style_profile": a6, "f6_policy_violations": f6, "a7_action_counts": a7, "j13_policy_check": j13, "v1_check_cues": v1, "v2_check_coverage": v2, "v3_check_order": v3, "v4_long_scenes": v4, "t5_sample": t5, "t6_stratified": t6, "t9_candidate_speakers": t9, "u1_p4_p5_classify": u1,
 }
 ORACLES = {
+    "w14_bisect_batches": W14, "j2_scene_cues_limited": J2S, "p10_cuts": P10C, "p10_cut_errors": P10CE, "p10_corrections": P10K, "a8_clip_stages": A8S, "a7_expected": A7E, "t5_sample": T5, "t6_stratified": T6, "t6_one_stratum": T6O,
+    "a15_token_means": X.query(X.LINES, X.PREDS + "\nSELECT confidence, count(*) AS n, count(*) FILTER (WHERE pid % 5 <> 0) AS n_with_tokens, avg(pid * 7) FILTER (WHERE pid % 5 <> 0) AS mean_tokens FROM preds GROUP BY confidence"),
+    "a15_decisions": X.query(X.LINES, X.PREDS + "\nSELECT CASE WHEN pid % 4 = 0 THEN 'pending' WHEN speaker = 'user' THEN 'yes_target' ELSE 'no_target' END AS decision, count(*) AS n FROM preds GROUP BY 1"),
+    "a3_alias_misses": X.query(X.CUES + "\nSELECT token, n FROM (SELECT speaker AS token, count(*) AS n, min((media_id, idx)) AS first FROM cues WHERE speaker NOT IN (SELECT event_type FROM events WHERE event_type <> 'error') AND speaker <> '?' GROUP BY speaker) ORDER BY n DESC, first LIMIT 3"),
+    "a4_kept_by_kind": X.query(X.CUES + "\nSELECT kind, count(*) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS dropped FROM (SELECT *, kind IN ('single', 'multi') AND text = '' AS gone FROM (SELECT *, CASE WHEN is_multi THEN 'multi' WHEN is_lyric THEN 'nonspeech' WHEN speaker = '?' THEN 'unlabeled' ELSE 'single' END AS kind FROM cues)) GROUP BY kind"),
     "w8_scenes_from_cuts": X.query(CUT_SCENES + "\nSELECT * FROM cs"), "f8_refine_target": F8, "w9_refine_regions": W9, "w10_chunk": X.query(X.CUES + "\nSELECT media_id, CAST((idx - 1) // 80 AS INTEGER) AS batch_id, count(*) AS n, min(idx) AS first FROM cues GROUP BY ALL"), "w11_budget_groups": W11, "w12_split_sparse": W12, "w13_context": W13, "w16_batch_context": W16, "w17_p15_prompts": W17, "i2_pending": I2, "u3_label_hook": U3,
     "f1_f2_review_targets": X.query(X.CUES + "\nSELECT media_id, idx FROM cues WHERE NOT starts_with(speaker, 'NONSPEECH') AND (speaker = '?' OR is_multi)"), "f3_select_cues": X.query(X.CUES + "\nSELECT media_id, idx, speaker FROM cues WHERE idx BETWEEN 10 AND 200 AND speaker IN ('click', 'view')"),
     "j2_scene_cues": J2, "p10_p11_parse_replies": P10, "p10_reply_errors": P10E, "x6_restrict": X.query(RES + "\nSELECT media_id, idx, CASE WHEN speaker = 'user' THEN speaker ELSE 'OTHER' END AS speaker, speaker_raw FROM res"), "x7_retry_set": X.query(RES + "\nSELECT media_id, idx FROM res WHERE speaker = 'system'"), "j9_f7_apply_results": J9, "j10_audit": J10, "j10_apply_corrections": J10C, "j11_apply_reviews": J11,

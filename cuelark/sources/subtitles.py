@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ass_ms, srt_ms, srt_time, strip
+from ..functions.text import ass_ms, prediction_label, srt_ms, srt_time, strip
 
 TIMES = r"^(\d{1,3}:\d{2}:\d{2},\d{3})\s*-->\s*(\d{1,3}:\d{2}:\d{2},\d{3})"
-STRICT = r"^(\d{2,3}:[0-5]\d:[0-5]\d,\d{3})\s*-->\s*(\d{2,3}:[0-5]\d:[0-5]\d,\d{3})$"
+STRICT = r"^([0-9]{2,}:[0-5][0-9]:[0-5][0-9],[0-9]{3})[ \t]+-->[ \t]+([0-9]{2,}:[0-5][0-9]:[0-5][0-9],[0-9]{3})$"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -28,14 +28,14 @@ def blocks(texts: DataFrame) -> DataFrame:
 def parse_srt(texts: DataFrame, mode: str = "labelled", failfast: bool = False) -> DataFrame:
     """Cues of texts(media_id, content); a block that does not parse has its reason in `_corrupt`.
 
-    labelled: `[speaker] {TAG}* text`; strict: plain text, idx unique, end after start; scene: idx is the scene, text its name."""
+    labelled: `[speaker] {TAG}* text`; strict: idx of digits alone, plain text, idx unique, end after start; scene: idx is the scene, text its name."""
     b = blocks(texts)
     n, first = F.size("lines"), F.col("lines")[0]
     rest = F.array_join(F.slice("lines", 3, F.greatest(F.lit(0), n - 2)), "\n")
     times = STRICT if mode == "strict" else TIMES
     t = F.when(n >= 2, F.col("lines")[1])
     a, z = srt_ms(F.regexp_extract(t, times, 1)), srt_ms(F.regexp_extract(t, times, 2))
-    idx = F.trim(first).try_cast("int")
+    idx = F.when(first.rlike("^[0-9]+$"), first.try_cast("int")) if mode == "strict" else F.trim(first).try_cast("int")
     head = r"(?s)^\[([^\]]*)\]\s*((?:\{[^{}]*\}\s*)*)(.*)$"
     cues = b.select("media_id", "pos", idx.alias("idx"), a.alias("start_ms"), z.alias("end_ms"), rest.alias("body"), n.alias("n"))
     bad = F.when(F.col("idx").isNull(), "idx").when(F.col("n") < 3, "too short").when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "time line")
@@ -108,24 +108,42 @@ def parse_ass_dialogue(lines: DataFrame) -> DataFrame:
     return out.where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
 
 
-def parse_ass_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(styles, events): columns follow the section's latest Format line."""
+def _ass_rows(lines: DataFrame) -> DataFrame:
+    """Style, Dialogue and Comment lines in their sections, with the columns of the section's latest Format line, or the reason they are bad."""
     w = Window.partitionBy("media_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("line").rlike(r"^\[[^\]]+\]\s*$"), F.lower(F.trim("line"))), ignorenulls=True).over(w)
+    section = F.last(F.when(F.trim("line").rlike(r"^\[.*\]$"), F.lower(F.trim("line"))), ignorenulls=True).over(w)
     x = lines.withColumn("section", section)
     sw = Window.partitionBy("media_id", "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fmt = F.last(F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.regexp_replace("line", r"^Format:\s*", ""), ","), lambda c: F.lower(F.trim(c)))), ignorenulls=True).over(sw)
-    x = x.withColumn("fmt", fmt)
-    kind = F.regexp_extract("line", r"^(Dialogue|Comment|Style):", 1)
-    rows = x.withColumn("kind", kind).where((F.col("kind") != "") & F.col("fmt").isNotNull())
-    rest = F.regexp_replace("line", r"^[A-Za-z]+:\s*", "")
-    # split() takes a constant limit; the last field keeps its commas by joining what lies beyond the header
-    parts = F.split(rest, ",")
+    fmt = F.last(F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.regexp_replace("line", r"^Format:", ""), ","), lambda c: F.lower(strip(c)))), ignorenulls=True).over(sw)
+    x = x.withColumns({"fmt": fmt, "kind": F.regexp_extract("line", r"^(Dialogue|Comment|Style):", 1)})
+    style = F.col("section").isin("[v4+ styles]", "[v4 styles]") & (F.col("kind") == "Style")
+    # a style before its Format line is passed over, an event before one is an error
+    rows = x.where((style & F.col("fmt").isNotNull()) | ((F.col("section") == "[events]") & F.col("kind").isin("Dialogue", "Comment")))
+    parts = F.split(F.regexp_replace("line", r"^[A-Za-z]+:\s*", ""), ",")
     n = F.size("fmt")
-    fields = F.when(F.size(parts) >= n, F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.array_join(F.slice(parts, n, F.size(parts)), ","))))
-    rows = rows.withColumn("fields", F.map_from_arrays("fmt", fields)).where("fields IS NOT NULL")
-    styles = rows.where("kind = 'Style'").select("media_id", "line_no", "fields")
-    order = Window.partitionBy("media_id").orderBy("line_no")
+    # split() takes a constant limit; the last field keeps its commas by joining what lies beyond the header
+    joined = F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.array_join(F.slice(parts, n, F.size(parts)), ",")))
+    fits = F.when(F.col("kind") == "Style", F.size(parts) == n).otherwise(F.size(parts) >= n)
+    rows = rows.withColumn("fields", F.when(F.col("fmt").isNotNull() & fits, F.map_from_arrays("fmt", F.transform(F.when(F.col("kind") == "Style", parts).otherwise(joined), strip))))
     f = F.col("fields")
-    events = rows.where("kind <> 'Style'").select("media_id", "line_no", (F.row_number().over(order) - 1).alias("source_event_index"), F.col("kind").alias("event_type"), f["layer"].try_cast("int").alias("layer"), f["start"].alias("start_raw"), ass_ms(f["start"]).alias("start_ms"), f["end"].alias("end_raw"), ass_ms(f["end"]).alias("end_ms"), strip(f["style"]).alias("style"), strip(f["name"]).alias("name"), f["effect"].alias("effect"), f["text"].alias("text_raw"))
+    timed = ass_ms(f["start"]).isNotNull() & ass_ms(f["end"]).isNotNull()
+    bad = F.when(F.col("fmt").isNull(), "event before Format").when(f.isNull(), "field count").when((F.col("kind") != "Style") & ~timed, "time")
+    return rows.withColumn("_corrupt", bad)
+
+
+def parse_ass_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(styles, events) of lines(media_id, line_no, line): columns follow the section's latest Format line. A line that does not parse has its reason
+    in `_corrupt` and no fields it lacks; it has no place in source_event_index."""
+    rows = _ass_rows(lines)
+    styles = rows.where("kind = 'Style'").select("media_id", "line_no", "fields", "_corrupt")
+    order = Window.partitionBy("media_id", F.col("_corrupt").isNull()).orderBy("line_no")
+    f = F.col("fields")
+    number = F.when(F.col("_corrupt").isNull(), F.row_number().over(order) - 1)
+    plain = [f[c].alias(c) for c in ("marginl", "marginr", "marginv", "effect")]
+    events = rows.where("kind <> 'Style'").select("media_id", "line_no", number.alias("source_event_index"), F.col("kind").alias("event_type"), F.coalesce(f["layer"], f["marked"], F.lit("")).alias("layer"), f["start"].alias("start_raw"), ass_ms(f["start"]).alias("start_ms"), f["end"].alias("end_raw"), ass_ms(f["end"]).alias("end_ms"), F.coalesce(f["style"], F.lit("")).alias("style"), F.coalesce(f["name"], F.lit("")).alias("name"), *plain, F.coalesce(f["text"], F.lit("")).alias("text_raw"), "_corrupt")
     return styles, events
+
+
+def srt_predictions(cues: DataFrame, cast: list[str]) -> DataFrame:
+    """Labelled cues as predictions of unknown confidence."""
+    return cues.select("media_id", F.col("idx").alias("pid"), "start_ms", "end_ms", "text", prediction_label(F.col("speaker"), cast).alias("speaker"), F.col("speaker").alias("speaker_raw"), F.lit("unknown").alias("confidence"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name, norm_speaker, prediction_label, safe_idx
+from ..functions.text import file_name, norm_speaker, prediction_label, safe_idx, strip
 
-# File endings by kind.
-KINDS = {"video": ("mkv", "mp4", "mov", "avi", "webm"), "audio": ("wav", "flac", "mp3", "m4a", "opus", "ogg"), "subtitle": ("ass", "ssa", "srt"), "alias": ("json",)}
+# File endings by kind, and the name of the alias file.
+KINDS = {"video": ("mp4", "mkv", "mov", "avi", "ts", "webm", "flv", "m4v", "wmv"), "audio": ("wav", "flac", "mp3", "m4a", "aac", "opus", "ogg", "wma"), "subtitle": ("ass", "ssa", "srt", "vtt")}
+ALIAS_FILE = "speaker_aliases.json"
 TEXT_CODECS = ("ass", "ssa", "subrip", "webvtt", "mov_text")
 
 
@@ -24,7 +25,7 @@ def stream_catalog(probes: DataFrame) -> DataFrame:
 def project_catalog(files: DataFrame, require_subtitle: bool = True) -> DataFrame:
     """files(path): one row a folder with its media and subtitle, and what is missing or ambiguous."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.coalesce(*[F.when(ext.isin(*e), k) for k, e in KINDS.items()])
+    kind = F.coalesce(F.when(F.regexp_extract("path", r"([^/]+)$", 1) == ALIAS_FILE, "alias"), *[F.when(ext.isin(*e), k) for k, e in KINDS.items()])
     x = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project"), "path", kind.alias("kind")).where("kind IS NOT NULL")
     n = lambda *k: F.count_if(F.col("kind").isin(*k))
     one = lambda *k: F.min(F.when(F.col("kind").isin(*k), F.col("path")))
@@ -47,42 +48,115 @@ def verify_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return x.select("path", what.alias("problem")).where("problem IS NOT NULL")
 
 
-def parse_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(audio, segments) of docs(media_id, value): the duration in any of three places; SPEAKER_n becomes SPK(n+1).
+def _number(v: Column, path: str) -> Column:
+    """The finite number at a path of a variant; null for text, booleans and whatever else is no number."""
+    at = F.try_variant_get(v, path, "variant")
+    numeric = F.schema_of_variant(at).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    x = F.when(numeric, F.try_variant_get(v, path, "double"))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def parse_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(audio, segments, errors) of docs(media_id, value): the duration in any of three places; SPEAKER_n becomes SPK(n+1).
+
+    A segment that is not 0 <= start < end <= duration with a SPEAKER_n label has `valid` false. A document with anything wrong is in errors, with
+    the first reason; its rows are for looking at, not for use."""
+    v = F.try_parse_json("value")
+    x = docs.select("media_id", v.alias("v"))
+    is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+    audio = F.try_variant_get("v", "$.audio", "variant")
+    duration = F.when(is_object(audio), _number(F.col("v"), "$.audio.duration")).when(F.try_variant_get("v", "$.duration", "variant").isNotNull(), _number(F.col("v"), "$.duration")).otherwise(_number(F.col("v"), "$.audio_duration"))
+    listed = F.try_variant_get("v", "$.segments", "array<variant>")
+    x = x.select("media_id", "v", duration.alias("duration_s"), F.when(F.schema_of_variant(F.try_variant_get("v", "$.segments", "variant")).startswith("ARRAY"), listed).alias("s"))
+    rows = x.select("media_id", "duration_s", F.explode("s").alias("s")).select("media_id", "duration_s", F.coalesce(is_object(F.col("s")), F.lit(False)).alias("object"), _number(F.col("s"), "$.start").alias("start"), _number(F.col("s"), "$.end").alias("end"), F.when(F.schema_of_variant(F.try_variant_get("s", "$.speaker", "variant")) == "STRING", F.try_variant_get("s", "$.speaker", "string")).alias("speaker"))
+    named = F.coalesce(F.col("speaker").rlike(r"^SPEAKER_[0-9]+$"), F.lit(False))
+    label = F.when(named, F.concat(F.lit("SPK"), (F.regexp_extract("speaker", r"([0-9]+)$", 1).try_cast("long") + 1).cast("string"))).otherwise(F.col("speaker"))
+    inside = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("duration_s")), F.lit(False))
+    wrong = F.when(~F.col("object"), "segment is no object").when(F.col("start").isNull(), "segment start").when(F.col("end").isNull(), "segment end").when(~inside, "segment range").when(~named, "segment speaker")
+    rows = rows.withColumn("wrong", wrong)
+    worst = rows.groupBy("media_id").agg(F.min("wrong").alias("wrong"))
+    reason = F.when(~is_object(F.col("v")), "no object").when(F.col("duration_s").isNull() | (F.col("duration_s") <= 0), "duration").when(F.col("s").isNull(), "no segments")
+    errors = x.join(worst, "media_id", "left").select("media_id", F.coalesce(reason, "wrong").alias("error")).where("error IS NOT NULL")
+    return x.select("media_id", "duration_s"), rows.select("media_id", label.alias("speaker"), F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.col("wrong").isNull().alias("valid")), errors
+
+
+def parse_label_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(map, errors) of lines(media_id, line_no, line) of INI files: [speakers] alone, SPKn = label, % as it stands.
+
+    A file with anything else is refused: another section, defaults, a key outside a section, a key twice, a bad key or label. Blank labels are no mapping yet."""
+    w = Window.partitionBy("media_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = lines.withColumn("line", strip(F.col("line"))).where((F.col("line") != "") & ~F.col("line").rlike("^[#;]"))
+    head = F.regexp_extract("line", r"^\[([^\]]+)\]", 1)
+    x = x.withColumn("section", F.last(F.when(head != "", head), ignorenulls=True).over(w)).withColumn("head", head)
+    parts = F.split("line", "[=:]", 2)
+    kv = x.where("head = ''").select("media_id", "line_no", "section", strip(parts[0]).alias("speaker"), strip(F.coalesce(parts[1], F.lit(""))).alias("label"), F.col("line").rlike("[=:]").alias("paired"))
+    twice = F.count("*").over(Window.partitionBy("media_id", "section", "speaker")) > 1
+    bad = F.when(F.col("section").isNull(), "no section").when(F.col("section") == "DEFAULT", "defaults").when(~F.col("paired"), "no value").when(twice, "key twice").when(~F.col("speaker").rlike(r"^SPK[1-9][0-9]*$"), "key").when(F.col("label").rlike(r"[\p{C}\p{Z}&&[^ ]]|[\[\]<>]"), "label")
+    kv = kv.withColumn("problem", bad)
+    sections = x.groupBy("media_id").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("section") != "DEFAULT", F.col("section")))), "\n").alias("s"))
+    other = lines.select("media_id").distinct().join(sections, "media_id", "left").where(F.coalesce("s", F.lit("")) != "speakers").select("media_id", F.lit("sections").alias("error"))
+    errors = other.unionByName(kv.where("problem IS NOT NULL").select("media_id", F.col("problem").alias("error"))).groupBy("media_id").agg(F.min("error").alias("error"))
+    good = kv.join(errors, "media_id", "left_anti").where("section = 'speakers' AND label <> ''")
+    return good.select("media_id", "speaker", "label"), errors
 
-    Segments out of 0 <= start < end <= duration have `valid` false."""
-    segs = F.from_json("value", "segments array<struct<start:double,end:double,speaker:string>>")["segments"]
-    number = lambda p: F.get_json_object("value", p).try_cast("double")
-    x = docs.select("media_id", F.coalesce(number("$.audio.duration"), number("$.duration"), number("$.audio_duration")).alias("duration_s"), segs.alias("s"))
-    rows = x.select("media_id", "duration_s", F.explode("s").alias("s")).select("media_id", "duration_s", "s.*")
-    label = F.when(F.col("speaker").rlike(r"^SPEAKER_\d+$"), F.concat(F.lit("SPK"), (F.regexp_extract("speaker", r"(\d+)$", 1).cast("int") + 1).cast("string"))).otherwise(F.col("speaker"))
-    valid = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("duration_s"))
-    return x.select("media_id", "duration_s"), rows.select("media_id", label.alias("speaker"), F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
+def parse_aliases(docs: DataFrame) -> DataFrame:
+    """docs(media_id, value) of {canonical: [variants]}: variant (normalised), canonical; later entries win.
 
-def parse_label_map(lines: DataFrame) -> DataFrame:
-    """lines(line_no, line) of an INI file: [speakers] only; SPKn = label; bad rows have a reason."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # one small file
-    x = lines.withColumn("section", F.last(F.when(F.col("line").rlike(r"^\s*\["), F.trim("line")), ignorenulls=True).over(w))
-    kv = x.where(F.col("line").contains("=") & (F.col("section") == "[speakers]")).select("line_no", F.trim(F.split("line", "=", 2)[0]).alias("speaker"), F.trim(F.split("line", "=", 2)[1]).alias("label"))
-    bad = F.when(~F.col("speaker").rlike(r"^SPK[1-9][0-9]*$"), "key").when(F.col("label").rlike(r"[\x00-\x1f\[\]<>]"), "label")
-    return kv.withColumn("problem", bad)
+    Keys from _ are comments, whatever they hold; values that are no arrays, and members that are no text, are passed over."""
+    m = docs.select("media_id", F.posexplode(F.map_entries(F.from_json("value", "map<string,variant>"))).alias("k", "e")).select("media_id", "k", "e.*").where(~F.col("key").startswith("_"))
+    m = m.where(F.schema_of_variant("value").startswith("ARRAY"))
+    v = m.select("media_id", "k", F.col("key").alias("canonical"), F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "raw")).where(F.schema_of_variant("raw") == "STRING")
+    v = v.withColumn("variant", norm_speaker(F.try_variant_get("raw", "$", "string")))
+    return v.groupBy("media_id", "variant").agg(F.max_by("canonical", F.struct("k", "i")).alias("canonical"))
 
 
-def parse_aliases(docs: DataFrame) -> DataFrame:
-    """docs(value) of {canonical: [variants]}: variant (normalised), canonical; later entries win, keys from _ are comments."""
-    m = docs.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("k", "e")).select("k", "e.*").where(~F.col("key").startswith("_"))
-    v = m.select("k", F.col("key").alias("canonical"), F.posexplode("value").alias("i", "raw")).withColumn("variant", norm_speaker(F.col("raw")))
-    w = Window.partitionBy("variant").orderBy(F.desc("k"), F.desc("i"))
-    return v.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("variant", "canonical")
+# Further parts of a role's description, and the text of a note that is still to be written.
+ROLE_EXTRAS = ("story", "demographics", "visual_cues", "forms")
+ROLE_TO_WRITE = "请在此填入"
+
+
+def _flat(v: Column) -> Column:
+    """A variant as text: objects as `key: value`, arrays in order, both joined by `; `; what lies deeper stays JSON."""
+    kind = F.schema_of_variant(v)
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,string>"))
+    return F.when(kind.startswith("ARRAY"), F.array_join(F.try_variant_get(v, "$", "array<string>"), "; ")).when(kind.startswith("OBJECT"), F.array_join(F.transform(entries, lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")).when(kind == "VOID", "unknown").otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def role_prompts(docs: DataFrame, detail: str = "baseline", extras: tuple[str, ...] = ()) -> DataFrame:
-    """docs(value) of {role: {..}}: one description line a role; detail is baseline, selected or full."""
-    fields = {"baseline": ("name", "role"), "selected": ("name", "role", "speech_style", "notes"), "full": ("name", "age", "gender", "role", "first_person", "speech_style", "address_others", "notes")}[detail] + tuple(extras)
-    m = docs.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("label", "f")).where(~F.col("label").startswith("_"))
-    parts = [F.when(F.coalesce(F.col("f")[k], F.lit("")) != "", F.concat(F.lit(f"{k}: "), F.col("f")[k])) for k in fields]
-    return m.select("label", F.concat_ws(" | ", F.col("label"), *parts).alias("line"))
+    """docs(media_id, value) of {role: {..}}: (media_id, pos, label, line), a description line a role in the file's order, before them one of
+    global rules and, if asked for, one of the story.
+
+    detail baseline has no extras, selected the demographics, full all; `extras` adds to it."""
+    if detail not in ("baseline", "selected", "full") or set(extras) - set(ROLE_EXTRAS):
+        raise ValueError(f"unknown role detail {detail} or extras {extras}")
+    on = set(extras) | {"baseline": set(), "selected": {"demographics"}, "full": set(ROLE_EXTRAS)}[detail]
+    m = docs.select("media_id", F.posexplode(F.map_entries(F.from_json("value", "map<string,variant>"))).alias("pos", "e")).select("media_id", "pos", F.col("e.key").alias("label"), F.col("e.value").alias("v"))
+    at = lambda path: F.try_variant_get("v", path, "variant")
+    has = lambda path: at(path).isNotNull() & ~F.coalesce(_flat(at(path)), F.lit("")).isin("", "unknown")
+    part = lambda name, path, show=None: F.when(has(path), F.concat(F.lit(name + ": "), _flat(at(path)) if show is None else show))
+    phrases = F.array_join(F.try_variant_get("v", "$.catchphrases", "array<string>"), ", ")
+    looks = F.concat_ws(" | ", F.when(has("$.appearance.summary"), _flat(at("$.appearance.summary"))), part("often mistaken", "$.appearance.avoid_mistakes"))
+    parts = [
+        part("name", "$.name_ja"),
+        F.when(at("$.age").isNotNull(), F.concat(F.lit("context only, age: "), _flat(at("$.age")))) if "demographics" in on else None,
+        part("context only, gender", "$.gender") if "demographics" in on else None,
+        part("context only, role", "$.role"),
+        part("first person", "$.first_person"),
+        part("speaker evidence, speech style", "$.speech_style"),
+        part("speaker evidence, catchphrases", "$.catchphrases", phrases),
+        part("speaker evidence, address of others", "$.address_others"),
+        F.when(looks != "", F.concat(F.lit("weak visual evidence: "), looks)),
+        part("further weak visual evidence, cues", "$.appearance.visual_cues") if "visual_cues" in on else None,
+        part("further weak visual evidence, forms", "$.appearance.forms") if "forms" in on else None,
+        F.when(~_flat(at("$.notes")).contains(ROLE_TO_WRITE), part("context only, notes", "$.notes")),
+    ]
+    role = F.concat_ws(" | ", F.concat(F.lit("["), F.col("label"), F.lit("]")), *[p for p in parts if p is not None])
+    line = F.when(F.col("label") == "_speaker_identification_rules", F.concat(F.lit("rules: "), _flat(F.col("v"))))
+    if "story" in on:
+        line = line.when(F.col("label") == "_story_context", F.concat(F.lit("context only, story: "), _flat(F.col("v"))))
+    line = line.when(~F.col("label").startswith("_") & F.schema_of_variant("v").startswith("OBJECT"), role)
+    return m.select("media_id", F.when(F.col("label") == "_speaker_identification_rules", -2).when(F.col("label") == "_story_context", -1).otherwise(F.col("pos")).alias("pos"), "label", line.alias("line")).where("line IS NOT NULL")
 
 
 def parse_scenes(docs: DataFrame) -> DataFrame:
@@ -93,6 +167,18 @@ def parse_scenes(docs: DataFrame) -> DataFrame:
     return x.where(F.coalesce("enabled", F.lit(True)) & F.col("start_idx").isNotNull() & F.col("end_idx").isNotNull() & (F.col("start_idx") <= F.col("end_idx")))
 
 
+def render_scenes(scenes: DataFrame) -> DataFrame:
+    """(media_id, value): the scene array of a media, in order, times to the millisecond."""
+    of = lambda c, default: F.col(c) if c in scenes.columns else F.lit(default)
+    row = F.struct(F.col("scene_id"), of("enabled", True).alias("enabled"), of("name", "").alias("name"), "start_idx", "end_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    return scenes.groupBy("media_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+
+
+def write_scenes(scenes: DataFrame, path: str) -> None:
+    """A folder a media with its scene array."""
+    render_scenes(scenes).select(F.col("media_id").cast("string").alias("media"), "value").write.partitionBy("media").text(path)
+
+
 def parse_results(rows: DataFrame, cast: list[str]) -> DataFrame:
     """Predictions of rows(media_id, value) of result records: entries left join their record's last result per idx."""
     shape = "entries array<struct<idx:int,start:double,end:double,text:string,speaker_in_srt:string>>, results array<struct<idx:string,speaker:string,speaker_raw:string,confidence:string>>"
@@ -105,16 +191,29 @@ def parse_results(rows: DataFrame, cast: list[str]) -> DataFrame:
 
 
 # The actions of a style policy.
-ACTIONS = ("keep_dialogue", "drop_sign", "drop_comment", "drop_karaoke", "drop_credit", "drop_title", "drop_drawing", "drop_other", "review")
+ACTIONS = ("keep_dialogue", "drop_translation", "drop_lyrics", "drop_screen", "drop_annotation", "drop_title", "drop_staff", "drop_comment", "review")
+POLICY = "schema_version int, unknown_style string, styles map<string,string>, event_types map<string,string>, expected struct<kept_events:int,review_events:int>, source struct<stream_index:int,expected_codec:string,expected_title:string>"
+
+
+def parse_policy(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, settings) of docs(media_id, value) of style policies.
+
+    actions: a row for each style and event type (`kind`, `name`, `action`, `problem`); settings: a row a policy with its expected counts, its
+    source stream and what that stream must be, and what is wrong with the policy as a whole."""
+    p = docs.select("media_id", F.from_json("value", POLICY).alias("p")).select("media_id", "p.*")
+    rows = lambda c, kind: p.select("media_id", F.lit(kind).alias("kind"), F.explode(c).alias("name", "action"))
+    actions = rows("styles", "style").unionByName(rows("event_types", "event type"))
+    bad = F.when(F.coalesce(F.col("schema_version"), F.lit(0)) != 1, "schema_version").when(F.coalesce(F.size("styles"), F.lit(0)) <= 0, "no styles").when(F.coalesce("unknown_style", F.lit("")) != "error", "unknown_style").when(F.col("source").isNull() | F.col("source.stream_index").isNull(), "source")
+    settings = p.select("media_id", "expected.kept_events", "expected.review_events", "source.stream_index", "source.expected_codec", "source.expected_title", bad.alias("problem"))
+    return actions.withColumn("problem", F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action")), settings
 
 
-def parse_policy(docs: DataFrame) -> DataFrame:
-    """docs(value) of a style policy: style, action, problem."""
-    shape = "schema_version int, styles map<string,string>, unknown_style string"
-    p = docs.select(F.from_json("value", shape).alias("p")).select("p.*")
-    x = p.select("schema_version", "unknown_style", F.explode("styles").alias("style", "action"))
-    bad = F.when(F.col("schema_version") != 1, "schema_version").when(F.col("unknown_style") != "error", "unknown_style").when(~F.col("action").isin(*ACTIONS), "action")
-    return x.select("style", "action", bad.alias("problem"))
+def select_streams(settings: DataFrame, streams: DataFrame) -> DataFrame:
+    """(media_id, stream_index, problem): the stream each policy names in stream_catalog's rows, and whether it is the one the policy expects."""
+    x = settings.select("media_id", "stream_index", "expected_codec", "expected_title").join(streams.select("media_id", "stream_index", "codec_name", "title"), ["media_id", "stream_index"], "left")
+    n = F.count("codec_name").over(Window.partitionBy("media_id", "stream_index"))
+    bad = F.when(n != 1, "not found once").when(F.col("expected_codec") != F.col("codec_name"), "codec").when(F.col("expected_title") != F.coalesce("title", F.lit("")), "title").when(~F.col("codec_name").isin("ass", "ssa"), "codec not supported")
+    return x.select("media_id", "stream_index", bad.alias("problem")).distinct()
 
 
 def training_manifest(clips: DataFrame) -> DataFrame:

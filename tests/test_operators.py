@@ -1,5 +1,6 @@
 """Hand-made cases and folds written out, for what SQL does not show."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from cuelark.functions import text as T
 from cuelark.operators import intervals as I
 from cuelark.operators import sequence as S
-from cuelark.sources import subtitles
+from cuelark.sources import subtitles, tables
 
 CUE = "media_id long, idx int, start_ms long, end_ms long, speaker string, text string, tags array<string>"
 
@@ -102,9 +103,9 @@ def test_classes_of_raw_cues(text, kind, parts):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("ＡＢ　c\\Nd", "酒寄(さか(x)より)彩葉‎", r"{\an8}a\N♪ b\N \h c ")], "a string, b string, c string")
+    row = spark.createDataFrame([("ＡＢ　c\\Nd", "山田(やま(y)だ)花子\u200e（はなこ）", r"{\an8}a\N♪ b\N \h c ")], "a string, b string, c string")
     got = row.select(T.match_key(F.col("a")).alias("k"), T.norm_speaker(F.col("b")).alias("s"), T.clean_text(F.col("c")).alias("t")).first()
-    assert tuple(got) == ("ABcd", "酒寄彩葉", "a\\Nc")
+    assert tuple(got) == ("ABcd", "山田花子", "a\\Nc")
 
 
 def test_srt_files(spark, tmp_path):
@@ -139,3 +140,89 @@ def test_refine_stops_when_nothing_changes(spark):
     start = spark.createDataFrame([(1, 3)], "media_id int, after_idx int")
     assert S.refine(start, step, 5).count() == 2
     assert len(calls) == 2
+
+
+@pytest.mark.parametrize(
+    "value,error",
+    [
+        ('{"duration": 9, "segments": [{"start": 1, "end": 2, "speaker": "SPEAKER_3"}]}', None),
+        ("[1]", "no object"),
+        ("no json", "no object"),
+        ('{"segments": []}', "duration"),
+        ('{"duration": true, "segments": []}', "duration"),
+        ('{"duration": 0, "segments": []}', "duration"),
+        ('{"audio": {}, "duration": 5, "segments": []}', "duration"),
+        ('{"duration": 5, "segments": {}}', "no segments"),
+        ('{"duration": 5, "segments": [7]}', "segment is no object"),
+        ('{"duration": 5, "segments": [{"start": "0", "end": 2, "speaker": "SPEAKER_0"}]}', "segment start"),
+        ('{"duration": 5, "segments": [{"start": 0, "speaker": "SPEAKER_0"}]}', "segment end"),
+        ('{"duration": 5, "segments": [{"start": -1, "end": 2, "speaker": "SPEAKER_0"}]}', "segment range"),
+        ('{"duration": 5, "segments": [{"start": 2, "end": 2, "speaker": "SPEAKER_0"}]}', "segment range"),
+        ('{"duration": 5, "segments": [{"start": 1, "end": 6, "speaker": "SPEAKER_0"}]}', "segment range"),
+        ('{"duration": 5, "segments": [{"start": 1, "end": 2, "speaker": "Ann"}]}', "segment speaker"),
+    ],
+)
+def test_segment_documents(spark, value, error):
+    audio, segments, errors = tables.parse_segments(spark.createDataFrame([(1, value)], "media_id int, value string"))
+    assert [r.error for r in errors.collect()] == ([error] if error else [])
+    if not error:
+        assert [tuple(r) for r in audio.collect()] == [(1, 9.0)] and [tuple(r) for r in segments.collect()] == [(1, "SPK4", 1.0, 2.0, True)]
+
+
+def test_zero_length_cues_are_covered_by_nothing(spark):
+    c = spark.createDataFrame([(1, 1, 100, 100, "A"), (1, 2, 100, 300, "A")], "media_id long, idx int, start_ms long, end_ms long, speaker string")
+    audio = spark.createDataFrame([(1, 1000)], "media_id long, duration_ms long")
+    got = {r.idx: (r.candidate, r.coverage, r.coverage_low, r.emitted) for r in I.attach_segments(c, audio, c.where("idx = 2").withColumn("speaker", F.lit("SPK1"))).collect()}
+    assert got == {1: ("?", 0.0, True, False), 2: ("SPK1", 1.0, False, True)}
+
+
+def union_ms(spans, gap):
+    out = []
+    for a, b in sorted(spans):
+        if out and a - out[-1][1] <= gap:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return sum(b - a for a, b in out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_compact_requests_equal_the_fold(spark, seed):
+    rng = random.Random(seed)
+    scenes, windows = [], []
+    for m in range(3):
+        at = 0
+        for s in range(1, 30):
+            for _ in range(rng.randint(1, 4)):
+                at += rng.randint(0, 4000)
+                windows.append((m, s, max(0, at - 1000), at + rng.randint(100, 2000)))
+            own = [w for w in windows if w[:2] == (m, s)]
+            scenes.append((m, s, min(w[2] for w in own), max(w[3] for w in own), len(own)))
+    want = {}
+    for m in range(3):
+        group, held, n = 0, [], 0
+        for s in (x for x in scenes if x[0] == m):
+            own = [w[2:] for w in windows if w[:2] == (m, s[1])]
+            if n and (n + 1 > 4 or union_ms(held + own, 500) > 15_000):
+                group, held, n = group + 1, [], 0
+            held, n = held + own, n + 1
+            want[m, s[1]] = group
+    table = spark.createDataFrame(scenes, "media_id int, scene_id int, start_ms long, end_ms long, n_cues int")
+    spans = spark.createDataFrame(windows, "media_id int, scene_id int, start_ms long, end_ms long")
+    got = {(r.media_id, r.scene_id): r.group_id for r in S.budget_groups(table, 15_000, 0, 4, spans, 500).collect()}
+    assert got == want
+
+
+def test_scene_files(spark, tmp_path):
+    s = spark.createDataFrame([(1, 2, "b", 4, 6, 1.23456, 2.0), (1, 1, "a", 1, 3, 0.0, 1.0)], "media_id int, scene_id int, name string, start_idx int, end_idx int, start double, end double")
+    tables.write_scenes(s, f"file://{tmp_path}/out")
+    (file,) = (tmp_path / "out" / "media=1").glob("part*")
+    assert [(r["scene_id"], r["start"]) for r in json.loads(file.read_text())] == [(1, 0.0), (2, 1.235)]
+
+
+def test_mixed_sample_quotas(spark):
+    few = spark.createDataFrame([(1, i, "conflict" if i < 2 else "rejected" if i < 50 else "accepted") for i in range(200)], "media_id int, idx int, stratum string")
+    got = [r.stratum for r in S.stratified(few, "stratum", "mixed", 20).collect()]
+    assert (got.count("conflict"), got.count("rejected"), got.count("accepted")) == (2, 6, 12)
+    rows = [r.idx for r in S.stratified(few, "stratum", "all", 20).collect()]
+    assert rows == sorted(rows) and len(rows) == 20

@@ -41,8 +41,9 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_other_queries_run(spark, name):
-    assert registry.queries()[name](spark, DIR).count() >= 0
+def test_other_queries_give_rows(spark, name):
+    """w11_compact_groups alone; test_operators compares its operator with the fold written out."""
+    assert registry.queries()[name](spark, DIR).count() > 0
 
 
 def test_entry(spark):
