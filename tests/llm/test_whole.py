@@ -78,12 +78,19 @@ def test_bits_bound_the_distance_from_below():
     texts += [[w for w in t if rng.random() > 0.1] + ["z"] for t in texts]
     x = neardup.bits_batch(pa.array([" ".join(t) for t in texts])).to_pylist()
     side = {"n_words": [r["n_words"] for r in x], "bits": [r["bits"] for r in x], "la": list(range(len(x))), "up": [False] * len(x)}
-    allowed = {tuple(p) for p in zip(*map(list, neardup.possible(side, None)), strict=True)}
+    allowed = {(i, j): d for i, j, d in zip(*map(list, neardup.possible(side, None)), strict=True)}
+    close = set()
     for i, a in enumerate(texts):
         for j in range(i + 1, len(texts)):
             k = int(0.2 * max(len(a), len(texts[j])) + 1e-9)
-            if neardup.banded_distance([w.encode() for w in a], [w.encode() for w in texts[j]], k) is not None:
-                assert (i, j) in allowed
+            distance = neardup.banded_distance([w.encode() for w in a], [w.encode() for w in texts[j]], k)
+            if distance is not None:
+                assert allowed[i, j] <= distance
+                close.add((i, j))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    found = neardup.allowed_batch(pa.array([x[i] for i, _ in pairs]), pa.array([x[j] for _, j in pairs])).to_pylist()
+    # two maps alone fold less than a block of them, so they allow less
+    assert close <= {p for p, on in zip(pairs, found, strict=True) if on} <= set(allowed)
 
 
 def test_url_lists_meet_capitals_in_paths_and_user_info(spark):
