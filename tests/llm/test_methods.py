@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out labels, on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -389,6 +390,43 @@ def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch):
         assert got == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_grammar_equals_its_transducers_one_after_the_other():
+    """Brute force: each transducer rewrites the whole sentence before the next one reads it; a clause weighs its word's weight times e to its arcs' sum."""
+    rng = random.Random(9)
+    words = [w for name in toxicity.BASE for w in toxicity.BASE[name][:3]] + ["plain", "words", ",", "."]
+    learned = {"!^smash": 0.7, "=foul": 1.2}
+    grammar = toxicity.Grammar(learned)
+    lexicon = {w: (name, 1.0) for name, ws in toxicity.BASE.items() for w in ws} | {"smashing": ("THREAT", 0.7), "foul": ("INSULT", 1.2), ",": ("COMMA", 0.0)}
+    for _ in range(300):
+        tokens_ = [rng.choice([*words, "smashing", "foul"]) for _ in range(rng.randint(1, 40))]
+        weights, counts = [0.0] * 6, [0] * 6
+        for sentence in " ".join(tokens_).split("."):
+            said = sentence.split()
+            symbols = [(lexicon.get(w, ("OTHER", 0))[0], frozenset()) for w in said]
+            arcs = [0.0] * len(said)
+            for step in toxicity.STEPS:
+                state = 0
+                for i, symbol in enumerate(symbols):
+                    state, symbols[i], weight = step(state, symbol)
+                    arcs[i] += weight
+            for w, symbol, arc in zip(said, symbols, arcs, strict=True):
+                if kind := toxicity.kind_of(symbol):
+                    counts[kind] += 1
+                    weights[kind] += lexicon[w][1] * math.exp(arc)
+        got = grammar.matches(" ".join(tokens_))
+        assert got[1] == counts and got[0] == pytest.approx(weights)
+
+
+def test_scores_equal_brute_force(spark):
+    text = "you are an idiot. I will kill you. they said he is scum"
+    weights = [-1.0, 0.5, 0.7, 0.9, -0.2, -0.3, 0.1, 0.2, 0.4, 0.6]
+    aimed, threat, reported = math.exp(0.4), math.exp(0.6), math.exp(-1.0 + 0.4)
+    x = [1, 0, math.log1p(aimed), math.log1p(threat), 0, math.log1p(reported), 1, 1, math.log1p(100 * 3 / 13), (aimed + threat) / 10]
+    want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x, strict=True))))
+    row = toxicity.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), {}, weights, "s").first()
+    assert row.s == pytest.approx(want)
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
