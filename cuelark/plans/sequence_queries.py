@@ -337,7 +337,7 @@ A14 = W11.split("\nSELECT media_id, group_id")[0] + ",\ngr AS (SELECT w.media_id
 
 
 def w11_compact(spark, d):
-    """Requests by the union of their cues' padded windows; tests compare it with the fold written out."""
+    """Requests by the union of their cues' padded windows."""
     s = _scenes(spark, d)
     from ..operators.intervals import idx_join
 
@@ -346,6 +346,15 @@ def w11_compact(spark, d):
     return S.budget_groups(s, 20_000, 30, 0, w).groupBy("media_id", "group_id").agg(F.min("scene_id").alias("first_scene"), F.count("*").alias("n_scenes"), F.sum("n_cues").alias("n_cues"))
 
 
+# the open group's windows go along the walk; a fold over them, sorted, gives the length of their union
+_SPAN = "{'a': greatest(0, c.start_ms - 1000), 'z': c.end_ms + 1000, 't': c.end_ms + 1000 - greatest(0, c.start_ms - 1000)}"
+_UNION = "list_reduce(list_sort({0}), lambda p, x: CASE WHEN x.a - p.z <= 1000 THEN {{'a': p.a, 'z': greatest(p.z, x.z), 't': p.t + greatest(0, x.z - p.z)}} ELSE {{'a': x.a, 'z': x.z, 't': p.t + x.z - x.a}} END).t"
+_OVERC = f"(w.c + o.n_cues > 30 OR {_UNION.format('list_concat(w.l, o.l)')} > 20000)"
+W11C = X.query(CUT_SCENES, f"""o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY scene_id) AS rn FROM (SELECT cs.media_id, cs.scene_id, cs.n_cues, list({_SPAN}) AS l FROM cs JOIN cues c ON c.media_id = cs.media_id AND c.idx BETWEEN cs.start_idx AND cs.end_idx GROUP BY ALL))""", f"""walk AS (SELECT media_id, rn, scene_id, n_cues, n_cues AS c, l, 0 AS group_id FROM o WHERE rn = 1
+  UNION ALL SELECT o.media_id, o.rn, o.scene_id, o.n_cues, CASE WHEN {_OVERC} THEN o.n_cues ELSE w.c + o.n_cues END, CASE WHEN {_OVERC} THEN o.l ELSE list_concat(w.l, o.l) END, CASE WHEN {_OVERC} THEN w.group_id + 1 ELSE w.group_id END FROM walk w JOIN o ON o.media_id = w.media_id AND o.rn = w.rn + 1)
+SELECT media_id, group_id, min(scene_id) AS first_scene, count(*) AS n_scenes, sum(n_cues) AS n_cues FROM walk GROUP BY ALL""")
+
+
 def a15_tokens(spark, d):
     x = X.preds(spark, d).withColumn("total_tokens", F.when(F.col("pid") % 5 != 0, F.col("pid") * 7))
     return P.token_means(x, "confidence")
@@ -598,7 +607,7 @@ QUERIES = {
     "a6_style_profile": a6, "f6_policy_violations": f6, "a7_action_counts": a7, "j13_policy_check": j13, "v1_check_cues": v1, "v2_check_coverage": v2, "v3_check_order": v3, "v4_long_scenes": v4, "t5_sample": t5, "t6_stratified": t6, "t9_candidate_speakers": t9, "u1_p4_p5_classify": u1,
 }
 ORACLES = {
-    "w14_bisect_batches": W14, "j2_scene_cues_limited": J2S, "p10_cuts": P10C, "p10_cut_errors": P10CE, "p10_corrections": P10K, "a8_clip_stages": A8S, "a7_expected": A7E, "t5_sample": T5, "t6_stratified": T6, "t6_one_stratum": T6O,
+    "w14_bisect_batches": W14, "w11_compact_groups": W11C, "j2_scene_cues_limited": J2S, "p10_cuts": P10C, "p10_cut_errors": P10CE, "p10_corrections": P10K, "a8_clip_stages": A8S, "a7_expected": A7E, "t5_sample": T5, "t6_stratified": T6, "t6_one_stratum": T6O,
     "a15_token_means": X.query(X.LINES, X.PREDS + "\nSELECT confidence, count(*) AS n, count(*) FILTER (WHERE pid % 5 <> 0) AS n_with_tokens, avg(pid * 7) FILTER (WHERE pid % 5 <> 0) AS mean_tokens FROM preds GROUP BY confidence"),
     "a15_decisions": X.query(X.LINES, X.PREDS + "\nSELECT CASE WHEN pid % 4 = 0 THEN 'pending' WHEN speaker = 'user' THEN 'yes_target' ELSE 'no_target' END AS decision, count(*) AS n FROM preds GROUP BY 1"),
     "a3_alias_misses": X.query(X.CUES + "\nSELECT token, n FROM (SELECT speaker AS token, count(*) AS n, min((media_id, idx)) AS first FROM cues WHERE speaker NOT IN (SELECT event_type FROM events WHERE event_type <> 'error') AND speaker <> '?' GROUP BY speaker) ORDER BY n DESC, first LIMIT 3"),
