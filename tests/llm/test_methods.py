@@ -69,6 +69,33 @@ def test_quality_counts_and_verdict(spark, docs, rows):
     assert not any(r.kept for r in got if labels.get(r.doc_id) == 0)
 
 
+def test_posteriors_equal_brute_force(spark, docs):
+    """EM with plain loops over the documents themselves, and Bayes' rule for each of them."""
+    rows = quality.weak_supervision(docs, columns=["doc_id"]).select("quality.*").collect()
+    votes = [tuple(r.votes) for r in rows]
+    prior = ({1: 5.0, 0: 5.0, -1: 0.1}, {1: 0.5, 0: 5.0, -1: 5.0})
+    q = [0.05 if -1 in v else 0.95 for v in votes]
+    for _ in range(60):
+        share = (sum(q) + 4.0) / (len(q) + 5.0)
+        mass = [[dict(p) for p in prior] for _ in votes[0]]
+        for w, v in zip(q, votes, strict=True):
+            for r, x in enumerate(v):
+                mass[r][0][x] += w
+                mass[r][1][x] += 1 - w
+        fresh = []
+        for v in votes:
+            good, bad = share, 1 - share
+            for r, x in enumerate(v):
+                good *= mass[r][0][x] / sum(mass[r][0].values())
+                bad *= mass[r][1][x] / sum(mass[r][1].values())
+            fresh.append(good / (good + bad))
+        moved, q = max(abs(a - b) for a, b in zip(q, fresh, strict=True)), fresh
+        if moved < 1e-9:
+            break
+    for r, p in zip(rows, q, strict=True):
+        assert r.probability == pytest.approx(p, abs=1e-6) and r.kept == (not r.base_failed and r.probability >= 0.5)
+
+
 def test_em_finds_the_faulty_rule():
     rng = random.Random(1)
     patterns = Counter()
@@ -482,6 +509,55 @@ def test_tree_has_one_law_for_hosts_of_any_size(spark, n):
     assert all(("about" not in t) == gone for t in got)
 
 
+def test_pipeline_stages_equal_brute_force(spark, docs):
+    """Each stage on what the one before it kept, against plain Python."""
+    import corpus_pipeline
+
+    held = docs.withColumn("n", F.col("n_chars"))
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality rules"](spark, held, DIR).collect()
+    verdict = {r.doc_id: r.kept for r in queries.op6_weak_supervision(spark, DIR).collect()}
+    assert sorted(r.doc_id for r in good) == sorted(d for d, k in verdict.items() if k)
+    once = stages["near duplicates"](spark, spark.createDataFrame(good, held.schema), DIR).collect()
+    texts = sorted(((r.doc_id, (r.text or "").encode().split()) for r in good), key=lambda x: len(x[1]))
+    root = {i: i for i, _ in texts}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for p, (i, a) in enumerate(texts):
+        for j, b in texts[p + 1 :]:
+            if len(a) >= 0.8 * len(b) - 1e-9 and neardup.banded_distance(a, b, int(0.2 * len(b) + 1e-9)) is not None:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert sorted(r.doc_id for r in once) == sorted({find(i) for i, _ in texts})
+    clean = stages["benchmark leaks"](spark, spark.createDataFrame(once, held.schema), DIR).collect()
+    items = [simple(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    leaks = lambda t: any(len(grams(w) & grams(simple(t))) >= 0.8 * len(grams(w)) for w in items)
+    assert sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in once if not leaks(r.text))
+    rest = spark.createDataFrame(clean, held.schema)
+    drawn = stages["source mix"](spark, rest, DIR).collect()
+    copies = {r.doc_id: r.mix.copies for r in mixing.mix(rest).collect()}
+    assert Counter(r.doc_id for r in drawn) == Counter({d: n for d, n in copies.items() if n})
+    sizes, taken = Counter(), Counter()
+    for r in clean:
+        sizes[r.source] += len(split(r.text))
+    for r in drawn:
+        taken[r.source] += len(split(r.text))
+    want = filled(sizes, 1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - want[s]) <= max(len(split(r.text)) for r in clean if r.source == s) / 2 + 1 for s in want)
+    coded = stages["token output"](spark, spark.createDataFrame(drawn, held.schema), DIR).collect()
+    library, start, crcs = tokens.table(queries.tokenizer_path()).tokenizer, 0, {}
+    for r in sorted(drawn, key=lambda r: r.doc_id):
+        crcs.setdefault(r.doc_id, [*library.encode(r.text or "", add_special_tokens=False).ids, 1])
+    for r in sorted(coded, key=lambda r: r.start):
+        ids = crcs[r.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert Counter(r.doc_id for r in coded) == Counter(r.doc_id for r in drawn)
+
+
 def test_url_lists_equal_their_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DIR}/pages.parquet'")
