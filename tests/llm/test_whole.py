@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from cuelark.llm import neardup, url_lists
 from cuelark.plans import registry
