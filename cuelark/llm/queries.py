@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists
+from . import decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists, vector_codes
 from .common import crc_mod, read
 
 
@@ -112,6 +112,48 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql() -> str:
+    """The four rounds written out; sums of products of integers are exact in doubles."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, row, p, m, min((mm - 2 * list_inner_product(m, c) + cc) * 256 + e) AS best FROM parts JOIN c{k} USING (p) GROUP BY ALL)""")
+        if k < 4:
+            steps.append(f"""
+u{k} AS (
+  SELECT p, CAST(best % 256 AS BIGINT) AS e, i, floor(sum(x) / count(*)) AS x
+  FROM (SELECT p, best, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM a{k}) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(f, c) AS c, list_inner_product(coalesce(f, c), coalesce(f, c)) AS cc
+  FROM c{k} LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS f FROM u{k} GROUP BY ALL) USING (p, e))""")
+    return """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, row, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] AS m, list_inner_product(m, m) AS mm FROM v, range(4) AS t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, m AS c, mm AS cc
+  FROM parts WHERE row IN (SELECT row FROM v ORDER BY vec_id LIMIT 256)),""" + ",".join(steps) + """,
+digest AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c4)),
+coded AS (
+  SELECT row, string_agg(printf('%02x', CAST(best % 256 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(floor(best / 256)) AS BIGINT) AS error FROM a4 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (row) CROSS JOIN digest
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_site_style_tree": op1_site_style_tree,
@@ -124,8 +166,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op7_toxicity_grammar": op7_toxicity_grammar,
         "op6_weak_supervision": op6_weak_supervision,
+        "op12_lloyd_codes": op12_lloyd_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_lists": OP5_SQL}
+    return {"op5_url_lists": OP5_SQL, "op12_lloyd_codes": OP12_SQL}

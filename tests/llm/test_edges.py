@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists
+from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = " ".join(f"word{i % 97} other{i % 89}" for i in range(60))
@@ -148,3 +148,17 @@ def test_stages(spark, docs, nothing, k, tmp_path):
         assert out.columns == base.columns
     assert out.count() > 0
     assert stage(spark, nothing.drop("quality"), str(tmp_path)).count() == 0
+
+
+def test_vector_codes(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [0.5, 1.0, -0.25, 3.0], 1), (1, [0.5, 1.0, -0.25, 3.0], 1), (2, None, 1), (3, [0.5, None, 1.0, 2.0], 1), (4, [inf, 0.0, 0.0, 0.0], 1), (5, [nan, 0.0, 0.0, 0.0], 1), (6, [1.0], 1), (7, [], None), (None, [1e30, -1e30, 0.0, 0.0], None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("clash") for c in ("code", "salt", "pos", "entry", "n", "error")})
+    books, out = vector_codes.compress(d)
+    got = out.collect()
+    # one length; with three vectors there are three entries, of which equal ones leave the later unused
+    assert sorted((r.vec_id or 0, r.code, r.error) for r in got) == [(0, "02020202", 0), (1, "00000000", 0), (1, "00000000", 0)]
+    assert books.shape == (4, 3, 1) and {r.label_error for r in got} == {0}
+    assert vector_codes.compress(d.limit(0))[1].count() == 0
+    only = vector_codes.compress(d.where("vec_id = 7"))[1].collect()
+    assert [(r.code, r.error) for r in only] == [("00000000", 0)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity
+from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
 from cuelark.llm import words as W
 
 DIR = "/root/testdata/sf0.001"
@@ -564,3 +564,50 @@ def test_url_lists_equal_their_sql(spark):
     want = con.execute(queries.OP5_SQL).fetchall()
     got = [tuple(r) for r in queries.op5_url_lists(spark, DIR).select("page_id", "url", "day", "blocked", "n_active", "lists").collect()]
     assert sorted(got) == sorted(want) and any(r[3] for r in got)
+
+
+def lloyd(rows, rounds=4):
+    """The codes by plain loops: {vec_id: (code, error)}, books."""
+    own = sorted((i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows)
+    w = len(own[0][1]) // 4
+    cut = lambda v: [v[p * w : (p + 1) * w] for p in range(4)]
+    books = [[cut(v)[p] for _, v in own[:256]] for p in range(4)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    best = lambda p, m: min((far(m, c), e) for e, c in enumerate(books[p]))
+    for _ in range(rounds):
+        held = [[[] for _ in b] for b in books]
+        for _, v in own:
+            for p, m in enumerate(cut(v)):
+                held[p][best(p, m)[1]].append(m)
+        books = [[[sum(x) // len(ms) for x in zip(*ms, strict=True)] if ms else c for c, ms in zip(b, h, strict=True)] for b, h in zip(books, held, strict=True)]
+    found = {i: [best(p, m) for p, m in enumerate(cut(v))] for i, v in own}
+    return {i: ("".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f)) for i, f in found.items()}, books
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e4])
+def test_lloyd_codes_equal_brute_force(spark, scale):
+    """A third of the vectors are one vector, so entries repeat and stay unused; large components leave the doubles' exact range."""
+    draw = random.Random(5)
+    rows = [(i, [draw.gauss(0, scale) for _ in range(8)]) for i in range(400)]
+    rows = [(i, rows[7][1] if i % 3 == 0 else v) for i, v in rows]
+    want, books = lloyd(rows)
+    got_books, out = vector_codes.compress(spark.createDataFrame([(i, v, None if i % 5 == 0 else i % 2) for i, v in rows], "vec_id long, embedding array<float>, label int"))
+    got = out.collect()
+    assert {r.vec_id: (r.code, r.error) for r in got} == want and got_books.tolist() == books
+    for label in (None, 0, 1):
+        assert {r.label_error for r in got if r.label == label} == {sum(r.error for r in got if r.label == label)}
+
+
+def test_only_members_that_change_entry_migrate(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(900)]
+    sent = []
+    settle = vector_codes.Residents.settle
+
+    def noted(self, members):
+        sent.append(members.count())
+        return settle(self, members)
+
+    monkeypatch.setattr(vector_codes.Residents, "settle", noted)
+    vector_codes.compress(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int"))
+    assert len(sent) == 4 and sent[0] == 3600 and all(0 < n < 1800 for n in sent[1:])
