@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists, vector_codes
+from . import collocations, decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists, vector_codes
 from .common import crc_mod, read
 
 
@@ -154,6 +154,33 @@ FROM coded JOIN v USING (row) CROSS JOIN digest
 OP12_SQL = _op12_sql()
 
 
+def op13_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)),
+runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS t(k)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, k, f AS a, j, string_split(phrase, ' ') AS w FROM f, (VALUES (1), (2)) AS t(j) WHERE k > j),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1 :], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM f WHERE k = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best JOIN n USING (lang) LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_site_style_tree": op1_site_style_tree,
@@ -167,8 +194,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity_grammar": op7_toxicity_grammar,
         "op6_weak_supervision": op6_weak_supervision,
         "op12_lloyd_codes": op12_lloyd_codes,
+        "op13_son_collocations": op13_son_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_lists": OP5_SQL, "op12_lloyd_codes": OP12_SQL}
+    return {"op5_url_lists": OP5_SQL, "op12_lloyd_codes": OP12_SQL, "op13_son_collocations": OP13_SQL}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
+from cuelark.llm import collocations, decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = " ".join(f"word{i % 97} other{i % 89}" for i in range(60))
@@ -162,3 +162,11 @@ def test_vector_codes(spark):
     assert vector_codes.compress(d.limit(0))[1].count() == 0
     only = vector_codes.compress(d.where("vec_id = 7"))[1].collect()
     assert [(r.code, r.error) for r in only] == [("00000000", 0)]
+
+
+def test_collocations(docs, nothing):
+    d = docs.withColumns({c: F.lit("clash") for c in ("phrase", "f", "w", "rank", "n", "l", "r")}).union(docs.withColumns({c: F.lit("clash") for c in ("phrase", "f", "w", "rank", "n", "l", "r")}))
+    got = collocations.collocations(d).collect()
+    assert [(r.phrase, r.a, r.l, r.r, r.n) for r in got if r.lang == "en" and r.phrase.startswith("x")] == [("x x x", 79996, 80000, 79998, 80000 + 2 * (1 + 3 + 3 * 120))]
+    assert {r.lang for r in got} == {"en"}
+    assert collocations.collocations(nothing).count() == 0

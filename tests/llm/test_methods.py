@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelark.llm import decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
+from cuelark.llm import collocations, decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
 from cuelark.llm import words as W
 
 DIR = "/root/testdata/sf0.001"
@@ -611,3 +611,55 @@ def test_only_members_that_change_entry_migrate(spark, monkeypatch):
     monkeypatch.setattr(vector_codes.Residents, "settle", noted)
     vector_codes.compress(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int"))
     assert len(sent) == 4 and sent[0] == 3600 and all(0 < n < 1800 for n in sent[1:])
+
+
+def phrases_of(rows, support):
+    """Counts by (language, phrase) and of all words, by plain loops."""
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            for k in (1, 2, 3):
+                counts.update((lang or "und", " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    return {k: n for k, n in counts.items() if n >= support}, totals
+
+
+@pytest.mark.parametrize("shard_bytes", [200, 4000, 1 << 24])
+def test_phrase_counts_equal_brute_force(spark, shard_bytes):
+    """With small shards the lowered support is 1, with large ones it prunes and shards are silent; neither changes a count."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)] + ["É", "Ab", "aB", " x", "日本"]
+    rows = [(draw.choice(["en", "de", None]), draw.choice([" ", "  ", "\t"]).join(draw.choice(vocabulary) + draw.choice(["", "", "", ".", ",\n", "!?"]) for _ in range(draw.randrange(60)))) for _ in range(150)]
+    rows += [("en", None), ("fr", ""), ("fr", " .. "), ("en", "a b a b a b " * 50)]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want, totals = phrases_of(rows, 10)
+    got = collocations.phrase_counts(frame, 10, shard_bytes).collect()
+    assert {(r.lang, r.phrase): r.f for r in got if r.phrase is not None} == want
+    assert {r.lang: r.f for r in got if r.phrase is None} == {k: totals[k] for k in ("en", "de", "und", "fr")}
+
+
+def test_collocations_equal_brute_force(spark):
+    draw = random.Random(12)
+    rows = [("en", " ".join(draw.choice(["new york", "new york city", "the", "of the", "city", "york"]) for _ in range(40))) for _ in range(80)]
+    want, totals = phrases_of(rows, 10)
+    f = {p: n for (_, p), n in want.items()}
+    found = []
+    for p, a in f.items():
+        w = p.split(" ")
+        if len(w) == 1:
+            continue
+        cuts = [(10**6 * a * a // (f[" ".join(w[:k])] * f[" ".join(w[k:])]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        if not any(len(q.split(" ")) > len(w) and f" {p} " in f" {q} " and 2 * n >= a for q, n in f.items()):
+            found.append((-score, -a, p, f[" ".join(w[:k])], f[" ".join(w[k:])]))
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), most=25).orderBy("rank").collect()
+    assert [(-r.score, -r.a, r.phrase, r.l, r.r) for r in got] == sorted(found)[:25] and {r.n for r in got} == {totals["en"]}
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_lowered_supports_lose_nothing():
+    for sizes in ([1], [3, 1], [5, 5, 5, 1], [1] * 30, [100, 1, 1, 1]):
+        least = [collocations.lowered(s, sum(sizes), 10) for s in sizes]
+        assert sum(t - 1 for t in least) < 10
