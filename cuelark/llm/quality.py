@@ -37,7 +37,7 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 COUNTS = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS])
 
 
-def _counts(s: W.Slice) -> list[np.ndarray]:
+def text_counts_of(s: W.Slice) -> list[np.ndarray]:
     words, n = W.hash_words(s), s.n
     text = np.repeat(np.arange(n), np.diff(s.offsets))
     total = lambda flags: W.per_text(np.ones(1), text[:0], n) if not len(text) else np.bincount(text[flags], minlength=n)
@@ -77,7 +77,7 @@ def _counts(s: W.Slice) -> list[np.ndarray]:
 
 
 def count_batch(texts: pa.Array) -> pa.Array:
-    parts = [_counts(s) for s in W.slices(texts)]
+    parts = [text_counts_of(s) for s in W.slices(texts)]
     columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(len(FIELDS))]
     return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(FIELDS))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists, vector_codes
+from . import collocations, decontam, discriminant, html_text, licenses, mixing, neardup, quality, sharding, tokens, toxicity, url_lists, vector_codes
 from .common import crc_mod, read
 
 
@@ -112,6 +112,11 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = discriminant.classified(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = vector_codes.compress(read(spark, sf_dir, "embeddings"))
     return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -193,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op7_toxicity_grammar": op7_toxicity_grammar,
         "op6_weak_supervision": op6_weak_supervision,
+        "op11_quadratic_quality": op11_quadratic_quality,
         "op12_lloyd_codes": op12_lloyd_codes,
         "op13_son_collocations": op13_son_collocations,
     }

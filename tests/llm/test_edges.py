@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelark.llm import collocations, decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
+from cuelark.llm import collocations, decontam, discriminant, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = " ".join(f"word{i % 97} other{i % 89}" for i in range(60))
@@ -170,3 +170,17 @@ def test_collocations(docs, nothing):
     assert [(r.phrase, r.a, r.l, r.r, r.n) for r in got if r.lang == "en" and r.phrase.startswith("x")] == [("x x x", 79996, 80000, 79998, 80000 + 2 * (1 + 3 + 3 * 120))]
     assert {r.lang for r in got} == {"en"}
     assert collocations.collocations(nothing).count() == 0
+
+
+def test_discriminant(spark, docs, nothing):
+    d = docs.drop("quality").withColumn("x", F.lit("clash")).withColumn("held_out", F.lit("clash"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in discriminant.classified(d, none).collect()} == {0.5}
+    one = spark.createDataFrame([(1, 1), (2, None), (None, 0), (7, 1), (7, 0)], none.schema)
+    assert len({r.score for r in discriminant.classified(d, one).collect()}) == 1
+    both = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (6, 0)], none.schema).withColumn("text", F.lit("clash"))
+    got = discriminant.classified(d, both).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[1] > 0.5 > by[3] == by[4]
+    assert discriminant.classified(nothing.drop("quality"), both).count() == 0

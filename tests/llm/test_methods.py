@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelark.llm import collocations, decontam, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
+from cuelark.llm import collocations, decontam, discriminant, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
 from cuelark.llm import words as W
 
 DIR = "/root/testdata/sf0.001"
@@ -663,3 +663,48 @@ def test_lowered_supports_lose_nothing():
     for sizes in ([1], [3, 1], [5, 5, 5, 1], [1] * 30, [100, 1, 1, 1]):
         least = [collocations.lowered(s, sum(sizes), 10) for s in sizes]
         assert sum(t - 1 for t in least) < 10
+
+
+def test_discriminant_equals_brute_force(spark):
+    """Means and covariances from plain loops over the labelled rows, the densities by determinants and inverses without factors."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.select("doc_id", discriminant.text_features(F.col("text")).alias("x")).collect()
+    d = len(discriminant.FEATURES)
+    taught = {k: [np.array(r.x) / discriminant.UNIT for r in rows if known.get(r.doc_id) == k and zlib.crc32(str(r.doc_id).encode()) % 5] for k in (0, 1)}
+    total = sum(map(len, taught.values()))
+    mean = {k: sum(v) / len(v) for k, v in taught.items()}
+    scatter = {k: sum(np.outer(x - mean[k], x - mean[k]) for x in v) for k, v in taught.items()}
+    pooled = (scatter[0] + scatter[1]) / total
+    spread = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    cov = {}
+    for k, v in taught.items():
+        c = (scatter[k] + discriminant.POOLED_ROWS * pooled) / (len(v) + discriminant.POOLED_ROWS) / np.outer(spread, spread)
+        m = sum(c[i, i] for i in range(d)) / d
+        square = sum(c[i, j] ** 2 for i in range(d) for j in range(d))
+        weight = min(1.0, ((1 - 2 / d) * square + (m * d) ** 2) / ((len(v) + 1 - 2 / d) * (square - m * m * d)))
+        cov[k] = np.array([[(1 - weight) * c[i, j] + (weight * m if i == j else 0) for j in range(d)] for i in range(d)])
+
+    def log_density(k, x):
+        z = x / spread - mean[k] / spread
+        return -0.5 * z @ np.linalg.inv(cov[k]) @ z - 0.5 * math.log(np.linalg.det(cov[k]))
+
+    got = {r.doc_id: r for r in queries.op11_quadratic_quality(spark, BIG).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        x = np.array(r.x) / discriminant.UNIT
+        odds = (log_density(1, x) - log_density(0, x)) / discriminant.TEMPER + math.log(len(taught[1]) / len(taught[0]))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, odds)))), abs=1e-6)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+    held = [(known[i], r.score, r.predicted) for i, r in got.items() if r.held_out and known.get(i) is not None]
+    good, bad = [s for k, s, _ in held if k], [s for k, s, _ in held if not k]
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad) > 0.99
+    assert sum(k == p for k, _, p in held) / len(held) > 0.97
+
+
+def test_discriminant_does_not_hang_on_partitions(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    runs = [{(r.doc_id, r.score) for r in discriminant.classified(docs.repartition(n), labels.repartition(n)).collect()} for n in (1, 5)]
+    assert runs[0] == runs[1]
