@@ -3,9 +3,9 @@
 Pass one mines shards. A shard is a run of documents of SHARD_BYTES of text (whole documents; one at least); all its phrases of one to
 LONGEST words are counted, and those are kept whose local count reaches the support lowered to the shard's share of all bytes,
 ceil(support * share). A phrase that reaches the support in a language anywhere in the corpus reaches it so in one shard at least, since the
-shares sum to 1. Locally frequent phrases go, as 64-bit keys with their counts, to owners of key ranges, which unite the shards and keep a
-phrase unless what the shards reported and the most that the silent ones may hold stay below the support. What is kept becomes
-bits of a filter of at most MOST_BITS bits, so that what is broadcast is bounded; a key that meets another's bit costs work, not
+shares sum to 1. Locally frequent phrases go, as keys of 32 bits and the range's own with their counts, to owners of key ranges, which unite the shards and keep a
+phrase unless what the shards reported and the most that the silent ones may hold stay below the support. What is kept becomes bits
+of a filter of at most MOST_BITS bits, so that what is broadcast is bounded; a key that meets another's bit costs work, not
 exactness. With many shards the lowered support is 1 and nothing is silent: then the owners' sums are whole.
 
 Pass two counts every phrase of the filter exactly, by its words and not by keys, first within shards and then over all, and drops
@@ -33,8 +33,8 @@ from .common import stored
 SUPPORT = 10
 LONGEST = 3
 MOST = 2000
-SHARD_BYTES = 16 << 20
-OWNED_BYTES = 64 << 20  # keys of one range, about
+SHARD_BYTES = 8 << 20
+OWNED_BYTES = 32 << 20  # keys of one range, about
 MOST_BITS = 1 << 28
 MOST_OWNERS = 4096
 FEW_WORDS = 200_000
@@ -133,42 +133,56 @@ def lowered(size: int, total: int, support: int) -> int:
     return max(1, -(-support * size // max(1, total)))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as the byte planes of their differences, of which the high ones are nearly all zero and compress."""
+    return np.diff(keys, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def mine(total: int, ranges: int, support: int, shard_bytes: int):
-    """mapInArrow over documents: the locally frequent keys of each shard, a row for each range of keys that holds some."""
+    """mapInArrow over documents: the locally frequent keys of each shard, a row for each range of keys that holds some.
+
+    A range is named by the key's first bits; the 32 bits after them stand for the key. A count above the support is as good as the
+    support. A shard whose lowered support is above 1 has a row for every range, so that all owners know of it: there are fewer such shards than the support."""
     bits = ranges.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in shards(batches, shard_bytes):
             least = lowered(int(pc.sum(pc.binary_length(text)).as_py() or 0), total, support)
             _, salts, shard = _opened(lang, text)
-            keys, n = _counted(np.concatenate([shard.keys(shard.runs(k), k, salts) for k in range(1, LONGEST + 1)]))
-            keys, n = keys[n >= least], n[n >= least]
-            bounds = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
-            used = np.flatnonzero(np.diff(bounds))
-            # a first row, of no range, says what the shard may be silent about
-            blob = lambda x: pa.array([None, *(x[bounds[c] : bounds[c + 1]].tobytes() for c in used)], pa.binary())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used).astype(np.int32)), blob(keys), blob(n.astype(np.uint32)), pa.array(np.full(len(used) + 1, least, np.int64))], ["cell", "keys", "n", "least"])
+            keys, n = _counted(np.concatenate([shard.keys(shard.runs(k), k, salts) for k in range(1, LONGEST + 1)]) >> np.uint64(32 - bits))
+            keys, n = keys[n >= least], np.minimum(n[n >= least], support)
+            bounds = np.searchsorted(keys >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(bounds)) if least == 1 else np.arange(ranges)
+            for some in np.array_split(used, max(1, len(keys) >> 19)):
+                spans = [slice(bounds[c], bounds[c + 1]) for c in some]
+                columns = [pa.array(some.astype(np.int32)), pa.array([packed(keys[x].astype(np.uint32)) for x in spans], pa.binary()), pa.array([n[x].astype("<u4").tobytes() for x in spans], pa.binary()), pa.array(np.full(len(some), least, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "keys", "n", "least"])
 
     return run
 
 
-def unite(ranges: int, bits: int, support: int, slack: int):
+def unite(ranges: int, bits: int, support: int):
     """mapInArrow over an owner's key ranges, one after the other: the bits of the phrases that may reach the support.
 
-    A shard of lowered support t that is silent about a phrase holds it t - 1 times at most; slack is the sum of that over all shards, and each
-    shard that reports a phrase gives its part of it back."""
-    shift = np.uint64(64 - (bits.bit_length() - 1))
+    A shard of lowered support t that is silent about a phrase holds it t - 1 times at most: to what the shards report comes
+    the sum of that over the silent ones."""
     own = bits // ranges
+    shift = np.uint64(32 - (own.bit_length() - 1))
 
     def row(cell: int, held: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in held])
-        n = np.concatenate([np.frombuffer(c, np.uint32).astype(np.int64) - (least - 1) for _, c, least in held])
+        keys = np.concatenate([unpacked(k) for k, _, _ in held])
+        n = np.concatenate([np.frombuffer(c, "<u4").astype(np.int32) - (least - 1) for _, c, least in held])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        frequent = keys[starts][np.add.reduceat(n, starts) + slack >= support]
         flags = np.zeros(own, bool)
-        flags[((frequent >> shift) - np.uint64(cell * own)).astype(np.int64)] = True
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            frequent = keys[starts][np.add.reduceat(n, starts) + sum(least - 1 for _, _, least in held) >= support]
+            flags[(frequent.astype(np.uint64) >> shift).astype(np.int64)] = True
         return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["cell", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +246,12 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
     own = docs.select("lang", "text")
     total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(most_bits, max(1 << 16, _power(4 * total)))
-    ranges = min(bits // 64, _power(max(2 * spark.sparkContext.defaultParallelism, 4 * total / OWNED_BYTES)))
+    ranges = min(bits // 64, _power(max(2 * spark.sparkContext.defaultParallelism, 2 * total / OWNED_BYTES)))
     owners = min(ranges, MOST_OWNERS)
-    mined = stored(own.mapInArrow(mine(total, ranges, support, shard_bytes), "cell int, keys binary, n binary, least long"))
-    slack = mined.where("cell < 0").agg(F.sum(F.col("least") - 1)).first()[0] or 0
-    dealt = mined.where("cell >= 0").repartitionById(owners, (F.col("cell") % owners).cast("int")).sortWithinPartitions("cell")
+    mined = own.mapInArrow(mine(total, ranges, support, shard_bytes), "cell int, keys binary, n binary, least int")
+    dealt = mined.repartitionById(owners, (F.col("cell") % owners).cast("int")).sortWithinPartitions("cell")
     whole, size = bytearray(bits // 8), bits // ranges // 8
-    for r in dealt.mapInArrow(unite(ranges, bits, support, slack), "cell int, bits binary").collect():  # most_bits / 8 bytes at most
+    for r in dealt.mapInArrow(unite(ranges, bits, support), "cell int, bits binary").collect():  # most_bits / 8 bytes at most
         whole[r["cell"] * size : (r["cell"] + 1) * size] = r["bits"]
     held = spark.sparkContext.broadcast(bytes(whole))
     counted = own.mapInArrow(count(lambda: np.frombuffer(held.value, np.uint8), bits, shard_bytes), "lang string, phrase string, f long")
