@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..scratch import drop_at_exit, shared_dir
+from ..sources import files
 from ..sources import subtitles as S
 from ..sources import tables as B
 from . import fixtures as X
@@ -42,11 +44,11 @@ SELECT media_id, CASE WHEN odd THEN 'idx' WHEN start_ms % 10 = 9 THEN 'time line
 
 
 def s3(spark, d):
-    s = X.scenes(spark, d).select("media_id", F.col("scene_id").cast("int").alias("idx"), "start_ms", "end_ms", F.concat(F.lit("scene "), F.col("scene_id").cast("string")).alias("text"), F.array().cast("array<string>").alias("tags"), F.lit("").alias("speaker"))
+    s = X.scenes(spark, d).select("media_id", F.col("scene_id").cast("int").alias("idx"), "start_ms", "end_ms", F.when(F.col("scene_id") % 3 != 0, F.concat(F.lit("scene "), F.col("scene_id").cast("string"))).otherwise("").alias("text"), F.array().cast("array<string>").alias("tags"), F.lit("").alias("speaker"))
     return S.parse_srt(S.render_srt(s, labelled=False).withColumn("content", F.concat(F.lit("﻿"), F.replace("content", F.lit("\n"), F.lit("\r\n")))), "scene").select("media_id", "idx", "start_ms", "end_ms", "text", "_corrupt")
 
 
-S3 = X.query(X.LINES, X.SCENES + "\nSELECT media_id, CAST(scene_id AS INTEGER) AS idx, start_ms, end_ms, 'scene ' || scene_id AS text, NULL AS _corrupt FROM scenes")
+S3 = X.query(X.LINES, X.SCENES + "\nSELECT media_id, CAST(scene_id AS INTEGER) AS idx, start_ms, end_ms, CASE WHEN scene_id % 3 <> 0 THEN 'scene ' || scene_id ELSE 'scene_' || lpad(CAST(scene_id AS VARCHAR), 4, '0') END AS text, NULL AS _corrupt FROM scenes")
 
 
 def s4(spark, d):
@@ -97,15 +99,15 @@ def s7_styles(spark, d):
 def s8(spark, d):
     """Each order is a container, each of its lines a stream."""
     li = X.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_suppkey") % 4).alias("k"), F.min("l_returnflag").alias("l_returnflag"))
-    codec = F.when(F.col("k") < 2, "ass").when(F.col("k") == 2, "subrip").otherwise("hdmv_pgs_subtitle")
+    codec = F.when(F.col("k") < 2, "ass").when(F.col("k") == 2, "subrip").when(F.col("l_linenumber") == 1, "webvtt").when(F.col("l_linenumber") == 2, "mov_text").otherwise("hdmv_pgs_subtitle")
     stream = F.struct(F.col("l_linenumber").cast("int").alias("index"), F.when(F.col("l_returnflag") == "N", "audio").otherwise("subtitle").alias("codec_type"), codec.alias("codec_name"), F.struct(F.col("l_returnflag").alias("language"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("title")).alias("tags"))
     docs = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(stream).alias("streams"))).alias("value")).select(F.col("l_orderkey").alias("media_id"), "value")
     return B.stream_catalog(docs).select("media_id", "stream_index", "subtitle_index", "codec_name", "language", "title", "support")
 
 
 S8 = """SELECT l_orderkey AS media_id, CAST(l_linenumber AS INTEGER) AS stream_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS subtitle_index,
- CASE WHEN k < 2 THEN 'ass' WHEN k = 2 THEN 'subrip' ELSE 'hdmv_pgs_subtitle' END AS codec_name, l_returnflag AS language, 't' || k AS title,
- CASE WHEN k < 2 THEN 'full' WHEN k = 2 THEN 'text' ELSE 'unsupported' END AS support FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey % 4) AS k, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) WHERE l_returnflag <> 'N'"""
+ CASE WHEN k < 2 THEN 'ass' WHEN k = 2 THEN 'subrip' WHEN l_linenumber = 1 THEN 'webvtt' WHEN l_linenumber = 2 THEN 'mov_text' ELSE 'hdmv_pgs_subtitle' END AS codec_name, l_returnflag AS language, 't' || k AS title,
+ CASE WHEN k < 2 THEN 'prepare' WHEN k = 2 THEN 'extracted_only' ELSE 'inspect_only' END AS support FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey % 4) AS k, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) WHERE l_returnflag <> 'N'"""
 
 
 ENDINGS = ("mkv", "ass", "json", "txt", "wav", "srt", "ts", "vtt", "flv", "aac", "wma", "m4v")
@@ -292,6 +294,42 @@ S19 = X.query(X.CUES, interval_queries.CLIPS, interval_queries._OVER, f"done AS
 SELECT media_id, speaker, lpad(CAST(o AS VARCHAR), 4, '0') || '_' || regexp_replace(speaker, '[\\/:*?"<>|]+', '_', 'g') || '_' || printf('%d-%02d-%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) || '_' || CASE WHEN what = '' THEN '_' ELSE what END || '|' || speaker || '|' || full_text AS value FROM n WHERE full_text <> ''""")
 
 
+def _written(spark, write):
+    """The path of a scratch folder that `write` filled."""
+    path = shared_dir(spark)
+    write(path)
+    drop_at_exit(spark, path)
+    return path
+
+
+def s5_files(spark, d):
+    """A labelled file a media through the sink, read again by path."""
+    path = _written(spark, lambda p: S.write_srt(_cues(spark, d), p))
+    r = S.read_srt(spark, path)
+    return r.select(F.col("media_id").cast("long").alias("media_id"), "idx", "start_ms", "end_ms", "speaker", F.array_join("tags", ",").alias("tags"), "text", "_corrupt")
+
+
+def s6_files(spark, d):
+    """An ASS file a media, read by path: lines are numbered from 1 as they are in the file."""
+    lines = ass_lines(spark, d).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("i"))
+    path = _written(spark, lambda p: files.write_files(lines.select(F.concat(F.col("media_id").cast("string"), F.lit(".ass")).alias("name"), F.array_join(F.transform("i", lambda x: x["line"]), "\n").alias("content")), p))
+    return S.read_ass_dialogue(spark, path).select(F.col("media_id").cast("long").alias("media_id"), "line_no", "start_ms", "end_ms", "style", "text_raw")
+
+
+# seven lines stand before the events
+S6F = S6.replace("idx + 10 AS line_no", "idx + 7 AS line_no")
+
+
+def s19_files(spark, d):
+    """Manifests of all speakers through the sink: the lines of each file, in order."""
+    path = _written(spark, lambda p: B.write_training_manifest(I.merge_overlap(interval_queries.clips(spark, d)), p))
+    lines = files.read_lines(spark, path, media=lambda p: F.regexp_extract(p, r"([^/]+/[^/]+)/[^/]+$", 1))
+    return lines.select(F.split("media_id", "/")[0].cast("long").alias("media_id"), F.split("line", r"\|")[1].alias("speaker"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("value"))
+
+
+S19F = S19.replace("SELECT media_id, speaker, lpad(", "SELECT media_id, speaker, row_number() OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms, entry_idx) AS line_no, lpad(")
+
+
 def p14(spark, d):
     return I.to_clips(X.cues(spark, d)).select("media_id", "entry_idx", "kind", "excerpt", "full_text")
 
@@ -305,5 +343,5 @@ def p16(spark, d):
 
 P16 = X.query(X.CUES + "\nSELECT media_id, idx, start_ms - 1000 AS start_ms, end_ms - 1000 AS end_ms, regexp_replace(text, '^[^ ]+ ', '') AS text FROM cues WHERE idx BETWEEN 5 AND 300")
 
-QUERIES = {"s1_s5_v5_srt_round_trip": s1, "s2_strict_srt": s2, "s3_scene_srt": s3, "s4_cue_json_lines": s4, "s6_ass_dialogue": s6, "s7_ass_events": s7, "s7_styles": s7_styles, "s11_segment_errors": s11_errors, "s12_map_errors": s12_errors, "s18_settings": s18_settings, "s18_streams": s18_streams, "s8_stream_catalog": s8, "s9_project_catalog": s9, "s10_manifest": s10, "s10_verify_manifest": s10_verify, "s11_segments": s11, "s12_label_map": s12, "s13_aliases": s13, "s14_roles": s14, "s15_scene_json": s15, "s16_s17_results": s16, "s18_policy": s18, "s19_training_manifest": s19, "p14_to_clips": p14, "p16_rebase": p16}
-ORACLES = {"s1_s5_v5_srt_round_trip": S1, "s2_strict_srt": S2, "s3_scene_srt": S3, "s4_cue_json_lines": S4, "s6_ass_dialogue": S6, "s7_ass_events": S7, "s7_styles": X.query(X.CUES + "\nSELECT DISTINCT media_id, 4 AS line_no, 'Default' AS name, '20' AS fontsize FROM cues"), "s11_segment_errors": S11E, "s12_map_errors": S12E, "s18_settings": S18S, "s18_streams": S18T, "s19_training_manifest": S19, "s8_stream_catalog": S8, "s9_project_catalog": S9, "s10_manifest": S10, "s10_verify_manifest": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0", "s11_segments": S11, "s12_label_map": S12, "s13_aliases": S13, "s14_roles": S14, "s15_scene_json": S15, "s16_s17_results": S16, "s18_policy": S18, "p14_to_clips": P14, "p16_rebase": P16}
+QUERIES = {"s5_srt_files": s5_files, "s6_ass_files": s6_files, "s19_manifest_files": s19_files, "s1_s5_v5_srt_round_trip": s1, "s2_strict_srt": s2, "s3_scene_srt": s3, "s4_cue_json_lines": s4, "s6_ass_dialogue": s6, "s7_ass_events": s7, "s7_styles": s7_styles, "s11_segment_errors": s11_errors, "s12_map_errors": s12_errors, "s18_settings": s18_settings, "s18_streams": s18_streams, "s8_stream_catalog": s8, "s9_project_catalog": s9, "s10_manifest": s10, "s10_verify_manifest": s10_verify, "s11_segments": s11, "s12_label_map": s12, "s13_aliases": s13, "s14_roles": s14, "s15_scene_json": s15, "s16_s17_results": s16, "s18_policy": s18, "s19_training_manifest": s19, "p14_to_clips": p14, "p16_rebase": p16}
+ORACLES = {"s5_srt_files": S1, "s6_ass_files": S6F, "s19_manifest_files": S19F, "s1_s5_v5_srt_round_trip": S1, "s2_strict_srt": S2, "s3_scene_srt": S3, "s4_cue_json_lines": S4, "s6_ass_dialogue": S6, "s7_ass_events": S7, "s7_styles": X.query(X.CUES + "\nSELECT DISTINCT media_id, 4 AS line_no, 'Default' AS name, '20' AS fontsize FROM cues"), "s11_segment_errors": S11E, "s12_map_errors": S12E, "s18_settings": S18S, "s18_streams": S18T, "s19_training_manifest": S19, "s8_stream_catalog": S8, "s9_project_catalog": S9, "s10_manifest": S10, "s10_verify_manifest": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0", "s11_segments": S11, "s12_label_map": S12, "s13_aliases": S13, "s14_roles": S14, "s15_scene_json": S15, "s16_s17_results": S16, "s18_policy": S18, "p14_to_clips": P14, "p16_rebase": P16}

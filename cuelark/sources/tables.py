@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, norm_speaker, prediction_label, safe_idx, strip
+from .files import folder, read_lines, read_values, readable, unreadable, write_files
 
 # File endings by kind, and the name of the alias file.
 KINDS = {"video": ("mp4", "mkv", "mov", "avi", "ts", "webm", "flv", "m4v", "wmv"), "audio": ("wav", "flac", "mp3", "m4a", "aac", "opus", "ogg", "wma"), "subtitle": ("ass", "ssa", "srt", "vtt")}
 ALIAS_FILE = "speaker_aliases.json"
-TEXT_CODECS = ("ass", "ssa", "subrip", "webvtt", "mov_text")
+# The codecs whose streams are prepared, and those that are extracted only.
+PREPARED, EXTRACTED = ("ass", "ssa"), ("subrip",)
 
 
 def stream_catalog(probes: DataFrame) -> DataFrame:
-    """probes(media_id, value): a row for each subtitle stream of a container probe."""
-    shape = "streams array<struct<index:int,codec_type:string,codec_name:string,tags:struct<language:string,title:string>,disposition:map<string,int>>>"
+    """probes(media_id, value): a row for each subtitle stream of a container probe; `support` is prepare, extracted_only or inspect_only, by codec."""
+    shape = "streams array<struct<index:int,codec_type:string,codec_name:string,codec_long_name:string,tags:struct<language:string,title:string>,disposition:map<string,int>,start_time:string,duration:string>>"
     s = probes.select("media_id", F.explode(F.from_json("value", shape)["streams"]).alias("s")).where("s.codec_type = 'subtitle'")
     w = Window.partitionBy("media_id").orderBy("s.index")
-    support = F.when(F.col("s.codec_name").isin("ass", "ssa"), "full").when(F.col("s.codec_name").isin(*TEXT_CODECS), "text").otherwise("unsupported")
-    return s.select("media_id", F.col("s.index").alias("stream_index"), (F.row_number().over(w) - 1).alias("subtitle_index"), F.col("s.codec_name").alias("codec_name"), F.col("s.tags.language").alias("language"), F.col("s.tags.title").alias("title"), F.coalesce(F.col("s.disposition")["default"], F.lit(0)).alias("is_default"), support.alias("support"))
+    support = F.when(F.col("s.codec_name").isin(*PREPARED), "prepare").when(F.col("s.codec_name").isin(*EXTRACTED), "extracted_only").otherwise("inspect_only")
+    text = lambda c: F.coalesce(f"s.{c}", F.lit("")).alias(c.split(".")[-1])
+    return s.select("media_id", F.col("s.index").alias("stream_index"), (F.row_number().over(w) - 1).alias("subtitle_index"), text("codec_name"), text("codec_long_name"), text("tags.language"), text("tags.title"), F.col("s.start_time").alias("start_time"), F.col("s.duration").alias("duration"), F.coalesce(F.col("s.disposition")["default"], F.lit(0)).alias("is_default"), support.alias("support"))
 
 
 def project_catalog(files: DataFrame, require_subtitle: bool = True) -> DataFrame:
@@ -174,9 +177,9 @@ def render_scenes(scenes: DataFrame) -> DataFrame:
     return scenes.groupBy("media_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
 
 
-def write_scenes(scenes: DataFrame, path: str) -> None:
-    """A folder a media with its scene array."""
-    render_scenes(scenes).select(F.col("media_id").cast("string").alias("media"), "value").write.partitionBy("media").text(path)
+def write_scenes(scenes: DataFrame, path: str, mode: str = "error") -> int:
+    """One file `<media_id>.json` a media with its scene array; see write_files."""
+    return write_files(render_scenes(scenes).select(F.concat(F.col("media_id").cast("string"), F.lit(".json")).alias("name"), F.col("value").alias("content")), path, mode)
 
 
 def parse_results(rows: DataFrame, cast: list[str]) -> DataFrame:
@@ -216,9 +219,82 @@ def select_streams(settings: DataFrame, streams: DataFrame) -> DataFrame:
     return x.select("media_id", "stream_index", bad.alias("problem")).distinct()
 
 
-def training_manifest(clips: DataFrame) -> DataFrame:
+def training_manifest(clips: DataFrame, *beside: str) -> DataFrame:
     """file|speaker|text rows of clips with text, numbered per speaker in time order."""
     w = Window.partitionBy("media_id", "speaker").orderBy("start_ms", "end_ms", "entry_idx")
     named = clips.withColumn("__n", F.row_number().over(w))
     row = F.concat_ws("|", file_name(F.col("start_ms"), F.col("speaker"), F.col("excerpt"), F.col("__n")), "speaker", "full_text")
-    return named.where("full_text <> ''").select("media_id", "speaker", row.alias("value"))
+    return named.where("full_text <> ''").select("media_id", "speaker", *beside, row.alias("value"))
+
+
+def write_training_manifest(clips: DataFrame, path: str, name: str = "filelist_audio.txt", mode: str = "error") -> int:
+    """training_manifest's rows as files: `<media_id>/<speaker>/<name>`, a clip with text a line, in time order. A speaker's slashes become _."""
+    w = Window.partitionBy("media_id", "speaker").orderBy("start_ms", "end_ms", "entry_idx")
+    rows = training_manifest(clips.withColumn("__at", F.row_number().over(w)), "__at")
+    own = rows.groupBy("media_id", "speaker").agg(F.array_sort(F.collect_list(F.struct("__at", "value"))).alias("i"))
+    at = F.concat_ws("/", F.col("media_id").cast("string"), F.regexp_replace("speaker", r"[\\/]", "_"), F.lit(name))
+    return write_files(own.select(at.alias("name"), F.array_join(F.transform("i", lambda x: x["value"]), "\n").alias("content")), path, mode)
+
+
+# readers by path: a file a media unless said otherwise ----------------------------------------------------------
+
+
+def _whole(spark: SparkSession, path: str, glob: str, failfast: bool) -> tuple[DataFrame, DataFrame]:
+    """(media_id, value) of the readable files and (media_id, error) of the others."""
+    files = read_values(spark, path, glob)
+    return readable(files, failfast), unreadable(files)
+
+
+def read_probes(spark: SparkSession, path: str, failfast: bool = False) -> DataFrame:
+    """stream_catalog of the container probes (.json) at or below a path."""
+    return stream_catalog(_whole(spark, path, "*.json", failfast)[0])
+
+
+def read_catalog(spark: SparkSession, path: str, require_subtitle: bool = True) -> DataFrame:
+    """project_catalog of the files below a path, by their names alone."""
+    return project_catalog(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path"), require_subtitle)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """manifest of the files at or below a path."""
+    return manifest(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def read_segments(spark: SparkSession, path: str, failfast: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parse_segments of the .json files at or below a path; unreadable files are errors."""
+    good, bad = _whole(spark, path, "*.json", failfast)
+    audio, segments, errors = parse_segments(good)
+    return audio, segments, errors.unionByName(bad)
+
+
+def read_label_map(spark: SparkSession, path: str, failfast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """parse_label_map of the .ini files at or below a path; unreadable files are errors."""
+    lines = read_lines(spark, path, "*.ini")
+    found, errors = parse_label_map(readable(lines, failfast))
+    return found, errors.unionByName(unreadable(lines))
+
+
+def read_aliases(spark: SparkSession, path: str, failfast: bool = False) -> DataFrame:
+    """parse_aliases of the alias files below a path, media_id the folder each is in."""
+    return parse_aliases(readable(read_values(spark, path, ALIAS_FILE, folder), failfast))
+
+
+def read_roles(spark: SparkSession, path: str, detail: str = "baseline", extras: tuple[str, ...] = (), failfast: bool = False) -> DataFrame:
+    return role_prompts(_whole(spark, path, "*.json", failfast)[0], detail, extras)
+
+
+def read_scenes(spark: SparkSession, path: str, failfast: bool = False) -> DataFrame:
+    return parse_scenes(_whole(spark, path, "*.json", failfast)[0])
+
+
+def read_results(spark: SparkSession, path: str, cast: list[str], failfast: bool = False) -> DataFrame:
+    """parse_results of the .jsonl files at or below a path, a record a line."""
+    lines = readable(read_lines(spark, path, "*.jsonl"), failfast)
+    return parse_results(lines.where(F.trim("line") != "").select("media_id", F.col("line").alias("value")), cast)
+
+
+def read_policy(spark: SparkSession, path: str, failfast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """parse_policy of the .json files at or below a path; an unreadable file is a policy with that problem."""
+    good, bad = _whole(spark, path, "*.json", failfast)
+    actions, settings = parse_policy(good)
+    return actions, settings.unionByName(bad.select("media_id", F.col("error").alias("problem")), allowMissingColumns=True)

@@ -112,8 +112,7 @@ def test_srt_files(spark, tmp_path):
     c = spark.createDataFrame([(7, 1, 0, 1500, "A", "one\ntwo", ["MULTI"]), (7, 2, 2000, 3_600_000, "?", "", [])], CUE)
     path = f"file://{tmp_path}/out"
     subtitles.write_srt(c, path)
-    files = list((tmp_path / "out" / "media=7").glob("part*"))
-    assert files[0].read_text() == "1\n00:00:00,000 --> 00:00:01,500\n[A] {MULTI} one\ntwo\n\n2\n00:00:02,000 --> 01:00:00,000\n[?]\n"
+    assert (tmp_path / "out" / "7.srt").read_text() == "1\n00:00:00,000 --> 00:00:01,500\n[A] {MULTI} one\ntwo\n\n2\n00:00:02,000 --> 01:00:00,000\n[?]\n"
     bad = tmp_path / "bad.srt"
     bad.write_text("﻿1\r\n00:00:00,000 --> 00:00:01,000\r\n[A] x\r\n\r\nno\r\n00:00:00,000 --> 00:00:01,000\r\n[A] y\r\n")
     got = subtitles.read_srt(spark, f"file://{bad}").orderBy(F.col("_corrupt").isNotNull()).collect()
@@ -216,8 +215,7 @@ def test_compact_requests_equal_the_fold(spark, seed):
 def test_scene_files(spark, tmp_path):
     s = spark.createDataFrame([(1, 2, "b", 4, 6, 1.23456, 2.0), (1, 1, "a", 1, 3, 0.0, 1.0)], "media_id int, scene_id int, name string, start_idx int, end_idx int, start double, end double")
     tables.write_scenes(s, f"file://{tmp_path}/out")
-    (file,) = (tmp_path / "out" / "media=1").glob("part*")
-    assert [(r["scene_id"], r["start"]) for r in json.loads(file.read_text())] == [(1, 0.0), (2, 1.235)]
+    assert [(r["scene_id"], r["start"]) for r in json.loads((tmp_path / "out" / "1.json").read_text())] == [(1, 0.0), (2, 1.235)]
 
 
 def test_mixed_sample_quotas(spark):
