@@ -37,8 +37,6 @@ SHARD_BYTES = 8 << 20
 OWNED_BYTES = 32 << 20  # keys of one range, about
 MOST_BITS = 1 << 28
 MOST_OWNERS = 4096
-FEW_WORDS = 200_000
-SALTS = 16
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[0x41:0x5B] += 0x20
@@ -65,7 +63,12 @@ class Shard:
         coded = pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode() if parts else pa.array([], pa.large_binary()).dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         self.words: pa.Array = coded.dictionary
-        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # numbered in order, so that phrases leave a shard in order too: sorted rows compress
+        order = pc.sort_indices(self.words)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        self.words = self.words.take(order)
+        self.ids = rank[coded.indices.to_numpy(zero_copy_only=False)]
         self.piece = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
         self.lang = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         hashes = [W.hash_words(s).hashes for s in W.slices(self.words.cast(pa.large_string()))]
@@ -258,30 +261,26 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
     return stored(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= support)))
 
 
-def with_parts(counts: DataFrame, phrases: DataFrame, part: Column, name: str, salted: bool) -> DataFrame:
-    """phrases with the count of one of their parts as `name`. A word may begin a third of all phrases, so words are broadcast if
-    they are few, else dealt to SALTS tasks each."""
-    side = counts.select(F.col("lang").alias("__lang"), F.col("phrase").alias("__part"), F.col("f").alias(name))
-    asked = phrases.withColumns({"__of": part, "__salt": F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int") if salted else F.lit(0)})
-    side = side.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) if salted else side.withColumn("__s", F.lit(0))
-    on = (F.col("lang") == F.col("__lang")) & (F.col("__of") == F.col("__part")) & (F.col("__salt") == F.col("__s"))
-    return asked.join(side, on).drop("__lang", "__part", "__s", "__of", "__salt")
+def with_part(phrases: DataFrame, counts: DataFrame, part: Column, name: str) -> DataFrame:
+    """phrases with the count of one of their parts as `name`. Both sides are distinct phrases, so the commonest part meets each phrase of its language once at most."""
+    side = counts.select("lang", F.col("phrase").alias("__part"), F.col("f").alias(name))
+    return phrases.withColumn("__part", part).join(side, ["lang", "__part"]).drop("__part")
 
 
 def scored(counts: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, n, score, most) of all candidates of phrase_counts: `most` is the count of the most frequent longer candidate that holds it, or null."""
-    words = counts.where("phrase IS NOT NULL").withColumn("w", F.split("phrase", " "))
+    n_words = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    words = counts.where("phrase IS NOT NULL").select("lang", "phrase", "f", n_words.alias("k"))
     totals = F.broadcast(counts.where("phrase IS NULL").select("lang", F.col("f").alias("n")))  # a row a language
-    single = words.where(F.size("w") == 1).select("lang", "phrase", "f")
-    few = single.count() <= FEW_WORDS
-    single = F.broadcast(single) if few else single
-    pairs, triples = words.where(F.size("w") == 2), words.where(F.size("w") == 3)
-    ends = lambda df: with_parts(single, with_parts(single, df, F.col("w")[0], "first", not few), F.element_at("w", -1), "last", not few)
-    inside = triples.select("lang", "f", F.explode(F.array(*[F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]) for i in (0, 1)])).alias("phrase"))
+    single, pairs, triples = (words.where(F.col("k") == k).drop("k") for k in range(LONGEST))
+    w = F.split("phrase", " ")
+    of = lambda i, j: F.array_join(F.slice(w, i, j), " ")
+    ends = lambda df: with_part(with_part(df, single, w[0], "first"), single, F.element_at(w, -1), "last")
+    inside = triples.select("lang", "f", F.explode(F.array(of(1, 2), of(2, 2))).alias("phrase"))
     most = inside.groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     ratio = lambda left, right: F.expr(f"(CAST(1000000 AS DECIMAL(38,0)) * CAST(f AS DECIMAL(38,0)) * CAST(f AS DECIMAL(38,0))) div (CAST({left} AS DECIMAL(38,0)) * CAST({right} AS DECIMAL(38,0)))")
     two = ends(pairs).join(most, ["lang", "phrase"], "left").select("lang", "phrase", "f", F.struct(F.col("first").alias("l"), F.col("last").alias("r"), ratio("first", "last").alias("score")).alias("cut"), "most")
-    joined = with_parts(pairs, with_parts(pairs, ends(triples), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]), "rest", False), F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), "lead", False)
+    joined = with_part(with_part(ends(triples), pairs, of(2, 2), "rest"), pairs, of(1, 2), "lead")
     cuts = [F.struct(F.col(x).alias("l"), F.col(y).alias("r"), ratio(x, y).alias("score")) for x, y in (("first", "rest"), ("lead", "last"))]
     three = joined.select("lang", "phrase", "f", F.when(cuts[0]["score"] <= cuts[1]["score"], cuts[0]).otherwise(cuts[1]).alias("cut"), F.lit(None).cast("long").alias("most"))
     return two.unionByName(three).join(totals, "lang").select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score", "most")
@@ -292,7 +291,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, most: int = MOST, shar
     found = stored(scored(phrase_counts(docs, support, shard_bytes, most_bits)).where("most IS NULL OR 2 * most < a").drop("most"))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # a language may hold nearly all: the first of each of its salts meet in one task
-    salts = max(1, min(512, found.count() // 50_000))
+    salts = max(1, min(512, found.count() // 10_000))
     own = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
     first = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
