@@ -1,16 +1,18 @@
 """Interval algebra per media: islands, merges, unions, windows, range joins, conflict removal.
 
 Times are BIGINT milliseconds. Every window is partitioned by media, most by speaker too. Folds that depend on
-state run inside islands, which do not grow with the corpus.
+state are ordered sweeps (see sweep.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import Clip, clips_joined, cues_heard, cues_merged, sweep
+
 BIN_MS = 60_000
 
 
@@ -43,56 +45,23 @@ def bucket(cues: DataFrame, targets: Sequence[str] | None = None, keep_unknown:
     return cues.withColumn("bucket", folded).withColumn("dropped_for", reason.cast("string"))
 
 
-def _joined(items: Column) -> list[Column]:
-    """Fields of the clip that a run of clips (ordered array of structs) folds to."""
-    first, many = items[0], F.size(items) > 1
-    singles = F.filter(items, lambda x: x["kind"] == "single")
-    lead = F.when((first["kind"] == "multi") & (F.size(singles) > 0), singles[0]["entry_idx"])
-    # a single row that joins multi rows puts its raw speaker in front
-    raws = F.when(lead.isNotNull(), F.concat(F.transform(F.slice(singles, 1, 1), lambda x: x["raw_speaker"]), F.transform(F.filter(items, lambda x: x["entry_idx"] != lead), lambda x: x["raw_speaker"]))).otherwise(F.transform(items, lambda x: x["raw_speaker"]))
-    cut = lambda parts, n: F.when(many, F.substring(F.array_join(parts, " / "), 1, n)).otherwise(parts[0])
-    return [
-        F.array_min(F.transform(items, lambda x: x["start_ms"])).alias("start_ms"),
-        F.array_max(F.transform(items, lambda x: x["end_ms"])).alias("end_ms"),
-        cut(raws, 60).alias("raw_speaker"),
-        cut(F.transform(items, lambda x: x["excerpt"]), 120).alias("excerpt"),
-        F.array_join(F.filter(F.transform(items, lambda x: x["full_text"]), lambda t: t != ""), " ").alias("full_text"),
-        F.when(F.size(singles) > 0, "single").otherwise(first["kind"]).alias("kind"),
-        first["entry_idx"].alias("entry_idx"),
-        F.size(items).alias("n_merged"),
-    ]
-
-
 _CLIP = ("start_ms", "end_ms", "entry_idx", "raw_speaker", "excerpt", "full_text", "kind")
 
 
-def merge_overlap(clips: DataFrame, key: str = "speaker") -> DataFrame:
-    """Clips of one speaker that overlap (start < reach) become one."""
-    runs = islands(clips, ["media_id", key], ["start_ms", "end_ms", "entry_idx"])
-    items = F.array_sort(F.collect_list(F.struct(*_CLIP)))
-    return runs.groupBy("media_id", key, "island").agg(items.alias("items")).select("media_id", key, *_joined(F.col("items")))
-
+def _clips(clips: DataFrame, key: str, joins: Callable[[Clip, int, tuple], bool], gap_ms: int | None, split_over: int | None) -> DataFrame:
+    kind = lambda c: clips.schema[c].dataType.simpleString()
+    schema = f"media_id {kind('media_id')}, `{key}` {kind(key)}, start_ms long, end_ms long, raw_speaker string, excerpt string, full_text string, kind string, entry_idx {kind('entry_idx')}, n_merged int"
+    return sweep(clips, ["media_id", key], _CLIP, _CLIP, clips_joined(joins), schema, split_over, gap_ms)
 
-def merge_adjacent(clips: DataFrame, gap_ms: int = 300, cap_ms: int = 30_000, key: str = "speaker") -> DataFrame:
-    """Neighbouring clips of one speaker become one while the gap is small and the whole stays under the cap.
 
-    A gap larger than gap_ms after the furthest end always breaks, so the ordered fold
-    that the cap needs runs inside such islands."""
-    runs = islands(clips, ["media_id", key], ["start_ms", "end_ms", "entry_idx"], gap_ms)
-    grouped = runs.groupBy("media_id", key, "island").agg(F.array_sort(F.collect_list(F.struct(*_CLIP))).alias("items"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.array().cast("array<int>").alias("ids"))
+def merge_overlap(clips: DataFrame, key: str = "speaker", split_over: int | None = None) -> DataFrame:
+    """Clips of one speaker that overlap (start < reach) become one, by an ordered sweep; split_over as for sweep()."""
+    return _clips(clips, key, lambda run, reach, clip: clip[0] < reach, None, split_over)
 
-    def step(acc: Column, x: Column) -> Column:
-        join = acc["s"].isNotNull() & (x["start_ms"] - acc["e"] <= gap_ms) & (x["end_ms"] - acc["s"] <= cap_ms)
-        g = F.when(join, acc["g"]).otherwise(acc["g"] + 1)
-        s = F.when(join, acc["s"]).otherwise(x["start_ms"])
-        e = F.when(join, F.greatest(acc["e"], x["end_ms"])).otherwise(x["end_ms"])
-        return F.struct(g.alias("g"), s.alias("s"), e.alias("e"), F.concat(acc["ids"], F.array(g)).alias("ids"))
 
-    folded = grouped.withColumn("ids", F.aggregate("items", start, step, lambda a: a["ids"]))
-    flat = folded.select("media_id", key, "island", F.explode(F.arrays_zip("items", "ids")).alias("z")).select("media_id", key, "island", F.col("z.ids").alias("g"), "z.items")
-    parts = flat.groupBy("media_id", key, "island", "g").agg(F.array_sort(F.collect_list("items")).alias("items"))
-    return parts.select("media_id", key, *_joined(F.col("items")))
+def merge_adjacent(clips: DataFrame, gap_ms: int = 300, cap_ms: int = 30_000, key: str = "speaker", split_over: int | None = None) -> DataFrame:
+    """Neighbouring clips of one speaker become one while the gap is small and the whole stays under the cap: an ordered sweep that holds the open run."""
+    return _clips(clips, key, lambda run, reach, clip: clip[0] - run.end <= gap_ms and clip[1] - run.start <= cap_ms, gap_ms, split_over)
 
 
 def first_per_speaker(clips: DataFrame, n: int | None, key: str = "speaker") -> DataFrame:
@@ -118,27 +87,11 @@ def clip_table(cues: DataFrame, conflict_ms: int | None = 0, n: int | None = Non
 # cue merges ---------------------------------------------------------------------------------------------
 
 
-def merge_gap(cues: DataFrame, gap_ms: int = 100) -> DataFrame:
-    """Cues of one speaker within the gap (inclusive) become one; lyric rows stay alone and part their neighbours."""
-    w = Window.partitionBy("media_id", "speaker").orderBy("start_ms", "end_ms", "src")
-    barrier = cues.withColumn("__seg", F.sum(F.col("is_lyric").cast("int")).over(w))
-    runs = islands(barrier, ["media_id", "speaker", "__seg", "is_lyric"], ["start_ms", "end_ms", "src"], gap_ms)
-    items = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "src", "text", "is_multi")))
-    g = runs.groupBy("media_id", "speaker", "__seg", "is_lyric", "island").agg(items.alias("i"))
-    n = F.size("i")
-    early = F.exists(F.slice("i", 1, 2), lambda x: x["is_multi"])
-    some = F.exists("i", lambda x: x["is_multi"])
-    tags = F.when(n == 1, F.when(some, F.array(F.lit("MULTI"))).otherwise(F.array().cast("array<string>"))).when(early, F.array(F.lit("MULTI"), F.lit("MERGED"))).when(some, F.array(F.lit("MERGED"), F.lit("MULTI"))).otherwise(F.array(F.lit("MERGED")))
-    return g.select(
-        "media_id",
-        "speaker",
-        F.col("i")[0]["start_ms"].alias("start_ms"),
-        F.array_max(F.transform("i", lambda x: x["end_ms"])).alias("end_ms"),
-        F.array_join(F.filter(F.transform("i", lambda x: x["text"]), lambda t: t != ""), " / ").alias("text"),
-        tags.alias("tags"),
-        F.transform("i", lambda x: x["src"]).alias("source_entries"),
-        (n - 1).alias("merges"),
-    )
+def merge_gap(cues: DataFrame, gap_ms: int = 100, split_over: int | None = None) -> DataFrame:
+    """Cues of one speaker within the gap (inclusive) become one; lyric rows stay alone and part their neighbours. An ordered sweep that holds the open run."""
+    kind = lambda c: cues.schema[c].dataType.simpleString()
+    schema = f"media_id {kind('media_id')}, speaker string, start_ms long, end_ms long, text string, tags array<string>, source_entries array<{kind('src')}>, merges int"
+    return sweep(cues, ["media_id", "speaker"], ["start_ms", "end_ms", "src"], ["start_ms", "end_ms", "src", "text", "is_multi", "is_lyric"], cues_merged(gap_ms), schema, split_over, gap_ms)
 
 
 def reindex(cues: DataFrame, ties: Sequence[str]) -> DataFrame:
@@ -179,10 +132,10 @@ def compact_windows(batch_cues: DataFrame, pre_ms: int = 1000, post_ms: int = 10
 
 def compact_clock(batch_cues: DataFrame, windows: DataFrame) -> DataFrame:
     """Cue times on the compact clock: those of the first window that contains the cue."""
-    c, w = batch_cues.alias("c"), windows.alias("w")
-    hit = (F.col("c.media_id") == F.col("w.media_id")) & (F.col("c.batch_id") == F.col("w.batch_id")) & (F.col("c.start_ms") >= F.col("w.start_ms")) & (F.col("c.end_ms") <= F.col("w.end_ms"))
-    shift = F.col("w.offset_ms") - F.col("w.start_ms")
-    found = c.join(w, hit).groupBy("c.media_id", "c.batch_id", "c.idx", "c.start_ms", "c.end_ms").agg(F.min_by(shift, F.col("w.window_id")).alias("shift"))
+    pairs = binned_join(batch_cues.select("media_id", "batch_id", "idx", "start_ms", "end_ms"), windows.select("media_id", "batch_id", "start_ms", "end_ms", "offset_ms", "window_id"), "touch", keys=("media_id", "batch_id"))
+    held = pairs.where((F.col("a_start_ms") >= F.col("b_start_ms")) & (F.col("a_end_ms") <= F.col("b_end_ms")))
+    shift = F.col("b_offset_ms") - F.col("b_start_ms")
+    found = held.groupBy(*[F.col(f"a_{c}").alias(c) for c in ("media_id", "batch_id", "idx", "start_ms", "end_ms")]).agg(F.min_by(shift, F.col("b_window_id")).alias("shift"))
     return found.select("media_id", "batch_id", "idx", (F.col("start_ms") + F.col("shift")).alias("clock_start_ms"), (F.col("end_ms") + F.col("shift")).alias("clock_end_ms"))
 
 
@@ -208,29 +161,74 @@ def scenes_on_clock(batch_cues: DataFrame, clock: DataFrame) -> DataFrame:
 # range joins --------------------------------------------------------------------------------------------
 
 
-def binned_join(a: DataFrame, b: DataFrame, how: str = "overlap", bin_ms: int = BIN_MS) -> DataFrame:
-    """Pairs of rows of one media whose intervals overlap (or touch: how="touch").
+def _level(start: Column, end: Column, base: int) -> Column:
+    """The level of an interval: cells of level n are base * 2^n wide, and at its level an interval reaches into two cells, or for one moment three."""
+    long = F.greatest(F.lit(1), end - start)
+    return F.greatest(F.lit(0), F.ceil(F.log2(long / base))).cast("int")
+
+
+def _cell(at: Column, level: Column, base: int) -> Column:
+    return F.floor(at / (F.pow(F.lit(2.0), level) * base))
+
+
+def _cells(start: Column, end: Column, level: Column, base: int) -> Column:
+    """The cells of a level that an interval reaches into, as structs (level, cell)."""
+    first = _cell(start, level, base)
+    return F.transform(F.sequence(first, F.greatest(first, _cell(end, level, base))), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+
+def _levels(df: DataFrame, start: str, end: str, base: int) -> Column:
+    """The levels that a table has, as a scalar subquery: an array of a few dozen numbers at most."""
+    return F.coalesce(df.agg(F.array_sort(F.collect_set(_level(F.col(start), F.col(end), base)))).scalar(), F.array().cast("array<int>"))
+
+
+def binned_join(a: DataFrame, b: DataFrame, how: str = "overlap", bin_ms: int = BIN_MS, keys: Sequence[str] = ("media_id",)) -> DataFrame:
+    """Pairs of rows of one media (of equal `keys`) whose intervals overlap (or touch: how="touch"), as columns a_* and b_*.
+
+    Cells are hierarchical: an interval lies in the two cells or so it reaches into at the level of its own length, whatever that is, and the shorter of
+    a pair asks there, with its two cells or so at each longer level that the other side has. So an interval of any length is two or three rows where it lies,
+    and asks as often as there are levels, which for lengths within one bin is once. A pair counts in its first shared cell only."""
+    put = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    span = lambda p: (F.col(f"{p}_start_ms"), F.col(f"{p}_end_ms"))
+    level = lambda p: _level(*span(p), bin_ms)
+    of_a, of_b = _levels(a, "start_ms", "end_ms", bin_ms), _levels(b, "start_ms", "end_ms", bin_ms)
+    others = F.col("__levels")
+    none = F.array().cast("array<struct<asks:string,level:int,cell:bigint>>")
+    named = lambda cells, asks: F.transform(cells, lambda c: F.struct(F.lit(asks).alias("asks"), c["level"].alias("level"), c["cell"].alias("cell")))
+
+    def dealt(p: str, asks_at_own: bool) -> Column:
+        """Where a side lies for the other's questions (if that has shorter rows to ask, or equal ones), and where it asks."""
+        own = level(p)
+        asked = F.filter(others, (lambda x: x >= own) if asks_at_own else (lambda x: x > own))
+        asks = F.flatten(F.transform(asked, lambda x: _cells(*span(p), x, bin_ms)))
+        shorter = F.exists(others, (lambda x: x < own) if asks_at_own else (lambda x: x <= own))
+        lies = F.when(shorter, named(_cells(*span(p), own, bin_ms), "b" if asks_at_own else "a")).otherwise(none)
+        return F.concat(named(asks, "a" if asks_at_own else "b"), lies)
 
-    Columns a_* and b_*. Both sides are dealt to the time bins they reach into; a pair is kept in its
-    first shared bin only, so no pair repeats, and no bin holds more than its stretch of time."""
-    first = lambda c: F.floor(F.col(c) / bin_ms)
-    put = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]).withColumn("__bin", F.explode(F.sequence(first(f"{p}_start_ms"), F.greatest(first(f"{p}_start_ms"), first(f"{p}_end_ms")))))
-    x, y = put(a, "a").withColumnRenamed("__bin", "__x"), put(b, "b").withColumnRenamed("__bin", "__y")
+    x = put(a, "a").withColumn("__levels", of_b).withColumn("__x", F.explode(dealt("a", True))).drop("__levels")
+    y = put(b, "b").withColumn("__levels", of_a).withColumn("__y", F.explode(dealt("b", False))).drop("__levels")
     less = (lambda l, r: l < r) if how == "overlap" else (lambda l, r: l <= r)
-    on = (F.col("a_media_id") == F.col("b_media_id")) & (F.col("__x") == F.col("__y"))
+    on = F.col("__x") == F.col("__y")
+    for k in keys:
+        on &= F.col(f"a_{k}") == F.col(f"b_{k}")
     both = x.join(y, on).where(less(F.col("a_start_ms"), F.col("b_end_ms")) & less(F.col("b_start_ms"), F.col("a_end_ms")))
-    return both.where(F.col("__x") == F.greatest(first("a_start_ms"), first("b_start_ms"))).drop("__x", "__y")
+    first = lambda p: _cell(F.col(f"{p}_start_ms"), F.col("__x.level"), bin_ms)
+    return both.where(F.col("__x.cell") == F.greatest(first("a"), first("b"))).drop("__x", "__y")
 
 
 def idx_join(points: DataFrame, ranges: DataFrame, lo: str = "start_idx", hi: str = "end_idx", idx: str = "idx", how: str = "inner", width: int = 256) -> DataFrame:
-    """Rows of points(media_id, idx, ..) with the ranges of their media that hold their idx, both ends included.
-
-    Ranges are dealt to the stretches of `width` idx they reach into, points lie in one, so no media is joined with itself. A column
-    of ranges that points have too is named by its alias r."""
-    place = lambda c: F.floor(F.col(c) / width)
-    p = points.withColumn("__stretch", place(idx)).alias("p")
-    r = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__stretch", F.explode(F.sequence(place(lo), place(hi)))).alias("r")
-    on = (F.col("p.media_id") == F.col("r.media_id")) & (F.col("p.__stretch") == F.col("r.__stretch")) & F.col(f"p.{idx}").between(F.col(f"r.{lo}"), F.col(f"r.{hi}"))
+    """Rows of points(media_id, idx, ..) with the ranges of their media that hold their idx, both ends included; left_anti: the points that none holds.
+
+    Ranges lie in the cells of the level of their own length, two or so each; a point asks once at each level there is. A column of ranges that
+    points have too is named by its alias r."""
+    real = ranges.where(F.col(lo) <= F.col(hi))
+    asks = F.transform("__levels", lambda x: F.struct(x.alias("level"), _cell(F.col(idx), x, width).alias("cell")))
+    p = points.withColumn("__levels", _levels(real, lo, hi, width)).withColumn("__cell", F.explode(asks)).drop("__levels").alias("p")
+    r = real.withColumn("__cell", F.explode(_cells(F.col(lo), F.col(hi), _level(F.col(lo), F.col(hi), width), width))).alias("r")
+    on = (F.col("p.media_id") == F.col("r.media_id")) & (F.col("p.__cell") == F.col("r.__cell")) & F.col(f"p.{idx}").between(F.col(f"r.{lo}"), F.col(f"r.{hi}"))
+    if how == "left_anti":
+        held = p.join(r, on, "left_semi").select("media_id", idx).distinct()
+        return points.join(held, ["media_id", idx], "left_anti")
     return p.join(r, on, how)
 
 
@@ -299,30 +297,16 @@ def preceding_context(scenes: DataFrame, cues: DataFrame, ctx_ms: int = 15_000)
 # conflicts ----------------------------------------------------------------------------------------------
 
 
-def drop_cross_speaker(cues: DataFrame, threshold_ms: int = 0) -> DataFrame:
+def drop_cross_speaker(cues: DataFrame, threshold_ms: int = 0, split_over: int | None = None) -> DataFrame:
     """Greedy removal of pairs of different speakers that overlap by more than the threshold.
 
-    In order of (start, end), a cue still there and the first later one it conflicts with go together. Cues in different
-    islands never meet, so the sweep runs per island, as a fold in the JVM. The fold carries only cues that are still there and still heard:
-    a step costs the number of voices at that moment, not the island's length. The first of the carried cues that the next one conflicts with
-    goes with it; that is the pair the order asks for, since every carried cue has met all cues before."""
-    real = cues.where(~F.col("speaker").isin("?", "NONSPEECH")).select("media_id", "idx", "start_ms", "end_ms", "speaker")
-    runs = islands(real, ["media_id"], ["start_ms", "end_ms", "idx"])
-    items = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "idx", "speaker")))
-    g = runs.groupBy("media_id", "island").agg(items.alias("i")).where((F.size("i") > 1) & F.exists("i", lambda x: x["speaker"] != F.col("i")[0]["speaker"]))
-    live = "array<struct<start_ms:bigint,end_ms:bigint,idx:int,speaker:string>>"
-    start = F.struct(F.array().cast(live).alias("live"), F.array().cast("array<int>").alias("gone"))
-
-    def step(acc: Column, b: Column) -> Column:
-        heard = F.filter(acc["live"], lambda a: a["end_ms"] > b["start_ms"])
-        rival = F.filter(heard, lambda a: (a["speaker"] != b["speaker"]) & (F.least(a["end_ms"], b["end_ms"]) - F.greatest(a["start_ms"], b["start_ms"]) > threshold_ms))
-        pair = F.size(rival) > 0
-        left = F.when(pair, F.filter(heard, lambda a: a["idx"] != rival[0]["idx"])).otherwise(F.concat(heard, F.array(b)))
-        return F.struct(left.alias("live"), F.when(pair, F.concat(acc["gone"], F.array(rival[0]["idx"], b["idx"]))).otherwise(acc["gone"]).alias("gone"))
-
-    cast = F.transform("i", lambda x: F.struct(x["start_ms"].cast("long").alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), x["idx"].cast("int").alias("idx"), x["speaker"].alias("speaker")))
-    dropped = g.select("media_id", F.explode(F.aggregate(cast, start, step, lambda acc: acc["gone"])).alias("idx"))
-    return cues.join(dropped, ["media_id", "idx"], "left_anti")
+    In order of (start, end), a cue still there and the first later one it conflicts with go together. The sweep carries only cues that are still
+    there and still heard, so a step costs the number of voices at that moment, whatever the media's length. The first of the carried cues that the next one
+    conflicts with goes with it; that is the pair the order asks for, since every carried cue has met all cues before."""
+    real = cues.where(~F.col("speaker").isin("?", "NONSPEECH"))
+    kind = lambda c: cues.schema[c].dataType.simpleString()
+    gone = sweep(real, ["media_id"], ["start_ms", "end_ms", "idx"], ["start_ms", "end_ms", "idx", "speaker"], cues_heard(threshold_ms), f"media_id {kind('media_id')}, idx {kind('idx')}", split_over)
+    return cues.join(gone, ["media_id", "idx"], "left_anti")
 
 
 def rebase(cues: DataFrame, offset_ms: int, first: int | None = None, last: int | None = None, label: str | None = r"^\S+ ") -> DataFrame:

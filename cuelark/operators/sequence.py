@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
-from .intervals import idx_join, islands
+from .intervals import idx_join
+from .sweep import sweep
 
 
 def review_target(c: str = "") -> Column:
@@ -55,18 +58,34 @@ def refine_regions(scenes: DataFrame, neighbours: int = 1, max_cues: int = 120)
     """Regions of scenes round the targets: neighbours added, touching regions joined, cut where the cue budget is passed."""
     near = Window.partitionBy("media_id").orderBy("scene_id").rowsBetween(-neighbours, neighbours)
     kept = scenes.withColumn("__on", F.max(F.col("target").cast("int")).over(near)).where("__on = 1")
-    runs = islands(kept.withColumn("__s", F.col("scene_id")).withColumn("__e", F.col("scene_id")), ["media_id"], ["scene_id"], 1, "__s", "__e", "region")
-    g = runs.groupBy("media_id", "region").agg(F.array_sort(F.collect_list(F.struct("scene_id", "n_cues"))).alias("i"))
-    zero = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("parts"))
+    return sweep(kept, ["media_id"], ["scene_id"], ["scene_id", "n_cues"], lambda _: Regions(max_cues), f"media_id {_kind(scenes, 'media_id')}, region int, part int, first_scene {_kind(scenes, 'scene_id')}, last_scene {_kind(scenes, 'scene_id')}, n_cues long")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (F.size(acc["parts"]) > 0) & (acc["n"] + x["n_cues"] > max_cues)
-        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(part.alias("part"), (F.when(fresh, 0).otherwise(acc["n"]) + x["n_cues"]).cast("long").alias("n"), F.concat(acc["parts"], F.array(part)).alias("parts"))
 
-    g = g.withColumn("p", F.aggregate("i", zero, step, lambda a: a["parts"]))
-    flat = g.select("media_id", "region", F.explode(F.arrays_zip("i", "p")).alias("z")).select("media_id", "region", F.col("z.p").alias("part"), F.col("z.i.scene_id").alias("scene_id"), F.col("z.i.n_cues").alias("n_cues"))
-    return flat.groupBy("media_id", "region", "part").agg(F.min("scene_id").alias("first_scene"), F.max("scene_id").alias("last_scene"), F.sum("n_cues").alias("n_cues"))
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+class Regions:
+    """Fold of (scene_id, n_cues): runs of neighbouring scenes, in parts of max_cues; gives (region, part, first scene, last scene, cues)."""
+
+    def __init__(self, max_cues: int):
+        self.max_cues, self.region, self.part, self.open = max_cues, 0, 0, None
+
+    def add(self, scene: tuple) -> Iterable[tuple]:
+        at, n = scene
+        if self.open is not None and at <= self.open[1] + 1 and self.open[2] + n <= self.max_cues:
+            self.open = (self.open[0], at, self.open[2] + n)
+            return ()
+        out = self.done()
+        if self.open is None or at > self.open[1] + 1:
+            self.region, self.part = self.region + 1, 0
+        else:
+            self.part += 1
+        self.open = (at, at, n)
+        return out
+
+    def done(self) -> Iterable[tuple]:
+        return () if self.open is None else ((self.region, self.part, *self.open),)
 
 
 def chunk(df: DataFrame, n: int = 80, order: str = "idx", name: str = "batch_id") -> DataFrame:
@@ -79,38 +98,59 @@ def budget_groups(scenes: DataFrame, max_ms: int = 90_000, max_cues: int = 30, m
     """scenes(media_id, scene_id, start_ms, end_ms, n_cues) with `group_id`: greedy, in order; a scene over budget stays whole.
 
     A group's time is the sum of its scenes' lengths, or, where windows(media_id, scene_id, start_ms, end_ms) has the padded windows of their
-    cues, the length of the union of the group's windows (those up to gap_ms apart join). A media's scenes are one task's state; the fold holds
-    the windows of one group at a time."""
+    cues, the length of the union of the group's windows (those up to gap_ms apart join). An ordered sweep that holds the open group."""
     own = scenes.select("media_id", "scene_id", "start_ms", "end_ms", "n_cues")
     if windows is not None:
-        listed = windows.groupBy("media_id", "scene_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("windows"))
+        listed = windows.groupBy("media_id", "scene_id").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("windows"))
         own = own.join(listed, ["media_id", "scene_id"], "left")
-    own = own if windows is not None else own.withColumn("windows", F.lit(None).cast("array<struct<start_ms:bigint,end_ms:bigint>>"))
+    columns = ["scene_id", "start_ms", "end_ms", "n_cues"]
+    schema = ", ".join(f"{c} {_kind(own, c)}" for c in ["media_id", *columns]) + ", group_id int"
     compact = windows is not None
+    return sweep(own, ["media_id"], ["scene_id"], columns + ["windows"] * compact, lambda _: Groups(max_ms, max_cues, max_scenes, gap_ms if compact else None), schema)
 
-    def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if out and a - out[-1][1] <= gap_ms:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("scene_id")
-        ids, group, size, cues, spans = [], 0, 0, 0, []
-        for s, e, n, own in zip(*(table.column(c).to_pylist() for c in ("start_ms", "end_ms", "n_cues", "windows")), strict=True):
-            mine = [(w["start_ms"], w["end_ms"]) for w in own or []] if compact else [(s, e)]
-            with_it = union(spans + mine) if compact else spans + mine
-            over = (max_scenes and size + 1 > max_scenes) or (max_cues and cues + n > max_cues) or (max_ms and sum(b - a for a, b in with_it) > max_ms)
-            if size and over:
-                group, size, cues, with_it = group + 1, 0, 0, union(mine) if compact else mine
-            size, cues, spans = size + 1, cues + n, with_it
-            ids.append(group)
-        return table.append_column("group_id", pa.array(ids, pa.int32())).drop_columns("windows")
+class Union:
+    """A union of intervals that grows: those up to a gap apart join; `length` is its length. An interval costs the logarithm of their number."""
+
+    def __init__(self, gap_ms: int):
+        self.gap, self.starts, self.ends, self.length = gap_ms, [], [], 0
+
+    def add(self, a: int, b: int) -> None:
+        lo = bisect_left(self.ends, a - self.gap)
+        hi = bisect_right(self.starts, b + self.gap)
+        if lo < hi:
+            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
+            self.length -= sum(self.ends[lo:hi]) - sum(self.starts[lo:hi])
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+        self.length += b - a
+
 
-    return own.groupBy("media_id").applyInArrow(run, own.drop("windows").limit(0).withColumn("group_id", F.lit(0)).schema)
+class Groups:
+    """Fold of (scene_id, start, end, n_cues[, windows]): gives each scene with the number of its group."""
+
+    def __init__(self, max_ms: int, max_cues: int, max_scenes: int, gap_ms: int | None):
+        self.most, self.gap = (max_scenes, max_cues, max_ms), gap_ms
+        self.group = self.size = self.cues = self.ms = 0
+        self.union = None if gap_ms is None else Union(gap_ms)
+
+    def time(self, scene: tuple) -> int:
+        if self.union is None:
+            return self.ms + scene[2] - scene[1]
+        for w in scene[4] or ():
+            self.union.add(w["start_ms"], w["end_ms"])
+        return self.union.length
+
+    def add(self, scene: tuple) -> Iterable[tuple]:
+        ms, n = self.time(scene), scene[3]
+        if self.size and any(most and x > most for most, x in zip(self.most, (self.size + 1, self.cues + n, ms), strict=True)):
+            self.group, self.size, self.cues, self.ms = self.group + 1, 0, 0, 0
+            self.union = None if self.gap is None else Union(self.gap)
+            ms = self.time(scene)
+        self.size, self.cues, self.ms = self.size + 1, self.cues + n, ms
+        return ((*scene[:4], self.group),)
+
+    def done(self) -> Iterable[tuple]:
+        return ()
 
 
 def plan_summary(groups: DataFrame) -> DataFrame:
@@ -139,22 +179,53 @@ def batch_context(context_rows: DataFrame, batch_targets: DataFrame) -> DataFram
     return context_rows.select("media_id", "batch_id", "idx").distinct().join(batch_targets, ["media_id", "batch_id", "idx"], "left_anti")
 
 
-def bisect_batches(rows: DataFrame, max_chars: int = 50_000, overhead: int = 0, between: int = 1) -> tuple[DataFrame, DataFrame]:
-    """rows(media_id, batch_id, idx, n_chars): batches halved until their prompts fit; (rows with `piece`, rows too large alone).
-
-    A prompt has `overhead` characters (head, foot and context), its lines, and `between` characters between two lines. Of an odd number of
-    rows the first half has one less. Each pass halves every piece over the limit at once, so log2 of the largest batch bounds the passes,
-    and a piece's size is a window sum within it."""
-    out = rows.withColumn("piece", F.lit(0).cast("long"))
-    by = ["media_id", "batch_id", "piece"]
-    passes = max(1, (rows.groupBy("media_id", "batch_id").count().agg(F.max("count")).first()[0] or 1) - 1).bit_length()
-    for _ in range(passes):
-        w = Window.partitionBy(*by)
-        n = F.count("*").over(w)
-        half = F.row_number().over(w.orderBy("idx")) > F.floor(n / 2)
-        over = (F.sum("n_chars").over(w) + (n - 1) * between + overhead > max_chars) & (n > 1)
-        out = out.withColumns({"__over": over, "__half": half}).withColumn("piece", F.col("piece") * 2 + F.when(F.col("__over") & F.col("__half"), 1).otherwise(0)).drop("__over", "__half")
-    return out, out.where(F.col("n_chars") + overhead > max_chars)
+def bisect_batches(rows: DataFrame, max_chars: int = 50_000, overhead: int = 0, between: int = 1, lines: DataFrame | None = None, context: int = 0) -> tuple[DataFrame, DataFrame]:
+    """rows(media_id, batch_id, idx, n_chars): batches halved until their prompts fit; (rows with `piece`, numbered in order, and `prompt_chars`; rows too large alone).
+
+    A prompt has `overhead` characters (head and foot), its lines, and `between` characters between two lines. With lines(media_id, idx, n_chars), all cues of
+    the media, a piece's prompt also has the cues between its rows, `context` before its first and context + 1 after its last (a cut lies after its row, so the
+    next one is always seen); n_chars of lines is a line's length as context, that of rows its length as a row. Of an odd number of rows the first half has one less.
+
+    No piece is rendered to be measured: running sums of line lengths over the media, taken where a window that begins or ends at a row would begin or end, give the
+    length of any piece by one subtraction. A batch is the state of its sweep."""
+    if lines is None:
+        own = rows.withColumns({"__a": F.lit(0).cast("long"), "__z": F.lit(0).cast("long"), "__more": F.col("n_chars").cast("long") + between})
+    else:
+        w = Window.partitionBy("media_id").orderBy("idx")
+        upto = F.sum(F.col("n_chars").cast("long") + between).over(w)
+        whole = Window.partitionBy("media_id")
+        summed = lines.select("media_id", "idx", F.col("n_chars").alias("__as_context"), upto.alias("__s"), F.sum(F.col("n_chars").cast("long") + between).over(whole).alias("__all"))
+        edges = summed.select("media_id", "idx", "__as_context", F.coalesce(F.lag("__s", context + 1).over(w), F.lit(0)).alias("__a"), F.coalesce(F.lead("__s", context + 1).over(w), "__all").alias("__z"))
+        own = rows.join(edges, ["media_id", "idx"]).withColumn("__more", F.col("n_chars").cast("long") - F.col("__as_context"))
+    schema = f"media_id {_kind(rows, 'media_id')}, batch_id {_kind(rows, 'batch_id')}, idx {_kind(rows, 'idx')}, n_chars {_kind(rows, 'n_chars')}, piece long, prompt_chars long"
+    out = sweep(own, ["media_id", "batch_id"], ["idx"], ["idx", "n_chars", "__a", "__z", "__more"], lambda _: Halves(max_chars, overhead - between), schema)
+    alone = F.count("*").over(Window.partitionBy("media_id", "batch_id", "piece")) == 1
+    return out, out.withColumn("__alone", alone).where(F.col("__alone") & (F.col("prompt_chars") > max_chars)).drop("__alone")
+
+
+class Halves:
+    """Fold of a batch's rows (idx, n_chars, sum before a window that begins here, sum up to one that ends here, characters more as a row): gives each row with its piece and that piece's length."""
+
+    def __init__(self, most: int, base: int):
+        self.most, self.base, self.rows = most, base, []
+
+    def add(self, row: tuple) -> Iterable[tuple]:
+        self.rows.append(row)
+        return ()
+
+    def done(self) -> Iterable[tuple]:
+        more = [0, *accumulate(r[4] for r in self.rows)]
+        long = lambda lo, hi: self.base + self.rows[hi - 1][3] - self.rows[lo][2] + more[hi] - more[lo]
+        todo, piece = [(0, len(self.rows))] if self.rows else [], 0
+        while todo:
+            lo, hi = todo.pop()
+            n = long(lo, hi)
+            if n > self.most and hi - lo > 1:
+                middle = lo + (hi - lo) // 2
+                todo += [(middle, hi), (lo, middle)]
+                continue
+            yield from ((*r[:2], piece, n) for r in self.rows[lo:hi])
+            piece += 1
 
 
 def prompts(batch_rows: DataFrame, head: str, foot: str, line: Column) -> DataFrame:
@@ -255,12 +326,30 @@ def candidate_speakers(cues: DataFrame, core: list[str], k: int) -> DataFrame:
     return cues.select("media_id", "idx", F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, core)), near))).alias("candidates"))
 
 
+def coverage_ranges(scenes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(media_id, first_idx, last_idx, violation): stretches of idx that are targets no scene holds (missing), that several do (duplicate), or that scenes hold though they are none (unexpected).
+
+    A difference sweep: scenes and runs of targets begin and end at events, and running sums over the events say what each stretch between
+    two of them is. So a scene costs two rows, however many cues it has; one that ends before it starts holds nothing."""
+    w = Window.partitionBy("media_id").orderBy("idx")
+    runs = targets.select("media_id", "idx").distinct().withColumn("__run", F.col("idx") - F.row_number().over(w))
+    runs = runs.groupBy("media_id", "__run").agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
+    ends = lambda df, a, z, scene: df.select("media_id", F.explode(F.array(*[F.struct(at.cast("long").alias("idx"), F.lit(d * scene).alias("s"), F.lit(d * (1 - scene)).alias("t")) for at, d in ((F.col(a), 1), (F.col(z) + 1, -1))])).alias("e")).select("media_id", "e.*")
+    events = ends(scenes.where(F.col("start_idx") <= F.col("end_idx")), "start_idx", "end_idx", 1).unionByName(ends(runs, "a", "z", 0))
+    at = events.groupBy("media_id", "idx").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    x = at.select("media_id", F.col("idx").alias("first_idx"), (F.lead("idx").over(w) - 1).alias("last_idx"), F.sum("s").over(w).alias("s"), F.sum("t").over(w).alias("t"))
+    what = F.when((F.col("t") > 0) & (F.col("s") == 0), "missing").when((F.col("t") == 0) & (F.col("s") > 0), "unexpected").when(F.col("s") > 1, "duplicate")
+    x = x.withColumn("violation", what)
+    # neighbours of one kind are one stretch
+    by = Window.partitionBy("media_id").orderBy("first_idx")
+    fresh = ~F.col("violation").eqNullSafe(F.lag("violation").over(by))
+    x = x.withColumn("__g", F.sum(fresh.cast("int")).over(by)).where("violation IS NOT NULL")
+    return x.groupBy("media_id", "__g", "violation").agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx")).select("media_id", "first_idx", "last_idx", "violation")
+
+
 def check_coverage(scenes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets that no scene or several scenes hold, and scene cues that are no target."""
-    held = scenes.select("media_id", F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).groupBy("media_id", "idx").agg(F.count("*").alias("n"))
-    x = held.join(targets.select("media_id", "idx", F.lit(True).alias("is_target")), ["media_id", "idx"], "full_outer")
-    what = F.when(F.col("n").isNull(), "missing").when(F.col("is_target").isNull(), "unexpected").when(F.col("n") > 1, "duplicate")
-    return x.select("media_id", "idx", what.alias("violation")).where("violation IS NOT NULL")
+    """coverage_ranges as rows, one for each idx that breaks a rule."""
+    return coverage_ranges(scenes, targets).select("media_id", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"), "violation")
 
 
 def check_order(scenes: DataFrame) -> DataFrame:

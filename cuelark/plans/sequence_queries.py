@@ -106,6 +106,26 @@ W14 = X.query(X.LINES, f"""h AS (SELECT media_id, (idx - 1) // 64 AS batch_id, l
 SELECT media_id, CAST(batch_id AS INTEGER) AS batch_id, l[1].i AS first, len(l) AS n, list_sum(list_transform(l, lambda x: x.n)) AS n_chars FROM h WHERE {_FITS}""")
 
 
+def w14_context(spark, d):
+    """Candidates for a cut, marked by four characters; the prompt has two lines before, three after and all between."""
+    x = X.lines(spark, d).withColumn("n_chars", F.char_length("text"))
+    rows = S.chunk(x.where("idx % 3 <> 0"), 32).select("media_id", "batch_id", "idx", (F.col("n_chars") + 4).alias("n_chars"))
+    out, _ = S.bisect_batches(rows, 900, 70, 1, x, 2)
+    return out.groupBy("media_id", "batch_id", "piece").agg(F.min("idx").alias("first"), F.count("*").alias("n"), F.max("prompt_chars").alias("prompt_chars")).select("media_id", "batch_id", "first", "n", "prompt_chars")
+
+
+# each piece is rendered: the lengths of the lines that its window shows are added up anew
+_SHOWN = "70 - 1 + 4 * len(l) + (SELECT sum(length(text) + 1) FROM lines x WHERE x.media_id = h.media_id AND x.idx BETWEEN l[1] - 2 AND l[len(l)] + 3)"
+W14C = X.query(X.LINES, """b AS (SELECT media_id, idx, (row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1) // 32 AS batch_id FROM lines WHERE idx % 3 <> 0)""", f"""h AS (SELECT media_id, batch_id, list(idx ORDER BY idx) AS l FROM b GROUP BY ALL
+  UNION ALL SELECT media_id, batch_id, unnest([l[1:len(l) // 2], l[len(l) // 2 + 1:]]) AS l FROM (SELECT *, {_SHOWN} AS n FROM h) WHERE len(l) > 1 AND n > 900)
+SELECT media_id, CAST(batch_id AS INTEGER) AS batch_id, l[1] AS first, len(l) AS n, CAST(chars AS BIGINT) AS prompt_chars FROM (SELECT *, {_SHOWN} AS chars FROM h) WHERE len(l) = 1 OR chars <= 900""")
+
+
+def v2_ranges(spark, d):
+    s = X.scenes(spark, d).withColumn("end_idx", F.when(F.col("scene_id") % 2 == 0, F.col("end_idx") + 1).otherwise(F.col("end_idx"))).where("scene_id % 5 <> 3")
+    return S.coverage_ranges(s, X.lines(spark, d))
+
+
 def w16(spark, d):
     x = _lines(spark, d).withColumn("batch_id", F.expr("(idx - 1) div 4"))
     t = x.where("idx % 2 = 0").select("media_id", "batch_id", "idx")
@@ -536,6 +556,10 @@ SELECT coalesce(g.media_id, l.media_id) AS media_id, coalesce(g.idx, l.idx) AS i
 FROM g FULL OUTER JOIN lines l ON g.media_id = l.media_id AND g.idx = l.idx WHERE n IS NULL OR l.idx IS NULL OR n > 1""")
 
 
+# stretches of neighbours of one kind
+V2R = f"""SELECT media_id, min(idx) AS first_idx, max(idx) AS last_idx, violation FROM (SELECT *, idx - row_number() OVER (PARTITION BY media_id, violation ORDER BY idx) AS run FROM ({V2})) GROUP BY media_id, violation, run"""
+
+
 def v3(spark, d):
     s = X.scenes(spark, d).withColumn("end_idx", F.col("end_idx") + F.when(F.col("scene_id") % 2 == 0, 1).otherwise(0)).withColumn("start_ms", F.when(F.col("scene_id") % 3 == 0, 0).otherwise(F.col("start_ms")))
     return S.check_order(s)
@@ -604,7 +628,7 @@ QUERIES = {
     "w8_scenes_from_cuts": _scenes, "f8_refine_target": f8, "w9_refine_regions": w9, "w10_chunk": w10, "w11_budget_groups": w11, "w12_split_sparse": w12, "w13_context": w13, "w14_bisect_batches": w14, "w11_compact_groups": w11_compact, "j2_scene_cues_limited": j2_some, "p10_cuts": p10_cuts, "p10_cut_errors": p10_cut_errors, "p10_corrections": p10_corrections, "a15_token_means": a15_tokens, "a15_decisions": a15_decisions, "a3_alias_misses": a3_misses, "a4_kept_by_kind": a4_kinds, "a8_clip_stages": a8_stages, "a7_expected": a7_expected, "t6_one_stratum": t6_one, "w16_batch_context": w16, "w17_p15_prompts": w17, "i2_pending": i2, "u3_label_hook": u3,
     "f1_f2_review_targets": f1, "f3_select_cues": f3, "j2_scene_cues": j2, "p10_p11_parse_replies": p10, "p10_reply_errors": p10_errors, "x6_restrict": x6, "x7_retry_set": x7, "j9_f7_apply_results": j9, "j10_audit": j10, "j10_apply_corrections": j10_cues, "j11_apply_reviews": j11,
     "x2_update_cuts": x2, "x3_filter_boundaries": x3, "x4_upsert_audit": x4, "x5_conflict": x5, "x8_cuts_from_scenes": x8, "a19_scene_preview": a19, "a14_plan_summary": a14, "a15_histograms": a15, "a5_output_speakers": a5, "a2_t1_speaker_profile": a2, "j1_alias": j1, "a3_alias_coverage": a3, "a4_normalise_stats": a4, "a18_drop_reasons": a18, "a8_clip_report": a8,
-    "a6_style_profile": a6, "f6_policy_violations": f6, "a7_action_counts": a7, "j13_policy_check": j13, "v1_check_cues": v1, "v2_check_coverage": v2, "v3_check_order": v3, "v4_long_scenes": v4, "t5_sample": t5, "t6_stratified": t6, "t9_candidate_speakers": t9, "u1_p4_p5_classify": u1,
+    "a6_style_profile": a6, "f6_policy_violations": f6, "a7_action_counts": a7, "j13_policy_check": j13, "v1_check_cues": v1, "v2_check_coverage": v2, "v2_coverage_ranges": v2_ranges, "w14_context_prompts": w14_context, "v3_check_order": v3, "v4_long_scenes": v4, "t5_sample": t5, "t6_stratified": t6, "t9_candidate_speakers": t9, "u1_p4_p5_classify": u1,
 }
 ORACLES = {
     "w14_bisect_batches": W14, "w11_compact_groups": W11C, "j2_scene_cues_limited": J2S, "p10_cuts": P10C, "p10_cut_errors": P10CE, "p10_corrections": P10K, "a8_clip_stages": A8S, "a7_expected": A7E, "t5_sample": T5, "t6_stratified": T6, "t6_one_stratum": T6O,
@@ -617,5 +641,5 @@ ORACLES = {
     "j2_scene_cues": J2, "p10_p11_parse_replies": P10, "p10_reply_errors": P10E, "x6_restrict": X.query(RES + "\nSELECT media_id, idx, CASE WHEN speaker = 'user' THEN speaker ELSE 'OTHER' END AS speaker, speaker_raw FROM res"), "x7_retry_set": X.query(RES + "\nSELECT media_id, idx FROM res WHERE speaker = 'system'"), "j9_f7_apply_results": J9, "j10_audit": J10, "j10_apply_corrections": J10C, "j11_apply_reviews": J11,
     "x2_update_cuts": X2, "x3_filter_boundaries": X3, "x4_upsert_audit": X4, "x5_conflict": X5, "x8_cuts_from_scenes": X8, "a19_scene_preview": A19, "a14_plan_summary": A14, "a15_histograms": X.query(X.LINES, X.PREDS + "\nSELECT speaker, confidence, count(*) AS n FROM preds GROUP BY ALL"), "a5_output_speakers": X.query(X.CUES + "\nSELECT media_id, speaker, count(*) AS n, sum(end_ms - start_ms) AS total_ms FROM cues GROUP BY ALL"), "a2_t1_speaker_profile": A2, "j1_alias": J1, "a3_alias_coverage": A3, "a4_normalise_stats": A4, "a18_drop_reasons": A18,
     "a8_clip_report": "SELECT speaker, kind, count(*) AS clips, sum(n_merged) AS cues, sum(end_ms - start_ms) AS total_ms FROM (" + interval_queries.ORACLES["w1_merge_overlap"] + ") GROUP BY ALL",
-    "a6_style_profile": A6, "f6_policy_violations": F6, "a7_action_counts": A7, "j13_policy_check": J13, "v1_check_cues": V1, "v2_check_coverage": V2, "v3_check_order": V3, "v4_long_scenes": X.query(CUT_SCENES + "\nSELECT media_id, scene_id, n_cues FROM cs WHERE end_ms - start_ms > 30000"), "t9_candidate_speakers": T9, "u1_p4_p5_classify": U1,
+    "a6_style_profile": A6, "f6_policy_violations": F6, "a7_action_counts": A7, "j13_policy_check": J13, "v1_check_cues": V1, "v2_check_coverage": V2, "v2_coverage_ranges": V2R, "w14_context_prompts": W14C, "v3_check_order": V3, "v4_long_scenes": X.query(CUT_SCENES + "\nSELECT media_id, scene_id, n_cues FROM cs WHERE end_ms - start_ms > 30000"), "t9_candidate_speakers": T9, "u1_p4_p5_classify": U1,
 }
