@@ -8,8 +8,8 @@ phrase unless what the shards reported and the most that the silent ones may hol
 of a filter of at most MOST_BITS bits, so that what is broadcast is bounded; a key that meets another's bit costs work, not
 exactness. With many shards the lowered support is 1 and nothing is silent: then the owners' sums are whole.
 
-Pass two counts every phrase of the filter exactly, by its words and not by keys, first within shards and then over all, and drops
-those below the support. Scores are computed on these counts in decimals of 38 digits.
+Pass two counts every phrase of the filter exactly, by its words and not by keys, first within shards and then, range by range, over all, and
+drops those below the support. Scores are computed on these counts in decimals of 38 digits.
 
 Defined results: A-Z become a-z and nothing else does; a null text is empty, a null language is `und`; phrases do not cross
 the characters `.,;:!?` or \\n to \\r; texts of any length are read whole; repeated documents count as often as they occur; an empty
@@ -33,7 +33,7 @@ from .common import stored
 SUPPORT = 10
 LONGEST = 3
 MOST = 2000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 OWNED_BYTES = 32 << 20  # keys of one range, about
 MOST_BITS = 1 << 28
 MOST_OWNERS = 4096
@@ -57,15 +57,15 @@ class Shard:
             bounds = np.concatenate([[0], np.cumsum(ends)]).astype(np.int64)
             parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[full].tobytes())]))
             text = np.searchsorted(s.offsets, starts, "right") - 1
-            pieces.append(np.cumsum(data == 0x0A)[starts] + text + before)
-            before = pieces[-1][-1] + 1 if len(starts) else before
-            owners.append(langs[s.first + text])
+            pieces.append((np.cumsum(data == 0x0A, dtype=np.int32)[starts] + text + before).astype(np.int32))
+            before = int(pieces[-1][-1]) + 1 if len(starts) else before
+            owners.append(langs[s.first + text].astype(np.int32))
         coded = pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode() if parts else pa.array([], pa.large_binary()).dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         self.words: pa.Array = coded.dictionary
         # numbered in order, so that phrases leave a shard in order too: sorted rows compress
         order = pc.sort_indices(self.words)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order.to_numpy()] = np.arange(len(order))
         self.words = self.words.take(order)
         self.ids = rank[coded.indices.to_numpy(zero_copy_only=False)]
@@ -81,9 +81,11 @@ class Shard:
 
     def keys(self, at: np.ndarray, k: int, salts: np.ndarray) -> np.ndarray:
         """64-bit keys of (language, words) of the phrases that begin at `at`; salts: a hash for each language's number."""
-        out = salts[self.lang[at]] + np.uint64(k)
+        out = salts[self.lang[at]]
+        out += np.uint64(k)
         for j in range(k):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + self.hashes[self.ids[at + j]]
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out += self.hashes[self.ids[at + j]]
         return W.mix(out)
 
 
@@ -103,6 +105,7 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Ar
             if size >= most:
                 yield _joined(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield _joined(held)
 
@@ -125,8 +128,8 @@ def _digest(name: str) -> bytes:
 
 
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct values, how often each occurs)."""
-    values = np.sort(values)
+    """(sorted distinct values, how often each occurs); sorts in place."""
+    values.sort()
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
     return values[starts], np.diff(np.append(starts, len(values)))
 
@@ -203,9 +206,11 @@ def unite(ranges: int, bits: int, support: int):
     return run
 
 
-def count(filter_of, bits: int, shard_bytes: int):
-    """mapInArrow over documents: exact counts, by shard, of the phrases whose key is in the filter; a null phrase counts all words of a language."""
+def count(filter_of, ranges: int, bits: int, shard_bytes: int):
+    """mapInArrow over documents: exact counts, by shard, of the phrases whose key is in the filter, in a row for each language and range of keys: the
+    phrases in order, a line each, and their counts. A range of -1 counts all words of a language."""
     shift = np.uint64(64 - (bits.bit_length() - 1))
+    narrow = np.uint64(bits.bit_length() - ranges.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = filter_of()
@@ -213,30 +218,68 @@ def count(filter_of, bits: int, shard_bytes: int):
             names, salts, shard = _opened(lang, text)
             words = shard.words.cast(pa.large_string())
             v = len(words) + 1
-            yield _rows(names, np.arange(len(names)), pa.nulls(len(names), pa.large_string()), np.bincount(shard.lang, minlength=len(names)))
+            total = np.bincount(shard.lang, minlength=len(names))
+            yield _rows(names, np.arange(len(names)), np.full(len(names), -1), [b""] * len(names), [np.uint64(n).tobytes() for n in total])
             for k in range(1, LONGEST + 1):
                 at = shard.runs(k)
                 place = shard.keys(at, k, salts) >> shift
-                at = at[(flags[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                kept = (flags[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                at, place = at[kept], place[kept]
                 if not len(at):
                     continue
-                # numbers of words name a phrase without loss; two steps keep the product below 2^63
-                name = shard.lang[at] * v + shard.ids[at]
+                # numbers of words name a phrase without loss, in the order of the words; two steps keep the product below 2^63
+                name = shard.lang[at].astype(np.int64) * v + shard.ids[at]
                 for j in range(1, k):
                     _, name = np.unique(name, return_inverse=True)
                     name = name * v + shard.ids[at + j]
                 _, first, n = np.unique(name, return_index=True, return_counts=True)
-                first = at[first]
-                for lo in range(0, len(first), 200_000):
-                    some = first[lo : lo + 200_000]
-                    taken = [words.take(pa.array(shard.ids[some + j])) for j in range(k)]
-                    yield _rows(names, shard.lang[some], taken[0] if k == 1 else pc.binary_join_element_wise(*taken, pa.scalar(" ", pa.large_string())), n[lo : lo + 200_000])
+                own = shard.lang[at[first]].astype(np.int64) * ranges + (place[first] >> narrow).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                own, first, n = own[order], at[first[order]], n[order].astype("<u8")
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                ends = np.append(starts[1:], len(own))
+                for some in np.array_split(np.arange(len(starts)), max(1, len(own) >> 17)):
+                    lo, hi = starts[some[0]], ends[some[-1]]
+                    taken = [words.take(pa.array(shard.ids[first[lo:hi] + j])) for j in range(k)]
+                    phrase = taken[0] if k == 1 else pc.binary_join_element_wise(*taken, pa.scalar(" ", pa.large_string()))
+                    listed = pa.ListArray.from_arrays(pa.array((np.append(starts[some], hi) - lo).astype(np.int32)), phrase.cast(pa.string()))
+                    cell = own[starts[some]]
+                    yield _rows(names, cell // ranges, cell % ranges, pc.binary_join(listed, "\n"), [n[starts[i] : ends[i]].tobytes() for i in some])
 
     return run
 
 
-def _rows(names: pa.Array, lang: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([names.take(pa.array(lang)).cast(pa.string()), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
+def _rows(names: pa.Array, lang: np.ndarray, cell: np.ndarray, phrases, n: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(lang)).cast(pa.string()), pa.array(cell.astype(np.int32)), pa.array(phrases, pa.binary()) if isinstance(phrases, list) else phrases.cast(pa.binary()), pa.array(n, pa.binary())], ["lang", "cell", "phrases", "n"])
+
+
+def add_up(support: int):
+    """mapInArrow over an owner's rows of count, those of a range and language together: (lang, phrase, f) of the phrases that reach the support, by their words."""
+
+    def total(lang: str, cell: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        n = np.concatenate([np.frombuffer(x, "<u8") for _, x in held]).astype(np.int64)
+        if cell < 0:
+            phrases, f = pa.nulls(1, pa.string()), pa.array([int(n.sum())])
+        else:
+            said = pc.list_flatten(pc.split_pattern(pa.array([p for p, _ in held], pa.binary()).cast(pa.large_string()), "\n"))
+            summed = pa.table({"p": said, "n": n}).group_by("p").aggregate([("n", "sum")])
+            summed = summed.filter(pc.greater_equal(summed["n_sum"], support))
+            phrases, f = summed["p"].combine_chunks().cast(pa.string()), summed["n_sum"].combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), phrases, f], ["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for lang, cell, *blob in zip(*(b.column(c).to_pylist() for c in ("lang", "cell", "phrases", "n")), strict=True):
+                if (cell, lang) != at and held:
+                    yield total(at[1], at[0], held)
+                    held = []
+                at = (cell, lang)
+                held.append(blob)
+        if held:
+            yield total(at[1], at[0], held)
+
+    return run
 
 
 def _power(n: float) -> int:
@@ -257,8 +300,9 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SH
     for r in dealt.mapInArrow(unite(ranges, bits, support), "cell int, bits binary").collect():  # most_bits / 8 bytes at most
         whole[r["cell"] * size : (r["cell"] + 1) * size] = r["bits"]
     held = spark.sparkContext.broadcast(bytes(whole))
-    counted = own.mapInArrow(count(lambda: np.frombuffer(held.value, np.uint8), bits, shard_bytes), "lang string, phrase string, f long")
-    return stored(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= support)))
+    counted = own.mapInArrow(count(lambda: np.frombuffer(held.value, np.uint8), ranges, bits, shard_bytes), "lang string, cell int, phrases binary, n binary")
+    dealt = counted.repartitionById(owners, F.pmod(F.col("cell"), F.lit(owners)).cast("int")).sortWithinPartitions("cell", "lang")
+    return stored(dealt.mapInArrow(add_up(support), "lang string, phrase string, f long"))
 
 
 def with_part(phrases: DataFrame, counts: DataFrame, part: Column, name: str) -> DataFrame:
