@@ -53,6 +53,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def plain_text(c: Column) -> Column:
+    """White space run together to single spaces, none at the ends."""
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def shown_text(c: Column) -> Column:
+    """A cue's text on one line: \\N becomes a slash, white space runs together."""
+    return plain_text(F.replace(c, F.lit("\\N"), F.lit(" / ")))
+
+
 def cue_lines(c: Column) -> Column:
     return F.split(c, r"\\N|\n")
 

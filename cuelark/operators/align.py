@@ -52,7 +52,8 @@ def align(gold: DataFrame, preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = pairs.withColumn("__rn", F.row_number().over(Window.partitionBy("a_media_id", "a_idx").orderBy(ratio.desc(), apart, length, "b_pid"))).where("__rn = 1")
     structural = best.select(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.col("b_pid").alias("pid"), F.lit(METHODS[2]).alias("method"))
     found = exact.unionByName(unique).unionByName(structural)
-    said = preds.select("media_id", "pid", F.col("speaker").alias("pred_speaker"), F.col("speaker_raw").alias("pred_raw"), "confidence")
+    further = [F.col(c).alias(n) for c, n in (("input_speaker", "input_speaker"), ("tags", "pred_tags")) if c in preds.columns]
+    said = preds.select("media_id", "pid", F.col("speaker").alias("pred_speaker"), F.col("speaker_raw").alias("pred_raw"), "confidence", *further)
     matches = g.select("media_id", "idx", "start_ms", "end_ms", "speaker", "text", "key").join(found, ["media_id", "idx"], "left").join(said, ["media_id", "pid"], "left")
     matches = matches.withColumn("method", F.coalesce("method", F.lit(METHODS[3])))
     return matches, preds.join(found, ["media_id", "pid"], "left_anti")
@@ -146,12 +147,16 @@ def error_sample(j: DataFrame, buckets: Column, order: Sequence[str], n: int = 4
     return few.withColumnRenamed("__b", "bucket").orderBy("turn", "bucket_order").limit(n)
 
 
-def compare_policies(raw: DataFrame, final: DataFrame) -> DataFrame:
-    """Counts of changed, fixed and broken labels of two judged matchings of one gold."""
-    a = raw.select("media_id", "idx", F.col("predicted").alias("p"), F.col("right").alias("r"))
+def compare_policies(raw: DataFrame, final: DataFrame, cast: Sequence[str]) -> DataFrame:
+    """Changed, fixed and broken labels of two judged matchings of one gold; and the same, with what is right, of the hypothetical in which an explicit label of a
+    prediction's input (input_speaker, without pred_tags) would have been locked. Both need the predictions' input_speaker and tags, which align() carries."""
+    locked = F.when(F.col("pid").isNotNull() & ~F.coalesce("input_speaker", F.lit("")).isin("?", "NONSPEECH", "") & (F.coalesce(F.size("pred_tags"), F.lit(0)) <= 0), X.prediction_label(F.col("input_speaker"), cast))
+    a = raw.select("media_id", "idx", F.col("predicted").alias("p"), F.col("right").alias("r"), F.coalesce(locked, "predicted").alias("k"), "accepted")
     b = final.select("media_id", "idx", F.col("predicted").alias("q"), F.col("right").alias("s"))
-    x = a.join(b, ["media_id", "idx"])
-    return x.agg(F.count("*").alias("total"), F.count_if(F.col("p") != F.col("q")).alias("changed"), F.count_if(~F.col("r") & F.col("s")).alias("fixed"), F.count_if(F.col("r") & ~F.col("s")).alias("broken"))
+    x = a.join(b, ["media_id", "idx"]).withColumn("t", F.array_contains("accepted", F.col("k")))
+    r, s, t, n = F.col("r"), F.col("s"), F.col("t"), F.count_if
+    moved = F.col("k") != F.col("p")
+    return x.agg(F.count("*").alias("total"), n(F.col("p") != F.col("q")).alias("changed"), n(~r & s).alias("fixed"), n(r & ~s).alias("broken"), n(t).alias("locked_correct"), n(moved).alias("locked_changed"), n(moved & ~r & t).alias("locked_fixed"), n(moved & r & ~t).alias("locked_broken"))
 
 
 def diff_cues(a: DataFrame, b: DataFrame, tol_ms: float = 0.5, source: bool = False) -> DataFrame:

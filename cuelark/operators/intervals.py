@@ -110,14 +110,13 @@ def union_intervals(df: DataFrame, keys: Sequence[str], gap_ms: int = 0) -> Data
 
 
 def clip_window(start: Column, end: Column, pre: int = 1500, post: int = 1500, least: int = 4000, most: int = 12_000) -> tuple[Column, Column]:
-    """Padded review window: at least `least` wide about its middle, at most `most` about the cue's middle, never before 0."""
-    a, b = F.greatest(F.lit(0), start - pre), end + post
-    middle = (a + b) / 2
-    short = (b - a) < least
-    a, b = F.when(short, F.greatest(F.lit(0.0), middle - least / 2)).otherwise(a.cast("double")), F.when(short, F.greatest(F.lit(0.0), middle - least / 2) + least).otherwise(b.cast("double"))
-    middle = (start + end) / 2
-    wide = (b - a) > most
-    return F.when(wide, F.greatest(F.lit(0.0), middle - most / 2)).otherwise(a), F.when(wide, F.greatest(F.lit(0.0), middle - most / 2) + most).otherwise(b)
+    """Padded review window, never before 0: one shorter than `least` is padded by half of what it lacks at both ends, of which what lies before 0 is lost;
+    one longer than `most` becomes `most` about the cue's middle."""
+    a, b = F.greatest(F.lit(0), start - pre).cast("double"), (end + post).cast("double")
+    pad = (least - (b - a)) / 2
+    short, wide = (b - a) < least, (b - a) > most
+    centred = F.greatest(F.lit(0.0), (start + end) / 2 - most / 2)
+    return F.when(short, F.greatest(F.lit(0.0), a - pad)).when(wide, centred).otherwise(a), F.when(short, b + pad).when(wide, centred + most).otherwise(b)
 
 
 def compact_windows(batch_cues: DataFrame, pre_ms: int = 1000, post_ms: int = 1000, gap_ms: int = 1000) -> DataFrame:
@@ -233,7 +232,7 @@ def idx_join(points: DataFrame, ranges: DataFrame, lo: str = "start_idx", hi: st
 
 
 def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, label_map: DataFrame | None = None, offset_ms: int = 0, low: float = 0.5) -> DataFrame:
-    """Acoustic speaker of each cue: most overlap, `?` on ties; coverage is over the union of all speakers.
+    """Acoustic speaker of each cue: most overlap, `?` on ties; coverage is over the union of all speakers. label_map(media_id, speaker, label) names a media's speakers.
 
     A cue without length (end = start) overlaps nothing: coverage 0, low, not emitted."""
     shifted = segments.select("media_id", "speaker", (F.col("start_ms") + offset_ms).alias("start_ms"), (F.col("end_ms") + offset_ms).alias("end_ms"))
@@ -250,7 +249,7 @@ def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, labe
     out = cues.join(best, ["media_id", "idx"], "left").join(covered, ["media_id", "idx"], "left").join(audio.select("media_id", "duration_ms"), "media_id")
     candidate = F.coalesce("candidate", F.lit("?"))
     if label_map is not None:
-        out = out.join(F.broadcast(label_map.select(F.col("label").alias("__label"), F.col("speaker").alias("candidate"))), "candidate", "left")
+        out = out.join(label_map.select("media_id", F.col("label").alias("__label"), F.col("speaker").alias("candidate")), ["media_id", "candidate"], "left")
         candidate = F.coalesce("__label", "candidate", F.lit("?"))
     long = F.col("end_ms") - F.col("start_ms")
     coverage = F.when(long > 0, F.coalesce("covered_ms", F.lit(0)) / F.when(long > 0, long)).otherwise(0.0)

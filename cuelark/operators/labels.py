@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_idx, strip
+from ..functions.text import plain_text, safe_idx, shown_text
 from .intervals import idx_join
 
 REPLY = "array<struct<idx:string,speaker:string,speaker_raw:string,confidence:string,original_spk:string,corrected_spk:string,reason:string,scene_id:string>>"
@@ -49,7 +49,7 @@ def _parse_cuts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("__b") == "", "no json").when(F.col("__v").isNull(), "bad json").when(F.col("__a").isNull(), "no cuts").when(lost, "bad after_idx")
     parsed = parsed.withColumn("error", error)
     items = parsed.where("error IS NULL").select("media_id", "batch_id", F.posexplode("__a").alias("pos", "r"))
-    plain = lambda c: strip(F.regexp_replace(_text(F.col(c), ""), r"(?U)\s+", " "))
+    plain = lambda c: plain_text(_text(F.col(c), ""))
     cuts = items.select("media_id", "batch_id", "pos", safe_idx(F.col("r.after_idx")).alias("after_idx"), plain("r.title").alias("title"), plain("r.reason").alias("reason"))
     first = cuts.groupBy("media_id", "batch_id", "after_idx").agg(F.min_by(F.struct("pos", "title", "reason"), "pos").alias("x")).select("media_id", "batch_id", "after_idx", "x.*")
     return first, parsed.where("error IS NOT NULL").select("media_id", "batch_id", "error")
@@ -96,24 +96,29 @@ def apply_results(cues: DataFrame, results: DataFrame, cast: Sequence[str], lock
 
 
 def apply_corrections(cues: DataFrame, corrections: DataFrame, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cues, audit): corrections of targets only; of several for an idx the last counts, all are in the audit."""
-    known = corrections.join(cues.select("media_id", "idx", "speaker"), ["media_id", "idx"])
-    if targets is not None:
-        known = known.join(targets.select("media_id", "idx", F.lit(True).alias("__t")), ["media_id", "idx"], "left").withColumn("applied", F.col("__t").isNotNull() & (F.col("corrected_spk") != ""))
-    else:
-        known = known.withColumn("applied", F.col("corrected_spk") != "")
-    w = Window.partitionBy("media_id", "idx").orderBy("pos")
-    before = F.last(F.when(F.col("applied"), F.col("corrected_spk")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    audit = known.select("media_id", "idx", "pos", F.col("speaker").alias("original_spk"), "corrected_spk", "applied", F.coalesce(before, "speaker").alias("final_spk"))
-    last = audit.where("applied").groupBy("media_id", "idx").agg(F.max_by("corrected_spk", "pos").alias("__new"))
+    """(cues, audit) of corrections(media_id, idx, pos, corrected_spk, ..), taken in order of pos (after batch_id, if there is one); those of other cues than the targets, or of none, are passed over.
+
+    Every correction taken has a row in the audit, with all the reply said, what the cue is, whether it changed the speaker that stood (after the corrections
+    before it), and the speaker after it."""
+    order = [c for c in ("batch_id", "pos") if c in corrections.columns]
+    known = corrections if targets is None else corrections.join(targets.select("media_id", "idx").distinct(), ["media_id", "idx"], "left_semi")
+    known = known.join(cues.select("media_id", "idx", F.col("speaker").alias("__spoken"), "start_ms", "end_ms", "text", "tags"), ["media_id", "idx"])
+    before = F.coalesce(F.lag("corrected_spk").over(Window.partitionBy("media_id", "idx").orderBy(*order)), "__spoken")
+    audit = known.select("media_id", "idx", *[c for c in corrections.columns if c not in ("media_id", "idx")], (~before.eqNullSafe(F.col("corrected_spk"))).alias("applied"), F.col("corrected_spk").alias("final_spk"), "start_ms", "end_ms", "text", "tags")
+    last = known.groupBy("media_id", "idx").agg(F.max_by("corrected_spk", F.struct(*order)).alias("__new"))
     return cues.join(last, ["media_id", "idx"], "left").withColumn("speaker", F.coalesce("__new", "speaker")).drop("__new"), audit
 
 
 def apply_reviews(cues: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Review status as a tag, and the speaker of verified cues."""
-    x = cues.join(reviews.select("media_id", "idx", F.col("speaker").alias("__s"), F.col("confidence").alias("__c")), ["media_id", "idx"], "left")
-    tag = F.when(F.col("__s").isNull(), None).when(F.col("__s") == "?", "UNCLEAR").when(F.col("__c") == "high", "VERIFIED").otherwise("REVIEW")
-    return x.select("media_id", "idx", F.when(tag == "VERIFIED", F.col("__s")).otherwise(F.col("speaker")).alias("speaker"), F.when(tag.isNull(), F.col("tags")).otherwise(F.array_union("tags", F.array(tag))).alias("tags"))
+    """Reviews(media_id, idx, speaker[, parse_error][, pos]) written back: cues whose review has no speaker, OTHER or OVERLAP, or did not parse, stay and are for review; `?` makes
+    a cue's speaker unknown; any other speaker is set as verified. Of several reviews of a cue the last by pos counts."""
+    failed = F.coalesce(F.col("parse_error"), F.lit(False)) if "parse_error" in reviews.columns else F.lit(False)
+    own = reviews.select("media_id", "idx", F.struct(F.col("speaker").alias("s"), failed.alias("failed")).alias("__r"), F.col("pos") if "pos" in reviews.columns else F.lit(0).alias("pos"))
+    last = own.groupBy("media_id", "idx").agg(F.max_by("__r", "pos").alias("__r"))
+    x = cues.join(last, ["media_id", "idx"], "left")
+    said = F.coalesce("__r.s", F.lit(""))
+    tag = F.when(F.col("__r").isNull(), None).when(F.col("__r.failed") | said.isin("", "OVERLAP", "OTHER"), "MM_REVIEW").when(said == "?", "MM_UNCLEAR").otherwise("MM_VERIFIED")
+    return x.select("media_id", "idx", F.when(tag.isin("MM_UNCLEAR", "MM_VERIFIED"), said).otherwise(F.col("speaker")).alias("speaker"), F.when(tag.isNull(), F.col("tags")).otherwise(F.array_union("tags", F.array(tag))).alias("tags"))
 
 
 def update_cuts(cuts: DataFrame, regions: DataFrame, new: DataFrame) -> DataFrame:
@@ -145,18 +150,25 @@ def conflict(pick: Column, verified: Column, target: Column) -> Column:
     return (pick == target) != verified
 
 
-def cuts_from_scenes(scenes: DataFrame, previews: DataFrame) -> DataFrame:
-    """Scene ends are cuts, confirmed where the title is not the preview; the last scene's end is none."""
-    last = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("scene_id"))) == 1
-    x = scenes.join(previews, ["media_id", "scene_id"]).withColumn("__last", last)
-    return x.where(~F.col("__last")).select("media_id", F.col("end_idx").alias("after_idx"), (F.col("name") != F.col("preview")).alias("confirmed"))
+def cuts_from_scenes(scenes: DataFrame, cues: DataFrame) -> DataFrame:
+    """(media_id, scene_id, after_idx, title, confirmed) of scenes(media_id, scene_id, start_idx, end_idx, name[, enabled]): a cut after the last spoken cue of each enabled scene that has one.
+
+    A cut is confirmed where the scene has a title, white space aside, that is not its preview; the end of a media's last scene is none. Scenes are numbered anew."""
+    on = scenes.where(F.coalesce("enabled", F.lit(True))) if "enabled" in scenes.columns else scenes
+    spoken = cues.where((F.col("speaker") != "NONSPEECH") & ~F.contains("text", F.lit("\u266a")))
+    j = idx_join(spoken.select("media_id", "idx", "text"), on.select("media_id", "scene_id", "start_idx", "end_idx"))
+    held = j.groupBy("r.media_id", "r.scene_id").agg(F.max("p.idx").alias("after_idx"), F.min_by("p.text", "p.idx").alias("__a"), F.max_by("p.text", "p.idx").alias("__z"), F.count("*").alias("__n"))
+    preview = F.when(F.col("__n") == 1, shown_text(F.col("__a"))).otherwise(F.concat_ws(" / ... / ", shown_text(F.col("__a")), shown_text(F.col("__z"))))
+    x = held.join(on.select("media_id", "scene_id", plain_text(F.coalesce("name", F.lit(""))).alias("title")), ["media_id", "scene_id"])
+    w = Window.partitionBy("media_id").orderBy("scene_id")
+    last = F.lead("scene_id").over(w).isNull()
+    return x.select("media_id", F.row_number().over(w).alias("scene_id"), "after_idx", "title", (~last & (F.col("title") != "") & (F.col("title") != preview)).alias("confirmed"))
 
 
-def resolve_alias(tokens: DataFrame, aliases: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
-    """tokens(.., token) with canonical speaker: alias, else the token, else ?. The alias table is broadcast if it is small."""
-    a = aliases.select(F.col("variant").alias("token"), F.col("canonical").alias("__c"))
-    few = a.limit(most_broadcast + 1).count() <= most_broadcast
-    x = tokens.join(F.broadcast(a) if few else a, "token", "left")
+def resolve_alias(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """tokens(media_id, .., token) with canonical speaker: the alias of its own project, aliases(media_id, variant, canonical), else the token, else ?."""
+    a = aliases.select("media_id", F.col("variant").alias("token"), F.col("canonical").alias("__c"))
+    x = tokens.join(a, ["media_id", "token"], "left")
     return x.withColumn("speaker", F.coalesce("__c", F.nullif("token", F.lit("")), F.lit("?"))).withColumn("alias_hit", F.col("__c").isNotNull()).drop("__c")
 
 

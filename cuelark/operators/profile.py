@@ -28,24 +28,28 @@ def output_speakers(cues: DataFrame) -> DataFrame:
 
 
 def style_profile(events: DataFrame, stretch: int = 4096) -> DataFrame:
-    """Per style: count, counts by event type, layer and name (empty ones aside) as maps, flag sums, and the first, middle and last visible text, cut at 240.
+    """Per media (if events have one) and style: count, counts by event type, layer and name (empty ones aside) as maps, flag sums, and the first, middle and last event with its
+    source_event_index, its start and its visible text, cut at 240.
 
     The middle event is found by counts of stretches of event_index and then by a window over one stretch, so a style that most events have is
     never in one task."""
-    pairs = lambda c: events.where(F.col(c).cast("string") != "").groupBy("style", F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n")).groupBy("style").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c))
+    by = [c for c in ("media_id", "style") if c in events.columns]
+    pairs = lambda c: events.where(F.col(c).cast("string") != "").groupBy(*by, F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c))
     flags = [c for c in ("drawing", "positioned", "karaoke", "top") if c in events.columns]
-    n = events.groupBy("style").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in flags])
-    at = events.select("style", "event_index", F.substring(visible_text(F.col("text")), 1, 240).alias("text"), F.floor(F.col("event_index") / stretch).alias("s"))
-    ends = at.groupBy("style").agg(F.min_by(F.struct("event_index", "text"), "event_index").alias("a"), F.max_by(F.struct("event_index", "text"), "event_index").alias("z"))
-    w = Window.partitionBy("style").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    parts = at.groupBy("style", "s").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0))).join(n.select("style", F.floor(F.col("n") / 2).alias("want")), "style")
-    place = parts.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("m"))).select("style", "s", (F.col("want") - F.col("before")).alias("want"))
-    inside = at.join(place, ["style", "s"]).withColumn("rn", F.row_number().over(Window.partitionBy("style").orderBy("event_index")) - 1)
-    middle = inside.where(F.col("rn") == F.col("want")).select("style", F.struct("event_index", "text").alias("m"))
-    samples = ends.join(middle, "style").select("style", F.transform(F.array_sort(F.array_distinct(F.array("a", "m", "z"))), lambda x: x["text"]).alias("samples"))
-    out = n.join(pairs("event_type"), "style").join(pairs("layer"), "style").join(samples, "style")
+    n = events.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in flags])
+    start = F.col("start_raw" if "start_raw" in events.columns else "start_ms")
+    sample = F.struct(F.col("event_index").alias("source_event_index"), start.alias("start"), F.substring(visible_text(F.col("text")), 1, 240).alias("text"))
+    at = events.select(*by, "event_index", sample.alias("sample"), F.floor(F.col("event_index") / stretch).alias("s"))
+    ends = at.groupBy(*by).agg(F.min_by("sample", "event_index").alias("a"), F.max_by("sample", "event_index").alias("z"))
+    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy(*by, "s").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0))).join(n.select(*by, F.floor(F.col("n") / 2).alias("want")), by)
+    place = parts.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("m"))).select(*by, "s", (F.col("want") - F.col("before")).alias("want"))
+    inside = at.join(place, [*by, "s"]).withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("event_index")) - 1)
+    middle = inside.where(F.col("rn") == F.col("want")).select(*by, F.col("sample").alias("m"))
+    samples = ends.join(middle, by).select(*by, F.array_sort(F.array_distinct(F.array("a", "m", "z"))).alias("samples"))
+    out = n.join(pairs("event_type"), by).join(pairs("layer"), by).join(samples, by)
     if "name" in events.columns:
-        out = out.join(pairs("name"), "style", "left")
+        out = out.join(pairs("name"), by, "left")
     return out
 
 
@@ -107,18 +111,18 @@ def visible_text(text: Column) -> Column:
 
 
 def apply_policy(events: DataFrame, policy: DataFrame, event_types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events with action, violations). Dialogue acts by its style, and a style that policy(style, action) lacks is an error; other events act
-    by event_types(event_type, action), or are for review. Kept events must have visible text, 0 <= start <= end and no drawing."""
-    x = events.join(F.broadcast(policy.select("style", F.col("action").alias("__a"))), "style", "left")
+    """(events with action, violations) of events(media_id, ..) under the policy of their own media. Dialogue acts by its style, and a style that policy(media_id, style, action)
+    lacks is an error; other events act by event_types(media_id, event_type, action), or are for review. Kept events must have visible text, 0 <= start <= end and no drawing."""
+    x = events.join(policy.select("media_id", "style", F.col("action").alias("__a")), ["media_id", "style"], "left")
     other = F.lit("review")
     if event_types is not None:
-        x = x.join(F.broadcast(event_types.select("event_type", F.col("action").alias("__t"))), "event_type", "left")
+        x = x.join(event_types.select("media_id", "event_type", F.col("action").alias("__t")), ["media_id", "event_type"], "left")
         other = F.coalesce("__t", other)
     x = x.withColumn("action", F.when(F.col("event_type") != "Dialogue", other).otherwise(F.coalesce("__a", F.lit("error")))).drop("__a", "__t")
     kept = F.col("action") == "keep_dialogue"
     time = (F.col("start_ms") < 0) | (F.col("end_ms") < F.col("start_ms")) | F.col("start_ms").isNull() | F.col("end_ms").isNull()
     rule = F.when(F.col("action") == "error", "unknown style").when(kept & F.col("drawing"), "drawing").when(kept & (visible_text(F.col("text")) == ""), "empty text").when(kept & time, "bad time")
-    return x, x.select("event_index", "style", rule.alias("violation")).where("violation IS NOT NULL")
+    return x, x.select("media_id", "event_index", "style", rule.alias("violation")).where("violation IS NOT NULL")
 
 
 def check_expected(actions: DataFrame, kept_events: int | None = None, review_events: int | None = None) -> DataFrame:
@@ -130,14 +134,22 @@ def check_expected(actions: DataFrame, kept_events: int | None = None, review_ev
 
 
 def check_policy(events: DataFrame, policy: DataFrame) -> DataFrame:
-    """Styles that only one of events and policy has."""
-    seen, known = events.select("style").distinct(), policy.select("style").distinct()
-    return seen.join(known, "style", "left_anti").withColumn("problem", F.lit("not in policy")).union(known.join(seen, "style", "left_anti").withColumn("problem", F.lit("not seen")))
+    """(media_id, style, problem): styles that only one of a media's events and its policy has."""
+    by = ["media_id", "style"]
+    seen, known = events.select(*by).distinct(), policy.select(*by).distinct()
+    return seen.join(known, by, "left_anti").withColumn("problem", F.lit("not in policy")).union(known.join(seen, by, "left_anti").withColumn("problem", F.lit("not seen")))
 
 
 def check_cues(cues: DataFrame) -> DataFrame:
-    """Rows that break a rule: idx runs from 1, text not empty, valid times, known tags, no overrides left."""
+    """Rows that break a rule: idx runs from 1, text not blank, 0 <= start <= end, known tags, no overrides and no U+FFFD left."""
     w = Window.partitionBy("media_id").orderBy("idx")
-    rules = {"idx not continuous": F.col("idx") != F.row_number().over(w), "empty text": F.trim("text") == "", "bad time": F.col("end_ms") <= F.col("start_ms"), "unknown tag": F.size(F.array_except("tags", F.array(F.lit("MULTI"), F.lit("MERGED")))) > 0, "override left": F.col("text").rlike(r"\{[^}]*\}")}
+    rules = {
+        "idx not continuous": F.col("idx") != F.row_number().over(w),
+        "empty text": strip(F.col("text")) == "",
+        "bad time": (F.col("start_ms") < 0) | (F.col("end_ms") < F.col("start_ms")),
+        "unknown tag": F.size(F.array_except("tags", F.array(F.lit("MULTI"), F.lit("MERGED")))) > 0,
+        "override left": F.col("text").rlike(r"\{[^}]*\}"),
+        "replacement character": F.contains("text", F.lit("\ufffd")),
+    }
     x = cues.select("media_id", "idx", F.filter(F.array(*[F.when(on, name) for name, on in rules.items()]), lambda r: r.isNotNull()).alias("r"))
     return x.select("media_id", "idx", F.explode("r").alias("rule"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import shown_text
 from ..scratch import stored
 from .intervals import idx_join
 from .sweep import sweep
@@ -313,16 +314,19 @@ def scene_cues(scenes: DataFrame, cues: DataFrame, start_idx: int | None = None,
 
 
 def candidate_pick(audit: DataFrame, cues: DataFrame, target: str, confidences: Sequence[str] = ("high", "mid")) -> DataFrame:
-    """(media, idx, source): cues audited for the target at one of the confidences; in a media without any, cues labelled with it; each once."""
-    sure = audit.where((F.col("speaker") == target) & F.col("confidence").isin(*confidences)).select("media_id", "idx").distinct().withColumn("source", F.lit("audit"))
+    """(media, idx, source): cues audited for the target at one of the confidences (none named: any); in a media without any, cues labelled with it; each once. Audit rows of no cue are none."""
+    sure = audit.where((F.col("speaker") == target) & (F.col("confidence").isin(*confidences) if confidences else F.lit(True))).select("media_id", "idx").distinct()
+    sure = sure.join(cues.select("media_id", "idx"), ["media_id", "idx"], "left_semi").withColumn("source", F.lit("audit"))
     said = cues.where(F.col("speaker") == target).select("media_id", "idx").distinct().withColumn("source", F.lit("srt"))
     return sure.unionByName(said.join(sure.select("media_id").distinct(), "media_id", "left_anti"))
 
 
-def candidate_speakers(cues: DataFrame, core: list[str], k: int) -> DataFrame:
-    """Core cast, the cue's label and the labels k rows round it, sorted."""
+def candidate_speakers(cues: DataFrame, core: list[str], k: int, canonical: Sequence[str], mode: str = "context") -> DataFrame:
+    """context: the core cast, and of the cue's label and those k rows round it the canonical ones, sorted; all: every canonical label."""
+    if mode == "all":
+        return cues.select("media_id", "idx", F.array(*map(F.lit, sorted(canonical))).alias("candidates"))
     w = Window.partitionBy("media_id").orderBy("idx").rowsBetween(-k, k)
-    near = F.filter(F.collect_set("speaker").over(w), lambda s: ~s.isin("?") & ~s.startswith("NONSPEECH"))
+    near = F.filter(F.collect_set("speaker").over(w), lambda s: s.isin(*canonical))
     return cues.select("media_id", "idx", F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, core)), near))).alias("candidates"))
 
 
@@ -364,7 +368,7 @@ def long_scenes(scenes: DataFrame, max_ms: int = 120_000) -> DataFrame:
 
 
 def scene_preview(scenes: DataFrame, cues: DataFrame) -> DataFrame:
-    """First / ... / last text of each scene; one text if it has one cue; empty titles fall back to it."""
+    """First / ... / last text of each scene, white space run together; one text if it has one cue; empty titles fall back to it."""
     j = idx_join(cues.select("media_id", "idx", "text"), scenes.select("media_id", "scene_id", "start_idx", "end_idx"))
     g = j.groupBy("r.media_id", "r.scene_id").agg(F.min_by("p.text", "p.idx").alias("a"), F.max_by("p.text", "p.idx").alias("b"), F.count("*").alias("n"))
-    return g.select("media_id", "scene_id", F.when(F.col("n") == 1, F.col("a")).otherwise(F.concat_ws(" / ... / ", "a", "b")).alias("preview"))
+    return g.select("media_id", "scene_id", F.when(F.col("n") == 1, shown_text(F.col("a"))).otherwise(F.concat_ws(" / ... / ", shown_text(F.col("a")), shown_text(F.col("b")))).alias("preview"))

@@ -131,18 +131,18 @@ OVERRIDES = (r"{\pos(1,1)}", r"{\p1}", r"{\k10}", r"{\an8}", "", r"{\PBO2}", r"{
 
 
 def styled(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, whole, as events of one file: every 97th starts before 0, every 89th ends before it starts."""
+    """Documents, whole, as events of three files: every 97th starts before 0, every 89th ends before it starts."""
     x = table(spark, d, "documents")
     i = F.col("doc_id")
     tag = F.element_at(F.array(*map(F.lit, OVERRIDES)), (i % 10 + 1).cast("int"))
     start = F.when(i % 97 == 0, F.lit(-1)).otherwise(i * 1000).cast("long")
     kind = F.when(i % 12 == 0, "Comment").when(i % 30 == 1, "Picture").otherwise("Dialogue")
     name = F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("n"), (i % 3).cast("string")))
-    return x.select(i.alias("event_index"), F.col("source").alias("style"), kind.alias("event_type"), (i % 3).cast("int").alias("layer"), name.alias("name"), start.alias("start_ms"), (start + F.when(i % 89 == 0, -500).otherwise(500)).alias("end_ms"), F.concat(tag, F.coalesce("text", F.lit(""))).alias("text"))
+    return x.select((i % 3).alias("media_id"), i.alias("event_index"), F.col("source").alias("style"), kind.alias("event_type"), (i % 3).cast("int").alias("layer"), name.alias("name"), start.alias("start_ms"), (start + F.when(i % 89 == 0, -500).otherwise(500)).alias("end_ms"), F.concat(tag, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 STYLED = f"""styled AS (
-  SELECT doc_id AS event_index, source AS style, CASE WHEN doc_id % 12 = 0 THEN 'Comment' WHEN doc_id % 30 = 1 THEN 'Picture' ELSE 'Dialogue' END AS event_type, CAST(doc_id % 3 AS INTEGER) AS layer,
+  SELECT doc_id % 3 AS media_id, doc_id AS event_index, source AS style, CASE WHEN doc_id % 12 = 0 THEN 'Comment' WHEN doc_id % 30 = 1 THEN 'Picture' ELSE 'Dialogue' END AS event_type, CAST(doc_id % 3 AS INTEGER) AS layer,
          CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'n' || doc_id % 3 END AS name, CASE WHEN doc_id % 97 = 0 THEN -1 ELSE doc_id * 1000 END AS start_ms,
          CASE WHEN doc_id % 97 = 0 THEN -1 ELSE doc_id * 1000 END + CASE WHEN doc_id % 89 = 0 THEN -500 ELSE 500 END AS end_ms,
          ([{', '.join("'" + o + "'" for o in OVERRIDES)}])[doc_id % 10 + 1] || coalesce(text, '') AS text
@@ -155,6 +155,22 @@ def sql_strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{SPACES}+', ''), '{SPACES}+$', '')"
 
 
+def sql_plain(x: str) -> str:
+    return sql_strip(f"regexp_replace({x}, '{SPACES}+', ' ', 'g')")
+
+
+#: Aliases of each project: names in capitals, in every third project with a prefix, and in another third one name fewer.
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "events").select(F.col("event_type").alias("variant")).distinct().where("variant <> 'error'")
+    media = table(spark, d, "events").select(F.expr("user_id div 10").alias("media_id"), F.col("event_type").alias("variant")).distinct()
+    own = media.join(kinds, "variant", "left_semi").where(~((F.col("media_id") % 3 == 2) & (F.col("variant") == "view")))
+    return own.select("media_id", "variant", F.when(F.col("media_id") % 3 == 1, F.concat(F.lit("P_"), "variant")).otherwise(F.upper("variant")).alias("canonical"))
+
+
+ALIASED = """al AS (SELECT DISTINCT user_id // 10 AS media_id, event_type AS variant, CASE WHEN user_id // 10 % 3 = 1 THEN 'P_' || event_type ELSE upper(event_type) END AS canonical
+  FROM events WHERE event_type <> 'error' AND NOT (user_id // 10 % 3 = 2 AND event_type = 'view'))"""
+
+
 def query(*parts: str) -> str:
     """A WITH statement; the last part is the last CTE and the body after it."""
     return "WITH RECURSIVE " + ",\n".join(parts)

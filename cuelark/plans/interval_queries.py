@@ -131,17 +131,19 @@ def t2(spark, d):
 
 
 def p12(spark, d):
-    c = X.cues(spark, d)
-    a, b = I.clip_window(F.col("start_ms"), F.col("end_ms"))
-    return c.select("media_id", "idx", a.cast("double").alias("clip_start"), b.cast("double").alias("clip_end"))
+    """Every tenth cue lies in the first three seconds of its film."""
+    c = X.cues(spark, d).withColumn("s", F.when(F.col("idx") % 10 == 0, F.col("start_ms") % 3000).otherwise(F.col("start_ms")))
+    a, b = I.clip_window(F.col("s"), F.col("s") + F.col("end_ms") - F.col("start_ms"))
+    return c.select("media_id", "idx", a.alias("clip_start"), b.alias("clip_end"))
 
 
+# both ends are padded, then only the start is held at 0
 P12 = X.query(
     X.CUES,
-    """p AS (SELECT media_id, idx, start_ms AS s, end_ms AS e, greatest(0, start_ms - 1500) AS a, end_ms + 1500 AS b FROM cues),
-q AS (SELECT *, CASE WHEN b - a < 4000 THEN greatest(0, (a + b) / 2.0 - 2000) ELSE a END AS a2, CASE WHEN b - a < 4000 THEN greatest(0, (a + b) / 2.0 - 2000) + 4000 ELSE b END AS b2 FROM p)
-SELECT media_id, idx, CAST(CASE WHEN b2 - a2 > 12000 THEN greatest(0, (s + e) / 2.0 - 6000) ELSE a2 END AS DOUBLE) AS clip_start,
-       CAST(CASE WHEN b2 - a2 > 12000 THEN greatest(0, (s + e) / 2.0 - 6000) + 12000 ELSE b2 END AS DOUBLE) AS clip_end
+    """p AS (SELECT media_id, idx, CASE WHEN idx % 10 = 0 THEN start_ms % 3000 ELSE start_ms END AS s, end_ms - start_ms AS n FROM cues),
+q AS (SELECT *, s + n AS e, CAST(greatest(0, s - 1500) AS DOUBLE) AS a, CAST(s + n + 1500 AS DOUBLE) AS b FROM p)
+SELECT media_id, idx, CASE WHEN b - a < 4000 THEN greatest(0, a - (4000 - (b - a)) / 2) WHEN b - a > 12000 THEN greatest(0, (s + e) / 2 - 6000) ELSE a END AS clip_start,
+       CASE WHEN b - a < 4000 THEN b + (4000 - (b - a)) / 2 WHEN b - a > 12000 THEN greatest(0, (s + e) / 2 - 6000) + 12000 ELSE b END AS clip_end
 FROM q""",
 )
 
@@ -174,6 +176,14 @@ def j5(spark, d, offset=0):
     return I.attach_segments(X.spoken(spark, d), audio(spark, d), X.segments(spark, d), offset_ms=offset)
 
 
+def j5_map(spark, d):
+    """Each media has a label map of its own: the same speakers are others, and the odd ones name one only."""
+    c = X.spoken(spark, d)
+    named = F.when(F.col("media_id") % 2 == 0, F.map_from_arrays(F.array(F.lit("SPK1"), F.lit("SPK2")), F.array(F.lit("Anna"), F.lit("Ben")))).otherwise(F.map_from_arrays(F.array(F.lit("SPK1")), F.array(F.lit("Cara"))))
+    maps = c.select("media_id").distinct().select("media_id", F.explode(named).alias("speaker", "label"))
+    return I.attach_segments(c, audio(spark, d), X.segments(spark, d), maps).select("media_id", "idx", "candidate", "chosen", "coverage")
+
+
 def _j5_sql(offset):
     return X.query(
         X.CUES,
@@ -196,6 +206,10 @@ FROM spoken c JOIN audio USING (media_id) LEFT JOIN best USING (media_id, idx) L
     )
 
 
+J5M = f"""SELECT media_id, idx, candidate, coverage, CASE WHEN chosen = 'NONSPEECH' THEN chosen WHEN candidate = 'SPK1' THEN CASE WHEN media_id % 2 = 0 THEN 'Anna' ELSE 'Cara' END WHEN candidate = 'SPK2' AND media_id % 2 = 0 THEN 'Ben' ELSE candidate END AS chosen
+FROM ({_j5_sql(0)})"""
+
+
 def j4(spark, d):
     s, _ = I.map_scenes(X.scenes(spark, d).withColumn("end_ms", F.col("end_ms") - F.when(F.col("scene_id") % 2 == 0, 3000).otherwise(0)), X.lines(spark, d))
     return s
@@ -262,7 +276,7 @@ QUERIES = {
     "f4_bucket": f4,
     "f5_min_duration": f5,
     "t2_first_per_speaker": t2,
-    "p12_clip_window": p12,
+    "p12_clip_window": p12, "j5_label_map": j5_map,
 }
 
 _TOP = "top AS (SELECT * EXCLUDE (n_merged) FROM ({0}) QUALIFY row_number() OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms, entry_idx) <= 200)"
@@ -299,5 +313,5 @@ SELECT media_id, batch_id, scene_id, min(a) AS batch_start_ms, max(z) AS batch_e
     "f4_bucket": X.query(X.CUES, f"done AS (SELECT 1)\nSELECT media_id, idx, {_FOLDED} AS bucket, CASE WHEN speaker = '?' THEN 'unknown' WHEN {_FOLDED} NOT IN ('click', 'view', 'NONSPEECH') THEN 'not in targets' END AS dropped_for FROM cues"),
     "f5_min_duration": X.query(X.CUES, CLIPS, _OVER, f"done AS ({_FOLD.format(run='run', runs='runs')})\n{_COLS} done WHERE end_ms - start_ms >= 2000"),
     "t2_first_per_speaker": X.query(X.CUES, CLIPS + "\nSELECT media_id, speaker, entry_idx, start_ms FROM clips QUALIFY row_number() OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms, entry_idx) <= 5"),
-    "p12_clip_window": P12,
+    "p12_clip_window": P12, "j5_label_map": J5M,
 }

@@ -117,13 +117,17 @@ T4 = _score("""SELECT media_id, idx, bucket, target, predicted FROM (
 
 
 def j15(spark, d):
-    raw = judged(spark, d)
-    final = A.judged(matches(spark, d)[0].withColumn("pred_speaker", F.when(F.col("idx") % 3 == 0, F.col("speaker")).otherwise(F.col("pred_speaker"))), CAST)
-    return A.compare_policies(raw, final)
+    """Predictions' inputs by pid: unknown, a cast name, another, blank, nonspeech; every third is tagged and so not locked."""
+    said = F.element_at(F.array(*map(F.lit, ("?", "user", "system", "", "NONSPEECH"))), (F.col("pid") % 5 + 1).cast("int"))
+    preds = X.preds(spark, d).withColumns({"input_speaker": said, "tags": F.when(F.col("pid") % 3 == 0, F.array(F.lit("MULTI"))).otherwise(F.array().cast("array<string>"))})
+    found = A.align(X.lines(spark, d), preds)[0]
+    final = A.judged(found.withColumn("pred_speaker", F.when(F.col("idx") % 3 == 0, F.col("speaker")).otherwise(F.col("pred_speaker"))), CAST)
+    return A.compare_policies(A.judged(found, CAST), final, CAST)
 
 
-J15 = _score("""SELECT count(*) AS total, count(*) FILTER (WHERE predicted <> q) AS changed, count(*) FILTER (WHERE NOT ok AND q = target) AS fixed, count(*) FILTER (WHERE ok AND q <> target) AS broken
-FROM (SELECT *, CASE WHEN idx % 3 = 0 THEN speaker ELSE predicted END AS q FROM jj)""")
+J15 = _score("""SELECT count(*) AS total, count(*) FILTER (WHERE predicted <> q) AS changed, count(*) FILTER (WHERE NOT ok AND q = target) AS fixed, count(*) FILTER (WHERE ok AND q <> target) AS broken,
+  count(*) FILTER (WHERE k = target) AS locked_correct, count(*) FILTER (WHERE k <> predicted) AS locked_changed, count(*) FILTER (WHERE k <> predicted AND NOT ok AND k = target) AS locked_fixed, count(*) FILTER (WHERE k <> predicted AND ok AND k <> target) AS locked_broken
+FROM (SELECT *, CASE WHEN idx % 3 = 0 THEN speaker ELSE predicted END AS q, CASE WHEN pid % 3 <> 0 AND pid % 5 = 1 THEN 'user' WHEN pid % 3 <> 0 AND pid % 5 = 2 THEN 'OTHER' ELSE predicted END AS k FROM jj)""")
 
 
 def j16(spark, d):

@@ -264,35 +264,48 @@ FROM lines l LEFT JOIN res r USING (media_id, idx)""")
 
 
 def corrections(spark, d):
-    x = X.preds(spark, d).where("pid % 2 = 0")
-    a = x.select("media_id", F.col("pid").alias("idx"), F.lit(0).alias("pos"), F.col("speaker").alias("corrected_spk"))
-    return a.union(x.where("pid % 4 = 0").select("media_id", "pid", F.lit(1), F.lit("system")))
+    """Corrections of every second prediction, of every fourth twice; the second is `system`. Some name the speaker that stands, some are of no cue."""
+    x = X.preds(spark, d).where("pid % 2 = 0").select("media_id", F.when(F.col("pid") % 10 == 0, F.col("pid") + 5000).otherwise(F.col("pid")).alias("idx"), "pid", "speaker", "confidence")
+    row = lambda pos, spk: ["media_id", "idx", F.lit(pos).alias("pos"), F.col("speaker").alias("original_spk"), spk.alias("corrected_spk"), "confidence", F.concat(F.lit("r"), "idx").alias("reason")]
+    return x.select(*row(0, F.col("speaker"))).union(x.where("pid % 4 = 0").select(*row(1, F.lit("system"))))
+
+
+def _corrected(spark, d):
+    return L.apply_corrections(_lines(spark, d), corrections(spark, d), _lines(spark, d).where("idx % 6 <> 0"))
 
 
 def j10(spark, d):
-    return L.apply_corrections(_lines(spark, d), corrections(spark, d), _lines(spark, d).where("idx % 6 <> 0"))[1]
+    return _corrected(spark, d)[1].withColumn("tags", F.array_join("tags", ","))
 
 
 def j10_cues(spark, d):
-    return L.apply_corrections(_lines(spark, d), corrections(spark, d), _lines(spark, d).where("idx % 6 <> 0"))[0].select("media_id", "idx", "speaker")
+    return _corrected(spark, d)[0].select("media_id", "idx", "speaker")
 
 
+# one after the other: what a correction changes is what the one before it left; those of other cues than the targets have no row
 _COR = X.LINES + ",\n" + X.PREDS + """,
-cor AS (SELECT media_id, pid AS idx, 0 AS pos, speaker AS corrected_spk FROM preds WHERE pid % 2 = 0 UNION ALL SELECT media_id, pid, 1, 'system' FROM preds WHERE pid % 4 = 0),
-au AS (SELECT c.media_id, c.idx, c.pos, l.speaker AS original_spk, c.corrected_spk, c.idx % 6 <> 0 AS applied FROM cor c JOIN lines l USING (media_id, idx))"""
-J10 = X.query(_COR + "\nSELECT *, CASE WHEN applied THEN corrected_spk ELSE original_spk END AS final_spk FROM au")
-J10C = X.query(_COR + "\nSELECT l.media_id, l.idx, coalesce((SELECT arg_max(corrected_spk, pos) FROM au WHERE applied AND au.media_id = l.media_id AND au.idx = l.idx), l.speaker) AS speaker FROM lines l")
+c0 AS (SELECT media_id, CASE WHEN pid % 10 = 0 THEN pid + 5000 ELSE pid END AS idx, pid, speaker, confidence FROM preds WHERE pid % 2 = 0),
+cor AS (SELECT media_id, idx, 0 AS pos, speaker AS original_spk, speaker AS corrected_spk, confidence, 'r' || idx AS reason FROM c0
+  UNION ALL SELECT media_id, idx, 1, speaker, 'system', confidence, 'r' || idx FROM c0 WHERE pid % 4 = 0),
+au AS (SELECT c.*, l.speaker AS spoken, l.start_ms, l.end_ms, l.text FROM cor c JOIN lines l USING (media_id, idx) WHERE c.idx % 6 <> 0)"""
+J10 = X.query(_COR + "\nSELECT media_id, idx, pos, original_spk, corrected_spk, confidence, reason, corrected_spk <> CASE WHEN pos = 0 THEN spoken ELSE original_spk END AS applied, corrected_spk AS final_spk, start_ms, end_ms, text, CASE WHEN idx % 4 = 0 THEN 'MULTI' ELSE '' END AS tags FROM au")
+J10C = X.query(_COR + "\nSELECT l.media_id, l.idx, coalesce((SELECT arg_max(corrected_spk, pos) FROM au WHERE au.media_id = l.media_id AND au.idx = l.idx), l.speaker) AS speaker FROM lines l")
 
 
 def j11(spark, d):
-    r = X.preds(spark, d).select("media_id", F.col("pid").alias("idx"), F.when(F.col("pid") % 7 == 0, "?").otherwise(F.col("speaker")).alias("speaker"), "confidence")
-    return L.apply_reviews(_lines(spark, d), r).select("media_id", "idx", "speaker", F.array_join("tags", ",").alias("tags"))
+    """Reviews by pid: unknown, other, overlap, without a speaker, nonspeech, names; some did not parse; an earlier one of each third cue is overruled."""
+    k = F.col("pid") % 7
+    said = F.when(k == 0, "?").when(k == 1, "OTHER").when(k == 2, "OVERLAP").when(k == 3, None).when(k == 4, "NONSPEECH").otherwise(F.col("speaker"))
+    r = X.preds(spark, d).select("media_id", F.col("pid").alias("idx"), said.alias("speaker"), (F.col("pid") % 11 == 0).alias("parse_error"), F.lit(1).alias("pos"))
+    early = r.where("idx % 3 = 0").withColumns({"speaker": F.lit("early"), "parse_error": F.lit(False), "pos": F.lit(0)})
+    c = _lines(spark, d).withColumn("tags", F.when(F.col("idx") % 13 == 0, F.array(F.lit("MM_REVIEW"))).otherwise(F.col("tags")))
+    return L.apply_reviews(c, r.unionByName(early)).select("media_id", "idx", "speaker", F.array_join("tags", ",").alias("tags"))
 
 
-J11 = X.query(X.LINES, X.PREDS + """
-SELECT l.media_id, l.idx, CASE WHEN p.speaker IS NOT NULL AND l.idx % 7 <> 0 AND confidence = 'high' THEN p.speaker ELSE l.speaker END AS speaker,
-       array_to_string(list_concat(CASE WHEN l.idx % 4 = 0 THEN ['MULTI'] ELSE [] END, CASE WHEN p.speaker IS NULL THEN [] WHEN l.idx % 7 = 0 THEN ['UNCLEAR'] WHEN confidence = 'high' THEN ['VERIFIED'] ELSE ['REVIEW'] END), ',') AS tags
-FROM lines l LEFT JOIN preds p ON p.media_id = l.media_id AND p.pid = l.idx""")
+J11 = X.query(X.LINES, X.PREDS, """r AS (SELECT media_id, pid AS idx, CASE pid % 7 WHEN 0 THEN '?' WHEN 1 THEN 'OTHER' WHEN 2 THEN 'OVERLAP' WHEN 3 THEN NULL WHEN 4 THEN 'NONSPEECH' ELSE speaker END AS said, pid % 11 = 0 AS failed FROM preds),
+x AS (SELECT l.media_id, l.idx, l.speaker, CASE WHEN l.idx % 13 = 0 THEN ['MM_REVIEW'] WHEN l.idx % 4 = 0 THEN ['MULTI'] ELSE [] END AS tags, said,
+  CASE WHEN r.idx IS NULL THEN NULL WHEN said IS NULL OR said IN ('OVERLAP', 'OTHER') OR failed THEN 'MM_REVIEW' WHEN said = '?' THEN 'MM_UNCLEAR' ELSE 'MM_VERIFIED' END AS tag FROM lines l LEFT JOIN r USING (media_id, idx))
+SELECT media_id, idx, CASE WHEN tag IN ('MM_UNCLEAR', 'MM_VERIFIED') THEN said ELSE speaker END AS speaker, array_to_string(CASE WHEN tag IS NULL OR list_contains(tags, tag) THEN tags ELSE list_append(tags, tag) END, ',') AS tags FROM x""")
 
 
 def x2(spark, d):
@@ -333,20 +346,30 @@ X5 = X.query(X.LINES, X.PREDS + "\nSELECT media_id, pid, (speaker = 'user') <> (
 
 
 def x8(spark, d):
+    """Scenes with titles, with their previews as titles, without, and with odd white space; every third scene has no speech, and every ninth cue is sung."""
+    k = F.col("idx") % 9
+    c = X.lines(spark, d).withColumns({"speaker": F.when(k.isin(0, 7, 8), "NONSPEECH").otherwise(F.col("speaker")), "text": F.when(k == 4, F.concat(F.lit("\u266a "), "text")).otherwise(F.col("text"))})
     s = X.scenes(spark, d)
-    pv = S.scene_preview(s, X.lines(spark, d))
-    named = s.join(pv, ["media_id", "scene_id"]).withColumn("name", F.when(F.col("scene_id") % 2 == 0, F.col("preview")).otherwise(F.lit("title"))).drop("preview")
-    return L.cuts_from_scenes(named, pv)
+    spoken = c.where("speaker <> 'NONSPEECH'").where(~F.contains("text", F.lit("\u266a")))
+    pv = S.scene_preview(s, spoken)
+    n = F.col("scene_id") % 4
+    named = s.join(pv, ["media_id", "scene_id"], "left").withColumn("name", F.when(n == 0, F.col("preview")).when(n == 1, "title").when(n == 2, " ").otherwise("  two \n words ")).drop("preview")
+    return L.cuts_from_scenes(named, c)
 
 
-X8 = X.query(X.LINES, X.SCENES + "\nSELECT media_id, end_idx AS after_idx, scene_id % 2 <> 0 AS confirmed FROM (SELECT *, max(scene_id) OVER (PARTITION BY media_id) AS last FROM scenes) WHERE scene_id < last")
+_SHOWN_TEXT = X.sql_plain("replace(l.text, '\\N', ' / ')")
+_PREVIEW = f"CASE WHEN count(*) = 1 THEN min({_SHOWN_TEXT}) ELSE arg_min({_SHOWN_TEXT}, l.idx) || ' / ... / ' || arg_max({_SHOWN_TEXT}, l.idx) END AS preview"
+X8 = X.query(X.LINES, X.SCENES, f"""sp AS (SELECT media_id, idx, text FROM lines WHERE idx % 9 NOT IN (0, 4, 7, 8)),
+h AS (SELECT s.media_id, s.scene_id, max(l.idx) AS after_idx, {_PREVIEW} FROM scenes s JOIN sp l ON l.media_id = s.media_id AND l.idx BETWEEN s.start_idx AND s.end_idx WHERE enabled GROUP BY ALL),
+t AS (SELECT *, CASE scene_id % 4 WHEN 0 THEN preview WHEN 1 THEN 'title' WHEN 2 THEN '' ELSE 'two words' END AS title, row_number() OVER w AS n, lead(scene_id) OVER w IS NULL AS last FROM h WINDOW w AS (PARTITION BY media_id ORDER BY scene_id))
+SELECT media_id, CAST(n AS INTEGER) AS scene_id, after_idx, title, NOT last AND title <> '' AND title <> preview AS confirmed FROM t""")
 
 
 def a19(spark, d):
     return S.scene_preview(X.scenes(spark, d), X.lines(spark, d))
 
 
-A19 = X.query(X.LINES, X.SCENES + "\nSELECT s.media_id, s.scene_id, CASE WHEN count(*) = 1 THEN min(l.text) ELSE arg_min(l.text, l.idx) || ' / ... / ' || arg_max(l.text, l.idx) END AS preview FROM scenes s JOIN lines l ON l.media_id = s.media_id AND l.idx BETWEEN s.start_idx AND s.end_idx GROUP BY ALL")
+A19 = X.query(X.LINES, X.SCENES + f"\nSELECT s.media_id, s.scene_id, {_PREVIEW} FROM scenes s JOIN lines l ON l.media_id = s.media_id AND l.idx BETWEEN s.start_idx AND s.end_idx GROUP BY ALL")
 
 
 def a14(spark, d):
@@ -402,15 +425,16 @@ A2 = X.query(X.CUES + "\nSELECT speaker, count(*) AS n, count(DISTINCT src % 3)
 
 
 def _aliased(spark, d):
-    a = X.table(spark, d, "events").select("event_type").distinct().where("event_type <> 'error'").select(F.col("event_type").alias("variant"), F.upper("event_type").alias("canonical"))
-    return L.resolve_alias(X.cues(spark, d).withColumn("token", F.when(F.col("speaker") == "?", "").otherwise(F.col("speaker"))), a)
+    """Cues with the aliases of their own project: the same token is another name in another media."""
+    return L.resolve_alias(X.cues(spark, d).withColumn("token", F.when(F.col("speaker") == "?", "").otherwise(F.col("speaker"))), X.aliases(spark, d))
 
 
 def j1(spark, d):
     return _aliased(spark, d).select("media_id", "idx", "speaker", "alias_hit")
 
 
-J1 = X.query(X.CUES + "\nSELECT media_id, idx, CASE WHEN speaker IN (SELECT event_type FROM events WHERE event_type <> 'error') THEN upper(speaker) ELSE speaker END AS speaker, speaker IN (SELECT event_type FROM events WHERE event_type <> 'error') AS alias_hit FROM cues")
+_AL = "rs AS (SELECT c.*, canonical, canonical IS NOT NULL AS hit FROM cues c LEFT JOIN al ON al.media_id = c.media_id AND al.variant = c.speaker)"
+J1 = X.query(X.CUES, X.ALIASED, _AL + "\nSELECT media_id, idx, coalesce(canonical, speaker) AS speaker, hit AS alias_hit FROM rs")
 
 
 def a3(spark, d):
@@ -433,7 +457,7 @@ def a4_kinds(spark, d):
     return P.kept_by_kind(X.cues(spark, d).withColumn("kind", kind))
 
 
-A4 = X.query(X.CUES, "h AS (SELECT *, speaker IN (SELECT event_type FROM events WHERE event_type <> 'error') AS hit FROM cues)\nSELECT count(*) AS total, count(*) FILTER (WHERE NOT is_multi AND hit AND text <> '') AS alias_hit_singles, count(*) FILTER (WHERE NOT is_multi AND NOT hit AND text <> '') AS alias_miss_singles, count(*) FILTER (WHERE is_multi AND hit AND text <> '') AS alias_hit_parts, count(*) FILTER (WHERE is_multi AND NOT hit AND text <> '') AS alias_miss_parts, count(*) FILTER (WHERE text = '') AS empty_dropped FROM h")
+A4 = X.query(X.CUES, X.ALIASED, _AL + "\nSELECT count(*) AS total, count(*) FILTER (WHERE NOT is_multi AND hit AND text <> '') AS alias_hit_singles, count(*) FILTER (WHERE NOT is_multi AND NOT hit AND text <> '') AS alias_miss_singles, count(*) FILTER (WHERE is_multi AND hit AND text <> '') AS alias_hit_parts, count(*) FILTER (WHERE is_multi AND NOT hit AND text <> '') AS alias_miss_parts, count(*) FILTER (WHERE text = '') AS empty_dropped FROM rs")
 
 
 def a18(spark, d):
@@ -485,25 +509,27 @@ _FL = rf"""fl AS (SELECT *, regexp_matches(text, '(?i)\\p(bo)?[1-9]') AS drawing
 def a6(spark, d):
     p = P.style_profile(styled(spark, d), 64)
     flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return p.select("style", "n", "drawing", "positioned", "karaoke", "top", flat("event_type").alias("event_types"), flat("layer").alias("layers"), flat("name").alias("names"), F.array_join("samples", "|").alias("samples"))
+    samples = F.array_join(F.transform("samples", lambda x: F.concat_ws(" ", x["source_event_index"].cast("string"), x["start"].cast("string"), x["text"])), "|")
+    return p.select("media_id", "style", "n", "drawing", "positioned", "karaoke", "top", flat("event_type").alias("event_types"), flat("layer").alias("layers"), flat("name").alias("names"), samples.alias("samples"))
 
 
 def _histogram(name, column):
-    return f"{name} AS (SELECT style, string_agg(k || '=' || c, ',' ORDER BY k) AS {name}_ FROM (SELECT style, CAST({column} AS VARCHAR) AS k, count(*) AS c FROM styled WHERE CAST({column} AS VARCHAR) <> '' GROUP BY ALL) GROUP BY style)"
+    return f"{name} AS (SELECT media_id, style, string_agg(k || '=' || c, ',' ORDER BY k) AS {name}_ FROM (SELECT media_id, style, CAST({column} AS VARCHAR) AS k, count(*) AS c FROM styled WHERE CAST({column} AS VARCHAR) <> '' GROUP BY ALL) GROUP BY ALL)"
 
 
-A6 = X.query(X.STYLED, _FL, "r AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY event_index) - 1 AS rn, count(*) OVER (PARTITION BY style) AS n FROM fl)", _histogram("et", "event_type"), _histogram("ly", "layer"), _histogram("nm", "name") + """
-SELECT style, count(*) AS n, count(*) FILTER (WHERE drawing) AS drawing, count(*) FILTER (WHERE positioned) AS positioned, count(*) FILTER (WHERE karaoke) AS karaoke, count(*) FILTER (WHERE top) AS top, max(et_) AS event_types, max(ly_) AS layers, max(nm_) AS names,
-       string_agg(substring(visible, 1, 240), '|' ORDER BY rn) FILTER (WHERE rn = 0 OR rn = n // 2 OR rn = n - 1) AS samples FROM r JOIN et USING (style) JOIN ly USING (style) LEFT JOIN nm USING (style) GROUP BY style""")
+A6 = X.query(X.STYLED, _FL, "r AS (SELECT *, row_number() OVER (PARTITION BY media_id, style ORDER BY event_index) - 1 AS rn, count(*) OVER (PARTITION BY media_id, style) AS n FROM fl)", _histogram("et", "event_type"), _histogram("ly", "layer"), _histogram("nm", "name") + """
+SELECT media_id, style, count(*) AS n, count(*) FILTER (WHERE drawing) AS drawing, count(*) FILTER (WHERE positioned) AS positioned, count(*) FILTER (WHERE karaoke) AS karaoke, count(*) FILTER (WHERE top) AS top, max(et_) AS event_types, max(ly_) AS layers, max(nm_) AS names,
+       string_agg(event_index || ' ' || start_ms || ' ' || substring(visible, 1, 240), '|' ORDER BY rn) FILTER (WHERE rn = 0 OR rn = n // 2 OR rn = n - 1) AS samples FROM r JOIN et USING (media_id, style) JOIN ly USING (media_id, style) LEFT JOIN nm USING (media_id, style) GROUP BY media_id, style""")
 
 
 def policy(spark, d):
-    n = F.regexp_extract("style", r"(\d+)$", 1).cast("int")
-    return X.styled(spark, d).select("style").distinct().where(n % 5 != 4).select("style", F.when(n % 5 == 0, "drop_staff").when(n % 5 == 1, "review").otherwise("keep_dialogue").alias("action"))
+    """A policy a media: the same style is kept in one and dropped in another."""
+    n = F.regexp_extract("style", r"(\d+)$", 1).cast("int") + F.col("media_id")
+    return X.styled(spark, d).select("media_id", "style").distinct().where(n % 5 != 4).select("media_id", "style", F.when(n % 5 == 0, "drop_staff").when(n % 5 == 1, "review").otherwise("keep_dialogue").alias("action"))
 
 
 def _acted(spark, d):
-    types = spark.createDataFrame([("Comment", "drop_comment")], "event_type string, action string")
+    types = X.styled(spark, d).select("media_id").distinct().where("media_id < 2").select("media_id", F.lit("Comment").alias("event_type"), F.lit("drop_comment").alias("action"))
     return P.apply_policy(styled(spark, d), policy(spark, d), types)
 
 
@@ -519,8 +545,8 @@ def a7_expected(spark, d):
     return P.check_expected(a7(spark, d), 7, 0)
 
 
-_PO = r"po AS (SELECT *, CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) % 5 AS k FROM fl), ac AS (SELECT *, CASE WHEN event_type = 'Comment' THEN 'drop_comment' WHEN event_type <> 'Dialogue' THEN 'review' WHEN k = 0 THEN 'drop_staff' WHEN k = 1 THEN 'review' WHEN k = 4 THEN 'error' ELSE 'keep_dialogue' END AS action FROM po)"
-F6 = X.query(X.STYLED, _FL, _PO + "\nSELECT event_index, style, CASE WHEN action = 'error' THEN 'unknown style' WHEN drawing THEN 'drawing' WHEN visible = '' THEN 'empty text' ELSE 'bad time' END AS violation FROM ac WHERE action = 'error' OR (action = 'keep_dialogue' AND (drawing OR visible = '' OR start_ms < 0 OR end_ms < start_ms))")
+_PO = r"po AS (SELECT *, (CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) + media_id) % 5 AS k FROM fl), ac AS (SELECT *, CASE WHEN event_type = 'Comment' AND media_id < 2 THEN 'drop_comment' WHEN event_type <> 'Dialogue' THEN 'review' WHEN k = 0 THEN 'drop_staff' WHEN k = 1 THEN 'review' WHEN k = 4 THEN 'error' ELSE 'keep_dialogue' END AS action FROM po)"
+F6 = X.query(X.STYLED, _FL, _PO + "\nSELECT media_id, event_index, style, CASE WHEN action = 'error' THEN 'unknown style' WHEN drawing THEN 'drawing' WHEN visible = '' THEN 'empty text' ELSE 'bad time' END AS violation FROM ac WHERE action = 'error' OR (action = 'keep_dialogue' AND (drawing OR visible = '' OR start_ms < 0 OR end_ms < start_ms))")
 A7 = X.query(X.STYLED, _FL, _PO + "\nSELECT action, count(*) AS n FROM ac GROUP BY action")
 A7E = X.query(X.STYLED, _FL, _PO + """
 SELECT * FROM (SELECT 'kept events' AS problem, 7 AS expected, count(*) FILTER (WHERE action = 'keep_dialogue') AS found FROM ac UNION ALL SELECT 'review events', 0, count(*) FILTER (WHERE action = 'review') FROM ac
@@ -528,22 +554,26 @@ SELECT * FROM (SELECT 'kept events' AS problem, 7 AS expected, count(*) FILTER (
 
 
 def j13(spark, d):
-    p = policy(spark, d).unionByName(X.table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_name").alias("style"), F.lit("review").alias("action")))
+    p = policy(spark, d).unionByName(X.table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("media_id"), F.col("n_name").alias("style"), F.lit("review").alias("action")))
     return P.check_policy(X.styled(spark, d), p)
 
 
 J13 = X.query(X.STYLED + r"""
-SELECT DISTINCT style, 'not in policy' AS problem FROM styled WHERE CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) % 5 = 4
-UNION ALL SELECT n_name, 'not seen' FROM nation WHERE n_nationkey < 3""")
+SELECT DISTINCT media_id, style, 'not in policy' AS problem FROM styled WHERE (CAST(regexp_extract(style, '(\d+)$', 1) AS INTEGER) + media_id) % 5 = 4
+UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, 'not seen' FROM nation WHERE n_nationkey < 3""")
 
 
 def v1(spark, d):
-    c = X.cues(spark, d).where("src % 37 <> 0").withColumn("text", F.when(F.col("src") % 41 == 0, F.concat(F.lit("{x}"), "text")).otherwise(F.col("text"))).withColumn("tags", F.when(F.col("src") % 43 == 0, F.array(F.lit("ODD"))).otherwise(F.col("tags")))
+    """Every rule broken: gaps in idx, overrides, U+FFFD, odd tags, starts before 0, ends before starts; cues that end where they start break none."""
+    i = F.col("src")
+    c = X.cues(spark, d).where("src % 37 <> 0").withColumn("text", F.when(i % 41 == 0, F.concat(F.lit("{x}"), "text")).when(i % 59 == 0, F.concat("text", F.lit("\ufffd"))).when(i % 61 == 0, " \u3000").otherwise(F.col("text")))
+    c = c.withColumn("tags", F.when(i % 43 == 0, F.array(F.lit("ODD"))).otherwise(F.col("tags"))).withColumns({"start_ms": F.when(i % 47 == 0, -1).otherwise(F.col("start_ms")), "end_ms": F.when(i % 53 == 0, F.col("start_ms") - 1).otherwise(F.col("end_ms"))})
     return P.check_cues(c).groupBy("media_id", "rule").agg(F.count("*").alias("n"))
 
 
-V1 = X.query(X.CUES, """c AS (SELECT *, CASE WHEN src % 41 = 0 THEN '{x}' || text ELSE text END AS t2, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS rn FROM cues WHERE src % 37 <> 0)
-SELECT media_id, rule, count(*) AS n FROM (SELECT media_id, unnest(list_filter([CASE WHEN idx <> rn THEN 'idx not continuous' END, CASE WHEN t2 = '' THEN 'empty text' END, CASE WHEN end_ms <= start_ms THEN 'bad time' END, CASE WHEN src % 43 = 0 THEN 'unknown tag' END, CASE WHEN src % 41 = 0 THEN 'override left' END], lambda x: x IS NOT NULL)) AS rule FROM c) GROUP BY ALL""")
+V1 = X.query(X.CUES, """c AS (SELECT media_id, idx, src, CASE WHEN src % 47 = 0 THEN -1 ELSE start_ms END AS s, CASE WHEN src % 53 = 0 THEN start_ms - 1 ELSE end_ms END AS e,
+  src % 41 = 0 AS over, src % 41 <> 0 AND src % 59 = 0 AS odd, CASE WHEN src % 41 = 0 OR src % 59 = 0 THEN FALSE WHEN src % 61 = 0 THEN TRUE ELSE text = '' END AS blank, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS rn FROM cues WHERE src % 37 <> 0)
+SELECT media_id, rule, count(*) AS n FROM (SELECT media_id, unnest(list_filter([CASE WHEN idx <> rn THEN 'idx not continuous' END, CASE WHEN blank THEN 'empty text' END, CASE WHEN s < 0 OR e < s THEN 'bad time' END, CASE WHEN src % 43 = 0 THEN 'unknown tag' END, CASE WHEN over THEN 'override left' END, CASE WHEN odd THEN 'replacement character' END], lambda x: x IS NOT NULL)) AS rule FROM c) GROUP BY ALL""")
 
 
 def v2(spark, d):
@@ -601,10 +631,10 @@ T6O = X.query(X.LINES, X.PREDS, _ST + f"\nSELECT media_id, idx, stratum FROM st
 
 
 def t9(spark, d):
-    return S.candidate_speakers(X.cues(spark, d), ["click"], 1).select("media_id", "idx", F.array_join("candidates", ",").alias("candidates"))
+    return S.candidate_speakers(X.cues(spark, d), ["click"], 1, ["click", "purchase", "view"]).select("media_id", "idx", F.array_join("candidates", ",").alias("candidates"))
 
 
-T9 = X.query(X.CUES + "\nSELECT media_id, idx, array_to_string(list_sort(list_distinct(list_concat(['click'], list_filter(list(speaker) OVER (PARTITION BY media_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), lambda x: x <> '?' AND NOT starts_with(x, 'NONSPEECH'))))), ',') AS candidates FROM cues")
+T9 = X.query(X.CUES + "\nSELECT media_id, idx, array_to_string(list_sort(list_distinct(list_concat(['click'], list_filter(list(speaker) OVER (PARTITION BY media_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), lambda x: x IN ('click', 'purchase', 'view'))))), ',') AS candidates FROM cues")
 
 
 def u1(spark, d):
@@ -634,7 +664,7 @@ ORACLES = {
     "w14_bisect_batches": W14, "w11_compact_groups": W11C, "j2_scene_cues_limited": J2S, "p10_cuts": P10C, "p10_cut_errors": P10CE, "p10_corrections": P10K, "a8_clip_stages": A8S, "a7_expected": A7E, "t5_sample": T5, "t6_stratified": T6, "t6_one_stratum": T6O,
     "a15_token_means": X.query(X.LINES, X.PREDS + "\nSELECT confidence, count(*) AS n, count(*) FILTER (WHERE pid % 5 <> 0) AS n_with_tokens, avg(pid * 7) FILTER (WHERE pid % 5 <> 0) AS mean_tokens FROM preds GROUP BY confidence"),
     "a15_decisions": X.query(X.LINES, X.PREDS + "\nSELECT CASE WHEN pid % 4 = 0 THEN 'pending' WHEN speaker = 'user' THEN 'yes_target' ELSE 'no_target' END AS decision, count(*) AS n FROM preds GROUP BY 1"),
-    "a3_alias_misses": X.query(X.CUES + "\nSELECT token, n FROM (SELECT speaker AS token, count(*) AS n, min((media_id, idx)) AS first FROM cues WHERE speaker NOT IN (SELECT event_type FROM events WHERE event_type <> 'error') AND speaker <> '?' GROUP BY speaker) ORDER BY n DESC, first LIMIT 3"),
+    "a3_alias_misses": X.query(X.CUES, X.ALIASED, _AL + "\nSELECT token, n FROM (SELECT speaker AS token, count(*) AS n, min((media_id, idx)) AS first FROM rs WHERE NOT hit AND speaker <> '?' GROUP BY speaker) ORDER BY n DESC, first LIMIT 3"),
     "a4_kept_by_kind": X.query(X.CUES + "\nSELECT kind, count(*) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS dropped FROM (SELECT *, kind IN ('single', 'multi') AND text = '' AS gone FROM (SELECT *, CASE WHEN is_multi THEN 'multi' WHEN is_lyric THEN 'nonspeech' WHEN speaker = '?' THEN 'unlabeled' ELSE 'single' END AS kind FROM cues)) GROUP BY kind"),
     "w8_scenes_from_cuts": X.query(CUT_SCENES + "\nSELECT * FROM cs"), "f8_refine_target": F8, "w9_refine_regions": W9, "w10_chunk": X.query(X.CUES + "\nSELECT media_id, CAST((idx - 1) // 80 AS INTEGER) AS batch_id, count(*) AS n, min(idx) AS first FROM cues GROUP BY ALL"), "w11_budget_groups": W11, "w12_split_sparse": W12, "w13_context": W13, "w16_batch_context": W16, "w17_p15_prompts": W17, "i2_pending": I2, "u3_label_hook": U3,
     "f1_f2_review_targets": X.query(X.CUES + "\nSELECT media_id, idx FROM cues WHERE NOT starts_with(speaker, 'NONSPEECH') AND (speaker = '?' OR is_multi)"), "f3_select_cues": X.query(X.CUES + "\nSELECT media_id, idx, speaker FROM cues WHERE idx BETWEEN 10 AND 200 AND speaker IN ('click', 'view')"),
