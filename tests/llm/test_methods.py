@@ -304,7 +304,8 @@ def test_edited_leaks_are_found_and_clean_passages_are_not():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     item = [rng.choice(vocabulary) for _ in range(60)]
-    index = decontam.Index([7], [" ".join(item)])
+    part = [(7, decontam.item_words([" ".join(item)])[0])]
+    index = decontam.indexes_of(part, decontam.Stats.of([w for _, w in part]))
     noise = [rng.choice(vocabulary) for _ in range(900)]
     edited = [*item]
     edited[30] = "changed"
@@ -708,3 +709,20 @@ def test_discriminant_does_not_hang_on_partitions(spark):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     runs = [{(r.doc_id, r.score) for r in discriminant.classified(docs.repartition(n), labels.repartition(n)).collect()} for n in (1, 5)]
     assert runs[0] == runs[1]
+
+
+def test_slices_of_items_change_no_leak_no_share_and_no_score(spark):
+    """Items of 10 to 400 words: alone, in slices of any size and all at once they give the same rows."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: draw(n) for i, n in enumerate([10, 25, 25, 60, 70, 130, 400])}
+    texts = [draw(300) + w[: int(len(w) * cut)] + draw(90) + w[int(len(w) * cut) :] + draw(300) for w in items.values() for cut in (0.0, 0.9)]
+    # both halves, far apart: no passage of the item's own width holds enough, whatever other items there are
+    texts.append(draw(50) + items[1][:13] + draw(150) + items[1][13:] + draw(50))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = lambda **k: sorted((r.doc_id, x.item_id, x.share, x.bm25) for r in decontam.with_leaks(docs, frame, **k).collect() for x in r.leaks)
+    whole = rows()
+    assert {(2 * i, i) for i in items} <= {r[:2] for r in whole} and not any(r[0] == len(texts) - 1 for r in whole)
+    assert rows(most_items=3) == whole == rows(most_items=1)
