@@ -726,3 +726,22 @@ def test_slices_of_items_change_no_leak_no_share_and_no_score(spark):
     whole = rows()
     assert {(2 * i, i) for i in items} <= {r[:2] for r in whole} and not any(r[0] == len(texts) - 1 for r in whole)
     assert rows(most_items=3) == whole == rows(most_items=1)
+
+
+@pytest.mark.parametrize("most_tasks", [20_000, 3])
+def test_slots_do_not_hang_on_how_the_input_is_split(spark, monkeypatch, most_tasks):
+    """Repeated rows, a third of them one record, in any partitions and order: the same shards and slots; tasks of several cells change nothing."""
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(i % 40, f"text {i % 40}") for i in range(90)] + [(5, "the same")] * 60 + [(None, None)] * 3 + [(None, "")] * 2 + [(i, "x" * 30) for i in range(100, 130)]
+    want = None
+    for n, seed in ((1, 0), (3, 1), (7, 2)):
+        mixed = rows[:]
+        random.Random(seed).shuffle(mixed)
+        monkeypatch.setattr(sharding, "MOST_TASKS", most_tasks if n > 1 else 20_000)
+        _, out = sharding.two_pass_shuffle(spark.createDataFrame(mixed, "doc_id long, text string").repartition(n), bucket_bytes=200)
+        got = sorted((r.doc_id is None, r.doc_id, r.text or "", r.size, r.shard, r.slot, r.grown_shard) for r in out.collect())
+        want = want or got
+        assert got == want
+    assert len(want) == len(rows) and sorted((r[1], r[2]) for r in want if not r[0]) == sorted((i, t) for i, t in rows if i is not None)
+    for s in {r[4] for r in want}:
+        assert sorted(r[5] for r in want if r[4] == s) == list(range(sum(r[4] == s for r in want)))
