@@ -37,8 +37,8 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_history(pages: DataFrame) -> DataFrame:
-    """Dated entries drawn from the pages' own hosts, domains and first path steps, so that lists grow with the pages."""
-    keys = pages.select("page_id", F.explode(url_lists.keys_of(F.col("url"))).alias("key"))
+    """Dated entries drawn from the pages' own hosts, domains and path steps (without ports and queries), so that lists grow with the pages."""
+    keys = pages.select("page_id", F.explode(url_lists.keys_of(F.col("url"))).alias("key")).where(~F.col("key").rlike("[:?]"))
     first = keys.groupBy("key").agg(F.min("page_id").alias("k"), F.max(F.instr("key", "/") > 0).alias("path"))
     add = F.pmod(F.col("k") * 13, F.lit(300)).cast("int")
     entry = lambda name, day, action: F.struct(F.lit(name).alias("list"), day.cast("int").alias("day"), F.lit(action).alias("action"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cuelark.llm import collocations, decontam, discriminant, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, vector_codes
+from cuelark.llm import collocations, decontam, discriminant, html_text, licenses, mixing, neardup, quality, queries, sharding, tokens, toxicity, url_lists, vector_codes
 from cuelark.llm import words as W
 
 DIR = "/root/testdata/sf0.001"
@@ -745,3 +745,50 @@ def test_slots_do_not_hang_on_how_the_input_is_split(spark, monkeypatch, most_ta
     assert len(want) == len(rows) and sorted((r[1], r[2]) for r in want if not r[0]) == sorted((i, t) for i, t in rows if i is not None)
     for s in {r[4] for r in want}:
         assert sorted(r[5] for r in want if r[4] == s) == list(range(sum(r[4] == s for r in want)))
+
+
+FORMS = [
+    # entry, captures it holds for, captures it does not
+    ("a.com:8080/x", ["http://a.com:8080/x", "http://a.com:8080/x/y?q"], ["http://a.com/x", "http://a.com:80/x", "http://a.com:8080/xy"]),
+    ("http://b.com:80", ["http://b.com/", "http://www.b.com:80/z", "http://b.com:/"], ["https://b.com/", "http://b.com:81/"]),
+    ("b.com:443", ["https://b.com/p"], ["http://b.com/p"]),
+    ("c.com/~user", ["http://c.com/%7Euser/z", "http://c.com/~user"], ["http://c.com/user", "http://c.com/~users"]),
+    ("c.com/%7Eother", ["http://c.com/~other"], ["http://c.com/7Eother"]),
+    ("c.com/a%2Fb", ["http://c.com/a%2Fb/c"], ["http://c.com/a/b"]),
+    ("d.com.", ["http://d.com/", "http://D.com./x", "ftp://x.d.com"], ["http://d.com.au/"]),
+    ("//e.com", ["https://e.com/q", "http://u:p@e.com/"], ["http://be.com/"]),
+    ("f.com/p?id=1", ["http://f.com/p?id=1", "http://f.com//p/?id=1#x"], ["http://f.com/p", "http://f.com/p?id=12", "http://f.com/p/q?id=1"]),
+    ("f.com?x", ["http://f.com/?x", "http://f.com?x"], ["http://f.com/", "http://f.com/y?x"]),
+    ("f.com:8080/p?id=1", ["http://f.com:8080/p?id=1"], []),
+    ("g.com/P/", ["http://g.com/P", "http://g.com/P?z"], ["http://g.com/p", "http://g.com/"]),
+    ("[::1]:99", ["http://[::1]:99/"], ["http://[::1]/"]),
+    ("1.2.3.4", ["http://1.2.3.4/x"], ["http://9.1.2.3.4/", "http://3.4/"]),
+    ("/only/a/path", [], ["http://a.com/only/a/path"]),
+    ("com", [], ["http://a.com/"]),
+]
+
+
+def test_entries_and_captures_in_all_their_forms(spark):
+    entries = spark.createDataFrame([(f"l{i}", e, 1, "add") for i, (e, _, _) in enumerate(FORMS)], "list string, key string, day int, action string")
+    captures = sorted({c for _, yes, no in FORMS for c in yes + no})
+    got = {r.url: set(r.lists.split(",")) for r in url_lists.evaluate(spark.createDataFrame([(i, c, 5) for i, c in enumerate(captures)], "id long, url string, day int"), entries).collect()}
+    for i, (entry, yes, no) in enumerate(FORMS):
+        assert [c for c in yes if f"l{i}" not in got[c]] == [] and [c for c in no if f"l{i}" in got[c]] == [], entry
+
+
+@pytest.mark.parametrize("per_task", [1_000_000, 3])
+def test_the_merge_by_time_equals_brute_force(spark, per_task):
+    """Keys with many marks and many captures, marks and captures of one day, lists that come and go; hot keys dealt to many tasks."""
+    rng = random.Random(13)
+    entries = [(rng.choice("lm"), rng.choice(["a.com", "x.a.com", "x.a.com/p", "b.com"]), rng.randrange(30), rng.choice(["add", "remove"])) for _ in range(120)]
+    captures = [(i, rng.choice(["http://x.a.com/p/q", "http://a.com", "http://b.com/z", "http://c.com"]) + rng.choice(["", "?1", "?2"]), rng.randrange(-1, 32)) for i in range(150)]
+    got = {r.id: (r.n_active, r.lists) for r in url_lists.evaluate(spark.createDataFrame(captures, "id long, url string, day int"), spark.createDataFrame(entries, "list string, key string, day int, action string"), per_task).collect()}
+    asks = {"http://x.a.com/p/q": ["a.com", "x.a.com", "x.a.com/p"], "http://a.com": ["a.com"], "http://b.com/z": ["b.com"], "http://c.com": []}
+    for i, url, day in captures:
+        on = set()
+        for name in "lm":
+            for key in asks[url.split("?")[0]]:
+                marks = [(d, a == "add") for n, k, d, a in entries if (n, k) == (name, key) and d <= day]
+                if marks and any(adds for d, adds in marks if d == max(marks)[0]):
+                    on.add((name, key))
+        assert got[i] == (len(on), ",".join(sorted({n for n, _ in on})))
