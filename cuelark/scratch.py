@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,35 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def drop_now(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: For each settled() under way, the folders that stored() has made since.
+_under_way: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: its lineage ends there, and an executor that is lost loses nothing of it."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     drop_at_exit(df.sparkSession, path)
+    if _under_way:
+        _under_way[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() gives, stored; what build stored on its way is dropped, as nothing but this table reads it."""
+    held: list[str] = []
+    _under_way.append(held)
+    try:
+        out = build()
+    finally:
+        _under_way.pop()
+    result = stored(out)
+    for path in held:
+        drop_now(out.sparkSession, path)
+    return result
