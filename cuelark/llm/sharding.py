@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from .common import drop_at_exit, shared_dir, stored, with_maybe
 
 MOST_TASKS = 20_000
+SENT = 1_000  # rows of a batch that leaves a cell
 COPIES = 10_000  # of one record that one task makes
 
 
@@ -41,12 +43,16 @@ def shuffle_cells(seed: int, names: list[str]):
     """mapInArrow over a task's rows, which come cell by cell: each cell's rows in the order of a seeded Fisher-Yates exchange, with their place `at`."""
 
     def shuffled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.Table.from_batches(held)
-        own = own.sort_by([(c, "ascending") for c in ("doc_id", "text_crc32", "size", "h1", "h2", "copy")])
+        own = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        order = pc.sort_indices(own, [(c, "ascending") for c in ("doc_id", "text_crc32", "size", "h1", "h2", "copy")]).to_numpy()
         at = np.arange(own.num_rows)
         # Generator.shuffle is the Fisher-Yates exchange over the sorted rows, so reruns agree
         np.random.Generator(np.random.PCG64([seed, own.column("shard")[0].as_py(), own.column("bucket")[0].as_py()])).shuffle(at)
-        yield from own.select(names).take(pa.array(at)).append_column("at", pa.array(np.arange(own.num_rows, dtype=np.int64))).combine_chunks().to_batches()
+        own = own.select(names)
+        for lo in range(0, own.num_rows, SENT):
+            some = own.take(pa.array(order[at[lo : lo + SENT]]))
+            yield from some.append_column("at", pa.array(np.arange(lo, lo + some.num_rows, dtype=np.int64))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_cell = [], None
@@ -57,8 +63,7 @@ def shuffle_cells(seed: int, names: list[str]):
                 if hi == lo:
                     continue
                 if held and cells[lo] != open_cell:
-                    yield from shuffled(held)
-                    held = []
+                    yield from shuffled(held)  # empties held
                 open_cell = cells[lo]
                 held.append(b.slice(lo, hi - lo))
         if held:
