@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import drop_at_exit, shared_dir, stored
+from ..scratch import drop_at_exit, drop_now, settled, shared_dir, stored
 
-__all__ = ["WORD", "crc_mod", "drop_at_exit", "drop_now", "maybe_in", "read", "row_hash", "shared_dir", "stored", "with_maybe"]
+__all__ = ["WORD", "crc_mod", "drop_at_exit", "drop_now", "maybe_in", "read", "row_hash", "settled", "shared_dir", "stored", "with_maybe"]
 
 #: White space of the word definition: [^\x20\x09-\x0D]+ is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,12 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_now(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def row_hash(df: DataFrame) -> list:
     """Columns h1 and h2: 128 bits that name a row's content. Map columns, which have no hash, count by their sorted entries."""
     of = lambda f: F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
