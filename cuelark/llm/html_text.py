@@ -11,7 +11,8 @@ times the host's highest is removed from each page. Equal pages of a host count
 Entropy cannot tell an advert, which changes like an article does. So what markup states weighs the importance of
 a branch: navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments
 (by tag, role, or a class or id that names nothing else) weigh 0; where `article`, `main` or a container named so holds a quarter
-of the page's other text or more, branches outside weigh 0 too. A form that holds more than half of that text is a wrapper and weighs 1,
+of the page's other text or more, branches outside weigh 0 too. An article inside a sidebar or another part of the layout that is
+noise counts where the page has no other, inside comments, adverts and the like never. A form that holds more than half of that text is a wrapper and weighs 1,
 and an article inside any form weighs 1. The tree decides on what is left, inside articles as well.
 
 The trees are aggregates by (host, node) that combine before the shuffle; no task holds a host. Blocks of pages whose
@@ -39,7 +40,7 @@ from .common import maybe_in, stored, with_maybe
 
 GAMMA = 0.9
 LOW = 0.2
-PRIOR = 2.0
+PRIOR = 0.4
 MARKED = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-z!?][^>]*>|(?P<text>[^<]+|<)""", re.I | re.S)
@@ -48,18 +49,24 @@ _NAMED = re.compile(r"class|id|role|itemprop|hidden", re.I)
 # Tags by what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-NOISE_TAGS = frozenset("nav footer aside button head title menu dialog label object canvas".split())
+NOISE_TAGS = frozenset("nav footer aside menu".split())
+SILENT_TAGS = frozenset("button head title dialog object canvas".split())
 CONTAINERS = frozenset("article main div section td".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div main body html aside nav footer header td th".split())
 # Words of class names, ids and roles. A name is noise if all its words are noise or neutral and one is noise.
-ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments commentlist disqus respond replies reply related recommended".split())
+ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments commentlist discussion disqus respond replies reply related recommended".split())
+# These say what a name means whatever its other words are, unless these are states; the last ones only as its first word.
+SAYING = frozenset("comment comments commentlist disqus cookie cookies consent gdpr newsletter related recommended breadcrumb breadcrumbs".split())
+FIRST_SAYING = frozenset("menu nav navbar navigation".split())
+OPEN = frozenset("open opened closed on off enabled disabled allowed free count".split())
 NOISE_NAMES = ASIDE_NAMES | frozenset("cookie cookies consent gdpr notice popup modal nav navbar navigation menu sidebar sidebars aside footer sharing share social breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login toolbar copyright contentinfo complementary alert alertdialog".split())
 HEADER_NAMES = frozenset("header banner masthead topbar".split())
 MAIN_NAMES = frozenset("article main post entry story".split())
 NEUTRAL = frozenset("area bar block body bottom box buttons container content form group inner item items left line links list main outer panel right section site slot text top unit wrap wrapper".split())
 STATES = ("has", "no", "with", "without", "is", "not")
-UNKNOWN, NOISE, MAIN, FORM = 0, -1, 1, 2
+#: HARD is noise whatever is in it; an article inside NOISE (a sidebar, say) is FOUND, and counts where the page has no other.
+UNKNOWN, NOISE, HARD, MAIN, FORM, FOUND = 0, -1, -2, 1, 2, 3
 
 
 def _hash(text: str) -> int:
@@ -74,7 +81,8 @@ def meaning(name: str) -> tuple[bool, bool, bool, bool]:
         return False, False, False, False
     known = set(words)
     only = lambda names: bool(known & names) and known <= names | NEUTRAL
-    return only(NOISE_NAMES), only(ASIDE_NAMES), only(HEADER_NAMES), only(MAIN_NAMES) and words[0] in MAIN_NAMES
+    saying = (bool(known & SAYING) or words[0] in FIRST_SAYING) and not known & OPEN
+    return only(NOISE_NAMES) or saying, only(ASIDE_NAMES) or bool(known & ASIDE_NAMES & SAYING) and not known & OPEN, only(HEADER_NAMES), only(MAIN_NAMES) and words[0] in MAIN_NAMES
 
 
 class Page:
@@ -88,7 +96,7 @@ class Page:
         self.buffer: list[str] = []
         for m in _TOKEN.finditer(html):
             if (text := m["text"]) is not None:
-                if not self.stack or self.stack[-1][3] != NOISE:
+                if not self.stack or self.stack[-1][3] >= 0:
                     self.buffer.append(text)
             elif m["tag"]:
                 tag = m["tag"].lower()
@@ -105,7 +113,7 @@ class Page:
         self.buffer.clear()
         if text:
             # an inline tag that is noise is no block; what came before it is its block's
-            top = next((f for f in reversed(self.stack) if f[0] in BLOCK or f[3] != NOISE), None)
+            top = next((f for f in reversed(self.stack) if f[0] in BLOCK or f[3] >= 0), None)
             self.blocks.append((top[3] if top else UNKNOWN, text, list(dict.fromkeys(f[2] for f in self.stack if f[0] in BLOCK and f[0] not in ("html", "body")))))
             if self.stack:
                 self.stack[-1][5].append(text)
@@ -126,7 +134,8 @@ class Page:
         parent = self.stack[-1] if self.stack else None
         role, inside = (parent[3], parent[6]) if parent else (UNKNOWN, False)
         label = tag
-        if role != NOISE:
+        article = tag in ("article", "main")
+        if role >= 0 or role == NOISE and article:
             names, hidden = [], False
             if attrs and _NAMED.search(attrs):
                 for a in _ATTR.finditer(attrs):
@@ -139,8 +148,12 @@ class Page:
             noise, beside, header, main = (any(x[i] for x in said) for i in range(4))
             if tag in ("html", "body"):
                 noise = beside = header = main = False
-            article = tag in ("article", "main")
-            if tag in NOISE_TAGS or hidden or (beside if article else noise) or (tag == "header" or header) and not inside and not article:
+            silent = tag in SILENT_TAGS or tag == "label" and any(f[0] == "form" for f in self.stack)
+            if silent or hidden or beside:
+                role = HARD
+            elif role == NOISE:
+                role, inside = FOUND, True
+            elif tag in NOISE_TAGS or noise and not article or (tag == "header" or header) and not inside and not article:
                 role = NOISE
             elif article or main and tag in CONTAINERS:
                 role, inside = MAIN, True
@@ -155,7 +168,7 @@ class Page:
                     self.known.clear()
                 self.known[node, label] = _hash(f"{node}/{label}")
             node = self.known[node, label]
-            if parent and role != NOISE:
+            if parent and role >= 0:
                 parent[4].append(label)
         self.stack.append([tag, label if block else parent[1] if parent else "", node, role, [], [], inside])
 
@@ -187,7 +200,7 @@ class Page:
             parent[5].append("\n".join(texts))
         if parent and parent[2] == node:
             parent[4].extend(children)
-        elif role != NOISE:
+        elif role >= 0:
             shapes, below = self.nodes.setdefault(node, ([], []))
             shapes.append(",".join(c for i, c in enumerate(children) if not i or c != children[i - 1]))
             below += texts
@@ -196,10 +209,12 @@ class Page:
 def parse(html: str | None, known: dict[tuple[int, str], int]) -> dict:
     """Blocks that markup leaves, each with its chain of nodes, and those nodes' presentation and content on this page."""
     page = Page(html or "", known)
-    size = {k: sum(len(t) for r, t, _ in page.blocks if r == k) for k in (UNKNOWN, MAIN, FORM)}
+    size = {k: sum(len(t) for r, t, _ in page.blocks if r == k) for k in (UNKNOWN, MAIN, FORM, FOUND)}
     roles = {UNKNOWN, MAIN} if size[FORM] <= size[UNKNOWN] + size[MAIN] else {UNKNOWN, MAIN, FORM}
     if size[MAIN] >= MARKED * sum(size[r] for r in roles):
         roles = {MAIN} if size[MAIN] else roles
+    if not size[MAIN] and size[FOUND] and size[FOUND] >= MARKED * (size[FOUND] + sum(size[r] for r in roles)):
+        roles = {FOUND}
     blocks = [{"text": text, "chain": chain} for role, text, chain in page.blocks if role in roles]
     live = dict.fromkeys(n for b in blocks for n in b["chain"])
     nodes = []
