@@ -8,8 +8,9 @@ table once; a sentence is then one walk through it. The last symbols of the walk
 insult, threat, and each of them negated or reported); their weights by kind, with a logistic function learned from labels, make the score.
 
 Learning: at most TRAIN_ROWS labelled documents, the ones of least hash outside the held-out third, give (a) further
-lexicon entries, at most MOST_LEARNED words or word beginnings that toxic documents hold more often, each a threat if an intent stands before it
-in half of its places or more, else an insult, and (b) the function, by ridge-penalised logistic regression. Every key that enough
+lexicon entries, all words or word beginnings that toxic documents hold five times as often, none a beginning of another, each a threat if an intent stands before it
+in half of its places or more, else an insult, and (b) the function, by logistic regression with a ridge about the default weights: a kind of
+clause that the sample does not hold keeps its default weight, so threats, negations and reports count even where no label speaks of them. Every key that enough
 of the sampled documents hold is a candidate. Targets, negations, intents and reports are the base lexicon's: labels of whole documents do not
 tell them from other words. Labels are used for nothing else, and language, source and doc_id never.
 
@@ -35,7 +36,6 @@ from pyspark.sql import types as T
 from .common import crc_mod
 
 TRAIN_ROWS = 12_000
-MOST_LEARNED = 64
 
 # The base lexicon.
 BASE = {
@@ -277,21 +277,20 @@ def choose(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]],
             scored.append((gain, key[0] == "=", len(key), key, r))
     out: dict[str, float] = {}
     for _, _, _, key, r in sorted(scored, reverse=True):
-        if len(out) >= MOST_LEARNED:
-            break
         if not any(k[1:].startswith(key[1:]) or key[1:].startswith(k[1:]) for k in out):
             out[key] = min(1.5, r / 4)
     return out
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton's method."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, prior: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression with a ridge about `prior` (zero, if there is none), by Newton's method."""
+    prior = np.zeros(x.shape[1]) if prior is None else prior
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (w - prior))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -331,7 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 
     # train_rows small vectors at most, in an order that does not hang on the partitions
     got = sorted((tuple(r["x"]), r["toxic"]) for r in rows.mapInArrow(features, "x array<double>, toxic int").collect())
-    return learned, fit_weights(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got])).tolist()
+    return learned, fit_weights(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got]), prior=np.array(DEFAULT)).tolist()
 
 
 def scored(docs: DataFrame, learned: dict[str, float], weights: list[float], name: str = "toxicity") -> DataFrame:

@@ -378,6 +378,16 @@ def test_held_out_toxicity(spark):
     assert c[1, 1] / (c[1, 1] + c[1, 0]) > 0.88 and c[1, 1] / (c[1, 1] + c[0, 1]) > 0.97
 
 
+def test_clauses_of_kinds_no_label_speaks_of_still_count(spark):
+    """The tables' toxic documents hold bare insults. Threats, negations and reports move a learned score all the same, each its own way."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    learned, weights = toxicity.learn(docs, spark.read.parquet(f"{BIG}/labels.parquet").select("doc_id", "toxic"))
+    texts = ["you are an idiot", "you are not an idiot", "he said that you are an idiot", "I will kill you", "kill the lights", "good day"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    aimed, negated, reported, threat, bare, none = (r.score for r in toxicity.scored(rows, learned, weights, "score").orderBy("doc_id").collect())
+    assert threat > 0.9 > 0.1 > bare == none and negated < aimed - 0.05 and reported < aimed - 0.05
+
+
 @pytest.mark.parametrize("text,kind", [("you are an idiot", 2), ("what an idiot", 1), ("you are not an idiot", 4), ("she said he is an idiot", 5), ("I will kill you", 3), ("kill time", 0), ("they said so. You moron", 2)])
 def test_clauses(text, kind):
     weights, counts = toxicity.Grammar({}).matches(text)
