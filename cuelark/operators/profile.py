@@ -2,24 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import drop_overrides, strip
+from ..scratch import stored
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def speaker_profile(cues: DataFrame, top: int = 100, samples: int = 1) -> DataFrame:
-    """Speakers by count (ties: first appearance), with raw variants and first lines.
-
-    Only the first lines reach the aggregate: a running number per speaker filters before lists are made."""
+def frequent(df: DataFrame, column: str, top: int, counters: int = 4096) -> DataFrame:
+    """(column): a superset of the `top` most frequent values of a column, ties for the last place and null included if they may be among them.
+
+    Every task keeps a summary of `counters` values at most: when it is full, the count of the first value that has no place is taken from all, and
+    added to the task's error. A value's true count is then its sum over tasks, or up to the sum of all errors more; what cannot reach the
+    `top`-th greatest sum so goes. A value that no summary has occurs as often as all errors add up to at most: where that reaches the bound, the summaries
+    are made again eight times as long. Only summaries are shuffled."""
+    kind = df.schema[column].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        error = 0
+        for b in batches:
+            for x in b.column(0).value_counts().to_pylist():
+                held[x["values"]] = held.get(x["values"], 0) + x["counts"]
+            if len(held) > 2 * counters:
+                least = sorted(held.values(), reverse=True)[counters]
+                held = {v: n - least for v, n in held.items() if n > least}
+                error += least
+        values = [*held, None]
+        yield pa.RecordBatch.from_arrays([pa.array(values, to_arrow_type(kind)), pa.array([*held.values(), error], pa.int64()), pa.array([False] * len(held) + [True])], ["v", "n", "is_error"])
+
+    summary = df.select(F.col(column).alias("v")).mapInArrow(run, T.StructType([T.StructField("v", kind), T.StructField("n", T.LongType()), T.StructField("is_error", T.BooleanType())]))
+    summary = stored(summary.groupBy("v", "is_error").agg(F.sum("n").alias("n")))
+    lost = summary.where("is_error").first()
+    error = lost["n"] if lost else 0
+    best = summary.where("NOT is_error").orderBy(F.desc("n")).limit(top).agg(F.min("n").alias("n"), F.count("*").alias("found")).first()
+    bound = best["n"] if best["found"] == top else 0
+    if error and error >= bound:
+        return frequent(df, column, top, 8 * counters)
+    return summary.where(~F.col("is_error") & (F.col("n") + error >= bound)).select(F.col("v").alias(column))
+
+
+def speaker_profile(cues: DataFrame, top: int = 100, samples: int = 1, counters: int = 4096) -> DataFrame:
+    """The `top` speakers by count (ties: first appearance), with the sorted set of their raw variants and first lines.
+
+    Two passes: frequent() bounds who may be among them, and only their cues are counted exactly. Only the first lines reach the
+    aggregate: a running number per speaker filters before lists are made."""
+    own = cues.select("speaker", "raw", "text", "media_id", "idx")
+    own = own.join(frequent(own, "speaker", top, counters).where("speaker IS NOT NULL"), "speaker", "left_semi")
     w = Window.partitionBy("speaker").orderBy("media_id", "idx")
-    first = cues.select("speaker", "text", "media_id", "idx").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
+    first = own.select("speaker", "text", "media_id", "idx").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
     lines = first.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("i")).select("speaker", F.transform("i", lambda x: x["text"]).alias("samples"))
-    counts = cues.groupBy("speaker").agg(F.count("*").alias("n"), F.count_distinct("raw").alias("n_variants"), F.min(F.struct("media_id", "idx")).alias("first"))
+    # a row a variant before the sets are made
+    by_raw = own.groupBy("speaker", "raw").agg(F.count("*").alias("n"), F.min(F.struct("media_id", "idx")).alias("first"))
+    counts = by_raw.groupBy("speaker").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.array_sort(F.collect_list("raw")).alias("variants"))
     return counts.join(lines, "speaker").orderBy(F.desc("n"), "first").limit(top).drop("first")
 
 

@@ -161,6 +161,22 @@ _R = "r AS (SELECT" + W17.split("\nSELECT", 1)[-1] + ")"
 I2 = X.query(X.LINES, _R + "\nSELECT media_id, batch_id, sha256(prompt) AS prompt_hash FROM r WHERE NOT (media_id % 3 = 0 AND batch_id <> 1)")
 
 
+def i2_resumed(spark, d):
+    """A first run over some media and a second over all, into one table: replies of both, each asked once."""
+    from ..operators.resume import label_resumed
+    from ..scratch import drop_at_exit, shared_dir
+
+    path, r = shared_dir(spark), requests(spark, d)
+    fn = lambda prompts: [f"{len(p)}:{p.count(chr(10))}" for p in prompts]
+    label_resumed(r.where("media_id % 3 = 0"), fn, path, 2)
+    out = label_resumed(r, fn, path, 2)
+    drop_at_exit(spark, path)
+    return out.select("media_id", "batch_id", "prompt_hash", "reply")
+
+
+I2R = X.query(X.LINES, _R + "\nSELECT media_id, batch_id, sha256(prompt) AS prompt_hash, length(prompt) || ':' || (length(prompt) - length(replace(prompt, chr(10), ''))) AS reply FROM r")
+
+
 def u3(spark, d):
     return S.label(requests(spark, d), lambda prompts: [f"{len(p)}:{p.count(chr(10))}" for p in prompts])
 
@@ -417,11 +433,12 @@ def a5(spark, d):
 
 
 def a2(spark, d):
-    c = X.cues(spark, d).withColumn("raw", F.concat_ws("/", "speaker", (F.col("src") % 3).cast("string")))
-    return P.speaker_profile(c, 100, 2).select("speaker", "n", "n_variants", F.array_join("samples", "|").alias("samples"))
+    """More speakers than are asked for: each event type with a number; summaries of 16 values a task."""
+    c = X.cues(spark, d).withColumn("speaker", F.concat_ws(" ", "speaker", (F.sqrt(F.col("src") % 900).cast("int")).cast("string"))).withColumn("raw", F.concat_ws("/", "speaker", (F.col("src") % 3).cast("string")))
+    return P.speaker_profile(c, 25, 2, 16).select("speaker", "n", F.array_join("variants", "|").alias("variants"), F.array_join("samples", "|").alias("samples"))
 
 
-A2 = X.query(X.CUES + "\nSELECT speaker, count(*) AS n, count(DISTINCT src % 3) AS n_variants, array_to_string((list(text ORDER BY media_id, idx))[1:2], '|') AS samples FROM cues GROUP BY speaker")
+A2 = X.query(X.CUES, "c AS (SELECT * REPLACE (speaker || ' ' || CAST(floor(sqrt(src % 900)) AS INTEGER) AS speaker) FROM cues)\nSELECT speaker, count(*) AS n, array_to_string(list_sort(list_distinct(list(speaker || '/' || src % 3))), '|') AS variants, array_to_string((list(text ORDER BY media_id, idx))[1:2], '|') AS samples FROM c GROUP BY speaker ORDER BY n DESC, min((media_id, idx)) LIMIT 25")
 
 
 def _aliased(spark, d):
@@ -655,7 +672,7 @@ U1 = f"""SELECT doc_id, kind, speakers, length(said) AS n_said, md5(said) AS sai
   FROM (SELECT doc_id, source, doc_id % 5 AS k, regexp_replace(coalesce(text, ''), '[\n()（）-]', ' ', 'g') AS t FROM documents))"""
 
 QUERIES = {
-    "w8_scenes_from_cuts": _scenes, "f8_refine_target": f8, "w9_refine_regions": w9, "w10_chunk": w10, "w11_budget_groups": w11, "w12_split_sparse": w12, "w13_context": w13, "w14_bisect_batches": w14, "w11_compact_groups": w11_compact, "j2_scene_cues_limited": j2_some, "p10_cuts": p10_cuts, "p10_cut_errors": p10_cut_errors, "p10_corrections": p10_corrections, "a15_token_means": a15_tokens, "a15_decisions": a15_decisions, "a3_alias_misses": a3_misses, "a4_kept_by_kind": a4_kinds, "a8_clip_stages": a8_stages, "a7_expected": a7_expected, "t6_one_stratum": t6_one, "w16_batch_context": w16, "w17_p15_prompts": w17, "i2_pending": i2, "u3_label_hook": u3,
+    "w8_scenes_from_cuts": _scenes, "f8_refine_target": f8, "w9_refine_regions": w9, "w10_chunk": w10, "w11_budget_groups": w11, "w12_split_sparse": w12, "w13_context": w13, "w14_bisect_batches": w14, "w11_compact_groups": w11_compact, "j2_scene_cues_limited": j2_some, "p10_cuts": p10_cuts, "p10_cut_errors": p10_cut_errors, "p10_corrections": p10_corrections, "a15_token_means": a15_tokens, "a15_decisions": a15_decisions, "a3_alias_misses": a3_misses, "a4_kept_by_kind": a4_kinds, "a8_clip_stages": a8_stages, "a7_expected": a7_expected, "t6_one_stratum": t6_one, "w16_batch_context": w16, "w17_p15_prompts": w17, "i2_pending": i2, "i2_resumed_labels": i2_resumed, "u3_label_hook": u3,
     "f1_f2_review_targets": f1, "f3_select_cues": f3, "j2_scene_cues": j2, "p10_p11_parse_replies": p10, "p10_reply_errors": p10_errors, "x6_restrict": x6, "x7_retry_set": x7, "j9_f7_apply_results": j9, "j10_audit": j10, "j10_apply_corrections": j10_cues, "j11_apply_reviews": j11,
     "x2_update_cuts": x2, "x3_filter_boundaries": x3, "x4_upsert_audit": x4, "x5_conflict": x5, "x8_cuts_from_scenes": x8, "a19_scene_preview": a19, "a14_plan_summary": a14, "a15_histograms": a15, "a5_output_speakers": a5, "a2_t1_speaker_profile": a2, "j1_alias": j1, "a3_alias_coverage": a3, "a4_normalise_stats": a4, "a18_drop_reasons": a18, "a8_clip_report": a8,
     "a6_style_profile": a6, "f6_policy_violations": f6, "a7_action_counts": a7, "j13_policy_check": j13, "v1_check_cues": v1, "v2_check_coverage": v2, "v2_coverage_ranges": v2_ranges, "w14_context_prompts": w14_context, "v3_check_order": v3, "v4_long_scenes": v4, "t5_sample": t5, "t6_stratified": t6, "t9_candidate_speakers": t9, "u1_p4_p5_classify": u1,
@@ -666,7 +683,7 @@ ORACLES = {
     "a15_decisions": X.query(X.LINES, X.PREDS + "\nSELECT CASE WHEN pid % 4 = 0 THEN 'pending' WHEN speaker = 'user' THEN 'yes_target' ELSE 'no_target' END AS decision, count(*) AS n FROM preds GROUP BY 1"),
     "a3_alias_misses": X.query(X.CUES, X.ALIASED, _AL + "\nSELECT token, n FROM (SELECT speaker AS token, count(*) AS n, min((media_id, idx)) AS first FROM rs WHERE NOT hit AND speaker <> '?' GROUP BY speaker) ORDER BY n DESC, first LIMIT 3"),
     "a4_kept_by_kind": X.query(X.CUES + "\nSELECT kind, count(*) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS dropped FROM (SELECT *, kind IN ('single', 'multi') AND text = '' AS gone FROM (SELECT *, CASE WHEN is_multi THEN 'multi' WHEN is_lyric THEN 'nonspeech' WHEN speaker = '?' THEN 'unlabeled' ELSE 'single' END AS kind FROM cues)) GROUP BY kind"),
-    "w8_scenes_from_cuts": X.query(CUT_SCENES + "\nSELECT * FROM cs"), "f8_refine_target": F8, "w9_refine_regions": W9, "w10_chunk": X.query(X.CUES + "\nSELECT media_id, CAST((idx - 1) // 80 AS INTEGER) AS batch_id, count(*) AS n, min(idx) AS first FROM cues GROUP BY ALL"), "w11_budget_groups": W11, "w12_split_sparse": W12, "w13_context": W13, "w16_batch_context": W16, "w17_p15_prompts": W17, "i2_pending": I2, "u3_label_hook": U3,
+    "w8_scenes_from_cuts": X.query(CUT_SCENES + "\nSELECT * FROM cs"), "f8_refine_target": F8, "w9_refine_regions": W9, "w10_chunk": X.query(X.CUES + "\nSELECT media_id, CAST((idx - 1) // 80 AS INTEGER) AS batch_id, count(*) AS n, min(idx) AS first FROM cues GROUP BY ALL"), "w11_budget_groups": W11, "w12_split_sparse": W12, "w13_context": W13, "w16_batch_context": W16, "w17_p15_prompts": W17, "i2_pending": I2, "i2_resumed_labels": I2R, "u3_label_hook": U3,
     "f1_f2_review_targets": X.query(X.CUES + "\nSELECT media_id, idx FROM cues WHERE NOT starts_with(speaker, 'NONSPEECH') AND (speaker = '?' OR is_multi)"), "f3_select_cues": X.query(X.CUES + "\nSELECT media_id, idx, speaker FROM cues WHERE idx BETWEEN 10 AND 200 AND speaker IN ('click', 'view')"),
     "j2_scene_cues": J2, "p10_p11_parse_replies": P10, "p10_reply_errors": P10E, "x6_restrict": X.query(RES + "\nSELECT media_id, idx, CASE WHEN speaker = 'user' THEN speaker ELSE 'OTHER' END AS speaker, speaker_raw FROM res"), "x7_retry_set": X.query(RES + "\nSELECT media_id, idx FROM res WHERE speaker = 'system'"), "j9_f7_apply_results": J9, "j10_audit": J10, "j10_apply_corrections": J10C, "j11_apply_reviews": J11,
     "x2_update_cuts": X2, "x3_filter_boundaries": X3, "x4_upsert_audit": X4, "x5_conflict": X5, "x8_cuts_from_scenes": X8, "a19_scene_preview": A19, "a14_plan_summary": A14, "a15_histograms": X.query(X.LINES, X.PREDS + "\nSELECT speaker, confidence, count(*) AS n FROM preds GROUP BY ALL"), "a5_output_speakers": X.query(X.CUES + "\nSELECT media_id, speaker, count(*) AS n, sum(end_ms - start_ms) AS total_ms FROM cues GROUP BY ALL"), "a2_t1_speaker_profile": A2, "j1_alias": J1, "a3_alias_coverage": A3, "a4_normalise_stats": A4, "a18_drop_reasons": A18,

@@ -228,3 +228,65 @@ def test_regions_equal_the_fold(spark):
         before = (m, s)
     got = S.refine_regions(spark.createDataFrame(rows, "media_id int, scene_id int, target boolean, n_cues int"), 1, 40).collect()
     assert sorted((r.media_id, r.first_scene, r.last_scene, r.n_cues) for r in got) == sorted(want)
+
+
+def test_frequent_values_keep_every_one_that_may_be(spark):
+    from cuelark.operators import profile
+
+    rng = random.Random(31)
+    values = [f"s{int(rng.paretovariate(0.6))}" for _ in range(6000)] + ["tie a"] * 40 + ["tie b"] * 40 + [None] * 50
+    rng.shuffle(values)
+    frame = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "speaker string, i int").repartition(5)
+    counts = {}
+    for v in values:
+        counts[v] = counts.get(v, 0) + 1
+    for top, counters in ((3, 4), (10, 16), (20, 8), (5000, 16)):
+        kept = {r.speaker for r in profile.frequent(frame, "speaker", top, counters).collect()}
+        least = sorted(counts.values(), reverse=True)[:top][-1]
+        assert {v for v, n in counts.items() if n >= least} <= kept or top > len(counts)
+        if top <= 20:
+            assert len(kept) < len(counts)
+
+
+def test_a_run_that_died_goes_on(spark, tmp_path):
+    """The labeller fails in the third commit; the next run asks for the rest alone, and the table is as if nothing had happened."""
+    from cuelark.operators.resume import ResultTable, label_resumed
+
+    requests = spark.createDataFrame([(m, b, f"prompt {m} {b}") for m in range(6) for b in range(5)], "media_id long, batch_id int, prompt string")
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def fn(limit):
+        def run(prompts):
+            import os
+            import uuid
+
+            for p in prompts:
+                if len(os.listdir(log)) >= limit:
+                    raise RuntimeError("stopped")
+                (log / f"{p.replace(' ', '-')}-{uuid.uuid4().hex}").touch()
+            return [p.upper() for p in prompts]
+
+        return run
+
+    path = f"file://{tmp_path}/table"
+    with pytest.raises(Exception, match="stopped"):
+        label_resumed(requests, fn(17), path, 5)
+    table = ResultTable(spark, path, "media_id long, batch_id int, prompt_hash string, reply string")
+    done = {(r.media_id, r.batch_id) for r in table.read().collect()}
+    assert 0 < len(done) < 30 and 1 <= len(table.commits()) < 5 and not [f for f in (tmp_path / "table").iterdir() if f.name.startswith("_stage")]
+    for f in log.iterdir():
+        f.unlink()
+    out = label_resumed(requests, fn(10**9), path, 5)
+    assert sorted((r.media_id, r.batch_id, r.reply) for r in out.collect()) == [(m, b, f"PROMPT {m} {b}") for m in range(6) for b in range(5)]
+    asked = {tuple(map(int, f.name.split("-")[1:3])) for f in log.iterdir()}
+    assert not asked & done and asked | done == {(m, b) for m in range(6) for b in range(5)}
+    # a prompt that changed is asked again, and the later reply counts
+    for f in log.iterdir():
+        f.unlink()
+    changed = requests.withColumn("prompt", F.when((F.col("media_id") == 2) & (F.col("batch_id") == 3), "other").otherwise(F.col("prompt")))
+    out = label_resumed(changed, fn(10**9), path, 5)
+    assert out.where("media_id = 2 AND batch_id = 3").first().reply == "OTHER" and out.count() == 30 and len(list(log.iterdir())) == 1
+    rows = sorted(map(tuple, table.read().collect()))
+    table.compact()
+    assert len(table.commits()) == 1 and sorted(map(tuple, table.read().collect())) == rows
