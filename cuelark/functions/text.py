@@ -217,13 +217,82 @@ def classify(text: str | None) -> dict:
     return {"kind": "unlabeled", "parts": []}
 
 
-_PART = pa.struct([("raw", pa.string()), ("text", pa.string())])
-CLASSIFIED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parts", T.ArrayType(T.StructType([T.StructField("raw", T.StringType()), T.StructField("text", T.StringType())])))])
+CLASSIFIED = "struct<kind:string,parts:array<struct<raw:string,text:string>>>"
+_PARTS = "array<struct<raw:string,text:string>>"
+_BRACKETS = f"[{_OPEN}{_CLOSE}]"
+#: What str.strip() takes off.
+_BLANK = r"[\s\x1C-\x1F]"
 
 
-def classify_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([classify(t) for t in texts.to_pylist()], pa.struct([("kind", pa.string()), ("parts", pa.list_(_PART))]))
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"(?U)^{_BLANK}+", ""), f"(?U){_BLANK}+$", "")
+
+
+def _leading(line: Column) -> Column:
+    """leading_speaker as a struct (raw, rest), or null: a fold over the pieces between brackets, whose state is the depth, the place and where the depth first is 0 again."""
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        last = F.right(piece, F.lit(1))
+        depth = acc["depth"] + F.when(last.isin(*_OPEN), 1).when(last.isin(*_CLOSE), -1).otherwise(0)
+        at = acc["at"] + F.char_length(piece)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (depth == 0) & (at > 1), at).otherwise(acc["end"]).alias("end"))
+
+    def found(t: Column) -> Column:
+        end = F.aggregate(F.split(t, f"(?<={_BRACKETS})"), zero, step, lambda acc: acc["end"])
+        return let(end, lambda n: F.when(t.rlike(f"^{_BRACKETS}") & (n > 0), F.struct(F.substring(t, F.lit(2), n - 2).alias("raw"), F.substring(t, n + 1, F.char_length(t)).alias("rest"))))
+
+    return let(F.regexp_replace(line, f"^[{BIDI} ]*(?:[{_DASH}][{BIDI} ]*)*", ""), found)
+
+
+def _sounds(text: Column) -> Column:
+    """Whether a text has a line that is not empty and no lyric."""
+    return F.exists(F.split(F.replace(text, F.lit("\\N"), F.lit("\n")), "\n"), lambda x: let(_stripped(x), lambda p: (p != "") & ~p.rlike(f"^[{BIDI} ~\u3000]*[{LYRIC}]")))
+
+
+def _said(lines: Column) -> Column:
+    return F.array_join(F.filter(F.transform(lines, _stripped), lambda x: x != ""), "\\N")
 
 
 def classified(c: Column) -> Column:
-    return F.arrow_udf(classify_batch, CLASSIFIED)(c)
+    """classify in the JVM: kind of a raw cue (multi, single, nonspeech, unlabeled) and its (speaker, text) parts."""
+    part = lambda raw, text: F.struct(raw.alias("raw"), text.alias("text"))
+    of = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.array(*parts).cast(_PARTS).alias("parts"))
+
+    def by_lines(text: Column, lines: Column, heads: Column) -> Column:
+        n = F.size(lines)
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: heads[i].isNotNull())
+
+        def from_blocks(at: Column) -> Column:
+            # a block: its head's rest and the lines up to the next head
+            upto = lambda k: F.coalesce(F.get(at, k + 1), n)
+            parts = F.transform(at, lambda i, k: part(heads[i]["raw"], _said(F.concat(F.array(heads[i]["rest"]), F.slice(lines, i + 2, upto(k) - i - 1)))))
+            return let(parts, lambda parts: let(F.filter(parts, lambda p: _sounds(p["text"])), lambda valid: verdict(at, parts, valid)))
+
+        def verdict(at: Column, parts: Column, valid: Column) -> Column:
+            several = n > 1
+            first = lambda i: of("single", part(heads[i]["raw"], _said(F.concat(F.slice(lines, F.lit(1), i), F.array(heads[i]["rest"]), F.slice(lines, i + 2, n)))))
+            opened = _stripped(F.regexp_replace(text, f"^[{BIDI} ]+", "")).rlike(f"^[{_OPEN}]")
+            rest = lambda lead: (
+                F.when(several & (F.size(valid) > 1), F.struct(F.lit("multi").alias("kind"), valid.cast(_PARTS).alias("parts")))
+                .when(several & (F.size(parts) > 1) & (F.size(valid) == 1), F.struct(F.lit("single").alias("kind"), valid.cast(_PARTS).alias("parts")))
+                .when(opened & lead.isNotNull() & (_stripped(lead["rest"]) == ""), of("nonspeech"))
+                .when(lead.isNotNull(), of("single", part(lead["raw"], _stripped(lead["rest"]))))
+                .when(_stripped(text).rlike(f"^[{BIDI} ~\u3000]*[{LYRIC}]"), of("nonspeech"))
+                .when(F.size(at) > 0, let(at[0], first))
+                .otherwise(of("unlabeled"))
+            )
+            return let(_leading(text), rest)
+
+        return let(at, from_blocks)
+
+    def run(text: Column) -> Column:
+        lines = F.split(F.replace(F.regexp_replace(text, f"^[{BIDI} ]+", ""), F.lit("\\N"), F.lit("\n")), "\n")
+        return let(lines, lambda lines: let(F.transform(lines, _leading), lambda heads: by_lines(text, lines, heads)))
+
+    return let(F.coalesce(c, F.lit("")), run).cast(CLASSIFIED)
\ No newline at end of file

@@ -290,3 +290,19 @@ def test_a_run_that_died_goes_on(spark, tmp_path):
     rows = sorted(map(tuple, table.read().collect()))
     table.compact()
     assert len(table.commits()) == 1 and sorted(map(tuple, table.read().collect())) == rows
+
+
+def test_classes_in_the_jvm_equal_the_definition(spark):
+    """Random strings of brackets of both widths, dashes, lyric marks, line ends, blanks and marks of direction; no Python worker in the plan."""
+    from cuelark.functions import text as T
+
+    rng = random.Random(41)
+    parts = ["(", ")", "（", "）", "-", "―", "\u266a", "\\N", "\n", " ", "\u3000", "~", "a", "Ann", "\u200e", "\u200f", "\t", "\x1f", "é", "🙂", "(Ann)", "（外）", "- (Ben)", "-(C)x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, "", "()", ")(", "(a", "((a)b)c", ")a(b", "(a)\\N(b)", "\n(a)b", "(a)\u266a\\N(b)c"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.classified(F.col("t")).alias("c"))
+    got = {r.i: (r.c.kind, [(p.raw, p.text) for p in r.c.parts]) for r in frame.collect()}
+    for i, t in enumerate(texts):
+        want = T.classify(t)
+        assert got[i] == (want["kind"], [(p["raw"], p["text"]) for p in want["parts"]]), repr(t)
+    assert len({g[0] for g in got.values()}) == 4
+    assert "Python" not in frame._jdf.queryExecution().toString()
