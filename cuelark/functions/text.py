@@ -82,8 +82,8 @@ def clean_text(c: Column) -> Column:
 def norm_speaker(c: Column, depth: int = 4) -> Column:
     """Speaker token without bidi characters and bracketed readings; brackets nested deeper than `depth` keep their rest."""
     x = F.translate(c, BIDI, "")
-    # an innermost pair: an opening bracket, no bracket of either kind, a closing one
-    inner = f"[{_OPEN}][^{_OPEN}{_CLOSE}]*[{_CLOSE}]"
+    # fixed value: an innermost pair, that is an opening bracket, no bracket of either kind, a closing one
+    inner = "[(（][^(（)）]*[)）]"
     for _ in range(depth):
         x = F.regexp_replace(x, inner, "")
     return strip(x)
@@ -137,9 +137,13 @@ def prompt_line(idx: Column, start_ms: Column, end_ms: Column, speaker: Column,
     return F.concat(mark, F.format_string("#%d [%s-%s] [%s] %s", idx.cast("long"), srt_time(start_ms), srt_time(end_ms), speaker, F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/"))))
 
 
+# The override tags that say what an event is, in either case.
+ASS_FLAGS = {"drawing": r"(?i)\\p(?:bo)?[1-9]", "positioned": r"(?i)\\(?:pos|move)\(", "karaoke": r"(?i)\\k[fo]?\d", "top": r"(?i)\\an[789](?:\D|$)"}
+
+
 def ass_flags(text: Column) -> dict[str, Column]:
-    """Drawing, positioned, karaoke and top-aligned, by override tags in either case."""
-    return {"drawing": text.rlike(r"(?i)\\p(?:bo)?[1-9]"), "positioned": text.rlike(r"(?i)\\(?:pos|move)\("), "karaoke": text.rlike(r"(?i)\\k[fo]?\d"), "top": text.rlike(r"(?i)\\an[789](?:\D|$)")}
+    """Drawing, positioned, karaoke and top-aligned, by override tags."""
+    return {name: text.rlike(pattern) for name, pattern in ASS_FLAGS.items()}
 
 
 # labels ---------------------------------------------------------------------------------------------------
