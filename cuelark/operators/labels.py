@@ -23,7 +23,8 @@ def _text(c: Column, default: str) -> Column:
 
 
 def parse_replies(replies: DataFrame, kind: str = "labels") -> tuple[DataFrame, DataFrame]:
-    """(results, errors) of replies(media_id, batch_id, reply): a row per item with defaults, and the batches that do not parse.
+    """(results, errors) of replies(media_id, batch_id, reply): a row per item with defaults, and the batches that do not parse: `no json` if no bracket opens,
+    else `bad json`, also when the reply was cut off before one closed.
 
     labels: an array of {idx, speaker, ..}; an idx that is none is null. corrections: an array of {idx, corrected_spk, ..}; items without an
     idx are left out. cuts: an object {"cuts": [{after_idx, title, reason}]}, the first of each after_idx; one without makes its batch an error."""
@@ -31,7 +32,8 @@ def parse_replies(replies: DataFrame, kind: str = "labels") -> tuple[DataFrame,
         return _parse_cuts(replies)
     body = F.regexp_extract("reply", r"(?s)(\[.*\])", 1) if kind == "corrections" else reply_body(F.col("reply"))
     parsed = replies.withColumn("__v", F.try_parse_json(body)).withColumn("__a", F.when(F.col("__v").isNotNull() & body.startswith("["), F.from_json(body, REPLY)))
-    errors = parsed.where("__a IS NULL").select("media_id", "batch_id", F.when(body == "", "no json").otherwise("bad json").alias("error"))
+    opened = F.col("reply").rlike(r"\[" if kind == "corrections" else r"[\[{]")
+    errors = parsed.where("__a IS NULL").select("media_id", "batch_id", F.when(opened, "bad json").otherwise("no json").alias("error"))
     items = parsed.select("media_id", "batch_id", F.posexplode("__a").alias("pos", "r"))
     who = ["media_id", "batch_id", "pos", safe_idx(F.col("r.idx")).alias("idx")]
     if kind == "corrections":
@@ -42,11 +44,11 @@ def parse_replies(replies: DataFrame, kind: str = "labels") -> tuple[DataFrame,
 
 def _parse_cuts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
-    parsed = replies.select("media_id", "batch_id", body.alias("__b"), F.try_parse_json(body).alias("__v"))
+    parsed = replies.select("media_id", "batch_id", F.contains("reply", F.lit("{")).alias("__open"), body.alias("__b"), F.try_parse_json(body).alias("__v"))
     listed = F.schema_of_variant(F.try_variant_get("__v", "$.cuts", "variant")).startswith("ARRAY")
     parsed = parsed.withColumn("__a", F.when(listed, F.from_json("__b", "cuts array<struct<after_idx:string,title:string,reason:string>>")["cuts"]))
     lost = F.exists("__a", lambda x: x.isNull() | safe_idx(x["after_idx"]).isNull())
-    error = F.when(F.col("__b") == "", "no json").when(F.col("__v").isNull(), "bad json").when(F.col("__a").isNull(), "no cuts").when(lost, "bad after_idx")
+    error = F.when(~F.col("__open"), "no json").when(F.col("__v").isNull(), "bad json").when(F.col("__a").isNull(), "no cuts").when(lost, "bad after_idx")
     parsed = parsed.withColumn("error", error)
     items = parsed.where("error IS NULL").select("media_id", "batch_id", F.posexplode("__a").alias("pos", "r"))
     plain = lambda c: plain_text(_text(F.col(c), ""))
