@@ -4,17 +4,20 @@ Reading goes through Spark's binaryFile source, so any store that Spark reads wi
 file is never split, as its lines are numbered. A leading byte-order mark is dropped. A file that is not UTF-8 gives one row with the reason in
 `_corrupt` and no content.
 
-Writing is in two steps. Tasks write each name's text below a hidden folder of the target through Spark's committed text writer, so that a task that fails or
-runs twice leaves nothing. When all are done the driver moves the files to their own names; a move is one call to the store's name service, whatever the
-file's size. If anything fails before, the hidden folder goes and the target is as it was.
+Writing is in two steps. Tasks write each name's text below a hidden folder of the target. When all are done the files move to their own names; a move is one
+call to the store's name service, whatever the file's size. If anything fails before, the hidden folder goes and the target is as it was.
+Where the target is a mounted folder (file:), tasks write the files under their names and tasks move them: the driver sees counts only. A task that runs twice
+replaces its own files. Other stores are reached through Spark's committed text writer, and the driver asks for the moves, as only its JVM can.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,36 +94,93 @@ def write_files(texts: DataFrame, path: str, mode: str = "error") -> int:
     stage = f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex}"
     made = not fs.exists(target)
     try:
-        # names in hexadecimal are safe as folder names; all rows of a name meet in one task, which numbers them
-        coded = checked.withColumn("f", F.hex(F.encode("name", "utf-8"))).drop("name").repartition("f")
-        coded.write.partitionBy("f").text(stage)
-        moves = []
-        for d in fs.listStatus(at(stage)):
-            name = d.getPath().getName()
-            if not name.startswith("f="):
-                continue
-            own = [s for s in fs.listStatus(d.getPath()) if not s.getPath().getName().startswith(("_", "."))]
-            moves.append((bytes.fromhex(name[2:]).decode(), [(s.getPath(), s.getLen()) for s in own]))
-        _one_row_each(spark, checked)
-
-        def move(job: tuple[str, list]) -> None:
-            name, own = job
-            to = at(f"{path.rstrip('/')}/{name}")
-            fs.mkdirs(to.getParent())
-            if fs.exists(to):
-                fs.delete(to, False)
-            if not fs.rename(own[0][0], to):
-                raise OSError(f"could not move {name}")
-
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(move, moves))
+        uri = fs.makeQualified(target).toUri()
+        n = _by_tasks(checked, uri.getPath(), stage) if uri.getScheme() == "file" else _by_driver(checked, path, stage, fs)
         fs.delete(at(stage), True)
-        return len(moves)
+        return n
     except BaseException:
         fs.delete(target if made else at(stage), True)
         raise
 
 
+def _put(top: str):
+    """A task's writer of (name, value) rows, sorted by name: each text in a file of its name below top. Gives the names and whether one came again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            again = []
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                again.append(name == last)
+                last, to = name, f"{top}/{name}"
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                own = f"{to}.{uuid.uuid4().hex}"  # a file appears whole
+                with open(own, "w", encoding="utf-8", newline="") as f:
+                    f.write(value + "\n")
+                os.replace(own, to)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(again, pa.bool_())], ["name", "again"])
+
+    return run
+
+
+def _move(top: str, target: str):
+    """A task's mover of the files of its names; one that is there already was moved by an earlier run of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                folder, base = os.path.split(f"{target}/{name}")
+                os.makedirs(folder, exist_ok=True)
+                try:
+                    os.replace(f"{top}/{name}", f"{folder}/{base}")
+                except FileNotFoundError:
+                    if not os.path.exists(f"{folder}/{base}"):
+                        raise
+                # the checksum that Hadoop's writer may have left is of the file before
+                if os.path.exists(f"{folder}/.{base}.crc"):
+                    os.remove(f"{folder}/.{base}.crc")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return run
+
+
+def _by_tasks(checked: DataFrame, folder: str, stage: str) -> int:
+    """Files written and moved by tasks, in a folder that all of them have mounted."""
+    top = f"{folder}/{stage.rsplit('/', 1)[1]}/files"
+    # all rows of a name meet in one task
+    put = checked.repartition("name").sortWithinPartitions("name").mapInArrow(_put(top), "name string, again boolean")
+    put.write.parquet(f"{stage}/names")
+    names = checked.sparkSession.read.schema("name string, again boolean").parquet(f"{stage}/names")
+    twice = names.where("again").select("name").limit(1).collect()
+    if twice:
+        raise ValueError(f"file name twice: {twice[0][0]}")
+    return names.select("name").mapInArrow(_move(top, folder), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0].n
+
+
+def _by_driver(checked: DataFrame, path: str, stage: str, fs) -> int:
+    """Files written by Spark's text writer, each in a folder, and moved by calls of the driver."""
+    spark = checked.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    # names in hexadecimal are safe as folder names; all rows of a name meet in one task, which numbers them
+    coded = checked.withColumn("f", F.hex(F.encode("name", "utf-8"))).drop("name").repartition("f")
+    coded.write.partitionBy("f").text(stage)
+    _one_row_each(spark, checked)
+    names = [n for s in fs.listStatus(at(stage)) if (n := s.getPath().getName()).startswith("f=")]
+
+    def move(coded: str) -> None:
+        own = [s.getPath() for s in fs.listStatus(at(f"{stage}/{coded}")) if not s.getPath().getName().startswith(("_", "."))]
+        to = at(f"{path.rstrip('/')}/{bytes.fromhex(coded[2:]).decode()}")
+        fs.mkdirs(to.getParent())
+        if fs.exists(to):
+            fs.delete(to, False)
+        if not fs.rename(own[0], to):
+            raise OSError(f"could not move {to}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, names))
+    return len(names)
+
+
 def _one_row_each(spark: SparkSession, checked: DataFrame) -> None:
     twice = checked.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name").limit(1).collect()
     if twice:
