@@ -248,8 +248,11 @@ def _leading(line: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (depth == 0) & (at > 1), at).otherwise(acc["end"]).alias("end"))
 
     def found(t: Column) -> Column:
-        end = F.aggregate(F.split(t, f"(?<={_BRACKETS})"), zero, step, lambda acc: acc["end"])
-        return let(end, lambda n: F.when(t.rlike(f"^{_BRACKETS}") & (n > 0), F.struct(F.substring(t, F.lit(2), n - 2).alias("raw"), F.substring(t, n + 1, F.char_length(t)).alias("rest"))))
+        at = lambda n: F.struct(F.substring(t, F.lit(2), n - 2).alias("raw"), F.substring(t, n + 1, F.char_length(t)).alias("rest"))
+        folded = F.aggregate(F.split(t, f"(?<={_BRACKETS})"), zero, step, lambda acc: acc["end"])
+        plain = F.regexp_extract(t, f"^[{_OPEN}][^{_OPEN}{_CLOSE}]*[{_CLOSE}]", 0)
+        # most lines have no bracket in front, and most of the others no bracket within it: only the rest are folded
+        return F.when(t.rlike(f"^{_BRACKETS}"), let(F.char_length(plain), lambda n: F.when(n > 0, at(n)).otherwise(let(folded, lambda n: F.when(n > 0, at(n))))))
 
     return let(F.regexp_replace(line, f"^[{BIDI} ]*(?:[{_DASH}][{BIDI} ]*)*", ""), found)
 

@@ -176,4 +176,6 @@ def resolve_alias(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def explode_speakers(raw: DataFrame) -> DataFrame:
     """raw(.., c = classified struct): a row for each (cue, part)."""
-    return raw.select("*", F.posexplode("c.parts").alias("part", "p")).withColumns({"raw": F.col("p.raw"), "said": F.col("p.text")}).drop("p")
+    # the outer form, as Spark would class each cue again to see whether it has parts
+    parts = raw.select("*", F.posexplode_outer("c.parts").alias("part", "p")).where("part IS NOT NULL")
+    return parts.withColumns({"raw": F.col("p.raw"), "said": F.col("p.text")}).drop("p")
