@@ -41,12 +41,14 @@ UNION ALL SELECT media_id, src, 1, 'view', 'so' FROM cues WHERE is_multi""")
 
 def e1(spark, d):
     """Raw cues normalised: classes, parts, aliases, clean text, order; nonspeech and unlabeled rows kept."""
-    r = raw_cues(spark, d).withColumn("c", T.classified(F.col("raw"))).withColumnRenamed("raw", "whole")
-    parts = L.explode_speakers(r).withColumn("token", T.norm_speaker(F.col("raw")))
-    spoken = L.resolve_alias(parts, X.aliases(spark, d)).select("media_id", "src", "part", "start_ms", "end_ms", "speaker", T.clean_text(F.col("said")).alias("text")).where("text <> ''")
-    other = r.where(F.col("c.kind").isin("nonspeech", "unlabeled"))
-    other = other.select("media_id", "src", F.lit(0).alias("part"), "start_ms", "end_ms", F.when(F.col("c.kind") == "nonspeech", "NONSPEECH").otherwise("?").alias("speaker"), T.clean_text(F.col("whole")).alias("text"))
-    return I.reindex(spoken.unionByName(other), ["src", "part"]).select("media_id", "src", "part", "speaker", "text", F.col("idx").cast("long").alias("idx"))
+    c = raw_cues(spark, d).withColumn("c", T.classified(F.col("raw")))
+    # cues without a speaker are one part, which no alias names, so that each cue is classed once
+    other = F.transform(F.array("raw"), lambda x: F.struct(F.when(F.col("c.kind") == "nonspeech", "NONSPEECH").otherwise("?").alias("raw"), x.alias("text")))
+    r = c.select("media_id", "src", "start_ms", "end_ms", F.struct("c.kind", F.when(F.col("c.kind").isin("nonspeech", "unlabeled"), other).otherwise(F.col("c.parts")).alias("parts")).alias("c"))
+    spoken = ~F.col("c.kind").isin("nonspeech", "unlabeled")
+    parts = L.explode_speakers(r).withColumn("token", F.when(spoken, T.norm_speaker(F.col("raw")))).withColumn("text", T.clean_text(F.col("said")))
+    named = L.resolve_alias(parts, X.aliases(spark, d)).withColumn("speaker", F.when(spoken, F.col("speaker")).otherwise(F.col("raw")))
+    return I.reindex(named.where(~spoken | (F.col("text") != "")), ["src", "part"]).select("media_id", "src", "part", "speaker", "text", F.col("idx").cast("long").alias("idx"))
 
 
 E1 = X.query(X.CUES, X.ALIASED, f"""p AS (

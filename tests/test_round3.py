@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cuelark.functions import text as T
 from cuelark.operators import labels as L
+from cuelark.plans import more_queries
 from cuelark.sources import files
 
+SMALL = "/root/testdata/sf0.001"
 CUT = '[{"idx":1,"speaker":"A","confidence":"high"'
 
 
@@ -46,3 +49,10 @@ def test_stores_without_a_mount_are_written_through_spark(spark, tmp_path):
     at = spark._jvm.org.apache.hadoop.fs.Path(f"file://{tmp_path}")
     assert files._by_driver(frame, f"file://{tmp_path}", f"file://{tmp_path}/_stage-1", at.getFileSystem(spark._jsc.hadoopConfiguration())) == 2
     assert ((tmp_path / "a/b").read_text(), (tmp_path / "c").read_text()) == ("x\n", "y\n")
+
+
+@pytest.mark.parametrize("query", [more_queries.x1, more_queries.e1])
+def test_a_raw_cue_is_classed_once(spark, query):
+    once = more_queries.raw_cues(spark, SMALL).select(T.classified(F.col("raw")))
+    folds = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert folds(query(spark, SMALL)) == folds(once) > 0
