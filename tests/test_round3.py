@@ -53,6 +53,6 @@ def test_stores_without_a_mount_are_written_through_spark(spark, tmp_path):
 
 @pytest.mark.parametrize("query", [more_queries.x1, more_queries.e1])
 def test_a_raw_cue_is_classed_once(spark, query):
-    once = more_queries.raw_cues(spark, SMALL).select(T.classified(F.col("raw")))
+    once = more_queries.raw_cues(spark, SMALL).select(T.classified(F.col("raw")).alias("c"))
     folds = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
     assert folds(query(spark, SMALL)) == folds(once) > 0
