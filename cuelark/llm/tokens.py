@@ -41,6 +41,7 @@ SCALE = 20
 LANES = 4096
 BLOCK = 1 << 20
 STRIDE = 128
+SLICE = 1 << 19  # bytes of text encoded at once
 MOST_PARTS = 20_000
 LOW = np.uint64(1 << 31)
 END = 1
@@ -198,13 +199,23 @@ def table(path: str) -> PieceTable:
     return _tables[path]
 
 
+def giving_back(run):
+    """run, after which the memory that Arrow holds but no longer uses goes back: the Python worker stays, and with it what it holds, beside other stages' tasks."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return to_the_end
+
+
 def encode_parts(path: str):
     """mapInArrow over a part's rows in order: ids as little-endian integers, and tokens before the document in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, before = table(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for s in W.slices(b.column("text"), 1 << 21):
+            for s in W.slices(b.column("text"), SLICE):
                 own = b.slice(s.first, s.n)
                 ids, counts = pieces.encode(s)
                 ends = np.cumsum(counts + 1)
@@ -218,7 +229,7 @@ def encode_parts(path: str):
                 binary = pa.Array.from_buffers(pa.binary(), s.n, [None, pa.py_buffer(offsets), pa.py_buffer(coded.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(s.n, part, np.int32)), own.column("doc_id"), pa.array(befores), pa.array(counts + 1), binary], ["part", "doc_id", "before", "n_tokens", "ids"])
 
-    return run
+    return giving_back(run)
 
 
 def count_ids(width: int, vocabulary: int):
@@ -234,7 +245,7 @@ def count_ids(width: int, vocabulary: int):
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
-    return run
+    return giving_back(run)
 
 
 def scaled(counts: dict[int, int], vocabulary: int = 1 << 16) -> np.ndarray:
@@ -342,7 +353,7 @@ def encode_blocks(freq: np.ndarray, bases: dict[int, int], width: int = 2):
         if held:
             yield block()
 
-    return run
+    return giving_back(run)
 
 
 DECODED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
@@ -370,7 +381,7 @@ def decode_blocks(freq: np.ndarray, with_ids: bool = False):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+    return giving_back(run)
 
 
 def decode_documents(freq: np.ndarray):
@@ -390,7 +401,7 @@ def decode_documents(freq: np.ndarray):
                     ids = coder.decode(int(ends[-1]), lanes, states, row["payload"], first, -(-hi // lanes) - first, left)[lo - first * lanes : hi - first * lanes]
                     yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_ids"][at], "start": row["start"] + lo, "ids": ids.tolist()}], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    return run
+    return giving_back(run)
 
 
 def read_documents(spark, path: str, freq: np.ndarray, doc_ids: DataFrame) -> DataFrame:
