@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .sweep import Clip, clips_joined, cues_heard, cues_merged, sweep
 
 BIN_MS = 60_000
@@ -236,17 +237,19 @@ def attach_segments(cues: DataFrame, audio: DataFrame, segments: DataFrame, labe
 
     A cue without length (end = start) overlaps nothing: coverage 0, low, not emitted."""
     shifted = segments.select("media_id", "speaker", (F.col("start_ms") + offset_ms).alias("start_ms"), (F.col("end_ms") + offset_ms).alias("end_ms"))
-    # each speaker's own segments are united first
-    shifted = union_intervals(shifted, ["media_id", "speaker"])
-    pairs = binned_join(cues.select("media_id", "idx", "start_ms", "end_ms"), shifted)
-    part = F.least("a_end_ms", "b_end_ms") - F.greatest("a_start_ms", "b_start_ms")
-    per = pairs.groupBy(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.col("b_speaker").alias("segment_speaker")).agg(F.sum(part).alias("ms"))
-    best = per.groupBy("media_id", "idx").agg(F.max("ms").alias("most"), F.array_sort(F.collect_list(F.struct("segment_speaker", "ms"))).alias("overlaps"))
+    # each speaker's own segments are united first; both sides are asked for their levels and then joined, so they are made once and stored
+    shifted = stored(union_intervals(shifted, ["media_id", "speaker"]))
+    cues = stored(cues.select("media_id", "idx", "start_ms", "end_ms", "speaker"))
+    pairs = binned_join(cues.drop("speaker"), shifted)
+    clipped = pairs.select(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.col("b_speaker").alias("segment_speaker"), F.greatest("a_start_ms", "b_start_ms").alias("start_ms"), F.least("a_end_ms", "b_end_ms").alias("end_ms"))
+    # what a part adds to the union of those before it; windows and sums by cue share one shuffle
+    before = F.max("end_ms").over(Window.partitionBy("media_id", "idx").orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1))
+    clipped = clipped.withColumn("added", F.greatest(F.lit(0), F.col("end_ms") - F.greatest("start_ms", before)))
+    per = clipped.groupBy("media_id", "idx", "segment_speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.sum("added").alias("added"))
+    best = per.groupBy("media_id", "idx").agg(F.max("ms").alias("most"), F.array_sort(F.collect_list(F.struct("segment_speaker", "ms"))).alias("overlaps"), F.sum("added").alias("covered_ms"))
     top = F.filter("overlaps", lambda x: x["ms"] == F.col("most"))
-    best = best.select("media_id", "idx", "overlaps", F.when(F.size(top) == 1, top[0]["segment_speaker"]).otherwise("?").alias("candidate"))
-    clipped = pairs.select(F.col("a_media_id").alias("media_id"), F.col("a_idx").alias("idx"), F.greatest("a_start_ms", "b_start_ms").alias("start_ms"), F.least("a_end_ms", "b_end_ms").alias("end_ms"))
-    covered = union_intervals(clipped, ["media_id", "idx"]).groupBy("media_id", "idx").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"))
-    out = cues.join(best, ["media_id", "idx"], "left").join(covered, ["media_id", "idx"], "left").join(audio.select("media_id", "duration_ms"), "media_id")
+    best = best.select("media_id", "idx", "overlaps", "covered_ms", F.when(F.size(top) == 1, top[0]["segment_speaker"]).otherwise("?").alias("candidate"))
+    out = cues.join(best, ["media_id", "idx"], "left").join(audio.select("media_id", "duration_ms"), "media_id")
     candidate = F.coalesce("candidate", F.lit("?"))
     if label_map is not None:
         out = out.join(label_map.select("media_id", F.col("label").alias("__label"), F.col("speaker").alias("candidate")), ["media_id", "candidate"], "left")

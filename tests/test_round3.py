@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelark.functions import text as T
+from cuelark.operators import intervals as I
 from cuelark.operators import labels as L
 from cuelark.plans import more_queries
 from cuelark.sources import files
@@ -56,3 +57,12 @@ def test_a_raw_cue_is_classed_once(spark, query):
     once = more_queries.raw_cues(spark, SMALL).select(T.classified(F.col("raw")).alias("c"))
     folds = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
     assert folds(query(spark, SMALL)) == folds(once) > 0
+
+
+def test_attached_segments_are_joined_once(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 100, "A"), (1, 2, 200, 300, "A")], "media_id long, idx int, start_ms long, end_ms long, speaker string")
+    segments = spark.createDataFrame([(1, "S1", 10, 60), (1, "S2", 20, 40), (1, "S3", 50, 80), (1, "S3", 90, 95), (1, "S2", 95, 95)], "media_id long, speaker string, start_ms long, end_ms long")
+    audio = spark.createDataFrame([(1, 300)], "media_id long, duration_ms long")
+    got = I.attach_segments(cues, audio, segments)
+    assert sorted((r.idx, r.candidate, r.overlaps, r.coverage) for r in got.collect()) == [(1, "S1", "S1=50,S2=20,S3=35", 0.75), (2, "?", "", 0.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # a side of the range join each
