@@ -3,6 +3,7 @@
 import os
 import time
 
+import corpus_pipeline
 from cuelark.llm import neardup
 from cuelark.scratch import shared_dir, stored
 
@@ -56,3 +57,13 @@ def test_slices_follow_the_bytes_of_the_cells(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SLICE_BYTES", 1)
     assert neardup.slice_count(12, known) == 30  # 40 words
     assert neardup.slice_count(0, known.limit(0)) == 1
+
+
+def test_pipeline_drops_each_stage_behind_it(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stage = lambda spark, docs, sf_dir: stored(docs.selectExpr("doc_id + 1 AS doc_id", "text"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), stage) for k in range(4)])
+    old = set(tables(spark))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(tables(spark)) - old
+    assert [r.doc_id for r in out.collect()] == [5] and len(left) == 2, left  # the last stage's input and its own table
